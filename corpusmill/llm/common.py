@@ -1,0 +1,221 @@
+"""Helpers shared by the operators: Arrow text buffers, word and n-gram hashing, shared storage.
+
+Texts are handled as flat UTF-8 byte arrays with document offsets, in slices of a bounded number of
+bytes (a single longer document forms a slice of its own), so that numpy works on whole slices and
+memory does not follow the batch size.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bytes of text that one numpy step works on.
+SLICE_BYTES = 3 << 20
+
+U = np.uint64
+_MASK = (1 << 64) - 1
+
+
+# ---------------------------------------------------------------- storage
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        found = spark.sparkContext.getCheckpointDir()
+        if not found:
+            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="corpusmill-"))
+            found = spark.sparkContext.getCheckpointDir()
+        where = found
+    return where.rstrip("/")
+
+
+def stored(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it again: lineage ends at the files."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/corpusmill/{label}-{uuid.uuid4().hex}"
+    df.write.option("compression", compression).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Catalyst's estimate of the bytes of the files below ``df``; it works for every store Spark reads."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
+def fragments(df: DataFrame, per: int = 16 << 20, least: int = 12, most: int = 60000) -> int:
+    """How many fragments to cut hashes of ``df`` into: one for each ``per`` bytes of input files."""
+    return max(least, min(most, -(-input_bytes(df) // per)))
+
+
+# ---------------------------------------------------------------- columns
+
+
+def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Only ``doc_id`` and ``text``; null texts are empty ones."""
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def held_out(id_col: str | Column = "doc_id") -> Column:
+    """crc32 of the id as text, modulo 5, is 0."""
+    c = F.col(id_col) if isinstance(id_col, str) else id_col
+    return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+# ---------------------------------------------------------------- Arrow
+
+
+def text_buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of an Arrow string array; offsets start at 0. Nulls are empty."""
+    if arr.null_count:
+        arr = arr.fill_null("")
+    n = len(arr)
+    if not n:
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    kind = np.int64 if pa.types.is_large_string(arr.type) or pa.types.is_large_binary(arr.type) else np.int32
+    _, o, d = arr.buffers()
+    offs = np.frombuffer(o, dtype=kind)[arr.offset : arr.offset + n + 1].astype(np.int64)
+    data = np.frombuffer(d, np.uint8)[offs[0] : offs[-1]] if d is not None and d.size else np.zeros(0, np.uint8)
+    return data, offs - offs[0]
+
+
+def slices(offs: np.ndarray, most: int = SLICE_BYTES):
+    """Ranges [i, j) of documents with at most ``most`` bytes together, or one document."""
+    i, n = 0, len(offs) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(offs, offs[i] + most, side="right")) - 1)
+        yield i, min(j, n)
+        i = min(j, n)
+
+
+def batches(it, most: int = SLICE_BYTES):
+    """(doc ids, bytes, offsets, first row, batch) for slices of record batches with doc_id and text first."""
+    for batch in it:
+        ids = batch.column(0)
+        ids = np.asarray(ids.fill_null(np.iinfo(np.int64).min) if ids.null_count else ids, dtype=np.int64)
+        data, offs = text_buffers(batch.column(1))
+        for i, j in slices(offs, most):
+            yield ids[i:j], data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], i, batch
+
+
+def id_array(ids: np.ndarray) -> pa.Array:
+    """Ids as Arrow, with null where ``batches`` saw null."""
+    return pa.array(ids, mask=ids == np.iinfo(np.int64).min)
+
+
+def hexes(digests) -> pa.Array:
+    return pa.array([d.hex() for d in digests], pa.string())
+
+
+# ---------------------------------------------------------------- words and hashes
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    """A 64-bit finalizer (splitmix64)."""
+    h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> U(27))) * U(0x94D049BB133111EB)
+    return h ^ (h >> U(31))
+
+
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
+_P, _Q = 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
+_powers: dict = {}
+
+
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo 2**64 for i < n; kept between calls and grown when needed."""
+    have = _powers.get(base)
+    if have is None or len(have[0]) < n:
+        m = max(n, 1 << 16, 0 if have is None else 2 * len(have[0]))
+        inv = pow(base, -1, 1 << 64)
+        have = tuple(np.multiply.accumulate(np.concatenate([np.ones(1, U), np.full(m - 1, b, U)])) for b in (base, inv))
+        if m <= 4 * SLICE_BYTES:
+            _powers[base] = have
+    return have[0][:n], have[1][:n]
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _P) -> np.ndarray:
+    """A 64-bit polynomial hash of each byte span [start, end) of ``data``."""
+    p, inv = powers(base, len(data) + 1)
+    c = np.zeros(len(data) + 1, U)
+    np.cumsum(_BYTE[data] * p[: len(data)], out=c[1:])
+    return mix((c[ends] - c[starts]) * inv[starts] + (ends - starts).astype(U))
+
+
+def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+``, and where each document's words begin."""
+    n = len(data)
+    if not n:
+        z = np.zeros(0, np.int64)
+        return z, z, np.zeros(len(offs), np.int64)
+    space = _SPACE[data]
+    before, after = np.empty(n, bool), np.empty(n, bool)
+    before[0], after[-1] = True, True
+    before[1:], after[:-1] = space[:-1], space[1:]
+    cut = offs[1:-1]
+    before[cut[cut < n]] = True
+    after[cut[cut > 0] - 1] = True
+    starts = np.flatnonzero(before & ~space)
+    ends = np.flatnonzero(after & ~space) + 1
+    return starts, ends, np.searchsorted(starts, offs)
+
+
+def word_hashes(data: np.ndarray, offs: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each word of a slice, and where each document's words begin."""
+    starts, ends, first = word_spans(data, offs)
+    return span_hashes(_LOWER[data] if lower else data, starts, ends), first
+
+
+def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """A hash for each run of ``k`` words, whatever document they are of (see ``gram_starts``)."""
+    n = len(words) - k + 1
+    if n <= 0:
+        return np.zeros(0, U)
+    if k <= 8:
+        h = words[:n].copy()
+        for j in range(1, k):
+            h *= U(_Q)
+            h += words[j : j + n]
+        return mix(h + U(k))
+    q, inv = powers(_Q, len(words) + 1)
+    c = np.zeros(len(words) + 1, U)
+    np.cumsum(words * q[: len(words)], out=c[1:])
+    return mix((c[k:] - c[:-k]) * inv[:n] + U(k))
+
+
+def gram_starts(first: np.ndarray, k: int) -> np.ndarray:
+    """Which word positions start a run of ``k`` words inside one document, as a mask."""
+    n = int(first[-1])
+    ok = np.ones(n, bool)
+    left = np.repeat(first[1:], np.diff(first)) - np.arange(n)
+    ok[left < k] = False
+    return ok
+
+
+def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Positions start, start+1, ... of every span, one span after the other."""
+    total = int(lens.sum())
+    if not total:
+        return np.zeros(0, np.int64)
+    out = np.repeat(starts - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens)
+    return out + np.arange(total)
+
+
+def cut(keys: np.ndarray, doc: np.ndarray, parts: np.ndarray, n_parts: int):
+    """Sort entries by part, keeping their order: (order, bounds of each part)."""
+    kind = np.uint16 if n_parts <= 65535 else np.int64
+    order = np.argsort(parts.astype(kind), kind="stable")
+    return order, np.concatenate([[0], np.cumsum(np.bincount(parts, minlength=n_parts))])
