@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, media, ngram_join, quality, substring_dedup, toxicity, warc
+from . import bpe, chat, exact_dedup, media, mixing, ngram_join, quality, substring_dedup, toxicity, warc
 from .common import held_out
 
 
@@ -49,6 +49,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, machine).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.document_rates(_read(spark, sf_dir, "documents"), "lang")
+
+
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
     "op5_ngram_join": op5_ngram_join,
     "op6_quality": op6_quality,
+    "op7_mixing": op7_mixing,
     "op8_chat": op8_chat,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_media": op10_media,
