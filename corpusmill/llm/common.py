@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 2 << 20
 
 U = np.uint64
 _MASK = (1 << 64) - 1
@@ -51,7 +51,7 @@ def input_bytes(df: DataFrame) -> int:
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
-def fragments(df: DataFrame, per: int = 16 << 20, least: int = 12, most: int = 60000) -> int:
+def fragments(df: DataFrame, per: int = 8 << 20, least: int = 12, most: int = 1 << 20) -> int:
     """How many fragments to cut hashes of ``df`` into: one for each ``per`` bytes of input files."""
     return max(least, min(most, -(-input_bytes(df) // per)))
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import U, batches, fragments, gram_hashes, gram_starts, id_array, stored, texts, word_hashes
 from .components import components
-from .packed import entry_ids, joined, parts_of, prime, rows_by_bucket, rows_by_part, take_ranges
+from .packed import entry_ids, gathered, joined, parts_of, prime, rows_by_bucket, take_ranges
 
 SHINGLE = 5
 PERCENT = 75
@@ -80,12 +80,15 @@ def set_sizes(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 
 
 def _cut(docs: DataFrame, k: int, n_parts: int) -> DataFrame:
-    def run(it):
+    def sets(it):
         for ids, data, offs, _, _ in batches(it):
             vals, at = shingle_sets(data, offs, k)
             sizes = np.diff(at)
-            doc = np.repeat(np.arange(len(ids)), sizes)
-            yield rows_by_part(parts_of(vals, n_parts), doc, ids, n_parts, {"hashes": vals}, {"sizes": sizes.astype(np.uint32)}, "part").select(["part", "ids", "counts", "sizes", "hashes"])
+            yield parts_of(vals, n_parts), np.repeat(np.arange(len(ids)), sizes), ids, {"hashes": vals}, {"sizes": sizes.astype(np.uint32)}
+
+    def run(it):
+        for rows in gathered(sets(it), n_parts):
+            yield rows.select(["part", "ids", "counts", "sizes", "hashes"])
 
     return docs.mapInArrow(run, PART)
 

@@ -48,6 +48,33 @@ def rows_by_part(part: np.ndarray, doc: np.ndarray, ids: np.ndarray, n_parts: in
     return pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if c == key else pa.binary()) for c, v in out.items()], names=list(out))
 
 
+def gathered(found, n_parts: int, key: str = "part", per: int = 64, most: int = 1 << 23):
+    """``rows_by_part`` of several slices at once, so that a row has ``per`` entries or so however many
+    parts there are; ``most`` entries are held at most. ``found``: (part, doc, ids, columns, per_doc)."""
+    held, n = [], 0
+    for x in found:
+        held.append(x)
+        n += len(x[0])
+        if n >= min(per * n_parts, most):
+            yield _together(held, n_parts, key)
+            held, n = [], 0
+    if held:
+        yield _together(held, n_parts, key)
+
+
+def _together(held: list, n_parts: int, key: str) -> pa.RecordBatch:
+    if len(held) == 1:
+        part, doc, ids, columns, per_doc = held[0]
+    else:
+        base = np.cumsum([0] + [len(x[2]) for x in held])
+        part = np.concatenate([x[0] for x in held])
+        doc = np.concatenate([x[1] + b for x, b in zip(held, base, strict=False)])
+        ids = np.concatenate([x[2] for x in held])
+        columns = {c: np.concatenate([x[3][c] for x in held]) for c in held[0][3]}
+        per_doc = {c: np.concatenate([x[4][c] for x in held]) for c in held[0][4]}
+    return rows_by_part(part, doc, ids, n_parts, columns, per_doc, key)
+
+
 def rows_by_bucket(ids: np.ndarray, buckets: int, columns: dict[str, np.ndarray], per_doc: dict[str, np.ndarray]) -> pa.RecordBatch:
     """Entries of documents ``ids`` (one id for each entry, equal ids together) by bucket of id."""
     first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)

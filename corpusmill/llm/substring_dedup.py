@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, fragments, gram_hashes, gram_starts, hexes, id_array, ragged, texts, word_hashes, word_spans
-from .packed import entry_ids, joined, parts_of, prime, rows_by_bucket, rows_by_part
+from .packed import entry_ids, gathered, joined, parts_of, prime, rows_by_bucket, rows_by_part
 
 WINDOW = 50
 NULL_ID = int(np.iinfo(np.int64).min)
@@ -56,15 +56,18 @@ def anchors(words: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarr
 
 
 def _anchor_rows(window: int, n_parts: int):
-    def run(it):
+    def found(it):
         for ids, data, offs, _, _ in batches(it):
             words, first = word_hashes(data, offs)
             starts, h = anchors(words, first, window)
             doc = np.searchsorted(first, starts, side="right") - 1
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-            h, doc = h[new], doc[new]
-            yield rows_by_part(parts_of(h, n_parts), doc, ids, n_parts, {"hashes": h}, {}, "part").select(["part", "ids", "counts", "hashes"])
+            yield parts_of(h[new], n_parts), doc[new], ids, {"hashes": h[new]}, {}
+
+    def run(it):
+        for rows in gathered(found(it), n_parts):
+            yield rows.select(["part", "ids", "counts", "hashes"])
 
     return run
 
