@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 U = np.uint64
 _MASK = (1 << 64) - 1
@@ -139,7 +139,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n; kept between calls and grown when needed."""
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
-        m = max(n, 1 << 16, 0 if have is None else 2 * len(have[0]))
+        m = max(n + n // 8, 1 << 16)
         inv = pow(base, -1, 1 << 64)
         have = tuple(np.multiply.accumulate(np.concatenate([np.ones(1, U), np.full(m - 1, b, U)])) for b in (base, inv))
         if m <= 4 * SLICE_BYTES:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, _LOWER, _P, U, held_out, mix, powers, text_buffers
+from .common import _BYTE, _LOWER, _P, SLICE_BYTES, U, held_out, mix, powers, slices, text_buffers
 
 #: Rows of each class that a classifier is fitted on, at most.
 PER_CLASS = 4000
@@ -42,6 +42,12 @@ def table_buffers(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return text_buffers(pa.concat_arrays(col.chunks) if col.num_chunks != 1 else col.chunk(0))
 
 
+def sliced(data: np.ndarray, offs: np.ndarray, most: int = SLICE_BYTES):
+    """(bytes, offsets) of bounded slices of a sample: features of one slice are made at a time."""
+    for i, j in slices(offs, most):
+        yield data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+
+
 class Spans:
     """Hashes of any spans of one slice of bytes, lower-cased; the prefix sums are made once."""
 

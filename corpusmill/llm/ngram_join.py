@@ -97,16 +97,16 @@ def _shared(buckets: int):
     """Of one fragment: the n-grams that two documents have, by bucket of documents."""
 
     def run(table: pa.Table) -> pa.Table:
-        h, doc = joined(table, "hashes", np.uint64), entry_ids(table)
-        size = np.repeat(joined(table, "sizes", np.uint32), joined(table, "counts", np.uint32))
+        h = joined(table, "hashes", np.uint64)
         order = np.argsort(h)
         h = h[order]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        df = np.diff(np.append(first, len(h)))
+        df = np.diff(np.append(first, len(h))).astype(np.int32)
         df = np.repeat(df, df)
         at = df > 1
         order, h, df = order[at], h[at], df[at]
-        doc, size = doc[order], size[order]
+        doc, size = entry_ids(table)[order], np.repeat(joined(table, "sizes", np.uint32), joined(table, "counts", np.uint32))[order]
+        del order, at
         by = np.argsort(doc, kind="stable")
         rarity = np.minimum(255, 4 * np.log2(df)).astype(np.uint8)[by]
         return pa.Table.from_batches([rows_by_bucket(doc[by], buckets, {"hashes": h[by], "rarity": rarity}, {"sizes": size[by]}).select(["bucket", "ids", "counts", "sizes", "hashes", "rarity"])])

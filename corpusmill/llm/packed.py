@@ -48,9 +48,9 @@ def rows_by_part(part: np.ndarray, doc: np.ndarray, ids: np.ndarray, n_parts: in
     return pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if c == key else pa.binary()) for c, v in out.items()], names=list(out))
 
 
-def gathered(found, n_parts: int, key: str = "part", per: int = 64, most: int = 1 << 23):
-    """``rows_by_part`` of several slices at once, so that a row has ``per`` entries or so however many
-    parts there are; ``most`` entries are held at most. ``found``: (part, doc, ids, columns, per_doc)."""
+def gathered(found, n_parts: int, key: str = "part", per: int = 8192, most: int = 1 << 21):
+    """``rows_by_part`` of several slices at once, so that a row has ``per`` entries or so, or as many as
+    ``most`` entries held at a time give. ``found``: (part, doc, ids, columns, per_doc)."""
     held, n = [], 0
     for x in found:
         held.append(x)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U, batches, id_array, span_hashes, texts, word_spans
-from .labelled import PER_CLASS, class_counts, labelled_sample, sigmoid, table_buffers
+from .labelled import PER_CLASS, class_counts, labelled_sample, sigmoid, sliced, table_buffers
 
 BUCKETS = 1 << 15
 RANK = 8
@@ -88,6 +88,14 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return bucket, first, stats, np.minimum(np.log2(size + 1).astype(np.int64), META - 1)
 
 
+def sample_features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``features`` of a whole sample, made by slices."""
+    parts = [features(d, o) for d, o in sliced(data, offs)] or [features(data, offs)]
+    words = np.cumsum([0] + [len(p[0]) for p in parts])
+    first = np.concatenate([[0], *(p[1][1:] + w for p, w in zip(parts, words, strict=False))])
+    return np.concatenate([p[0] for p in parts]), first, np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
+
+
 def mix_doc(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Document in the upper bits, 40 bits of the hash below."""
     return (doc.astype(U) << U(40)) | (h >> U(24))
@@ -135,7 +143,7 @@ def fit(data: np.ndarray, offs: np.ndarray, label: np.ndarray, epochs: int = 12,
     def start(n):
         return np.concatenate([np.zeros((n, 1)), rng.normal(0, 0.02, (n, RANK))], axis=1)
 
-    bucket, first, stats, meta = features(data, offs)
+    bucket, first, stats, meta = sample_features(data, offs)
     mean, scale = (stats.mean(axis=0), stats.std(axis=0) + 1e-3) if docs else (np.zeros(N_STATS), np.ones(N_STATS))
     rate = (label.sum() + 0.5) / (docs + 1)
     m = Machine(float(np.log(rate / (1 - rate))), start(BUCKETS).astype(np.float32), start(N_STATS), start(META), mean, scale)
