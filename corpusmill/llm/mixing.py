@@ -81,6 +81,8 @@ def posteriors(docs: DataFrame, domains: list, priors: list[float], table: DataF
     """(doc, tokens, p) of every document; the words of all texts meet the bounded table in one pass."""
     t = _prepared(docs, id_col, text_col)
     k = len(domains)
+    if not k:
+        return _words(t, "doc").groupBy("doc").agg(F.count(F.lit(1)).alias("tokens")).withColumn("p", F.array().cast("array<double>"))
     # a word with no row in the table is as likely in all domains
     words = _words(t, "doc").join(F.broadcast(table), "bucket", "left")
     sums = words.groupBy("doc").agg(F.count(F.lit(1)).alias("tokens"), *[F.sum(F.coalesce(F.col("ll")[i], F.lit(0.0))).alias(f"s{i}") for i in range(k)])
@@ -130,6 +132,9 @@ def fit(post: DataFrame, domains: list, targets: list[float] | None = None, flat
     """
     k = len(domains)
 
+    if not k:
+        return Mix(domains, [], [], [])
+
     def sums(taken: list[list[float]]) -> tuple[list[float], list[list[float]]]:
         r = post.select("tokens", "p", _rate(taken).alias("r"))
         w = F.col("r") * F.col("tokens")

@@ -40,7 +40,7 @@ VERTICAL = 8
 
 PART = "part int, ids binary, counts binary, sizes binary, hashes binary"
 BUCKET = "bucket int, ids binary, counts binary, sizes binary, hashes binary, rarity binary"
-SETS = "doc long, n long, same string, prefix array<long>, segments array<array<long>>"
+SETS = "doc long, n long, shared long, same string, prefix array<long>, segments array<array<long>>"
 NULL_ID = np.iinfo(np.int64).min
 
 
@@ -143,7 +143,7 @@ def _sets(percent: int):
         inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32)), pa.array(hs.view(np.int64)))
         segments = pa.ListArray.from_arrays(pa.array((np.arange(len(ids) + 1) * VERTICAL).astype(np.int32)), inner)
         prefixes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(need)]).astype(np.int32)), pa.array(prefix.view(np.int64)))
-        return pa.Table.from_arrays([pa.array(ids), pa.array(n), pa.array(same, pa.string()), prefixes, segments], names=["doc", "n", "same", "prefix", "segments"])
+        return pa.Table.from_arrays([pa.array(ids), pa.array(n), pa.array(have), pa.array(same, pa.string()), prefixes, segments], names=["doc", "n", "shared", "same", "prefix", "segments"])
 
     return run
 
@@ -158,8 +158,10 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return total.where(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
 
 
-def _near(na: str, nb: str, percent: int):
-    return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
+def _possible(na, sa, nb, sb, percent: int):
+    """Whether sets of these sizes, of which so many n-grams are shared with any document, could link."""
+    most = F.least(sa, sb)
+    return 100 * most >= percent * (na + nb - most)
 
 
 def groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,25 +173,44 @@ def groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: st
     sets = stored(shared.groupBy("bucket").applyInArrow(_sets(percent), SETS), "ngram-sets")
     classes = stored(sets.select("doc", "same").join(sets.where("same is not null").groupBy("same").agg(F.min("doc").alias("least")), "same", "left").select("doc", F.coalesce("least", "doc").alias("rep")), "ngram-classes")
     reps = sets.join(classes.where("doc = rep").select("doc"), "doc")
-    postings = reps.select("doc", "n", F.explode("prefix").alias("gram"))
-    hubs = postings.groupBy("gram").agg(F.min(F.struct("doc", "n")).alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").select("gram", F.col("hub.doc").alias("a"), F.col("hub.n").alias("na"))
-    stars = postings.join(hubs, "gram").where("doc <> a").where(_near("na", "n", percent)).select("a", F.col("doc").alias("b"), "na", F.col("n").alias("nb")).distinct()
-    stars = stored(stars, "ngram-stars")
+    postings = stored(reps.select("doc", "n", "shared", F.explode("prefix").alias("gram")), "ngram-postings")
+    # the hub of a posting: the document with the fewest n-grams of its own, as an original has among its copies
+    hubs = postings.groupBy("gram").agg(F.min(F.struct((F.col("n") - F.col("shared")).alias("own"), "doc", "n", "shared")).alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    hubs = hubs.select("gram", F.col("hub.doc").alias("a"), F.col("hub.n").alias("na"), F.col("hub.shared").alias("sa"))
+    stars = postings.join(hubs, "gram").where("doc <> a").where(_possible(F.col("na"), F.col("sa"), F.col("n"), F.col("shared"), percent))
+    stars = stored(stars.select("a", F.col("doc").alias("b"), "na", F.col("n").alias("nb")).distinct(), "ngram-stars")
     links = stored(_linked(stars, reps, percent), "ngram-links")
     found = components(links)
-    # postings that still hold two components: their pairs across components, but for those counted already
-    tagged = postings.join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").select("doc", "n", "gram", F.coalesce("component", "doc").alias("c"))
-    mixed = tagged.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("gram")
-    open_ = tagged.join(mixed, "gram")
-    x = open_.select("gram", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    y = open_.select("gram", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    rest = x.join(y, "gram").where("ca <> cb and a < b").where(_near("na", "nb", percent)).select("a", "b", "na", "nb").distinct()
-    rest = stored(rest.join(stars.select("a", "b"), ["a", "b"], "left_anti"), "ngram-rest")
+    tagged = postings.join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").select("doc", "n", "shared", "gram", F.coalesce("component", "doc").alias("c"))
+    rest = stored(_across(tagged, percent).join(stars.select("a", "b").union(stars.select("b", "a")), ["a", "b"], "left_anti"), "ngram-rest")
     links = links.union(_linked(rest, reps, percent))
     of_rep = components(links.union(classes.where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))))
     return of_rep.select(F.col("node").alias("doc"), "component")
 
 
+def _across(tagged: DataFrame, percent: int) -> DataFrame:
+    """(a, b, na, nb): pairs of one posting and two components that could link.
+
+    Twice, members leave that could link with no member of another component: a posting's components
+    and its two smallest sizes with different components bound what any partner can be.
+    """
+    for _ in range(2):
+        least = tagged.groupBy("gram", "c").agg(F.min("n").alias("n"), F.max("shared").alias("s"))
+        one = least.groupBy("gram").agg(F.min(F.struct("n", "c")).alias("lo"), F.max(F.struct("s", "c")).alias("hi"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1")
+        # for members of the component that holds the extreme itself, the next one counts
+        two = least.join(one.select("gram", "lo", "hi"), "gram").groupBy("gram").agg(
+            F.min(F.when(F.col("c") != F.col("lo.c"), F.col("n"))).alias("n2"), F.max(F.when(F.col("c") != F.col("hi.c"), F.col("s"))).alias("s2"), F.first("lo").alias("lo"), F.first("hi").alias("hi")
+        )
+        x = tagged.join(two, "gram")
+        n = F.when(F.col("c") == F.col("lo.c"), F.col("n2")).otherwise(F.col("lo.n"))
+        s = F.when(F.col("c") == F.col("hi.c"), F.col("s2")).otherwise(F.col("hi.s"))
+        tagged = x.where(_possible(F.col("n"), F.col("shared"), n, s, percent)).select("doc", "n", "shared", "gram", "c")
+    x, y = (tagged.select("gram", *[F.col(c).alias(c[0] + e) for c in ("doc", "n", "shared", "c")]) for e in "ab")
+    x, y = x.withColumnsRenamed({"da": "a", "ca": "xa"}), y.withColumnsRenamed({"db": "b", "cb": "xb"})
+    pairs = x.join(y, "gram").where("xa <> xb and a < b").where(_possible(F.col("na"), F.col("sa"), F.col("nb"), F.col("sb"), percent))
+    return pairs.select("a", "b", "na", "nb").distinct()
+
+
 def jaccard_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``."""
     g = groups(docs, k, percent)
