@@ -37,10 +37,12 @@ SHINGLE = 5
 PERCENT = 75
 #: Vertical fragments in which the overlap of a pair is counted.
 VERTICAL = 8
+#: 64-bit words of the bitmap of a document's shared n-grams.
+WORDS = 8
 
 PART = "part int, ids binary, counts binary, sizes binary, hashes binary"
 BUCKET = "bucket int, ids binary, counts binary, sizes binary, hashes binary, rarity binary"
-SETS = "doc long, n long, shared long, same string, prefix array<long>, segments array<array<long>>"
+SETS = "doc long, n long, shared long, bits array<long>, same string, prefix array<long>, segments array<array<long>>"
 NULL_ID = np.iinfo(np.int64).min
 
 
@@ -134,6 +136,10 @@ def _sets(percent: int):
         hs, rs = take_ranges(h, first, have), take_ranges(rarity, first, have)
         at = np.concatenate([[0], np.cumsum(have)])
         who = np.repeat(np.arange(len(ids)), have)
+        bits = np.zeros((len(ids), WORDS), U)
+        place = ((hs >> U(40)) % U(64 * WORDS)).astype(np.int64)
+        np.bitwise_or.at(bits, (who, place >> 6), U(1) << (place & 63).astype(U))
+        maps = pa.ListArray.from_arrays(pa.array((np.arange(len(ids) + 1) * WORDS).astype(np.int32)), pa.array(bits.ravel().view(np.int64)))
         # the prefix: unshared n-grams come first, then the rarest shared ones
         need = n + percent * n // -100 + 1 - (n - have)
         by = np.lexsort((hs, rs, who))
@@ -143,7 +149,7 @@ def _sets(percent: int):
         inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32)), pa.array(hs.view(np.int64)))
         segments = pa.ListArray.from_arrays(pa.array((np.arange(len(ids) + 1) * VERTICAL).astype(np.int32)), inner)
         prefixes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(need)]).astype(np.int32)), pa.array(prefix.view(np.int64)))
-        return pa.Table.from_arrays([pa.array(ids), pa.array(n), pa.array(have), pa.array(same, pa.string()), prefixes, segments], names=["doc", "n", "shared", "same", "prefix", "segments"])
+        return pa.Table.from_arrays([pa.array(ids), pa.array(n), pa.array(have), maps, pa.array(same, pa.string()), prefixes, segments], names=["doc", "n", "shared", "bits", "same", "prefix", "segments"])
 
     return run
 
@@ -160,8 +166,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _possible(na, sa, nb, sb, percent: int):
     """Whether sets of these sizes, of which so many n-grams are shared with any document, could link."""
-    most = F.least(sa, sb)
-    return 100 * most >= percent * (na + nb - most)
+    need = percent * (na + nb)
+    return ((100 + percent) * sa >= need) & ((100 + percent) * sb >= need)
 
 
 def groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,17 +188,26 @@ def groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: st
     links = stored(_linked(stars, reps, percent), "ngram-links")
     found = components(links)
     tagged = postings.join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").select("doc", "n", "shared", "gram", F.coalesce("component", "doc").alias("c"))
-    rest = stored(_across(tagged, percent).join(stars.select("a", "b").union(stars.select("b", "a")), ["a", "b"], "left_anti"), "ngram-rest")
+    rest = stored(_across(tagged, reps.select("doc", "bits"), percent).join(stars.select("a", "b").union(stars.select("b", "a")), ["a", "b"], "left_anti"), "ngram-rest")
     links = links.union(_linked(rest, reps, percent))
     of_rep = components(links.union(classes.where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))))
     return of_rep.select(F.col("node").alias("doc"), "component")
 
 
-def _across(tagged: DataFrame, percent: int) -> DataFrame:
+def _missing(x: str, y: str):
+    """A lower bound of the n-grams of one bitmap that the other lacks."""
+    total = F.lit(0)
+    for k in range(WORDS):
+        total = total + F.bit_count(F.col(f"{x}{k}").bitwiseAND(F.bitwise_not(F.col(f"{y}{k}"))))
+    return total
+
+
+def _across(tagged: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     """(a, b, na, nb): pairs of one posting and two components that could link.
 
     Twice, members leave that could link with no member of another component: a posting's components
-    and its two smallest sizes with different components bound what any partner can be.
+    and its two smallest sizes with different components bound what any partner can be. Of the pairs of
+    those that stay, bitmaps of the shared n-grams bound the overlap; only what passes leaves the join.
     """
     for _ in range(2):
         least = tagged.groupBy("gram", "c").agg(F.min("n").alias("n"), F.max("shared").alias("s"))
@@ -205,9 +220,13 @@ def _across(tagged: DataFrame, percent: int) -> DataFrame:
         n = F.when(F.col("c") == F.col("lo.c"), F.col("n2")).otherwise(F.col("lo.n"))
         s = F.when(F.col("c") == F.col("hi.c"), F.col("s2")).otherwise(F.col("hi.s"))
         tagged = x.where(_possible(F.col("n"), F.col("shared"), n, s, percent)).select("doc", "n", "shared", "gram", "c")
-    x, y = (tagged.select("gram", *[F.col(c).alias(c[0] + e) for c in ("doc", "n", "shared", "c")]) for e in "ab")
-    x, y = x.withColumnsRenamed({"da": "a", "ca": "xa"}), y.withColumnsRenamed({"db": "b", "cb": "xb"})
-    pairs = x.join(y, "gram").where("xa <> xb and a < b").where(_possible(F.col("na"), F.col("sa"), F.col("nb"), F.col("sb"), percent))
+    tagged = tagged.join(bits, "doc")
+    x, y = (
+        tagged.select("gram", F.col("doc").alias(e), F.col("n").alias("n" + e), F.col("shared").alias("s" + e), F.col("c").alias("x" + e), *[F.col("bits")[k].alias(f"{e}{k}") for k in range(WORDS)])
+        for e in "ab"
+    )
+    pairs = x.join(y, "gram").where("xa <> xb and a < b")
+    pairs = pairs.where(_possible(F.col("na"), F.col("sa") - _missing("a", "b"), F.col("nb"), F.col("sb") - _missing("b", "a"), percent))
     return pairs.select("a", "b", "na", "nb").distinct()
 
 
