@@ -1,0 +1,50 @@
+"""Global positions without a global sort in one task: blocks, their sums, and positions within."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Rows of a block, about.
+BLOCK = 65_536
+
+
+def prefix_sum(df: DataFrame, blocks: list[Column], inner: list[Column], value: Column, out: str) -> DataFrame:
+    """``out``: the sum of ``value`` over all rows before a row, in the order (blocks, inner).
+
+    Within a block the sum is a window partitioned by block; the blocks' own offsets are a window over
+    one row per block, a small fraction of the rows.
+    """
+    names = [f"__b{k}" for k in range(len(blocks))]
+    # descending block keys stay descending: the order is taken from the caller's columns
+    plain = [b[0] if isinstance(b, tuple) else b for b in blocks]
+    order = [F.col(n).desc() if isinstance(b, tuple) and b[1] == "desc" else F.col(n).asc() for n, b in zip(names, blocks, strict=True)]
+    d = df.withColumns({n: p for n, p in zip(names, plain, strict=True)}).withColumn("__v", value.cast("long"))
+    sums = d.groupBy(*names).agg(F.sum("__v").alias("__s"))
+    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("__o", F.coalesce(F.sum("__s").over(before), F.lit(0))).drop("__s")
+    w = Window.partitionBy(*names).orderBy(*inner).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("__r", F.coalesce(F.sum("__v").over(w), F.lit(0)))
+    on = None
+    for n in names:
+        c = d[n].eqNullSafe(sums[n])
+        on = c if on is None else on & c
+    d = d.join(sums, on)
+    return d.withColumn(out, F.col("__o") + F.col("__r")).select(*df.columns, out)
+
+
+def dense_index(df: DataFrame, key: str, out: str = "doc", block: int = BLOCK) -> DataFrame:
+    """``out``: 0, 1, 2 ... in the order of an integer key."""
+    return prefix_sum(df, [F.floor(F.col(key) / F.lit(block))], [F.col(key)], F.lit(1), out)
+
+
+def dense_index_of_files(df: DataFrame, out: str = "doc", block: int = BLOCK) -> DataFrame:
+    """``out``: 0, 1, 2 ... over (file name, row in the file); call it on a scan, null rows already dropped."""
+    d = df.withColumns({"__f": F.col("_metadata.file_name"), "__i": F.col("_metadata.row_index")})
+    d = prefix_sum(d, [F.col("__f"), F.floor(F.col("__i") / F.lit(block))], [F.col("__i")], F.lit(1), out)
+    return d.drop("__f", "__i")
+
+
+def frequency_rank(df: DataFrame, count: str, key: str, out: str = "id") -> DataFrame:
+    """``out``: 0 for the largest count, ties by key. A block is one count and two first characters."""
+    return prefix_sum(df, [(F.col(count), "desc"), F.substring(key, 1, 2)], [F.col(key)], F.lit(1), out)

@@ -1,0 +1,68 @@
+"""Packing documents into fixed-size token shards: global positions are a prefix sum."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .order import BLOCK, prefix_sum
+
+
+def with_eot(tokens: DataFrame, eot: int) -> DataFrame:
+    """An end-of-text token before each document."""
+    return tokens.withColumn("tokens", F.concat(F.array(F.lit(eot).cast("int")), F.col("tokens").cast("array<int>")))
+
+
+def offsets(tokens: DataFrame, doc: str = "doc") -> DataFrame:
+    """Each document with the position of its first token in the whole stream."""
+    return prefix_sum(tokens, [F.floor(F.col(doc) / F.lit(BLOCK))], [F.col(doc)], F.size("tokens"), "offset")
+
+
+def positions(tokens: DataFrame, size: int, doc: str = "doc") -> DataFrame:
+    """(doc, pos, g, shard, at, token): every token with its place in the stream and in its shard."""
+    t = offsets(tokens, doc).select(F.col(doc).alias("doc"), "offset", F.posexplode("tokens").alias("pos", "token"))
+    g = F.col("offset") + F.col("pos")
+    return t.select("doc", "pos", g.alias("g"), F.floor(g / F.lit(size)).cast("int").alias("shard"), (g % F.lit(size)).cast("int").alias("at"), "token")
+
+
+def slabs(tokens: DataFrame, size: int, doc: str = "doc") -> DataFrame:
+    """(shard, at, tokens): the pieces of documents that each shard is made of, without exploding tokens."""
+    t = offsets(tokens, doc).where(F.size("tokens") > 0)
+    first, last = F.floor(F.col("offset") / F.lit(size)), F.floor((F.col("offset") + F.size("tokens") - 1) / F.lit(size))
+    t = t.withColumn("shard", F.explode(F.sequence(first, last)))
+    begin = F.greatest(F.col("offset"), F.col("shard") * size)
+    end = F.least(F.col("offset") + F.size("tokens"), (F.col("shard") + 1) * size)
+    cut = F.slice("tokens", (begin - F.col("offset") + 1).cast("int"), (end - begin).cast("int"))
+    return t.select(F.col("shard").cast("int").alias("shard"), (begin - F.col("shard") * size).cast("int").alias("at"), cut.alias("tokens"))
+
+
+def shard_name(name: str, shard: int) -> str:
+    return f"{name}_{shard:06d}.bin"
+
+
+def shard_stats(tokens: DataFrame, size: int, name: str = "train", doc: str = "doc") -> DataFrame:
+    """(shard, name, n_tokens, n_docs): counted from slabs, not tokens."""
+    t = offsets(tokens, doc).where(F.size("tokens") > 0)
+    first, last = F.floor(F.col("offset") / F.lit(size)), F.floor((F.col("offset") + F.size("tokens") - 1) / F.lit(size))
+    t = t.withColumn("shard", F.explode(F.sequence(first, last)))
+    n = F.least(F.col("offset") + F.size("tokens"), (F.col("shard") + 1) * size) - F.greatest(F.col("offset"), F.col("shard") * size)
+    g = t.groupBy("shard").agg(F.sum(n).alias("n_tokens"), F.count(F.lit(1)).alias("n_docs"))
+    return g.select(F.col("shard").cast("int").alias("shard"), F.format_string(f"{name}_%06d.bin", F.col("shard")).alias("name"), "n_tokens", "n_docs")
+
+
+def promoted(stats: DataFrame) -> DataFrame:
+    """The first shard becomes validation data."""
+    return stats.withColumn("split", F.when(F.col("shard") == 0, "val").otherwise("train"))
+
+
+def head_tail(positions_: DataFrame, head: int) -> DataFrame:
+    """The first ``head`` tokens of the stream are validation data."""
+    return positions_.withColumn("split", F.when(F.col("g") < head, "val").otherwise("train"))
+
+
+def first_mismatch(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(n_a, n_b, g, token_a, token_b): the first place (``g``) where two streams (g, token) differ; nulls when equal."""
+    n = a.agg(F.count(F.lit(1)).alias("n_a")).crossJoin(b.agg(F.count(F.lit(1)).alias("n_b")))
+    j = a.select("g", F.col("token").alias("token_a")).join(b.select("g", F.col("token").alias("token_b")), "g", "full")
+    d = j.where(~F.col("token_a").eqNullSafe(F.col("token_b"))).agg(F.min(F.struct("g", "token_a", "token_b")).alias("d"))
+    return n.crossJoin(d).select("n_a", "n_b", F.col("d.g").alias("g"), F.col("d.token_a").alias("token_a"), F.col("d.token_b").alias("token_b"))
