@@ -40,8 +40,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = (
         d.select(F.md5("b").alias("h"), "norm", "len", "id")
         .groupBy("h", "norm")
-        .agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("len", (-F.col("id")).alias("neg"))).alias("best"))
-        .select("h", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), "group_size", (-F.col("best.neg")).alias("keep_id"))
+        .agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("len", F.bitwise_not("id").alias("back"))).alias("best"))
+        .select("h", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), "group_size", F.bitwise_not("best.back").alias("keep_id"))
     )
     rows = d.select("id", F.md5("b").alias("h"), F.sha2("b", 256).alias("text_sha256"))
     return rows.join(groups, ["h", "text_sha256"]).select(

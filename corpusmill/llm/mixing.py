@@ -196,7 +196,7 @@ def document_rates(docs: DataFrame, domain_col: str, targets: dict | None = None
     """doc_id, n_tokens, rate and copies of every row of ``docs``."""
     found, _ = mix(docs, domain_col, targets, id_col, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"))
-    return rows.join(found, F.col("doc_id").eqNullSafe(F.col("doc")), "left").select(
+    return rows.join(found, rows["doc_id"].eqNullSafe(found["doc"]), "left").select(
         "doc_id", F.coalesce("tokens", F.lit(0)).alias("n_tokens"), F.coalesce("rate", F.lit(1.0)).alias("rate"), F.coalesce("copies", F.lit(1)).alias("copies")
     )
 
@@ -205,6 +205,6 @@ def mixed_documents(docs: DataFrame, domain_col: str, targets: dict | None = Non
     """The rows of ``docs``, each as often as its rate says, with all their columns."""
     found, _ = mix(docs, domain_col, targets, id_col, text_col, least)
     found = found.groupBy(F.col("doc").alias("__doc")).agg(F.max("copies").alias("__copies"))
-    rows = docs.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("__doc")), "left")
-    times = F.explode(F.array_repeat(F.lit(0), F.coalesce("__copies", F.lit(1))))
-    return rows.select(*[docs[c] for c in docs.columns], times.alias("__time")).drop("__time")
+    rows = docs.join(found, docs[id_col].cast("long").eqNullSafe(found["__doc"]), "left")
+    times = F.explode(F.array_repeat(F.lit(0), F.coalesce(found["__copies"], F.lit(1))))
+    return rows.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), times.alias("time")).select("row.*")

@@ -239,4 +239,4 @@ def jaccard_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
 def drop_near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose document has the smallest id of its group, with all their columns."""
     g = groups(docs, k, percent, id_col, text_col).where("doc <> component").select(F.col("doc").alias("__gone"))
-    return docs.join(g, F.col(id_col) == F.col("__gone"), "left_anti")
+    return docs.join(g, docs[id_col] == g["__gone"], "left_anti")
