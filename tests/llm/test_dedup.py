@@ -38,14 +38,20 @@ def corpus(seed, n=120, vocab=400):
     return [*rows, (1, None), (2, ""), (4, " \t\n"), (5, "One two"), (7, "one TWO"), (8, "É x y z a b"), (10, "é x y z a b")]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_ngram_join_against_brute_force(spark, seed):
     rows = corpus(seed)
+    # exactly at the threshold, 12 of 16 shingles: links
+    rows += [(9, " ".join(f"a{k}" for k in range(18))), (3_000, " ".join([*(f"a{k}" for k in range(16)), "b1", "b2"]))]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_groups(extra(spark, rows)).collect()}
-    assert got == jaccard_components(rows)
+    assert got == jaccard_components(rows) and got[3_000][1] == 9
+
+
+def test_one_of_each_group_stays_with_all_columns(spark):
+    rows = corpus(5, 60)
     kept = ngram_join.drop_near_duplicates(extra(spark, rows))
     assert kept.columns == ["doc_id", "text", "__keep", "component", "lang"]
-    assert {r.doc_id for r in kept.collect()} == {d for d, (_, c) in got.items() if d == c}
+    assert {r.doc_id for r in kept.collect()} == {c for _, c in jaccard_components(rows).values()}
 
 
 def test_a_large_group_of_near_copies(spark):
@@ -65,16 +71,7 @@ def test_a_large_group_of_near_copies(spark):
     assert got == jaccard_components(rows)
 
 
-def test_links_at_the_threshold(spark):
-    # 100 * intersection = 75 * union exactly: 12 of 16 shingles
-    a = " ".join(f"a{k}" for k in range(18))
-    b = " ".join([*(f"a{k}" for k in range(16)), "b1", "b2"])
-    rows = [(9, a), (3, b)]
-    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_groups(extra(spark, rows)).collect()}
-    assert got == {d: c for d, (_, c) in jaccard_components(rows).items()} and got[9] == 3
-
-
-@pytest.mark.parametrize("seed", [3, 4])
+@pytest.mark.parametrize("seed", [3])
 def test_substrings_against_brute_force(spark, seed):
     rows = corpus(seed)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.parse(extra(spark, rows)).collect()}

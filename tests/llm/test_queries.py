@@ -1,0 +1,41 @@
+import hashlib
+import zlib
+
+import duckdb
+import pytest
+
+from corpusmill.llm.queries import QUERIES, SQL
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query_equals_its_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    cur = con.execute(SQL[name])
+    names = [d[0] for d in cur.description]
+    df = QUERIES[name](spark, SF)
+    assert sorted(df.columns) == sorted(names)
+    assert sorted(map(str, ([r[c] for c in names] for r in df.collect()))) == sorted(map(str, map(list, cur.fetchall())))
+
+
+def test_media_query(spark):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = QUERIES["op10_media"](spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        raw = texts[r.doc_id].encode()
+        full = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-32:]))
+
+
+@pytest.mark.parametrize(("name", "label", "limit"), [("op3_toxicity", "toxic", 0.5), ("op6_quality", "quality", 0.3)])
+def test_classifier_queries_on_held_out_rows(spark, name, label, limit):
+    sf = SF.replace("0.001", "0.01")
+    rows = {r.doc_id: r for r in QUERIES[name](spark, sf).collect()}
+    assert all(r.held_out == (zlib.crc32(str(d).encode()) % 5 == 0) and r.predicted == int(r.score >= limit) and 0 <= r.score <= 1 for d, r in rows.items())
+    known = [(rows[r.doc_id], r[label]) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()]
+    known = [(r, y) for r, y in known if r.held_out]
+    assert sum(r.predicted == y for r, y in known) / len(known) > 0.9
