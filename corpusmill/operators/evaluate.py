@@ -18,10 +18,12 @@ def perplexity(scored: DataFrame, by: list[str] | None = None, weight: Column |
     return scored.groupBy(*by).agg(*agg) if by else scored.agg(*agg)
 
 
-def matched_weight(seen: str = "seen", start: str = "start", length: str = "length") -> Column:
-    """The weight of a window's sum in the common formulation that counts one target less per window."""
-    targets = F.col(length) - F.col(seen)
-    return F.when(targets > 1, (targets - 1) / targets).otherwise(F.lit(0.0))
+def perplexity_matched(scored: DataFrame, window: str = "position") -> DataFrame:
+    """(n, ppl) in the common formulation that counts one target less for each window but the first."""
+    lp = F.col("logprob").cast("double")
+    w = scored.groupBy(window).agg(F.sum(lp).alias("lp"), F.count(F.lit(1)).alias("m"))
+    n = F.when(F.col(window) == 0, F.col("m")).otherwise(F.col("m") - 1)
+    return w.agg(F.sum(n).alias("n"), F.exp(-F.sum(F.col("lp") / F.col("m") * n) / F.sum(n)).alias("ppl"))
 
 
 def unigram_scores(each: DataFrame, c: WindowConfig) -> DataFrame:

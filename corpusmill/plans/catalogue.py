@@ -294,14 +294,27 @@ SELECT doc, unnest(p) AS token, unnest(range(len(p))) AS pos FROM (SELECT doc, l
 _JOINED_UNI = f"(SELECT token, ln(count(*) / (SELECT count(*) FROM ({_JOINED})))::FLOAT AS logprob FROM ({_JOINED}) GROUP BY token)"
 
 
-@query(f"SELECT {_PPL} FROM ({_scored_sql(_JOINED, 1024, 512, True)}) s JOIN {_JOINED_UNI} USING (token)")
-def perplexity_joined(spark, sf):
+_JOINED_SCORED = f"SELECT * FROM ({_scored_sql(_JOINED, 1024, 512, True)}) s JOIN {_JOINED_UNI} USING (token)"
+
+
+def _joined_scores(spark, sf):
+    """All documents as one, with two line feeds after each, under its unigram model."""
     d = documents(spark, sf).select(F.col("doc_id").alias("doc"), F.concat(vocabulary.pretokenize(F.col("text")), F.array(F.lit(NEWLINES))).alias("tokens"))
     d = prefix_sum(d, [F.floor(F.col("doc") / F.lit(4096))], [F.col("doc")], F.size("tokens"), "offset")
     total = d.agg(F.sum(F.size("tokens")).alias("length"))
     each = d.select("offset", F.posexplode("tokens").alias("i", "token")).select((F.col("offset") + F.col("i")).alias("pos"), "token").crossJoin(F.broadcast(total))
-    c = WindowConfig(1024, 512, True)
-    return _ppl(evaluate.perplexity(scored_positions(each.join(score.unigram(each), "token"), c)))
+    return scored_positions(each.join(score.unigram(each), "token"), WindowConfig(1024, 512, True))
+
+
+@query(f"SELECT {_PPL} FROM ({_JOINED_SCORED})")
+def perplexity_joined(spark, sf):
+    return _ppl(evaluate.perplexity(_joined_scores(spark, sf)))
+
+
+@query(f"""SELECT sum(c)::BIGINT AS n, round(exp(-sum(lp / m * c) / sum(c)), 4) AS ppl FROM (
+SELECT lp, m, CASE WHEN k = 0 THEN m ELSE m - 1 END AS c FROM (SELECT k, sum(logprob::DOUBLE) AS lp, count(*) AS m FROM ({_JOINED_SCORED}) GROUP BY k))""")
+def perplexity_matched(spark, sf):
+    return _ppl(evaluate.perplexity_matched(_joined_scores(spark, sf)))
 
 
 # ---------------------------------------------------------------- rules and bias
@@ -318,6 +331,12 @@ def rule_build(spark, sf):
     return _merges(spark, sf)
 
 
+@query(f"SELECT rank, a, b, c FROM ({_MERGES}) WHERE c >= 300 AND c < 320")
+def rule_parameters(spark, sf):
+    """Named parameters of a statement."""
+    return spark.sql("SELECT rank, a, b, c FROM {rules} WHERE c >= :low AND c < :high", args={"low": 300, "high": 320}, rules=_merges(spark, sf))
+
+
 _CUT2 = BYTES + MERGES // 2
 
 
