@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from .common import _Q, batches, hexes, id_array, ragged, span_hashes, texts
 
 _BIG = np.int64(1) << 60
 #: Pieces that a worker keeps.
-CACHE = 400_000
+CACHE = 150_000
 
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 _classes = None
@@ -127,8 +128,7 @@ class Bpe:
         self.known: dict[bytes, int] = {}
         self.flat = np.zeros(1 << 16, np.int32)
         self.used = 0
-        self.starts: list[int] = []
-        self.lens: list[int] = []
+        self.starts, self.lens = array("q"), array("q")
 
     def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the pieces, and how many each has."""
@@ -184,16 +184,15 @@ class Bpe:
             at = self.used + np.cumsum(lens) - lens
             for k, p in enumerate(new):
                 self.known[p] = len(self.starts) + k
-            self.starts += at.tolist()
-            self.lens += lens.tolist()
+            self.starts.extend(at.tolist())
+            self.lens.extend(lens.tolist())
             self.used += len(ids)
             for s, i in self.special:
                 if s in self.known and (self.lens[k := self.known[s]] != 1 or self.flat[self.starts[k]] != i):
                     self.flat[self.starts[k]] = i
                     self.lens[k] = 1
-        k = [self.known[p] for p in pieces]
-        starts, lens = self.starts, self.lens
-        return np.array([starts[x] for x in k], np.int64), np.array([lens[x] for x in k], np.int64)
+        k = np.array([self.known[p] for p in pieces], np.int64)
+        return np.array(self.starts, np.int64)[k], np.array(self.lens, np.int64)[k]
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of a slice of documents, and where each document's ids begin."""

@@ -7,6 +7,7 @@ memory does not follow the batch size.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -72,6 +73,18 @@ def held_out(id_col: str | Column = "doc_id") -> Column:
 
 # ---------------------------------------------------------------- Arrow
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # not glibc
+    _trim = None
+
+
+def release() -> None:
+    """Give freed memory back to the system: a worker lives on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
 
 def text_buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of an Arrow string array; offsets start at 0. Nulls are empty."""
@@ -104,6 +117,8 @@ def batches(it, most: int = SLICE_BYTES):
         data, offs = text_buffers(batch.column(1))
         for i, j in slices(offs, most):
             yield ids[i:j], data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], i, batch
+        del ids, data, offs, batch
+        release()
 
 
 def id_array(ids: np.ndarray) -> pa.Array:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, batches, fragments, gram_hashes, gram_starts, id_array, stored, texts, word_hashes
+from .common import U, batches, fragments, gram_hashes, gram_starts, id_array, release, stored, texts, word_hashes
 from .components import components
 from .packed import entry_ids, gathered, joined, parts_of, prime, rows_by_bucket, take_ranges
 
@@ -39,6 +39,8 @@ PERCENT = 75
 VERTICAL = 8
 #: 64-bit words of the bitmap of a document's shared n-grams.
 WORDS = 8
+#: Places that the members of a class are dealt to.
+SALT = 64
 
 PART = "part int, ids binary, counts binary, sizes binary, hashes binary"
 BUCKET = "bucket int, ids binary, counts binary, sizes binary, hashes binary, rarity binary"
@@ -99,6 +101,7 @@ def _shared(buckets: int):
     """Of one fragment: the n-grams that two documents have, by bucket of documents."""
 
     def run(table: pa.Table) -> pa.Table:
+        release()
         h = joined(table, "hashes", np.uint64)
         order = np.argsort(h)
         h = h[order]
@@ -120,6 +123,7 @@ def _sets(percent: int):
     """Of one bucket: the documents that could reach the threshold, with prefix and fragments."""
 
     def run(table: pa.Table) -> pa.Table:
+        release()
         doc, h, rarity = entry_ids(table), joined(table, "hashes", np.uint64), joined(table, "rarity", np.uint8)
         size = np.repeat(joined(table, "sizes", np.uint32).astype(np.int64), joined(table, "counts", np.uint32))
         order = np.lexsort((h, doc))
@@ -177,7 +181,11 @@ def groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: st
     buckets = prime(n_parts)
     shared = _cut(t, k, n_parts).groupBy("part").applyInArrow(_shared(buckets), BUCKET)
     sets = stored(shared.groupBy("bucket").applyInArrow(_sets(percent), SETS), "ngram-sets")
-    classes = stored(sets.select("doc", "same").join(sets.where("same is not null").groupBy("same").agg(F.min("doc").alias("least")), "same", "left").select("doc", F.coalesce("least", "doc").alias("rep")), "ngram-classes")
+    # a class may hold a third of all rows: its least id meets its members in SALT places
+    least = sets.where("same is not null").groupBy("same").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    least = least.select("same", "least", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    members = sets.select("doc", "same", F.pmod(F.xxhash64("doc"), F.lit(SALT)).cast("int").alias("salt"))
+    classes = stored(members.join(least, ["same", "salt"], "left").select("doc", F.coalesce("least", "doc").alias("rep")), "ngram-classes")
     reps = sets.join(classes.where("doc = rep").select("doc"), "doc")
     postings = stored(reps.select("doc", "n", "shared", F.explode("prefix").alias("gram")), "ngram-postings")
     # the hub of a posting: the document with the fewest n-grams of its own, as an original has among its copies

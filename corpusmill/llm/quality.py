@@ -219,17 +219,17 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
 
 def keep_good(docs: DataFrame, machine: Machine, least: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with a score of at least ``least``, with all their columns."""
-    schema = docs.schema
     at = docs.columns.index(text_col)
-    rows = docs.select(F.monotonically_increasing_id().alias("__id"), F.col(text_col).alias("__text"), F.struct(*[docs[c] for c in docs.columns]).alias("__row"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
 
     def run(it):
         for batch in it:
-            keep = [np.zeros(0, bool)]
-            for _, data, offs, _, _ in batches([batch]):
+            row = batch.column(0)
+            text, keep = row.field(at), [np.zeros(0, bool)]
+            ids = pa.array(np.zeros(len(row), np.int64))
+            for _, data, offs, _, _ in batches([pa.RecordBatch.from_arrays([ids, text], names=["doc_id", "text"])]):
                 keep.append(sigmoid(machine.logits(data, offs)) >= least)
-            row = batch.column(2).filter(pa.array(np.concatenate(keep)))
+            row = row.filter(pa.array(np.concatenate(keep)))
             yield pa.RecordBatch.from_arrays(row.flatten(), names=[f.name for f in row.type])
 
-    assert at >= 0
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, docs.schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, fragments, gram_hashes, gram_starts, hexes, id_array, ragged, texts, word_hashes, word_spans
+from .common import batches, fragments, gram_hashes, gram_starts, hexes, id_array, ragged, release, texts, word_hashes, word_spans
 from .packed import entry_ids, gathered, joined, parts_of, prime, rows_by_bucket, rows_by_part
 
 WINDOW = 50
@@ -82,6 +82,7 @@ def _live(buckets: int):
     """Anchors that two documents have, by bucket of documents."""
 
     def run(table: pa.Table) -> pa.Table:
+        release()
         h, doc = joined(table, "hashes", np.uint64), entry_ids(table)
         order = np.argsort(h)
         h, doc = h[order], doc[order]
@@ -103,6 +104,7 @@ def _window_rows(window: int, n_parts: int):
     """Windows of a bucket's documents whose anchors are live, by fragment."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        release()
         out = []
         live_doc, live_h = entry_ids(right), joined(right, "hashes", np.uint64)
         known, order = np.unique(live_doc), np.argsort(live_doc, kind="stable")
@@ -138,6 +140,7 @@ def _sources(buckets: int):
     """Of one block: the windows that occur in a document with a smaller id, and where first."""
 
     def run(table: pa.Table) -> pa.Table:
+        release()
         h, doc, pos = joined(table, "hashes", np.uint64), entry_ids(table), joined(table, "pos", np.uint32)
         order = np.lexsort((pos, doc, h))
         h, doc, pos = h[order], doc[order], pos[order]
@@ -162,6 +165,7 @@ def _removed(window: int):
     """Factor the documents of a bucket and take away what the factors cover."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        release()
         f_doc, f_pos = entry_ids(right), joined(right, "pos", np.uint32).astype(np.int64)
         f_src, f_at = joined(right, "src", np.int64), joined(right, "src_pos", np.uint32).astype(np.int64)
         order = np.lexsort((f_pos, f_doc))
