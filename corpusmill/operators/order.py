@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a block, about.
-BLOCK = 65_536
+BLOCK = 8_192
 
 
 def prefix_sum(df: DataFrame, blocks: list[Column], inner: list[Column], value: Column, out: str) -> DataFrame:

@@ -554,13 +554,19 @@ def rmse(spark, sf):
     return a.join(b, "vec_id").select("vec_id", F.round(mathfn.rmse(F.col("embedding"), F.col("other")), 6).alias("rmse"))
 
 
-_T3 = "SELECT vec_id AS i, idx // 8 AS j, idx % 8 AS k, v::DOUBLE AS value FROM (SELECT vec_id, unnest(embedding) AS v, unnest(range(len(embedding))) AS idx FROM embeddings WHERE vec_id < 100)"
-_SHAPE = (100, 8, 8)
+_T3 = "SELECT vec_id AS i, idx // 8 AS j, idx % 8 AS k, v::DOUBLE AS value FROM (SELECT vec_id, unnest(embedding) AS v, unnest(range(len(embedding))) AS idx FROM embeddings)"
+
+
+def _shape(spark, sf) -> tuple[int, int, int]:
+    n = _vectors(spark, sf).agg(F.max("vec_id")).first()[0]
+    return (0 if n is None else n + 1, 8, 8)
 
 
 def _tensor(spark, sf):
-    flat = tensor.from_rows(_vectors(spark, sf).where("vec_id < 100"), "vec_id", "embedding")
-    return flat.select(tensor.unravel(tensor.ravel(F.col("idx"), (100, 64)), _SHAPE).alias("idx"), F.col("value").cast("double").alias("value"))
+    """All embeddings as one tensor of rank 3."""
+    shape = _shape(spark, sf)
+    flat = tensor.from_rows(_vectors(spark, sf), "vec_id", "embedding")
+    return flat.select(tensor.unravel(tensor.ravel(F.col("idx"), (shape[0], 64)), shape).alias("idx"), F.col("value").cast("double").alias("value"))
 
 
 @query(f"SELECT i, k AS j, round(value, 6) AS value FROM ({_T3}) WHERE j = 3")
@@ -575,16 +581,16 @@ def tensor_slice(spark, sf):
     return t.select(*[F.col("idx")[n].alias(c) for n, c in enumerate("ijk")], F.round("value", 6).alias("value"))
 
 
-@query(f"SELECT k AS lead, row_number() OVER (PARTITION BY k ORDER BY j, i) - 1 AS at, round(value, 6) AS value FROM ({_T3})")
+@query(f"SELECT i AS lead, row_number() OVER (PARTITION BY i ORDER BY k, j) - 1 AS at, round(value, 6) AS value FROM ({_T3})")
 def tensor_permute(spark, sf):
-    t = tensor.contiguous(tensor.permute(_tensor(spark, sf), (2, 1, 0)), (8, 8, 100))
+    t = tensor.contiguous(tensor.permute(_tensor(spark, sf), (0, 2, 1)), _shape(spark, sf))
     return t.select("lead", F.posexplode("values").alias("at", "v")).select("lead", F.col("at").cast("long").alias("at"), F.round("v", 6).alias("value"))
 
 
 @query(f"SELECT i * 64 + j * 8 + k AS flat, i, j, k FROM ({_T3})")
 def tensor_ravel(spark, sf):
     t = _tensor(spark, sf)
-    return t.select(tensor.ravel(F.col("idx"), _SHAPE).alias("flat"), *[F.col("idx")[n].alias(c) for n, c in enumerate("ijk")])
+    return t.select(tensor.ravel(F.col("idx"), _shape(spark, sf)).alias("flat"), *[F.col("idx")[n].alias(c) for n, c in enumerate("ijk")])
 
 
 # ---------------------------------------------------------------- manifest, listing
