@@ -39,7 +39,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
 
 def table_buffers(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     col = table.column("text")
-    return text_buffers(pa.concat_arrays(col.chunks) if col.num_chunks != 1 else col.chunk(0))
+    return text_buffers(pa.concat_arrays(col.chunks) if col.num_chunks else pa.array([], pa.string()))
 
 
 def sliced(data: np.ndarray, offs: np.ndarray, most: int = SLICE_BYTES):

@@ -109,3 +109,12 @@ def test_keep_good_keeps_all_columns(spark):
     assert kept.columns == df.columns
     good = quality.sigmoid(m.logits(*buffers(texts))) >= 0.3
     assert sorted(r.doc_id for r in kept.collect()) == np.flatnonzero(good).tolist()
+
+
+@pytest.mark.parametrize("module", [toxicity, quality])
+def test_empty_tables(spark, module):
+    docs = spark.createDataFrame([(1, "a b", "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for d in (docs, docs.limit(0)):
+        model = module.fit_labelled(d, labels)
+        assert module.score(d, model).count() == d.count()
