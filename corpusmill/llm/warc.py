@@ -75,7 +75,8 @@ class ZipRanges:
         tail_at = max(0, size - 65_557)
         tail = fetch(tail_at, size - tail_at)
         k = tail.rfind(b"PK\5\6")
-        while k >= 0 and k + 22 + struct.unpack_from("<H", tail, k + 20)[0] != len(tail):
+        # the signature may also be in the comment: the right one has a comment that ends the file
+        while k >= 0 and (k + 22 > len(tail) or k + 22 + struct.unpack_from("<H", tail, k + 20)[0] != len(tail)):
             k = tail.rfind(b"PK\5\6", 0, k)
         if k < 0:
             raise ValueError("no end of central directory")
