@@ -13,14 +13,15 @@ from .common import _BYTE, _LOWER, _P, SLICE_BYTES, U, held_out, mix, powers, sl
 PER_CLASS = 4000
 
 
-def _known(labels: DataFrame, label: str) -> DataFrame:
+def known_labels(labels: DataFrame, label: str) -> DataFrame:
+    """__id and __label of all labelled rows that are not held out."""
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     return known.groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.min(label).cast("int").alias("__label"))
 
 
 def class_counts(labels: DataFrame, label: str) -> dict[int, int]:
     """Labelled rows of each class that are not held out."""
-    return {0: 0, 1: 0} | {r[0]: r[1] for r in _known(labels, label).groupBy("__label").count().collect()}
+    return {0: 0, 1: 0} | {r[0]: r[1] for r in known_labels(labels, label).groupBy("__label").count().collect()}
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS, extra: tuple[str, ...] = ()) -> pa.Table:
@@ -30,7 +31,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     not depend on how the tables are stored. The chosen ids are at most 2 * ``per_class``: they are
     broadcast, and the documents are not shuffled.
     """
-    known = _known(labels, label).withColumn("__order", F.xxhash64("__id"))
+    known = known_labels(labels, label).withColumn("__order", F.xxhash64("__id"))
     chosen = known.where("__label = 0").orderBy("__order", "__id").limit(per_class).union(known.where("__label = 1").orderBy("__order", "__id").limit(per_class))
     rows = docs.select(F.col("doc_id").cast("long").alias("__id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *extra)
     table = rows.join(F.broadcast(chosen), "__id").select("__order", "__id", "text", F.col("__label").alias("label"), *extra).toArrow()
@@ -64,12 +65,13 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def best_f1(score: np.ndarray, label: np.ndarray) -> float:
-    """The threshold of the best F1, midway between neighbouring scores."""
+def best_f1(score: np.ndarray, hits: np.ndarray, rows: np.ndarray | None = None) -> float:
+    """The threshold of the best F1, midway between neighbouring scores; ``hits`` of the ``rows`` of a
+    score (1 each, if not given) are positive."""
     order = np.argsort(-score, kind="stable")
-    s, y = score[order], label[order]
+    s, y = score[order], hits[order]
     hit = np.cumsum(y)
-    f1 = 2 * hit / (np.arange(1, len(y) + 1) + max(1, int(y.sum())))
+    f1 = 2 * hit / ((np.arange(1, len(y) + 1) if rows is None else np.cumsum(rows[order])) + max(1, int(y.sum())))
     last = np.append(s[1:] != s[:-1], True)
     k = int(np.argmax(np.where(last, f1, -1)))
     return float((s[k] + s[k + 1]) / 2) if k + 1 < len(s) else float(s[k])

@@ -3,8 +3,9 @@
 A word's vector is the sum of hashed embeddings of the word and of its first letters; filters of
 several widths run over the words, each filter is max-pooled over the whole text, and a logistic layer
 reads the pools. Training goes back through the maxima only. Thresholds are calibrated by language on
-the training rows: the score itself never sees a language; its logit is shifted so that 0.5 is the best
-threshold over all languages.
+all labelled rows that are not held out, whatever part of them the network is trained on, so they follow
+the classes' share of the table: the score itself never sees a language; its logit is shifted so that 0.5
+is the best threshold over all languages.
 
 A null or empty text has no words and gets the score of an empty text. Words are runs of letters,
 digits and bytes of non-ASCII letters.
@@ -19,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, batches, id_array
-from .labelled import PER_CLASS, Spans, best_f1, labelled_sample, sigmoid, sliced, table_buffers
+from .common import U, batches, held_out, id_array
+from .labelled import PER_CLASS, Spans, best_f1, class_counts, known_labels, labelled_sample, sigmoid, sliced, table_buffers
 
 BUCKETS = 1 << 16
 DIM = 12
@@ -28,6 +29,8 @@ WIDTHS = (1, 2, 3)
 FILTERS = 8
 #: Bytes of a word's beginning that have an embedding of their own.
 PREFIXES = (3, 4, 5, 6)
+#: Steps of a logit, from -30 to 30, that scores of many rows are counted by for thresholds.
+STEPS = 256
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -191,21 +194,61 @@ def fit(data: np.ndarray, offs: np.ndarray, label: np.ndarray, lang: list[str |
             acc[3] += grad_out**2
             net.out -= lr * grad_out / np.sqrt(acc[3])
     raw = np.concatenate([net.logits(d, o) for d, o in sliced(data, offs)])
-    net.shift = best_f1(raw, label)
-    raw -= net.shift
-    for name in sorted({x for x in lang or [] if x is not None}):
-        own = np.array([x == name for x in lang])
-        if label[own].sum() >= 10 and (label[own] == 0).sum() >= 10:
-            net.thresholds[name] = float(sigmoid(np.array([best_f1(raw[own], label[own])]))[0])
+    names = np.array(lang if lang is not None else [None] * docs, object)
+    calibrate(net, raw, names, label, np.ones(docs, np.int64))
     return net
 
 
+def calibrate(net: Cnn, raw: np.ndarray, lang: np.ndarray, hits: np.ndarray, rows: np.ndarray) -> None:
+    """Set shift and thresholds by scores without a shift; ``hits`` of the ``rows`` of a score are toxic."""
+    net.shift = best_f1(raw, hits, rows)
+    net.thresholds = {}
+    for name in sorted({x for x in lang if x is not None}):
+        own = lang == name
+        if hits[own].sum() >= 10 and (rows - hits)[own].sum() >= 10:
+            net.thresholds[name] = float(sigmoid(np.array([best_f1(raw[own] - net.shift, hits[own], rows[own])]))[0])
+
+
+def calibrate_labelled(net: Cnn, docs: DataFrame, labels: DataFrame) -> None:
+    """``calibrate`` by all labelled rows that are not held out.
+
+    Texts are scored where they are; only ids, languages and steps meet the labels. The driver gets
+    counts: a row for each language and step that occurs.
+    """
+    net.shift = 0.0
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+    rows = docs.where(F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang"))
+
+    def run(it):
+        for ids, data, offs, at, batch in batches(it):
+            step = np.floor(np.clip(net.logits(data, offs), -30, 30) * STEPS).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column(2).slice(at, len(ids)), pa.array(step)], names=["__id", "lang", "step"])
+
+    steps = rows.mapInArrow(run, "__id long, lang string, step int").join(known_labels(labels, "toxic"), "__id")
+    t = steps.groupBy("lang", "step").agg(F.sum("__label").alias("hits"), F.count(F.lit(1)).alias("rows")).toArrow().sort_by([("step", "ascending"), ("lang", "ascending")])
+    if not t.num_rows:
+        return
+    names = np.array(t.column("lang").to_pylist(), object)
+    raw, hits, n = ((t.column(c).to_numpy().astype(np.int64)) for c in ("step", "hits", "rows"))
+    # an empty step below a language's lowest: a threshold is always between steps
+    ends = sorted(set(names.tolist()), key=str)
+    low = np.full(len(ends), raw.min() - 1)
+    raw, names = np.concatenate([raw, low]), np.concatenate([names, np.array(ends, object)])
+    hits, n = (np.concatenate([x, np.zeros(len(ends), np.int64)]) for x in (hits, n))
+    calibrate(net, (raw + 0.5) / STEPS, names, hits, n)
+
+
 def fit_labelled(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Cnn:
-    """Fit on a bounded sample of labelled rows (``labelled_sample``)."""
+    """Fit on a bounded sample of labelled rows (``labelled_sample``); thresholds are those of all labelled
+    rows that are not held out."""
     t = labelled_sample(docs, labels, "toxic", per_class, ("lang",) if "lang" in docs.columns else ())
     data, offs = table_buffers(t)
     lang = t.column("lang").to_pylist() if "lang" in t.column_names else None
-    return fit(data, offs, np.array(t.column("label").to_pylist(), np.int64), lang)
+    label = np.array(t.column("label").to_pylist(), np.int64)
+    net = fit(data, offs, label, lang)
+    if 0 < label.sum() < len(label) and max(class_counts(labels, "toxic").values()) > per_class:
+        calibrate_labelled(net, docs, labels)
+    return net
 
 
 def score(docs: DataFrame, net: Cnn, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:

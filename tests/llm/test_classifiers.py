@@ -118,3 +118,29 @@ def test_empty_tables(spark, module):
     for d in (docs, docs.limit(0)):
         model = module.fit_labelled(d, labels)
         assert module.score(d, model).count() == d.count()
+
+
+def test_thresholds_are_those_of_all_labelled_rows(spark):
+    """The sample is even between the classes, the table is not, and the classes overlap."""
+    rng = random.Random(9)
+    rows = []
+    for k in range(4000):
+        bad = rng.random() < 0.05
+        w = [f"word{rng.randrange(50)}" for _ in range(12)] + ["idiot"] * (rng.random() < (0.8 if bad else 0.15)) + ["moron"] * (rng.random() < (0.5 if bad else 0.02))
+        rows.append((k, " ".join(w), rng.choice(["en", "de", None]), int(bad)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int").repartition(4)
+    net = toxicity.fit_labelled(df.select("doc_id", "text", "lang"), df.select("doc_id", "toxic"), per_class=100)
+    rows = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    raw, label = net.logits(*buffers([r[1] for r in rows])), np.array([r[3] for r in rows])
+
+    def f1(flagged, y):
+        return 2 * (flagged & (y == 1)).sum() / (flagged.sum() + y.sum())
+
+    def best(s, y):
+        return max(f1(s >= x, y) for x in s)
+
+    assert f1(raw >= 0, label) >= best(raw, label) - 0.005
+    assert set(net.thresholds) == {"en", "de"}
+    for name, limit in net.thresholds.items():
+        own = np.array([r[2] == name for r in rows])
+        assert f1(toxicity.sigmoid(raw[own]) >= limit, label[own]) >= best(raw[own], label[own]) - 0.005
