@@ -1,8 +1,7 @@
 """Mixing sources to target weights with soft membership.
 
-Native: DataFrame functions only. A naive Bayes classifier over hashed words, fitted on a bounded
-sample of rows whose domain is known, gives every document posteriors over the domains (soft
-membership). Distributed projected-gradient least squares then finds nonnegative rates r for
+Native: DataFrame functions only. A naive Bayes classifier over hashed words, fitted on all rows whose
+domain is known, gives every document posteriors over all domains (soft membership). Distributed projected-gradient least squares then finds nonnegative rates r for
 the documents such that the expected tokens of each domain, sum(r * tokens * posterior), match targets:
 each step is one aggregation over the documents to as many sums as there are domains; the step is taken
 along the posteriors, scaled by the inverse of their token-weighted Gram matrix, and rates are projected
@@ -15,7 +14,8 @@ that no domain shrinks: documents are repeated, none is dropped for its domain.
 
 Defined results: a null or wordless text has the prior as its posterior and no tokens, and rate 1; a null
 domain is no label; without any labelled row there is one domain and all rates are 1; rows that repeat
-an id have equal rates; an empty table gives an empty table. Words are split at white space, lower-cased.
+an id have equal rates; an empty table gives an empty table; a target for a domain that no row has is an
+error, and a domain without a target has the target 0. Words are split at white space, lower-cased.
 """
 
 from __future__ import annotations
@@ -23,18 +23,17 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Labelled rows that the classifier is fitted on, at most.
-LABELLED = 4000
 BUCKETS = 4096
 #: A posterior is that of this many of a document's words, in their proportions.
 EVIDENCE = 24
-#: Domains with a posterior of their own, at most: the largest ones of the sample.
-DOMAINS = 64
+#: Up to so many domains sums have a column each; more are summed as rows.
+FLAT = 16
 
 
 @dataclass
@@ -54,73 +53,74 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def classifier(docs: DataFrame, domain_col: str, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED) -> tuple[list, list[float], DataFrame]:
-    """(domains, their log priors, table bucket -> log likelihoods) from a bounded labelled sample.
+def classifier(docs: DataFrame, domain_col: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[list, list[float], DataFrame]:
+    """(domains, their log priors, table bucket -> log likelihoods) from all rows with a domain.
 
-    The table has at most BUCKETS rows of DOMAINS numbers.
+    The table has at most BUCKETS rows of as many numbers as there are domains.
     """
-    known = docs.where(F.col(domain_col).isNotNull() & F.col(id_col).isNotNull())
-    chosen = known.select(F.col(id_col).cast("long").alias("doc"), F.col(domain_col).cast("string").alias("domain")).orderBy(F.xxhash64("doc"), "doc", "domain").limit(labelled)
-    rows = _prepared(docs, id_col, text_col).join(F.broadcast(chosen), "doc")
-    counts = {r[0]: r[1] for r in chosen.groupBy("domain").count().collect()}
-    domains = sorted(sorted(counts, key=lambda d: (-counts[d], d))[:DOMAINS])
-    total = sum(counts[d] for d in domains)
-    priors = [math.log(counts[d] / total) for d in domains]
-    spark = docs.sparkSession
-    per = _words(rows, "domain").where(F.col("domain").isin(domains)).groupBy("bucket").pivot("domain", domains).count() if domains else None
-    if per is None:
-        return domains, priors, spark.createDataFrame([], "bucket int, ll array<double>")
-    per = per.select("bucket", F.array(*[F.coalesce(F.col(f"`{d}`"), F.lit(0)).cast("double") for d in domains]).alias("c"))
-    sums = per.agg(*[F.sum(F.col("c")[k]) for k in range(len(domains))]).first()
-    sums = [float(x or 0) + 0.5 * BUCKETS for x in sums]
-    ll = F.array(*[F.log((F.col("c")[k] + 0.5) / F.lit(sums[k])) for k in range(len(domains))])
-    return domains, priors, stored(per.select("bucket", ll.alias("ll")), "mix-words")
+    known = docs.where(F.col(domain_col).isNotNull()).select(F.col(domain_col).cast("string").alias("domain"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = {r[0]: r[1] for r in known.groupBy("domain").count().collect()}
+    domains = sorted(rows)
+    total = sum(rows.values())
+    priors = [math.log(rows[d] / total) for d in domains]
+    if not domains:
+        return domains, priors, docs.sparkSession.createDataFrame([], "bucket int, ll array<double>")
+    counts = stored(_words(known, "domain").groupBy("bucket", "domain").agg(F.count(F.lit(1)).alias("n")), "mix-counts")
+    none = counts.select("bucket").distinct().select("bucket", F.explode(F.lit(domains)).alias("domain"), F.lit(0).cast("long").alias("n"))
+    cells = counts.union(none).groupBy("bucket", "domain").agg(F.sum("n").alias("n"))
+    sums = cells.groupBy("domain").agg((F.sum("n") + F.lit(0.5 * BUCKETS)).alias("s"))
+    cells = cells.join(F.broadcast(sums), "domain").select("bucket", F.struct("domain", F.log((F.col("n") + 0.5) / F.col("s")).alias("x")).alias("e"))
+    # domains sort alike here and there: by code points are by UTF-8 bytes
+    table = cells.groupBy("bucket").agg(F.sort_array(F.collect_list("e")).alias("es")).select("bucket", F.transform("es", lambda e: e.x).alias("ll"))
+    return domains, priors, stored(table, "mix-words")
 
 
 def posteriors(docs: DataFrame, domains: list, priors: list[float], table: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, tokens, p) of every document; the words of all texts meet the bounded table in one pass."""
+    """(doc, tokens, p) of every document; the words of all texts meet the table in one pass."""
     t = _prepared(docs, id_col, text_col)
     k = len(domains)
     if not k:
         return _words(t, "doc").groupBy("doc").agg(F.count(F.lit(1)).alias("tokens")).withColumn("p", F.array().cast("array<double>"))
     # a word with no row in the table is as likely in all domains
-    words = _words(t, "doc").join(F.broadcast(table), "bucket", "left")
-    sums = words.groupBy("doc").agg(F.count(F.lit(1)).alias("tokens"), *[F.sum(F.coalesce(F.col("ll")[i], F.lit(0.0))).alias(f"s{i}") for i in range(k)])
+    if k <= FLAT:
+        words = _words(t, "doc").join(F.broadcast(table), "bucket", "left")
+        sums = words.groupBy("doc").agg(F.count(F.lit(1)).alias("tokens"), *[F.sum(F.coalesce(F.col("ll")[i], F.lit(0.0))).alias(f"s{i}") for i in range(k)])
+        sums = sums.select("doc", "tokens", F.array(*[f"s{i}" for i in range(k)]).alias("s"))
+    else:
+        words = _words(t, "doc").groupBy("doc", "bucket").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(table), "bucket", "left")
+        each = words.select("doc", "n", F.posexplode(F.coalesce("ll", F.lit([0.0] * k))).alias("i", "x"))
+        sums = each.groupBy("doc", "i").agg(F.sum("n").alias("tokens"), F.sum(F.col("n") * F.col("x")).alias("x"))
+        sums = sums.groupBy("doc").agg(F.max("tokens").alias("tokens"), F.sort_array(F.collect_list(F.struct("i", "x"))).alias("es"))
+        sums = sums.select("doc", "tokens", F.transform("es", lambda e: e.x).alias("s"))
     share = F.lit(float(EVIDENCE)) / F.greatest(F.col("tokens"), F.lit(EVIDENCE))
-    logits = F.array(*[F.lit(priors[i]) + F.col(f"s{i}") * share for i in range(k)])
-    e = sums.select("doc", "tokens", logits.alias("z")).withColumn("m", F.array_max("z"))
+    e = sums.select("doc", "tokens", F.zip_with(F.lit(priors), "s", lambda a, x: a + x * share).alias("z")).withColumn("m", F.array_max("z"))
     e = e.withColumn("e", F.transform("z", lambda z: F.exp(z - F.col("m"))))
     e = e.withColumn("d", F.aggregate("e", F.lit(0.0), lambda a, x: a + x))
     return e.select("doc", "tokens", F.transform("e", lambda x: x / F.col("d")).alias("p"))
 
 
+def _dot(values: list[float]) -> Column:
+    """p . values"""
+    if len(values) > FLAT:
+        return F.aggregate(F.zip_with("p", F.lit([float(x) for x in values]), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    move = F.lit(0.0)
+    for k, x in enumerate(values):
+        move = move + F.col("p")[k] * F.lit(float(x))
+    return move
+
+
 def _rate(steps: list[list[float]]) -> Column:
     """max(0, ... max(0, max(0, 1 + p . step1) + p . step2) ...): the rate after these steps."""
     rate = F.lit(1.0)
     for step in steps:
-        move = F.lit(0.0)
-        for k, x in enumerate(step):
-            move = move + F.col("p")[k] * F.lit(float(x))
-        rate = F.greatest(F.lit(0.0), rate + move)
+        rate = F.greatest(F.lit(0.0), rate + _dot(step))
     return rate
 
 
 def _solve(a: list[list[float]], b: list[float]) -> list[float]:
-    """Gaussian elimination for the few domains, with a small ridge."""
-    n = len(b)
-    ridge = 1e-9 * max(max((abs(a[i][i]) for i in range(n)), default=0.0), 1e-30)
-    m = [[*(a[i][j] + (ridge if i == j else 0.0) for j in range(n)), b[i]] for i in range(n)]
-    for i in range(n):
-        p = max(range(i, n), key=lambda r: abs(m[r][i]))
-        m[i], m[p] = m[p], m[i]
-        for r in range(i + 1, n):
-            f = m[r][i] / m[i][i]
-            for c in range(i, n + 1):
-                m[r][c] -= f * m[i][c]
-    x = [0.0] * n
-    for i in reversed(range(n)):
-        x[i] = (m[i][n] - sum(m[i][c] * x[c] for c in range(i + 1, n))) / m[i][i]
-    return x
+    """x with a . x = b, with a small ridge."""
+    m = np.array(a, float)
+    return np.linalg.solve(m + 1e-9 * max(np.abs(np.diag(m)).max(initial=0.0), 1e-30) * np.eye(len(b)), np.array(b, float)).tolist()
 
 
 def fit(post: DataFrame, domains: list, targets: list[float] | None = None, flatten: float = 0.8, steps: int = 12, tolerance: float = 1e-4) -> Mix:
@@ -135,13 +135,16 @@ def fit(post: DataFrame, domains: list, targets: list[float] | None = None, flat
     if not k:
         return Mix(domains, [], [], [])
 
+    grams: dict[float, list[list[float]]] = {}
+
     def sums(taken: list[list[float]]) -> tuple[list[float], list[list[float]]]:
         r = post.select("tokens", "p", _rate(taken).alias("r"))
-        w = F.col("r") * F.col("tokens")
-        live = F.when((F.col("r") > 0), F.col("tokens")).otherwise(0)
-        gram = [F.sum(live * F.col("p")[i] * F.col("p")[j]) for i in range(k) for j in range(i, k)]
-        row = [float(x or 0.0) for x in r.agg(*[F.sum(w * F.col("p")[i]) for i in range(k)], *gram).first()]
+        r = r.select("p", (F.col("r") * F.col("tokens")).alias("w"), F.when(F.col("r") > 0, F.col("tokens")).otherwise(0).alias("live"))
         full = [[0.0] * k for _ in range(k)]
+        if k > FLAT:
+            return many(r, full)
+        gram = [F.sum(F.col("live") * F.col("p")[i] * F.col("p")[j]) for i in range(k) for j in range(i, k)]
+        row = [float(x or 0.0) for x in r.agg(*[F.sum(F.col("w") * F.col("p")[i]) for i in range(k)], *gram).first()]
         at = k
         for i in range(k):
             for j in range(i, k):
@@ -149,6 +152,21 @@ def fit(post: DataFrame, domains: list, targets: list[float] | None = None, flat
                 at += 1
         return row[:k], full
 
+    def many(r: DataFrame, full: list[list[float]]) -> tuple[list[float], list[list[float]]]:
+        """The same by rows; the matrix only when other documents are held at 0, by their tokens, than before."""
+        now, live = [0.0] * k, 0.0
+        each = r.select("w", "live", F.posexplode("p").alias("i", "x"))
+        for i, x, n in each.groupBy("i").agg(F.sum(F.col("w") * F.col("x")), F.sum("live")).collect():
+            now[i], live = float(x), float(n)
+        if live not in grams:
+            each = r.where("live > 0").select("live", "p", F.posexplode("p").alias("i", "x"))
+            pairs = each.select("i", (F.col("live") * F.col("x")).alias("x"), F.posexplode(F.slice("p", F.col("i") + 1, F.lit(k))).alias("j", "y"))
+            for i, j, x in pairs.groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y"))).collect():
+                full[i][i + j] = full[i + j][i] = float(x)
+            grams.clear()
+            grams[live] = full
+        return now, grams[live]
+
     have, gram = sums([])
     whole = sum(have)
     if targets is None:
@@ -186,6 +204,9 @@ def rates(post: DataFrame, mix: Mix, least: int = 0) -> DataFrame:
 def mix(docs: DataFrame, domain_col: str, targets: dict | None = None, id_col: str = "doc_id", text_col: str = "text", least: int = 0) -> tuple[DataFrame, Mix]:
     """(rates of the documents that have words, the fit)."""
     domains, priors, table = classifier(docs, domain_col, id_col, text_col)
+    unknown = sorted(set(targets or {}) - set(domains), key=str)
+    if unknown:
+        raise ValueError(f"targets for domains that no row has: {unknown[:9]}")
     post = stored(posteriors(docs, domains, priors, table, id_col, text_col), "mix-posteriors")
     wanted = [float(targets.get(d, 0.0)) for d in domains] if targets is not None else None
     found = fit(post, domains, wanted)

@@ -176,3 +176,35 @@ def test_mixing_edges(spark):
     assert mixing.document_rates(df.limit(0), "lang").count() == 0
     alone = mixing.document_rates(df.withColumn("lang", F.lit(None).cast("string")), "lang").collect()
     assert len(alone) == 304 and {r.rate for r in alone} == {1.0}
+
+
+def test_all_domains_have_a_posterior_and_a_target(spark):
+    """70 domains, of 3 documents each."""
+    rows = [(k, " ".join(f"w{k // 3}x{i}" for i in range(20)) + " the", f"d{k // 3:02}") for k in range(210)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, site string")
+    found, fit = mixing.mix(df, "site", {f"d{k:02}": 63.0 + k for k in range(70)})
+    assert fit.domains == [f"d{k:02}" for k in range(70)]
+    rows = found.collect()
+    for k in range(70):
+        assert sum(r.rate * r.tokens * r.p[k] for r in rows) == pytest.approx(63 + k, rel=1e-2)
+        assert all(r.p[k] > 0.9 for r in rows if r.doc // 3 == k)
+
+
+def test_rare_domain_and_unknown_target(spark):
+    rows = [(k, "the of and" if k % 3000 else "der und von", "en" if k % 3000 else "de") for k in range(1, 9001)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    domains, priors, _ = mixing.classifier(df, "lang")
+    assert domains == ["de", "en"] and priors == pytest.approx([np.log(3 / 9000), np.log(8997 / 9000)])
+    with pytest.raises(ValueError, match="fr"):
+        mixing.mix(mixed(spark), "lang", {"de": 10, "fr": 10})
+
+
+@pytest.mark.parametrize("targets", [None, {"de": 6000, "en": 100}])
+def test_sums_by_rows_equal_sums_by_columns(spark, monkeypatch, targets):
+    df = mixed(spark).where("doc_id is not null")
+    flat, a = mixing.mix(df, "lang", targets)
+    want = {r.doc: (r.tokens, r.rate, *r.p) for r in flat.collect()}
+    monkeypatch.setattr(mixing, "FLAT", 0)
+    found, b = mixing.mix(df, "lang", targets)
+    got = {r.doc: (r.tokens, r.rate, *r.p) for r in found.collect()}
+    assert b.totals == pytest.approx(a.totals) and set(got) == set(want) and all(got[d] == pytest.approx(want[d], abs=1e-9) for d in want)
