@@ -59,9 +59,10 @@ CONTROL = "<|im_end|><|im_start|>assistant ok"
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-1).cast("long"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(CONTROL))
-    e = rows.union(extra).select(
-        F.col("conv_id").alias("conv"), F.col("turn").alias("seq"), F.col("turn").alias("msg"), F.lit("delta").alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
-    )
+    e = rows.union(extra).select(F.col("conv_id").alias("conv"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    # every row is a message of its own; rows of one turn are in order of role and text, rows without a turn come last
+    seq = F.struct(F.col("turn").isNull().alias("last"), "turn", "role", "text").alias("seq")
+    e = e.select("conv", seq, F.monotonically_increasing_id().alias("msg"), F.lit("delta").alias("kind"), "role", "text")
     return chat.digest(chat.render(chat.fold_events(e)))
 
 

@@ -39,3 +39,27 @@ def test_classifier_queries_on_held_out_rows(spark, name, label, limit):
     known = [(rows[r.doc_id], r[label]) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()]
     known = [(r, y) for r, y in known if r.held_out]
     assert sum(r.predicted == y for r, y in known) / len(known) > 0.9
+
+
+def test_chat_query_on_tied_repeated_and_null_turns(spark, tmp_path):
+    rows = [
+        (1, 0, "user", "a"), (1, 0, "assistant", "b"), (1, 1, "user", "c"),  # a user and an assistant in one turn
+        (2, 0, "user", "x"), (2, 0, "user", "x"), (2, 1, "assistant", "y"), (2, 1, "assistant", "y"),  # repeated rows
+        (3, None, "assistant", "end"), (3, 0, "user", "first"),
+        (4, None, "assistant", "q"), (4, None, "user", "p"), (4, None, None, None), (4, 5, "user", "o"),
+        (None, 0, "user", "n"), (None, 0, "user", "n"),
+    ]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    cur = con.execute(SQL["op8_chat"])
+    names = [d[0] for d in cur.description]
+    want = {r["conv_id"]: r for r in (dict(zip(names, x, strict=True)) for x in cur.fetchall())}
+    got = {r.conv_id: r.asDict() for r in QUERIES["op8_chat"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(want) == {-1, 1, 2, 3, 4, None}
+    for c in got:
+        # SQL leaves the order of different rows of one turn open
+        for name in names if c not in (1, 4) else ("n_turns", "loss_chars", "loss_sha256", "formatted_chars"):
+            assert got[c][name] == want[c][name], (c, name)
+    told = {1: "assistant\nb\nuser\na\nuser\nc\n", 4: "user\no\n\n\nassistant\nq\nuser\np\n"}
+    assert all(got[c]["turns_sha256"] == hashlib.sha256(t.encode()).hexdigest() for c, t in told.items())
