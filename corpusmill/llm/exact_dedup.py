@@ -7,7 +7,8 @@ find their group again through light columns only (MD5 and SHA-256 of the normal
 of that join is split by AQE, as its sides are an ordinary shuffled join.
 
 Defined results: a null text is an empty text; a null id loses every tie and has ``kept`` true only
-where all ids of the group are null; rows that repeat an id within a group share its fate; an empty
+where all ids of the group are null; rows that repeat an id within a group share its fate in
+``exact_groups``, while ``drop_exact_duplicates`` leaves one row of each group; an empty
 table gives an empty table; further columns, whatever their names, do not matter.
 """
 
@@ -50,6 +51,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    keep = exact_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__keep")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["__keep"]), "left_semi")
+    """One row of each group, with all its columns: the one with the most code points, then the smallest
+    id; rows that tie in both are ordered by the hash of their text."""
+    text = F.coalesce(docs[text_col], F.lit(""))
+    order = F.struct(F.length(text).alias("len"), F.bitwise_not(docs[id_col]).alias("back"), F.md5(text.cast("binary")).alias("md5"))
+    d = docs.select(normalised(docs[text_col]).alias("norm"), order.alias("order"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    best = d.withColumn("h", F.md5(F.col("norm").cast("binary"))).groupBy("h", "norm").agg(F.max_by("row", "order").alias("row"))
+    return best.select("row.*")

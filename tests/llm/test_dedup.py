@@ -112,6 +112,15 @@ def test_exact_groups(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {4, 6, 8, 11}
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Rows that repeat an id: equal ones, longer and shorter ones, and one whose id stays for another text."""
+    df = extra(spark, [(5, "a b"), (5, "a b"), (5, "ab"), (1, "c  d"), (2, "cd"), (2, "e"), (None, "f"), (None, "f"), (None, None), (9, "")])
+    kept = exact_dedup.drop_exact_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(5, "a b"), (1, "c  d"), (2, "e"), (None, "f"), (9, "")], key=str)
+    assert exact_dedup.drop_exact_duplicates(df.limit(0)).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(k, k + 1) for k in range(0, 60)] + [(rng.randrange(100, 300), rng.randrange(100, 300)) for _ in range(120)] + [(500, k) for k in range(501, 560)]
