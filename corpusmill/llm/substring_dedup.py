@@ -7,7 +7,8 @@ could hold them (the block of their hash) and get the first place, by id and pos
 in a document with a smaller id.
 
 A document is then factored greedily: a factor starts at the first word of a window with a source and
-grows while the next window continues the same source. Windows across a factor's end were looked
+grows while the first place of the next window continues the same source; so a factor may be shorter than
+the longest match. Windows across a factor's end were looked
 up like all others: the next factor starts there, before the end, and none is missed. Words
 under a factor are removed.
 
