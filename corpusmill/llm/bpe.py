@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import _Q, batches, hexes, id_array, ragged, span_hashes, texts
+from .common import _Q, batches, hexes, ragged, span_hashes, texts
 
 _BIG = np.int64(1) << 60
 #: Pieces that a worker keeps.
@@ -265,7 +265,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         t = tokenizer(spec)
         for ids, data, offs, _, _ in batches(it):
             flat, at = t.encode(data, offs)
-            yield pa.RecordBatch.from_arrays([id_array(ids), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat))], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat))], names=["doc_id", "ids"])
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -282,6 +282,6 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             packed = flat.astype("<u4")
             shas = [hashlib.sha256(packed[a:b]).digest() for a, b in zip(at[:-1], at[1:], strict=True)]
             back = [hashlib.sha256(x).digest() for x in t.decode(flat, at)]
-            yield pa.RecordBatch.from_arrays([id_array(ids), pa.array(np.diff(at)), hexes(shas), hexes(back)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(at)), hexes(shas), hexes(back)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

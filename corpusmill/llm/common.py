@@ -8,6 +8,8 @@ memory does not follow the batch size.
 from __future__ import annotations
 
 import ctypes
+import math
+import re
 import tempfile
 import uuid
 
@@ -27,23 +29,43 @@ _MASK = (1 << 64) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share, ``spark.checkpoint.dir``. Where it is unset, a temporary one for a
+    session in one process (``local[...]``, as in tests) and an error for a cluster."""
+    global _local_dir
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        found = spark.sparkContext.getCheckpointDir()
-        if not found:
-            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="corpusmill-"))
-            found = spark.sparkContext.getCheckpointDir()
-        where = found
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if _local_dir is None:
+            _local_dir = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
+        where = _local_dir
     return where.rstrip("/")
 
 
+_local_dir: str | None = None
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    """A name in the shared folder that nothing else has."""
+    return f"{shared_dir(spark)}/corpusmill/{label}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again: lineage ends at the files."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corpusmill/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``stored`` has written, once nothing reads it any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -56,9 +78,15 @@ def input_bytes(df: DataFrame) -> int:
     return sum(sizes)
 
 
-def fragments(df: DataFrame, per: int = 8 << 20, least: int = 12, most: int = 1 << 20) -> int:
-    """How many fragments to cut hashes of ``df`` into: one for each ``per`` bytes of input files."""
-    return max(least, min(most, -(-input_bytes(df) // per)))
+def fragments(df: DataFrame, per: int = 8 << 20, most_per: int = 64 << 20, cell: int = 512, least: int = 12) -> int:
+    """How many fragments to cut hashes of ``df`` into, and how many buckets to deal documents to.
+
+    A fragment or bucket is one for each ``per`` bytes of input files, and ``most_per`` at most. Between
+    these it grows with the root of the input, so that a cell (what one bucket sends to one fragment) keeps
+    about ``cell`` bytes of input and rows stay packed.
+    """
+    size = input_bytes(df)
+    return max(least, -(-size // most_per), min(-(-size // per), math.isqrt(size // cell)))
 
 
 # ---------------------------------------------------------------- columns
@@ -114,20 +142,19 @@ def slices(offs: np.ndarray, most: int = SLICE_BYTES):
 
 
 def batches(it, most: int = SLICE_BYTES):
-    """(doc ids, bytes, offsets, first row, batch) for slices of record batches with doc_id and text first."""
+    """(doc ids as Arrow, bytes, offsets, first row, batch) for slices of record batches with doc_id and text first."""
     for batch in it:
         ids = batch.column(0)
-        ids = np.asarray(ids.fill_null(np.iinfo(np.int64).min) if ids.null_count else ids, dtype=np.int64)
         data, offs = text_buffers(batch.column(1))
         for i, j in slices(offs, most):
-            yield ids[i:j], data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], i, batch
+            yield ids.slice(i, j - i), data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], i, batch
         del ids, data, offs, batch
         release()
 
 
-def id_array(ids: np.ndarray) -> pa.Array:
-    """Ids as Arrow, with null where ``batches`` saw null."""
-    return pa.array(ids, mask=ids == np.iinfo(np.int64).min)
+def numbers(ids: pa.Array) -> np.ndarray:
+    """Ids as numpy; a null is the smallest number, so its place must be kept elsewhere."""
+    return np.asarray(ids.fill_null(np.iinfo(np.int64).min) if ids.null_count else ids, dtype=np.int64)
 
 
 def hexes(digests) -> pa.Array:
@@ -231,10 +258,3 @@ def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     out = np.repeat(starts - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens)
     return out + np.arange(total)
-
-
-def cut(keys: np.ndarray, doc: np.ndarray, parts: np.ndarray, n_parts: int):
-    """Sort entries by part, keeping their order: (order, bounds of each part)."""
-    kind = np.uint16 if n_parts <= 65535 else np.int64
-    order = np.argsort(parts.astype(kind), kind="stable")
-    return order, np.concatenate([[0], np.cumsum(np.bincount(parts, minlength=n_parts))])

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+from typing import TypeVar
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _BYTE, _LOWER, _P, SLICE_BYTES, U, held_out, mix, powers, slices, text_buffers
+from .common import _BYTE, _LOWER, _P, SLICE_BYTES, U, held_out, mix, powers, release, slices, text_buffers
+
+T = TypeVar("T")
 
-#: Rows of each class that a classifier is fitted on, at most.
+#: Rows of each class that a classifier is fitted on, at most, and bytes of their texts.
 PER_CLASS = 4000
+CLASS_BYTES = 32 << 20
 
 
 def known_labels(labels: DataFrame, label: str) -> DataFrame:
@@ -24,18 +31,39 @@ def class_counts(labels: DataFrame, label: str) -> dict[int, int]:
     return {0: 0, 1: 0} | {r[0]: r[1] for r in known_labels(labels, label).groupBy("__label").count().collect()}
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS, extra: tuple[str, ...] = ()) -> pa.Table:
-    """At most ``per_class`` rows of each class with columns text, label and ``extra``, in a fixed order.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS, extra: tuple[str, ...] = (), class_bytes: int = CLASS_BYTES) -> DataFrame:
+    """At most ``per_class`` rows of each class with columns __order, __id, text, label and ``extra``; a class ends
+    with the row that brings its texts to ``class_bytes``.
 
     Rows whose crc32(doc_id) modulo 5 is 0 are held out. The choice follows a hash of the id, so it does
     not depend on how the tables are stored. The chosen ids are at most 2 * ``per_class``: they are
-    broadcast, and the documents are not shuffled.
+    broadcast, and of the documents only theirs are shuffled.
     """
     known = known_labels(labels, label).withColumn("__order", F.xxhash64("__id"))
     chosen = known.where("__label = 0").orderBy("__order", "__id").limit(per_class).union(known.where("__label = 1").orderBy("__order", "__id").limit(per_class))
     rows = docs.select(F.col("doc_id").cast("long").alias("__id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *extra)
-    table = rows.join(F.broadcast(chosen), "__id").select("__order", "__id", "text", F.col("__label").alias("label"), *extra).toArrow()
-    return table.sort_by([("__order", "ascending"), ("__id", "ascending"), ("text", "ascending")]).combine_chunks()
+    rows = rows.join(F.broadcast(chosen), "__id").select("__order", "__id", "text", F.col("__label").alias("label"), *extra)
+    w = Window.partitionBy("label").orderBy("__order", "__id", "text")
+    before = F.coalesce(F.sum(F.octet_length("text")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumns({"__row": F.row_number().over(w), "__before": before}).where((F.col("__row") <= per_class) & (F.col("__before") < class_bytes)).drop("__row", "__before")
+
+
+def fit_on_executor(sample: DataFrame, fit: Callable[[pa.Table], T]) -> T:
+    """``fit`` of a bounded sample, in its fixed order, in one task; only the model comes to the driver."""
+    names = sample.columns
+
+    def run(it):
+        found = list(it)
+        if not found:
+            found = [pa.RecordBatch.from_arrays([pa.array([], pa.string() if n in ("text", "lang") else pa.int64()) for n in names], names=names)]
+        t = pa.Table.from_batches(found).sort_by([("__order", "ascending"), ("__id", "ascending"), ("text", "ascending")]).combine_chunks()
+        model = pickle.dumps(fit(t))
+        del t, found
+        release()
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
+
+    made = sample.repartition(1).mapInArrow(run, "model binary").collect() or [[next(run([])).column(0)[0].as_py()]]
+    return pickle.loads(bytes(made[0][0]))
 
 
 def table_buffers(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:

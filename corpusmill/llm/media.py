@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batches, id_array, texts
+from .common import batches, texts
 
 BLOCK = 576
 RATE = 8000
@@ -185,7 +185,7 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bl
             found = [probe(f)[0] for f in files]
             yield pa.RecordBatch.from_arrays(
                 [
-                    id_array(ids),
+                    ids,
                     pa.array(np.diff(offs)),
                     pa.array(files, pa.binary()),
                     pa.array([t.codec for t in found], pa.string()),

@@ -1,22 +1,22 @@
-"""Hashes of many documents in few rows: what the n-gram join and the substring dedup shuffle.
+"""Keys of many documents in few rows: what the n-gram join and the substring dedup shuffle.
 
-A row holds, for one fragment of the hash space (or one bucket of documents), the ids of some
-documents, how many entries each has, and the entries one after the other, all as binary columns.
-The fragment is chosen by other bits than the hash itself has, so a fragment's number adds to the
-hash's 64 bits, and one frequent n-gram does not move its neighbours.
+Documents are dealt to buckets by id. A bucket sums up its keys before any shuffle: each distinct key
+is one entry, however many of the bucket's documents have it, so a key that all documents share is
+one entry for each bucket. A row (a cell) holds what one bucket sends to one fragment of the key space:
+sorted keys in one binary column, and further columns of the same length. The fragment is chosen by
+other bits than the key itself has.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import U, cut, mix, ragged
+from .common import U, mix, ragged
 
-
-def parts_of(h: np.ndarray, n: int) -> np.ndarray:
-    """The fragment of each hash."""
-    return ((mix(h ^ U(0x5851F42D4C957F2D)) >> U(20)) % U(n)).astype(np.int64)
+_LOW = U(0xFFFFFFFF)
 
 
 def prime(n: int) -> int:
@@ -26,60 +26,30 @@ def prime(n: int) -> int:
     return n
 
 
-def rows_by_part(part: np.ndarray, doc: np.ndarray, ids: np.ndarray, n_parts: int, columns: dict[str, np.ndarray], per_doc: dict[str, np.ndarray], key: str) -> pa.RecordBatch:
-    """Entries as one row for each part that has any. ``doc`` must not fall; ``columns`` go with the
-    entries, ``per_doc`` with the documents."""
-    order, bounds = cut(part, doc, part, n_parts)
-    used = np.flatnonzero(np.diff(bounds))
-    out: dict[str, list] = {key: [], "ids": [], "counts": [], **{c: [] for c in (*per_doc, *columns)}}
-    d, cols = doc[order], {c: x[order] for c, x in columns.items()}
-    for p in used.tolist():
-        a, b = bounds[p], bounds[p + 1]
-        u = d[a:b]
-        first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
-        who = u[first]
-        out[key].append(p)
-        out["ids"].append(ids[who].tobytes())
-        out["counts"].append(np.diff(np.append(first, b - a)).astype(np.uint32).tobytes())
-        for c, x in per_doc.items():
-            out[c].append(x[who].tobytes())
-        for c, x in cols.items():
-            out[c].append(x[a:b].tobytes())
-    return pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if c == key else pa.binary()) for c, v in out.items()], names=list(out))
-
-
-def gathered(found, n_parts: int, key: str = "part", per: int = 8192, most: int = 1 << 21):
-    """``rows_by_part`` of several slices at once, so that a row has ``per`` entries or so, or as many as
-    ``most`` entries held at a time give. ``found``: (part, doc, ids, columns, per_doc)."""
-    held, n = [], 0
-    for x in found:
-        held.append(x)
-        n += len(x[0])
-        if n >= min(per * n_parts, most):
-            yield _together(held, n_parts, key)
-            held, n = [], 0
-    if held:
-        yield _together(held, n_parts, key)
-
-
-def _together(held: list, n_parts: int, key: str) -> pa.RecordBatch:
-    if len(held) == 1:
-        part, doc, ids, columns, per_doc = held[0]
-    else:
-        base = np.cumsum([0] + [len(x[2]) for x in held])
-        part = np.concatenate([x[0] for x in held])
-        doc = np.concatenate([x[1] + b for x, b in zip(held, base, strict=False)])
-        ids = np.concatenate([x[2] for x in held])
-        columns = {c: np.concatenate([x[3][c] for x in held]) for c in held[0][3]}
-        per_doc = {c: np.concatenate([x[4][c] for x in held]) for c in held[0][4]}
-    return rows_by_part(part, doc, ids, n_parts, columns, per_doc, key)
-
-
-def rows_by_bucket(ids: np.ndarray, buckets: int, columns: dict[str, np.ndarray], per_doc: dict[str, np.ndarray]) -> pa.RecordBatch:
-    """Entries of documents ``ids`` (one id for each entry, equal ids together) by bucket of id."""
-    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
-    doc = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(ids))))
-    return rows_by_part(ids % buckets, doc, ids[first], buckets, columns, {c: x[first] for c, x in per_doc.items()}, "bucket")
+def dealt(texts: DataFrame, buckets: int) -> DataFrame:
+    """(doc_id, text, bucket): equal ids together; rows without an id by their text."""
+    by = F.coalesce("doc_id", F.xxhash64("text"))
+    return texts.select("doc_id", "text", F.pmod(by, F.lit(buckets)).cast("int").alias("bucket"))
+
+
+def parts_of(h: np.ndarray, n: int) -> np.ndarray:
+    """The fragment of each hash."""
+    return (mix(h ^ U(0x5851F42D4C957F2D)) >> U(20)) % U(n)
+
+
+def short_keys(h: np.ndarray, n_parts: int) -> np.ndarray:
+    """The fragment of each hash above 32 bits of the hash: enough to tell which keys can be shared,
+    where a wrong guess costs an entry and no result."""
+    return (parts_of(h, n_parts) << U(32)) | (h & _LOW)
+
+
+def cells(part: np.ndarray, bucket: int, columns: dict[str, np.ndarray], names: tuple[str, str] = ("part", "bucket")) -> pa.Table:
+    """Entries sorted by ``part`` as one row for each part."""
+    first, n = runs(part)
+    spans = list(zip(first.tolist(), (first + n).tolist(), strict=True))
+    cols = [pa.array(part[first].astype(np.int32)), pa.array(np.full(len(first), bucket, np.int32))]
+    cols += [pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in columns.values()]
+    return pa.Table.from_arrays(cols, names=[*names, *columns])
 
 
 def joined(table: pa.Table, name: str, kind) -> np.ndarray:
@@ -88,9 +58,65 @@ def joined(table: pa.Table, name: str, kind) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, kind)
 
 
-def entry_ids(table: pa.Table) -> np.ndarray:
-    """The document id of every entry."""
-    return np.repeat(joined(table, "ids", np.int64), joined(table, "counts", np.uint32))
+def lengths(table: pa.Table, name: str, kind) -> np.ndarray:
+    """How many entries each row has."""
+    return np.array([len(x.as_buffer()) for chunk in table.column(name).chunks for x in chunk], np.int64) // np.dtype(kind).itemsize
+
+
+def whole_numbers(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy().astype(np.int64)
+
+
+def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of runs of equal keys."""
+    if not len(keys):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return first, np.diff(np.append(first, len(keys)))
+
+
+CELLS = "part int, bucket int, keys binary, counts binary"
+KNOWN = "bucket int, part int, keys binary, rarity binary"
+
+
+def counted(bucket: int, keys: np.ndarray) -> pa.Table:
+    """``CELLS`` of a bucket: its distinct short keys and in how many documents it has each, up to 255.
+    ``keys`` has a key once for each document."""
+    keys, n = np.unique(keys, return_counts=True)
+    return cells(keys >> U(32), bucket, {"keys": (keys & _LOW).astype(np.uint32), "counts": np.minimum(n, 255).astype(np.uint8)})
+
+
+def shared(table: pa.Table) -> pa.Table:
+    """Of one fragment: for each bucket, its keys that two documents have, and how rare they are
+    (4 times the binary logarithm of the count)."""
+    keys, counts = joined(table, "keys", np.uint32), joined(table, "counts", np.uint8)
+    who = np.repeat(whole_numbers(table, "bucket"), lengths(table, "keys", np.uint32))
+    order = np.argsort(keys, kind="stable")
+    first, n = runs(keys[order])
+    total = np.add.reduceat(counts[order].astype(np.int64), first) if len(first) else first
+    rarity = np.empty(len(keys), np.uint8)
+    rarity[order] = np.repeat(np.minimum(255, 4 * np.log2(np.maximum(total, 1))).astype(np.uint8), n)
+    at = np.flatnonzero(rarity > 0)
+    at = at[np.lexsort((keys[at], who[at]))]
+    part = int(table.column("part")[0].as_py()) if table.num_rows else 0
+    return cells(who[at], part, {"keys": keys[at], "rarity": rarity[at]}, ("bucket", "part"))
+
+
+class Known:
+    """What ``shared`` has told a bucket."""
+
+    def __init__(self, table: pa.Table) -> None:
+        part = np.repeat(whole_numbers(table, "part").astype(U), lengths(table, "keys", np.uint32)) if table.num_rows else np.zeros(0, U)
+        keys = (part << U(32)) | joined(table, "keys", np.uint32).astype(U)
+        order = np.argsort(keys)
+        self.keys, self.rarity = keys[order], joined(table, "rarity", np.uint8)[order]
+
+    def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether two documents have the key, its rarity)"""
+        if not len(self.keys):
+            return np.zeros(len(keys), bool), np.zeros(len(keys), np.uint8)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self.keys[at] == keys, self.rarity[at]
 
 
 def take_ranges(x: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, batches, id_array, span_hashes, texts, word_spans
-from .labelled import PER_CLASS, class_counts, labelled_sample, sigmoid, sliced, table_buffers
+from .common import U, batches, span_hashes, texts, word_spans
+from .labelled import PER_CLASS, class_counts, fit_on_executor, labelled_sample, sigmoid, sliced, table_buffers
 
 BUCKETS = 1 << 15
 RANK = 8
@@ -194,16 +194,20 @@ def fit(data: np.ndarray, offs: np.ndarray, label: np.ndarray, epochs: int = 12,
     return m
 
 
-def fit_labelled(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Machine:
-    """Fit on a bounded sample of labelled rows (``labelled_sample``)."""
-    t = labelled_sample(docs, labels, "quality", per_class)
+def fit_table(t: pa.Table) -> tuple[Machine, int, int]:
+    """(the machine of a sample, its rows of label 0 and of label 1)"""
     data, offs = table_buffers(t)
-    label = np.array(t.column("label").to_pylist(), np.int64)
-    m = fit(data, offs, label)
+    label = t.column("label").to_numpy().astype(np.int64)
+    return fit(data, offs, label), int((label == 0).sum()), int(label.sum())
+
+
+def fit_labelled(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Machine:
+    """Fit on a bounded sample of labelled rows (``labelled_sample``), in a task."""
+    m, zeros, ones = fit_on_executor(labelled_sample(docs, labels, "quality", per_class), fit_table)
     # the sample is even between the classes: back to the odds of all labelled rows
     n = class_counts(labels, "quality")
-    if 0 < label.sum() < len(label):
-        m.bias += float(np.log(n[1] / n[0]) - np.log(label.sum() / (label == 0).sum()))
+    if zeros and ones:
+        m.bias += float(np.log(n[1] / n[0]) - np.log(ones / zeros))
     return m
 
 
@@ -212,7 +216,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
 
     def run(it):
         for ids, data, offs, _, _ in batches(it):
-            yield pa.RecordBatch.from_arrays([id_array(ids), pa.array(sigmoid(machine.logits(data, offs)))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sigmoid(machine.logits(data, offs)))], names=["doc_id", "score"])
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
 

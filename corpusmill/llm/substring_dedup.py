@@ -1,21 +1,24 @@
-"""Substring dedup by relative Lempel-Ziv parsing against the documents with smaller ids.
+"""Substring dedup by relative Lempel-Ziv factors against the documents with smaller ids.
 
-The reference is indexed in blocks of the hash space. Every window of ``WINDOW`` words has an anchor,
-the least hash of the half-size runs in it; equal windows have equal anchors, so only windows whose
-anchor two documents have can occur in the reference. Those windows are looked up in every block that
-could hold them (the block of their hash) and get the first place, by id and position, where they occur
-in a document with a smaller id.
+The reference is indexed in blocks of the hash space. Documents are dealt to buckets by id, and a bucket
+sums up what it sends: each distinct anchor or window once. Every window of ``WINDOW`` words has an
+anchor, the least hash of the half-size runs in it; equal windows have equal anchors, so only windows
+whose anchor two documents have can occur in the reference. Those windows are looked up in every block
+that could hold them (the block of their hash) and get the first place, by id and position, where they
+occur. A window that all documents share is one entry for each bucket, there and back.
 
-A document is then factored greedily: a factor starts at the first word of a window with a source and
-grows while the first place of the next window continues the same source; so a factor may be shorter than
-the longest match. Windows across a factor's end were looked
-up like all others: the next factor starts there, before the end, and none is missed. Words
-under a factor are removed.
+A document is then factored from left to right: a factor starts at the first word of a window that has a source
+with a smaller id and grows while the first place of the next window continues the same source; so a factor
+may be shorter than the longest match. Factors are checked at their boundaries: windows across a factor's
+end were looked up like all others, and the next factor starts there, before the end, so none is missed.
+Words under a factor are removed.
 
 Defined results: a null text has no words; documents shorter than a window are kept whole; a document
 is never its own source, nor is a row with the same id; rows that repeat an id with one text get one
-result each; a null id is the smallest. Windows are compared by 64 bits of hash within a block that
-other bits choose.
+result each; a null id counts as the smallest number (as a source it is shown so, and nothing is
+removed from it); an empty table gives an empty table; further columns, whatever their names, do not matter; a
+long text is one slice of work of its own. Windows are compared by 96 bits of two hashes within a block that other
+bits choose.
 """
 
 from __future__ import annotations
@@ -25,18 +28,14 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import batches, fragments, gram_hashes, gram_starts, hexes, id_array, ragged, release, texts, word_hashes, word_spans
-from .packed import entry_ids, gathered, joined, parts_of, prime, rows_by_bucket, rows_by_part
+from .common import U, batches, fragments, gram_hashes, gram_starts, hexes, mix, numbers, ragged, release, texts, word_hashes, word_spans
+from .packed import CELLS, KNOWN, Known, cells, counted, dealt, joined, lengths, parts_of, prime, shared, short_keys, whole_numbers
 
 WINDOW = 50
-NULL_ID = int(np.iinfo(np.int64).min)
 
-ANCHORS = "part int, ids binary, counts binary, hashes binary"
-LIVE = "bucket int, ids binary, counts binary, hashes binary"
-WINDOWS = "part int, ids binary, counts binary, hashes binary, pos binary"
-FOUND = "bucket int, ids binary, counts binary, pos binary, src binary, src_pos binary"
+WINDOWS = "part int, bucket int, hashes binary, checks binary, docs binary, pos binary, more binary"
+FOUND = "bucket int, part int, hashes binary, checks binary, src binary, src_pos binary"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, factors array<struct<start:int,words:int,src:long,src_start:int>>"
 
 
@@ -56,103 +55,104 @@ def anchors(words: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarr
     return starts, m[starts]
 
 
-def _anchor_rows(window: int, n_parts: int):
-    def found(it):
-        for ids, data, offs, _, _ in batches(it):
-            words, first = word_hashes(data, offs)
-            starts, h = anchors(words, first, window)
-            doc = np.searchsorted(first, starts, side="right") - 1
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-            yield parts_of(h[new], n_parts), doc[new], ids, {"hashes": h[new]}, {}
-
-    def run(it):
-        for rows in gathered(found(it), n_parts):
-            yield rows.select(["part", "ids", "counts", "hashes"])
-
-    return run
+def _text_slices(table: pa.Table):
+    for batch in table.select(["doc_id", "text"]).to_batches():
+        yield from batches([batch])
 
 
-def _runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds and lengths of runs of equal hashes."""
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-    return first, np.diff(np.append(first, len(h)))
+def _anchor_runs(words: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts of windows, document of each, where runs of one anchor in one document begin, their anchors)"""
+    starts, h = anchors(words, first, window)
+    doc = np.searchsorted(first, starts, side="right") - 1
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    head = np.flatnonzero(new)
+    return starts, doc, head, h[head]
 
 
-def _live(buckets: int):
-    """Anchors that two documents have, by bucket of documents."""
+def _anchor_counts(window: int, n_parts: int):
+    """Of one bucket: its distinct anchors by fragment, with their numbers of documents."""
 
     def run(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        keys, lead = [], 0
+        for _, data, offs, _, _ in _text_slices(table):
+            words, first = word_hashes(data, offs)
+            _, doc, head, h = _anchor_runs(words, first, window)
+            if len(head):
+                pair = np.unique(np.stack([(doc[head] + lead).astype(U), short_keys(h, n_parts)]), axis=1)
+                keys.append(pair[1])
+            lead += len(offs) - 1
+        out = counted(bucket, np.concatenate(keys) if keys else np.zeros(0, U))
         release()
-        h, doc = joined(table, "hashes", np.uint64), entry_ids(table)
-        order = np.argsort(h)
-        h, doc = h[order], doc[order]
-        first, n = _runs(h)
-        shared = np.repeat(np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first), n) if len(h) else np.zeros(0, bool)
-        h, doc = h[shared], doc[shared]
-        by = np.argsort(doc, kind="stable")
-        return pa.Table.from_batches([rows_by_bucket(doc[by], buckets, {"hashes": h[by]}, {}).select(["bucket", "ids", "counts", "hashes"])])
+        return out
 
     return run
 
 
-def _text_slices(table: pa.Table):
-    for batch in table.select(["doc_id", "text"]).to_batches():
-        yield from batches([batch])
+def _fragment(table: pa.Table) -> pa.Table:
+    out = shared(table)
+    release()
+    return out
+
+
+def window_keys(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes, of 64 and 32 bits, of each run of ``window`` words."""
+    return gram_hashes(words, window), (gram_hashes(mix(words ^ U(0x2545F4914F6CDD1D)), window) >> U(32)).astype(np.uint32)
 
 
-def _window_rows(window: int, n_parts: int):
-    """Windows of a bucket's documents whose anchors are live, by fragment."""
+def _window_cells(window: int, n_parts: int):
+    """Of one bucket: each distinct window with a live anchor, with its first place in the bucket and
+    whether it is in more documents of it."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        release()
-        out = []
-        live_doc, live_h = entry_ids(right), joined(right, "hashes", np.uint64)
-        known, order = np.unique(live_doc), np.argsort(live_doc, kind="stable")
-        live_doc, live_h = live_doc[order], live_h[order]
-        at = np.append(np.searchsorted(live_doc, known), len(live_doc))
+        known, found = Known(right), []
+        bucket = left.column("bucket")[0].as_py() if left.num_rows else 0
         for ids, data, offs, _, _ in _text_slices(left):
-            k = np.searchsorted(known, ids)
-            k[k == len(known)] = 0
-            has = (known[k] == ids) if len(known) else np.zeros(len(ids), bool)
-            if not has.any():
-                continue
             words, first = word_hashes(data, offs)
-            starts, h = anchors(words, first, window)
-            doc = np.searchsorted(first, starts, side="right") - 1
-            keep = np.zeros(len(h), bool)
-            edge = np.searchsorted(doc, np.arange(len(ids) + 1))
-            for d in np.flatnonzero(has).tolist():
-                a, b = edge[d], edge[d + 1]
-                keep[a:b] = np.isin(h[a:b], live_h[at[k[d]] : at[k[d] + 1]])
-            starts, doc = starts[keep], doc[keep]
-            if not len(starts):
-                continue
-            g = gram_hashes(words, window)[starts]
-            pos = (starts - first[doc]).astype(np.uint32)
-            out.append(rows_by_part(parts_of(g, n_parts), doc, ids, n_parts, {"hashes": g, "pos": pos}, {}, "part").select(["part", "ids", "counts", "hashes", "pos"]))
-        empty = pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in ("ids", "counts", "hashes", "pos"))])
-        return pa.Table.from_batches(out, empty)
+            starts, doc, head, h = _anchor_runs(words, first, window)
+            live = np.repeat(known(short_keys(h, n_parts))[0], np.diff(np.append(head, len(starts))))
+            starts, doc = starts[live], doc[live]
+            if len(starts):
+                g, c = window_keys(words, window)
+                found.append((g[starts], c[starts], numbers(ids)[doc], (starts - first[doc]).astype(np.uint32)))
+        g, c, d, p = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, k) for k in (U, np.uint32, np.int64, np.uint32))
+        order = np.lexsort((p, d, c, g))
+        g, c, d, p = g[order], c[order], d[order], p[order]
+        new = np.ones(len(g), bool)
+        new[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
+        head = np.flatnonzero(new)
+        more = (d[np.append(head[1:], len(g)) - 1] != d[head]).astype(np.uint8) if len(g) else np.zeros(0, np.uint8)
+        g, c, d, p = g[head], c[head], d[head], p[head]
+        part = parts_of(g, n_parts).astype(np.int64)
+        order = np.lexsort((p, d, part))  # neighbours in a document stay together: they shrink well
+        columns = {"hashes": g, "checks": c, "docs": d, "pos": p, "more": more}
+        out = cells(part[order], bucket, {k: x[order] for k, x in columns.items()})
+        release()
+        return out
 
     return run
 
 
-def _sources(buckets: int):
-    """Of one block: the windows that occur in a document with a smaller id, and where first."""
-
-    def run(table: pa.Table) -> pa.Table:
-        release()
-        h, doc, pos = joined(table, "hashes", np.uint64), entry_ids(table), joined(table, "pos", np.uint32)
-        order = np.lexsort((pos, doc, h))
-        h, doc, pos = h[order], doc[order], pos[order]
-        first, n = _runs(h)
-        src, src_pos = np.repeat(doc[first], n), np.repeat(pos[first], n)
-        dup = doc > src
-        doc, pos, src, src_pos = doc[dup], pos[dup], src[dup], src_pos[dup]
-        by = np.argsort(doc, kind="stable")
-        return pa.Table.from_batches([rows_by_bucket(doc[by], buckets, {"pos": pos[by], "src": src[by], "src_pos": src_pos[by]}, {}).select(["bucket", "ids", "counts", "pos", "src", "src_pos"])])
-
-    return run
+def _first_places(table: pa.Table) -> pa.Table:
+    """Of one block: for each bucket, its windows that occur in another document, and the first place of each."""
+    g, c = joined(table, "hashes", np.uint64), joined(table, "checks", np.uint32)
+    d, p, more = joined(table, "docs", np.int64), joined(table, "pos", np.uint32), joined(table, "more", np.uint8)
+    who = np.repeat(whole_numbers(table, "bucket"), lengths(table, "hashes", np.uint64))
+    part = int(table.column("part")[0].as_py()) if table.num_rows else 0
+    order = np.lexsort((p, d, c, g))
+    g, c, d, p, more, who = g[order], c[order], d[order], p[order], more[order], who[order]
+    new = np.ones(len(g), bool)
+    new[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
+    first, n = np.flatnonzero(new), np.diff(np.append(np.flatnonzero(new), len(g)))
+    src, at = np.repeat(d[first], n), np.repeat(p[first], n)
+    need = (d > src) | (more > 0)
+    g, c, src, at, who = g[need], c[need], src[need], at[need], who[need]
+    order = np.lexsort((at, src, who))
+    columns = {"hashes": g, "checks": c, "src": src, "src_pos": at}
+    out = cells(who[order], part, {k: x[order] for k, x in columns.items()}, ("bucket", "part"))
+    release()
+    return out
 
 
 def factor(pos: np.ndarray, src: np.ndarray, src_pos: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -162,25 +162,48 @@ def factor(pos: np.ndarray, src: np.ndarray, src_pos: np.ndarray, doc: np.ndarra
     return np.flatnonzero(new)
 
 
+class Places:
+    """The first places of a bucket's windows."""
+
+    def __init__(self, table: pa.Table) -> None:
+        g = joined(table, "hashes", np.uint64)
+        order = np.argsort(g)
+        self.g, self.c = g[order], joined(table, "checks", np.uint32)[order]
+        self.src, self.at = joined(table, "src", np.int64)[order], joined(table, "src_pos", np.uint32)[order].astype(np.int64)
+        # most windows have no place: a table of bits answers for them
+        self.mask = U((1 << max(10, (16 * len(g)).bit_length())) - 1)
+        self.maybe = np.zeros(int(self.mask) + 1, bool)
+        self.maybe[g & self.mask] = True
+
+    def __call__(self, g: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which windows have a place, where its entry is)"""
+        if not len(self.g):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        which = np.flatnonzero(self.maybe[g & self.mask])
+        at = np.minimum(np.searchsorted(self.g, g[which]), len(self.g) - 1)
+        good = (self.g[at] == g[which]) & (self.c[at] == c[which])
+        return which[good], at[good]
+
+
 def _removed(window: int):
     """Factor the documents of a bucket and take away what the factors cover."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        release()
-        f_doc, f_pos = entry_ids(right), joined(right, "pos", np.uint32).astype(np.int64)
-        f_src, f_at = joined(right, "src", np.int64), joined(right, "src_pos", np.uint32).astype(np.int64)
-        order = np.lexsort((f_pos, f_doc))
-        f_doc, f_pos, f_src, f_at = f_doc[order], f_pos[order], f_src[order], f_at[order]
-        out = []
+        places, out = Places(right), []
         for ids, data, offs, _, _ in _text_slices(left):
             starts, ends, first = word_spans(data, offs)
             n = np.diff(first)
-            a, b = np.searchsorted(f_doc, ids), np.searchsorted(f_doc, ids, side="right")
-            pick = ragged(a, b - a)
-            doc = np.repeat(np.arange(len(ids)), b - a)
-            pos, src, at = f_pos[pick], f_src[pick], f_at[pick]
-            inside = pos + window <= n[doc]
-            doc, pos, src, at = doc[inside], pos[inside], src[inside], at[inside]
+            doc = pos = src = at = np.zeros(0, np.int64)
+            if len(places.g) and len(starts) >= window:
+                words, _ = word_hashes(data, offs)
+                begin = np.flatnonzero(gram_starts(first, window))
+                g, c = window_keys(words, window)
+                which, entry = places(g[begin], c[begin])
+                begin = begin[which]
+                doc = np.searchsorted(first, begin, side="right") - 1
+                pos, src, at = begin - first[doc], places.src[entry], places.at[entry]
+                earlier = src < numbers(ids)[doc]
+                doc, pos, src, at = doc[earlier], pos[earlier], src[earlier], at[earlier]
             head = factor(pos, src, at, doc)
             length = np.diff(np.append(head, len(pos))) + window - 1
             begin = first[doc[head]] + pos[head]
@@ -199,7 +222,8 @@ def _removed(window: int):
             count = np.bincount(doc[head], minlength=len(ids))
             items = pa.StructArray.from_arrays([pa.array(pos[head].astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(src[head]), pa.array(at[head].astype(np.int32))], names=["start", "words", "src", "src_start"])
             factors = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), items)
-            out.append(pa.RecordBatch.from_arrays([id_array(ids), pa.array(n), pa.array(total[first[1:]] - total[first[:-1]]), hexes(shas), factors], names=["doc_id", "n_words", "n_removed", "kept_sha256", "factors"]))
+            out.append(pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(total[first[1:]] - total[first[:-1]]), hexes(shas), factors], names=["doc_id", "n_words", "n_removed", "kept_sha256", "factors"]))
+        release()
         item = pa.struct([("start", pa.int32()), ("words", pa.int32()), ("src", pa.int64()), ("src_start", pa.int32())])
         empty = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("factors", pa.list_(item))])
         return pa.Table.from_batches(out, empty) if out else empty.empty_table()
@@ -211,9 +235,8 @@ def parse(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_co
     """doc_id, n_words, n_removed, kept_sha256 and the factors of every document."""
     t = texts(docs, id_col, text_col)
     n_parts = fragments(t)
-    buckets = prime(n_parts)
-    live = t.mapInArrow(_anchor_rows(window, n_parts), ANCHORS).groupBy("part").applyInArrow(_live(buckets), LIVE)
-    dealt = t.withColumn("bucket", F.pmod(F.coalesce("doc_id", F.lit(NULL_ID)), F.lit(buckets)).cast("int"))
-    windows = dealt.groupBy("bucket").cogroup(live.groupBy("bucket")).applyInArrow(_window_rows(window, n_parts), WINDOWS)
-    found = windows.groupBy("part").applyInArrow(_sources(buckets), FOUND)
-    return dealt.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(_removed(window), RESULT)
+    t = dealt(t, prime(n_parts))
+    live = t.groupBy("bucket").applyInArrow(_anchor_counts(window, n_parts), CELLS).groupBy("part").applyInArrow(_fragment, KNOWN)
+    windows = t.groupBy("bucket").cogroup(live.groupBy("bucket")).applyInArrow(_window_cells(window, n_parts), WINDOWS)
+    found = windows.groupBy("part").applyInArrow(_first_places, FOUND)
+    return t.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(_removed(window), RESULT)

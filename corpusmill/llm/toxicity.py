@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, batches, held_out, id_array
-from .labelled import PER_CLASS, Spans, best_f1, class_counts, known_labels, labelled_sample, sigmoid, sliced, table_buffers
+from .common import U, batches, held_out
+from .labelled import PER_CLASS, Spans, best_f1, fit_on_executor, known_labels, labelled_sample, sigmoid, sliced, table_buffers
 
 BUCKETS = 1 << 16
 DIM = 12
@@ -222,7 +222,7 @@ def calibrate_labelled(net: Cnn, docs: DataFrame, labels: DataFrame) -> None:
     def run(it):
         for ids, data, offs, at, batch in batches(it):
             step = np.floor(np.clip(net.logits(data, offs), -30, 30) * STEPS).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column(2).slice(at, len(ids)), pa.array(step)], names=["__id", "lang", "step"])
+            yield pa.RecordBatch.from_arrays([ids, batch.column(2).slice(at, len(ids)), pa.array(step)], names=["__id", "lang", "step"])
 
     steps = rows.mapInArrow(run, "__id long, lang string, step int").join(known_labels(labels, "toxic"), "__id")
     t = steps.groupBy("lang", "step").agg(F.sum("__label").alias("hits"), F.count(F.lit(1)).alias("rows")).toArrow().sort_by([("step", "ascending"), ("lang", "ascending")])
@@ -238,15 +238,19 @@ def calibrate_labelled(net: Cnn, docs: DataFrame, labels: DataFrame) -> None:
     calibrate(net, (raw + 0.5) / STEPS, names, hits, n)
 
 
-def fit_labelled(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Cnn:
-    """Fit on a bounded sample of labelled rows (``labelled_sample``); thresholds are those of all labelled
-    rows that are not held out."""
-    t = labelled_sample(docs, labels, "toxic", per_class, ("lang",) if "lang" in docs.columns else ())
+def fit_table(t: pa.Table) -> tuple[Cnn, bool]:
+    """(the network of a sample, whether both classes are in it)"""
     data, offs = table_buffers(t)
-    lang = t.column("lang").to_pylist() if "lang" in t.column_names else None
-    label = np.array(t.column("label").to_pylist(), np.int64)
-    net = fit(data, offs, label, lang)
-    if 0 < label.sum() < len(label) and max(class_counts(labels, "toxic").values()) > per_class:
+    label = t.column("label").to_numpy().astype(np.int64)
+    return fit(data, offs, label, t.column("lang").to_pylist() if "lang" in t.column_names else None), bool(0 < label.sum() < len(label))
+
+
+def fit_labelled(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Cnn:
+    """Fit on a bounded sample of labelled rows (``labelled_sample``), in a task; thresholds are those of all
+    labelled rows that are not held out."""
+    sample = labelled_sample(docs, labels, "toxic", per_class, ("lang",) if "lang" in docs.columns else ())
+    net, both = fit_on_executor(sample, fit_table)
+    if both:
         calibrate_labelled(net, docs, labels)
     return net
 
@@ -261,6 +265,6 @@ def score(docs: DataFrame, net: Cnn, id_col: str = "doc_id", text_col: str = "te
             s = sigmoid(net.logits(data, offs))
             langs = batch.column(2).slice(at, len(ids)).to_pylist()
             limit = np.array([net.thresholds.get(x, 0.5) for x in langs])
-            yield pa.RecordBatch.from_arrays([id_array(ids), pa.array(s), pa.array(s >= limit)], names=["doc_id", "score", "flagged"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(s), pa.array(s >= limit)], names=["doc_id", "score", "flagged"])
 
     return rows.mapInArrow(run, "doc_id long, score double, flagged boolean")

@@ -80,7 +80,7 @@ def test_sum_of_squares_identity():
 def test_samples_leave_out_held_out_rows(spark):
     docs = spark.createDataFrame([(k, f"t{k}", None) for k in range(200)] + [(None, "x", None)], "doc_id long, text string, label string")
     labels = spark.createDataFrame([(k, k % 2, None) for k in range(200)] + [(3, 1, 1), (None, 1, 1), (5, None, 1)], "doc_id long, toxic int, quality int")
-    t = labelled_sample(docs, labels, "toxic", 30)
+    t = labelled_sample(docs, labels, "toxic", 30).toArrow()
     ids = [int(x[1:]) for x in t.column("text").to_pylist()]
     assert len(ids) == 60 and all(zlib.crc32(str(i).encode()) % 5 for i in ids) and sorted(set(t.column("label").to_pylist())) == [0, 1]
     assert class_counts(labels, "toxic")[0] == sum(1 for k in range(0, 200, 2) if zlib.crc32(str(k).encode()) % 5)
@@ -120,6 +120,15 @@ def test_empty_tables(spark, module):
         assert module.score(d, model).count() == d.count()
 
 
+def test_samples_are_bounded_by_rows_and_bytes(spark):
+    """Also where one labelled id has very many rows, or long texts."""
+    docs = spark.createDataFrame([(k % 40, "x" * 100) for k in range(2000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    count = lambda **kw: {r.label: r["count"] for r in labelled_sample(docs, labels, "toxic", **kw).groupBy("label").count().collect()}
+    assert count(per_class=30) == {0: 30, 1: 30}
+    assert count(per_class=1000, class_bytes=2500) == {0: 25, 1: 25}
+
+
 def test_thresholds_are_those_of_all_labelled_rows(spark):
     """The sample is even between the classes, the table is not, and the classes overlap."""
     rng = random.Random(9)
