@@ -4,16 +4,21 @@ Pieces are cut by array operations on code point classes (the result is that of
 byte-level pattern: contractions, an optional leading space, runs of letters, numbers or other
 characters, white space that leaves its last character to the next piece). The symbols of all new
 pieces lie in one flat array; each round finds the lowest-rank pair of every piece by binary search
-over the sorted pair keys and merges it everywhere in that piece. Pieces seen before come from a
-bounded cache of the worker.
-
-A null text is an empty text with no ids. The tokenizer's file travels with the task, so executors
-need no path of their own.
+over the sorted pair keys and merges it everywhere in that piece. A long piece is merged on its own: its
+pairs wait by rank, and a round touches only the places of the lowest rank and their neighbours.
+Pieces seen before come from a bounded cache of the worker.
+
+Defined results: a null or empty text has no ids; a byte that is no UTF-8 becomes U+FFFD, as if the text had
+it; every row has its result, also rows that repeat and rows without an id; an empty table gives an
+empty table; further columns, whatever their names, do not matter; long texts are slices of work of their own, and the
+work for a long piece grows as n log n. The tokenizer's file travels with the task, so executors need no path of their own.
 """
 
 from __future__ import annotations
 
+import codecs
 import hashlib
+import heapq
 import json
 from array import array
 
@@ -25,8 +30,12 @@ from pyspark.sql import DataFrame
 from .common import _Q, batches, hexes, ragged, span_hashes, texts
 
 _BIG = np.int64(1) << 60
-#: Pieces that a worker keeps.
-CACHE = 150_000
+#: Pieces that a worker keeps, and bytes of them.
+CACHE, CACHE_BYTES = 150_000, 16 << 20
+#: Pieces of more bytes are merged on their own, and not kept.
+LONG = 512
+
+codecs.register_error("corpusmill-byte", lambda e: ("\ufffd", e.start + 1))
 
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 _classes = None
@@ -122,10 +131,12 @@ class Bpe:
         keys = left * size + right
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank, self.made = keys[order], order.astype(np.int64), made[order]
+        self.made_by_rank = made
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.known_bytes = 0
         self.flat = np.zeros(1 << 16, np.int32)
         self.used = 0
         self.starts, self.lens = array("q"), array("q")
@@ -170,37 +181,114 @@ class Bpe:
         order = np.argsort(w, kind="stable")
         return s[order].astype(np.int32), np.bincount(w, minlength=len(pieces))
 
+    def merge_long(self, piece: bytes) -> np.ndarray:
+        """Ids of one piece: places wait by the rank of their pair, and each round takes the lowest rank."""
+        n = len(piece)
+        sym = self.byte_id[np.frombuffer(piece, np.uint8)]
+        after, before, alive = np.arange(1, n + 1), np.arange(-1, n - 1), np.ones(n, bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def rank_of(at: np.ndarray) -> np.ndarray:
+            nxt = after[at]
+            keys = np.where(nxt < n, sym[at] * self.size + sym[np.minimum(nxt, n - 1)], -1)
+            i = np.searchsorted(self.keys, keys)
+            i[i == len(self.keys)] = 0
+            return np.where(self.keys[i] == keys, self.rank[i], _BIG)
+
+        def wait(at: np.ndarray) -> None:
+            r = rank_of(at)
+            at, r = at[r < _BIG], r[r < _BIG]
+            if not len(at):
+                return
+            order = np.argsort(r, kind="stable")
+            at, r = at[order], r[order]
+            head = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+            for k, i, j in zip(r[head].tolist(), head.tolist(), [*head[1:].tolist(), len(r)], strict=True):
+                if k not in waiting:
+                    waiting[k] = []
+                    heapq.heappush(ranks, k)
+                waiting[k].append(at[i:j])
+
+        wait(np.arange(n))
+        while ranks:
+            r = heapq.heappop(ranks)
+            found = waiting.pop(r)
+            at = np.unique(np.concatenate(found)) if len(found) > 1 else np.sort(found[0])
+            at = at[alive[at]]
+            at = at[rank_of(at) == r]
+            if not len(at):
+                continue
+            # of places in a row (equal symbols), every second one stays
+            fresh = np.concatenate([[True], at[1:] != after[at[:-1]]])
+            group = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - group) % 2 == 0]
+            gone = after[at]
+            nxt = after[gone]
+            sym[at] = self.made_by_rank[r]
+            alive[gone] = False
+            after[at] = nxt
+            before[nxt[nxt < n]] = at[nxt < n]
+            left = before[at]
+            wait(np.unique(np.concatenate([left[left >= 0], at])))
+        return sym[alive].astype(np.int32)
+
+    def _put(self, at: int, ids: np.ndarray) -> int:
+        while at + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[at : at + len(ids)] = ids
+        return at + len(ids)
+
     def _ids_of(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Where the ids of each piece lie in ``flat``, and how many there are."""
-        new = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(new) > CACHE:
+        """Where the ids of each piece lie in ``flat``, and how many there are, until the next call."""
+        short = [p for p in pieces if len(p) <= LONG]
+        new = [p for p in short if p not in self.known]
+        size = sum(map(len, new))
+        if len(self.known) + len(new) > CACHE or self.known_bytes + size > CACHE_BYTES:
             self.clear()
-            new = pieces
+            new = short
+            size = sum(map(len, new))
         if new:
             ids, lens = self.merge(new)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used : self.used + len(ids)] = ids
             at = self.used + np.cumsum(lens) - lens
+            self.used = self._put(self.used, ids)
             for k, p in enumerate(new):
                 self.known[p] = len(self.starts) + k
             self.starts.extend(at.tolist())
             self.lens.extend(lens.tolist())
-            self.used += len(ids)
+            self.known_bytes += size
             for s, i in self.special:
                 if s in self.known and (self.lens[k := self.known[s]] != 1 or self.flat[self.starts[k]] != i):
                     self.flat[self.starts[k]] = i
                     self.lens[k] = 1
-        k = np.array([self.known[p] for p in pieces], np.int64)
-        return np.array(self.starts, np.int64)[k], np.array(self.lens, np.int64)[k]
+        k = np.array([self.known[p] for p in short], np.int64)
+        starts, lens = np.array(self.starts, np.int64)[k], np.array(self.lens, np.int64)[k]
+        if len(short) == len(pieces):
+            return starts, lens
+        is_short = np.array([len(p) <= LONG for p in pieces])
+        all_starts, all_lens = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        all_starts[is_short], all_lens[is_short] = starts, lens
+        end = self.used
+        for k in np.flatnonzero(~is_short).tolist():
+            ids = self.merge_long(pieces[k])
+            all_starts[k], all_lens[k] = end, len(ids)
+            end = self._put(end, ids)
+        return all_starts, all_lens
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of a slice of documents, and where each document's ids begin."""
         if not len(data):
             return np.zeros(0, np.int32), np.zeros(len(offs), np.int64)
         raw = data.tobytes()
+        try:
+            told = raw.decode("utf-8")
+        except UnicodeDecodeError:
+            texts = [raw[a:b].decode("utf-8", "corpusmill-byte") for a, b in zip(offs[:-1], offs[1:], strict=True)]
+            told, parts = "".join(texts), [t.encode() for t in texts]
+            raw, offs = b"".join(parts), np.cumsum([0] + [len(p) for p in parts])
+            data = np.frombuffer(raw, np.uint8)
         lead = np.flatnonzero((data & 0xC0) != 0x80)
-        points = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), "<u4")
+        points = np.frombuffer(told.encode("utf-32-le"), "<u4")
         cuts = [np.searchsorted(lead, offs)]
         inside = []
         if self.special:
