@@ -56,14 +56,28 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
+def conversation_events(rows: DataFrame) -> DataFrame:
+    """The table of turns as an event log: each row is a message of its own that is streamed as a wrong draft
+    (delta), taken back by an edit or, of an assistant, a regeneration with the first half of the text, and
+    ended by a delta with the other half. Rows of one turn are in order of role and text's MD5; rows without a
+    turn come last."""
+    e = rows.select(F.col("conv_id").alias("conv"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    e = e.select("*", F.monotonically_increasing_id().alias("msg"), F.md5(F.col("text").cast("binary")).alias("md5"), F.floor(F.length("text") / 2).cast("int").alias("half"))
+    begin, end = F.substring("text", F.lit(1), F.col("half")), F.substring("text", F.col("half") + 1, F.length("text"))
+    steps = (
+        (F.lit("delta"), F.col("role"), F.concat(F.lit("draft: "), begin)),
+        (F.when(F.col("role") == "assistant", "regenerate").otherwise("edit"), F.lit(None).cast("string"), begin),
+        (F.lit("delta"), F.lit(None).cast("string"), end),
+    )
+    e = e.select("*", F.explode(F.array(*[F.struct(F.lit(k).alias("step"), kind.alias("kind"), role.alias("role"), text.alias("text")) for k, (kind, role, text) in enumerate(steps)])).alias("e"))
+    seq = F.struct(F.col("turn").isNull().alias("last"), "turn", "role", "md5", F.col("e.step").alias("step")).alias("seq")
+    return e.select("conv", seq, "msg", F.col("e.kind").alias("kind"), F.col("e.role").alias("role"), F.col("e.text").alias("text"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-1).cast("long"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(CONTROL))
-    e = rows.union(extra).select(F.col("conv_id").alias("conv"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    # every row is a message of its own; rows of one turn are in order of role and text, rows without a turn come last
-    seq = F.struct(F.col("turn").isNull().alias("last"), "turn", "role", "text").alias("seq")
-    e = e.select("conv", seq, F.monotonically_increasing_id().alias("msg"), F.lit("delta").alias("kind"), "role", "text")
-    return chat.digest(chat.render(chat.fold_events(e)))
+    return chat.digest(chat.render(chat.fold_events(conversation_events(rows.union(extra)))))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
