@@ -3,10 +3,17 @@
 A package is a ZIP file with the stored (not deflated) members ``archive/data.warc.gz`` (one gzip
 member per record) and ``indexes/index.cdxj`` (one line per record: id, offset, length). The reader
 finds the end record, follows ZIP64 locators and extra fields, walks the central directory, locates
-members by their local headers, reads the index and then each record by its byte range only.
+members by their local headers, reads the index and then records by byte ranges only; neighbouring ranges
+are read at once, up to ``SPAN_BYTES``. Nothing is extracted, and no package is held whole.
 
-A null payload is empty; a null id or uri is written as an absent header and read back as null;
-ids may repeat; an empty table gives no package and an empty result.
+Packages are files in the folder that executors share. A task names each file anew and reports it when it
+is closed; the reports are a table that Spark commits, so files of lost or repeated tasks are never
+read.
+
+Defined results: a null payload is empty; a null id or uri is written as an absent header and read back as
+null; ids may repeat and every row has its record (rows that repeat the smallest id of equal payloads are all
+responses); a payload longer than a package has a package of its own; an empty table gives no package and
+an empty result; further columns, whatever their names, do not matter.
 """
 
 from __future__ import annotations
@@ -14,7 +21,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import struct
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -24,10 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import new_path, stored
 
 #: Bytes of records in one package, about.
 PACKAGE_BYTES = 8 << 20
+#: Bytes that are read at once, unless one record is longer.
+SPAN_BYTES = 1 << 20
+#: Bytes of packages that one task reads, about.
+TASK_BYTES = 32 << 20
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 
 
@@ -193,26 +206,49 @@ def package(records: list[tuple[int | None, bytes]], zip64: bool = False) -> byt
     return zip_write([(ARCHIVE, b"".join(body)), (INDEX, "\n".join(lines).encode())], zip64)
 
 
-def read_package(fetch: Callable[[int, int], bytes], size: int) -> Iterator[dict]:
+def read_package(fetch: Callable[[int, int], bytes], size: int, span: int = SPAN_BYTES) -> Iterator[dict]:
     """Every record of a package, by the ranges of its index."""
     z = ZipRanges(fetch, size)
     base = z.data_start(z.members[ARCHIVE])
-    for line in z.read(INDEX).decode().splitlines():
+    held: list[tuple[int, int]] = []
+
+    def read() -> Iterator[dict]:
+        begin = held[0][0]
+        raw = memoryview(fetch(base + begin, held[-1][0] + held[-1][1] - begin))
+        for at, n in held:
+            yield parse(zlib.decompress(raw[at - begin : at - begin + n], 47))
+
+    for line in z.read(INDEX).splitlines():
         x = json.loads(line)
-        yield parse(zlib.decompress(fetch(base + x["offset"], x["length"]), 47))
+        at, n = x["offset"], x["length"]
+        if held and (at != held[-1][0] + held[-1][1] or at + n - held[0][0] > span):
+            yield from read()
+            held = []
+        held.append((at, n))
+    if held:
+        yield from read()
 
 
 # ---------------------------------------------------------------- Spark
 
-RECORD_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, package long"
+RECORD_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, package string"
+PACKAGE_SCHEMA = "package string, size long, records long"
+
+
+def opened(uri: str):
+    """(file system, path) of a place in the shared folder, for tasks."""
+    from pyarrow import fs
 
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", re.sub("^file:/*", "file:///", uri)))
 
-def write_packages(pages: DataFrame, least: int = 0, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
-    """Packages (package, content) of ``pages`` (page_id, url, html). Of equal payloads of at least
-    ``least`` bytes, that with the smallest id is a response and the others revisit it.
+
+def write_packages(pages: DataFrame, folder: str, least: int = 0, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
+    """Packages of ``pages`` (page_id, url, html) as files in ``folder``: (package, size, records). Of equal
+    payloads of at least ``least`` bytes, that with the smallest id is a response and the others revisit it.
 
     Pages are dealt by payload hash in one shuffle against the few hashes that repeat; a hot hash is
-    split by AQE. Packages are built from what a task already holds and bounded in size.
+    split by AQE. Packages are built from what a task already holds and bounded in size; every second one of
+    a task, and the first, has the ZIP64 form.
     """
     p = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     p = p.withColumn("h", F.sha2("payload", 256))
@@ -220,7 +256,16 @@ def write_packages(pages: DataFrame, least: int = 0, package_bytes: int = PACKAG
     p = p.join(again, "h", "left").select("page_id", "url", "payload", "first")
 
     def run(it):
+        system, root = opened(folder)
+        system.create_dir(root, recursive=True)
         held, size, n = [], 0, 0
+
+        def put() -> pa.RecordBatch:
+            raw, name = package(held, zip64=n % 2 == 0), f"{uuid.uuid4().hex}.zip"
+            with system.open_output_stream(f"{root}/{name}") as f:
+                f.write(raw)
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(raw)]), pa.array([len(held)])], names=["package", "size", "records"])
+
         for batch in it:
             for page, url, payload, first in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 revisit = first is not None and first != page
@@ -228,33 +273,44 @@ def write_packages(pages: DataFrame, least: int = 0, package_bytes: int = PACKAG
                 held.append((page, raw))
                 size += len(raw)
                 if size >= package_bytes:
-                    yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([package(held)], pa.binary())], names=["package", "content"])
+                    yield put()
                     held, size, n = [], 0, n + 1
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([package(held)], pa.binary())], names=["package", "content"])
+            yield put()
 
-    return p.mapInArrow(run, "package long, content binary")
+    return p.mapInArrow(run, PACKAGE_SCHEMA)
 
 
-def read_packages(packages: DataFrame) -> DataFrame:
-    """The records of packages (package, content), read by range."""
+def read_packages(packages: DataFrame, folder: str, rows: int = 4096) -> DataFrame:
+    """The records of packages (package, size) in ``folder``, read by range."""
+    total = packages.agg(F.sum("size")).first()[0] or 0
+    spread = packages.select("package", "size").repartition(max(1, -(-total // TASK_BYTES)))
 
     def run(it):
+        system, root = opened(folder)
         names = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-        for batch in it:
-            for k, content in zip(batch.column("package").to_pylist(), batch.column("content"), strict=True):
-                view = content.as_buffer()
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
 
-                def fetch(at: int, n: int, view=view) -> bytes:
-                    return view.slice(at, n).to_pybytes()
+        def told(found: list[dict]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], t) for c, t in zip(names, kinds, strict=True)], names=names)
 
-                rows = [{**r, "package": k} for r in read_package(fetch, view.size)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in zip(names, kinds, strict=True)], names=names)
+        for batch in it:
+            for name, size in zip(batch.column("package").to_pylist(), batch.column("size").to_pylist(), strict=True):
+                with system.open_input_file(f"{root}/{name}") as f:
+                    found = []
+                    for r in read_package(lambda at, n, f=f: f.read_at(n, at), size):
+                        del r["payload"]
+                        found.append({**r, "package": name})
+                        if len(found) == rows:
+                            yield told(found)
+                            found = []
+                    if found:
+                        yield told(found)
 
-    return packages.select("package", "content").mapInArrow(run, RECORD_SCHEMA)
+    return spread.mapInArrow(run, RECORD_SCHEMA)
 
 
 def archive_round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
     """Write the packages to the shared folder and read their records back."""
-    return read_packages(stored(write_packages(pages, least), "warc", "none"))
+    folder = new_path(pages.sparkSession, "warc")
+    return read_packages(stored(write_packages(pages, folder, least), "warc-index"), folder)

@@ -46,9 +46,11 @@ def test_archives_of_the_library_and_comments():
 def test_records_are_fetched_one_by_one():
     records = [(k, warc.record(k, f"http://x/{k}", b"p" * k * 100_000, None, False)) for k in range(5)]
     raw, log = warc.package(records, zip64=True), []
-    rows = list(warc.read_package(fetcher(raw, log), len(raw)))
+    rows = list(warc.read_package(fetcher(raw, log), len(raw), span=0))
     assert [(r["page_id"], r["payload_bytes"]) for r in rows] == [(k, k * 100_000) for k in range(5)]
     assert len(log) >= 5 and rows[2]["payload"] == b"p" * 200_000
+    few = []
+    assert list(warc.read_package(fetcher(raw, few), len(raw))) == rows and len(few) == len(log) - 4
 
 
 def test_damaged_payload_is_found():
@@ -74,7 +76,23 @@ def test_round_trip(spark):
     assert few[8] == "response" and few[5] == "revisit"
 
 
-def test_package_sizes_are_bounded(spark):
+def test_packages_are_files_of_bounded_size(spark, tmp_path):
     df = spark.range(50).selectExpr("id as page_id", "'u' as url", "repeat(cast(id as string), 2000) as html").coalesce(1)
-    packages = warc.write_packages(df, package_bytes=20_000)
-    assert packages.count() > 3 and warc.read_packages(packages).count() == 50
+    folder = f"file://{tmp_path}/packages"
+    packages = warc.write_packages(df, folder, package_bytes=20_000).persist()
+    assert packages.count() > 3 and packages.agg({"records": "sum"}).first()[0] == 50
+    kinds = set()
+    for r in packages.collect():
+        with zipfile.ZipFile(tmp_path / "packages" / r.package) as z:
+            assert z.testzip() is None and z.namelist() == [warc.ARCHIVE, warc.INDEX]
+        kinds.add(b"PK\6\6" in (tmp_path / "packages" / r.package).read_bytes()[-200:])
+    assert kinds == {True, False}  # ZIP64 directories and plain ones
+    (tmp_path / "packages" / "left-by-a-lost-task.zip").write_bytes(b"half")
+    got = warc.read_packages(packages, folder)
+    assert got.count() == 50 and got.select("package").distinct().count() == packages.count()
+
+
+def test_a_payload_longer_than_a_package(spark):
+    df = spark.createDataFrame([(1, "u", "x" * 20_000_000, "p"), (2, "u", "y", "p"), (3, None, "x" * 20_000_000, "p")], "page_id long, url string, html string, package string")
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive_round_trip(df).collect()}
+    assert got == {1: (20_000_000, "response", None), 2: (1, "response", None), 3: (20_000_000, "revisit", 1)}
