@@ -5,7 +5,9 @@ and turns the sample tables into byte ranges, codec, duration and keyframe range
 box sizes, boxes that run to the end, constant and per-sample sizes and 32- and 64-bit chunk offsets
 are read. Equal payloads give equal files.
 
-A null text is an empty text; every text has at least one block of padding when it is empty.
+Defined results: a null text is an empty text, and an empty text is one block of padding; every row has its
+file, also rows that repeat and rows without an id, and equal texts have equal files; an empty table gives an empty
+table; further columns, whatever their names, do not matter; a long text is one file, with 64-bit forms from 4 GB on.
 """
 
 from __future__ import annotations

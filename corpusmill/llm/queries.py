@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, exact_dedup, media, mixing, ngram_join, quality, substring_dedup, toxicity, warc
-from .common import held_out
+from .common import held_out, stored
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -85,7 +85,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.digests(media.to_media(_read(spark, sf_dir, "documents")))
+    return media.digests(stored(media.to_media(_read(spark, sf_dir, "documents")), "media"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
