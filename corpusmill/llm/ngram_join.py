@@ -42,6 +42,8 @@ PERCENT = 75
 VERTICAL = 8
 #: 64-bit words of the bitmap of a document's shared n-grams.
 WORDS = 8
+#: Places that the members of a class are dealt to.
+SALT = 64
 #: Members of a posting that meet in one task, about.
 BLOCK = 1024
 #: How far the links of stars are followed before the rest is compared.
@@ -215,10 +217,11 @@ def links(sets: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     """Of ``document_sets``: links (a, b) between class representatives, which connect all that is
     linked, and the classes (rep, doc) of the other members."""
     sets = sets.where("n is not null")
-    whole = sets.where("same is not null").select("doc", "same")
-    least = whole.groupBy("same").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("m")).where("m > 1").select("same", "rep")
-    # a class may hold a third of all rows: the members' side of this join is split by size
-    classes = stored(whole.join(least, "same").where("doc <> rep").select("rep", "doc"), "ngram-classes")
+    # a class may hold a third of all rows: its least id meets its members in SALT places
+    whole = sets.where("same is not null").select("doc", "same", F.pmod(F.xxhash64("doc"), F.lit(SALT)).cast("int").alias("salt"))
+    least = whole.groupBy("same").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    least = least.select("same", "rep", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    classes = stored(whole.join(least, ["same", "salt"]).where("doc <> rep").select("rep", "doc"), "ngram-classes")
     postings = sets.select("doc", "n", "shared", "prefix").join(classes.select("doc"), "doc", "left_anti")
     postings = stored(postings.select("doc", "n", "shared", F.explode("prefix").alias("gram")), "ngram-postings")
     # the hub of a posting: the document with the fewest n-grams of its own, as an original has among its copies
