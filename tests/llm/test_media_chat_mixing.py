@@ -1,10 +1,12 @@
 import hashlib
+import random
 import re
 import struct
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from corpusmill.llm import chat, media, mixing
@@ -138,41 +140,86 @@ def test_targets_are_met_in_expectation(spark):
     assert all(r.rate >= 0 and r.copies in (int(r.rate), int(r.rate) + 1) and sum(r.p) == pytest.approx(1) for r in rows)
 
 
-def test_fit_equals_a_plain_version(spark):
-    """The same projected gradient in numpy over collected posteriors."""
-    df = mixed(spark)
-    domains, priors, table = mixing.classifier(df, "lang")
-    post = mixing.posteriors(df, domains, priors, table)
-    targets = [100.0, 6000.0]
-    fit = mixing.fit(post, domains, targets)
-    rows = post.collect()
-    n, p = np.array([r.tokens for r in rows], float), np.array([r.p for r in rows])
-    r = np.ones(len(rows))
-    for step in fit.steps:
-        r = np.maximum(0, r + p @ np.array(step))
-    assert (r * n) @ p == pytest.approx(fit.totals) and np.linalg.norm((r * n) @ p - targets) <= 1e-2 * sum(targets)
-    got = {x.doc: x.rate for x in mixing.rates(post, fit).collect()}
-    assert all(got[x.doc] == pytest.approx(v) for x, v in zip(rows, r, strict=True))
-
-
-def test_posteriors_against_brute_force(spark):
-    df = mixed(spark)
+def plain_posteriors(rows):
+    """Naive Bayes in plain Python: {(id, text): (tokens, p)} of (id, text, domain) rows with words."""
+    words = {t: [xxhash.xxh64(w.lower().encode(), seed=42).intdigest() % mixing.BUCKETS for w in t.split()] for _, t, _ in rows if t}
+    domains = sorted({d for _, _, d in rows if d is not None})
+    n = {d: sum(1 for r in rows if r[2] == d) for d in domains}
+    count = {d: np.zeros(mixing.BUCKETS) for d in domains}
+    for _, t, d in rows:
+        for b in words.get(t, []) if d is not None else []:
+            count[d][b] += 1
+    seen = sum(count.values()) > 0
+    ll = {d: np.where(seen, np.log((count[d] + 0.5) / (count[d].sum() + 0.5 * mixing.BUCKETS)), 0.0) for d in domains}
+    out = {}
+    for i, t, _ in rows:
+        if words.get(t):
+            m = len(words[t])
+            z = np.array([np.log(n[d] / sum(n.values())) + mixing.EVIDENCE / (mixing.EVIDENCE + m) * ll[d][words[t]].sum() for d in domains])
+            e = np.exp(z - z.max())
+            out[i, t] = (m, (e / e.sum()).tolist())
+    return out
+
+
+def plain_rates(tokens, p, targets, least, rounds=100_000):
+    """Projected gradient of the plain least squares, with a fixed short step and nothing else."""
+    a = (p * tokens[:, None]).T
+    r = np.maximum(np.ones(len(tokens)), least)
+    scale = 1 / np.linalg.eigvalsh((p * tokens[:, None]).T @ p).max()
+    for _ in range(rounds):
+        r = np.maximum(least, r + scale * (p @ (targets - a @ r)))
+    return a @ r
+
+
+def overlapping(spark):
+    """Documents of three languages that share words; one id has two texts, and one row repeats."""
+    rng = random.Random(4)
+    own = {"a": ["ax", "ay", "az"], "b": ["bx", "by"], "c": ["cx", "cy", "cz", "cw"]}
+    rows = []
+    for k in range(240):
+        d = rng.choice("aaabbc")
+        rows.append((k, " ".join(rng.choice(own[d] if rng.random() < 0.3 else ["s", "t", "u", rng.choice(own[rng.choice("abc")])]) for _ in range(rng.randrange(1, 60))), d if k % 7 else None))
+    rows += [(5, " ax  ay\tbx ", "a"), (6, rows[6][1], rows[6][2]), (500, "\n", "b"), (501, None, "c"), (None, "cx cy", "c")]
+    return rows, spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, h int")
+
+
+def test_posteriors_and_tokens_against_plain_python(spark):
+    rows, df = overlapping(spark)
+    want = plain_posteriors(rows)
     domains, priors, table = mixing.classifier(df, "lang")
-    ll = {r.bucket: r.ll for r in table.collect()}
-    bucket = {r.w: r.b for r in df.select(F.explode(F.split("text", " ")).alias("w")).select("w", F.pmod(F.xxhash64("w"), F.lit(mixing.BUCKETS)).alias("b")).distinct().collect()}
-    texts = {r.doc_id: r.text for r in df.collect()}
-    for r in mixing.posteriors(df, domains, priors, table).collect():
-        words = texts[r.doc].split()
-        z = np.array(priors) + min(1, mixing.EVIDENCE / len(words)) * sum(np.array(ll[bucket[w]]) for w in words)
-        e = np.exp(z - z.max())
-        assert r.tokens == len(words) and r.p == pytest.approx((e / e.sum()).tolist())
+    text_of = {(i, t): h for i, t, h in ((r.doc_id, r.text, r.h) for r in df.select("doc_id", "text", F.xxhash64("text").alias("h")).where("text is not null").collect())}
+    got = {(r.doc, r.h): r for r in mixing.posteriors(df, domains, priors, table).collect()}
+    assert set(got) == {(i, text_of[i, t]) for i, t in want}
+    for (i, t), (m, p) in want.items():
+        r = got[i, text_of[i, t]]
+        assert r.tokens == m and r.p == pytest.approx(p) and r.rows == sum(1 for x in rows if x[:2] == (i, t))
+    out = mixing.document_rates(df, "lang").collect()
+    assert len(out) == len(rows)
+    assert sorted(r.n_tokens for r in out if r.doc_id in (5, 6)) == sorted(len(t.split()) for i, t, _ in rows if i in (5, 6))
+
+
+@pytest.mark.parametrize(("targets", "least", "met"), [([4000, 2500, 1500], 0, True), ([300, 3000, 900], 0, True), ([0, 4000, 100], 0, False), ([3000, 0, 0], 0, False), ([9000, 5000, 4000], 1, True), ([100, 9000, 100], 1, False)])
+def test_fit_against_plain_projected_gradient(spark, targets, least, met):
+    """The totals are as near as those of a plain projected gradient in numpy where bounds bite; where targets can't
+    be met the fit says so, and is as near as an early end leaves it."""
+    rows, df = overlapping(spark)
+    want = plain_posteriors(rows)
+    every = [want[r[:2]] for r in rows if r[:2] in want]
+    tokens, p = np.array([m for m, _ in every], float), np.array([x for _, x in every])
+    found, fit = mixing.mix(df, "lang", dict(zip("abc", targets, strict=True)), least=least)
+    best = plain_rates(tokens, p, np.array(targets, float), least)
+    off = lambda x: np.linalg.norm(np.array(x) - targets)
+    assert fit.met == met and off(fit.totals) <= (off(best) + 1e-3 * sum(targets) if met else 2 * off(best) + 1e-2 * sum(targets))
+    got = found.collect()
+    assert all(r.rate >= least for r in got)
+    assert [sum(r.rate * r.tokens * r.rows * r.p[k] for r in got) for k in range(3)] == pytest.approx(fit.totals)
 
 
 def test_default_targets_shrink_nothing(spark):
     df = mixed(spark)
     rows = {r.doc_id: r for r in mixing.document_rates(df, "lang").collect()}
     assert len(rows) == 304 and rows[300].copies == 1 and rows[301].n_tokens == 0
-    out = mixing.mixed_documents(df, "lang", least=1)
+    out = mixing.mixed_documents(df, "lang", least=1.0)
     assert out.columns == df.columns
     copies = {}
     for r in out.collect():
