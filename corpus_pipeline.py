@@ -3,6 +3,11 @@
 Quality classifier, exact dedup, n-gram Jaccard join, mixing to target weights, BPE. Each stage
 takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the
 columns of ``documents``. Mixing repeats documents of small languages and drops none.
+
+Defined results: a null text is an empty one in every stage; rows without an id are scored, compared as exact
+copies, taken as alone in the n-gram join, mixed and encoded; of rows that repeat id and text the exact stage
+leaves one; an empty table gives an empty table; further columns go through all stages but the last, whatever
+their names; long texts are whole in every stage.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.llm import bpe, exact_dedup, mixing, ngram_join, quality
-from corpusmill.llm.common import stored
+from corpusmill.llm.common import discard, stored
 from corpusmill.llm.queries import tokenizer_path
 
 #: Documents with a lower quality score go.
@@ -34,8 +39,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat documents so that expected tokens by language meet the flattened targets."""
-    return mixing.mixed_documents(docs, "lang", least=1)
+    """Repeat documents so that expected tokens by language meet the flattened targets, at rates from 1 on."""
+    return mixing.mixed_documents(docs, "lang", least=1.0)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +61,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; a stage's table goes when the next one's is written."""
+    docs, spent = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(*spent)
+        spent = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
