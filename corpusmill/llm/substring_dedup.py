@@ -75,14 +75,15 @@ def _anchor_counts(window: int, n_parts: int):
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        keys, lead = [], 0
+        keys = []
         for _, data, offs, _, _ in _text_slices(table):
             words, first = word_hashes(data, offs)
             _, doc, head, h = _anchor_runs(words, first, window)
             if len(head):
-                pair = np.unique(np.stack([(doc[head] + lead).astype(U), short_keys(h, n_parts)]), axis=1)
-                keys.append(pair[1])
-            lead += len(offs) - 1
+                key, d = short_keys(h, n_parts), doc[head]
+                order = np.lexsort((key, d))
+                key, d = key[order], d[order]
+                keys.append(key[np.concatenate([[True], (key[1:] != key[:-1]) | (d[1:] != d[:-1])])])
         out = counted(bucket, np.concatenate(keys) if keys else np.zeros(0, U))
         release()
         return out
@@ -96,9 +97,11 @@ def _fragment(table: pa.Table) -> pa.Table:
     return out
 
 
-def window_keys(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes, of 64 and 32 bits, of each run of ``window`` words."""
-    return gram_hashes(words, window), (gram_hashes(mix(words ^ U(0x2545F4914F6CDD1D)), window) >> U(32)).astype(np.uint32)
+def window_checks(words: np.ndarray, window: int, starts: np.ndarray) -> np.ndarray:
+    """32 bits of a hash of its own of the windows at ``starts``."""
+    if not len(starts):
+        return np.zeros(0, np.uint32)
+    return (gram_hashes(mix(words ^ U(0x2545F4914F6CDD1D)), window)[starts] >> U(32)).astype(np.uint32)
 
 
 def _window_cells(window: int, n_parts: int):
@@ -114,8 +117,7 @@ def _window_cells(window: int, n_parts: int):
             live = np.repeat(known(short_keys(h, n_parts))[0], np.diff(np.append(head, len(starts))))
             starts, doc = starts[live], doc[live]
             if len(starts):
-                g, c = window_keys(words, window)
-                found.append((g[starts], c[starts], numbers(ids)[doc], (starts - first[doc]).astype(np.uint32)))
+                found.append((gram_hashes(words, window)[starts], window_checks(words, window, starts), numbers(ids)[doc], (starts - first[doc]).astype(np.uint32)))
         g, c, d, p = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, k) for k in (U, np.uint32, np.int64, np.uint32))
         order = np.lexsort((p, d, c, g))
         g, c, d, p = g[order], c[order], d[order], p[order]
@@ -175,13 +177,16 @@ class Places:
         self.maybe = np.zeros(int(self.mask) + 1, bool)
         self.maybe[g & self.mask] = True
 
-    def __call__(self, g: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(which windows have a place, where its entry is)"""
-        if not len(self.g):
+    def __call__(self, words: np.ndarray, window: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the windows at ``starts`` have a place, where its entry is)"""
+        if not len(self.g) or not len(starts):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        g = gram_hashes(words, window)[starts]
         which = np.flatnonzero(self.maybe[g & self.mask])
         at = np.minimum(np.searchsorted(self.g, g[which]), len(self.g) - 1)
-        good = (self.g[at] == g[which]) & (self.c[at] == c[which])
+        same = self.g[at] == g[which]
+        which, at = which[same], at[same]
+        good = self.c[at] == window_checks(words, window, starts[which])
         return which[good], at[good]
 
 
@@ -197,8 +202,7 @@ def _removed(window: int):
             if len(places.g) and len(starts) >= window:
                 words, _ = word_hashes(data, offs)
                 begin = np.flatnonzero(gram_starts(first, window))
-                g, c = window_keys(words, window)
-                which, entry = places(g[begin], c[begin])
+                which, entry = places(words, window, begin)
                 begin = begin[which]
                 doc = np.searchsorted(first, begin, side="right") - 1
                 pos, src, at = begin - first[doc], places.src[entry], places.at[entry]
