@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import codecs
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,17 +33,12 @@ def rune_class(ch: Column) -> Column:
     )
 
 
+codecs.register_error("corpusmill-repair", lambda e: ("\ufffd", e.start + 1))
+
+
 def repair_bytes(raw: bytes) -> str:
     """UTF-8 with U+FFFD for each invalid byte (not one for each broken sequence)."""
-    out, at = [], 0
-    while at < len(raw):
-        try:
-            out.append(raw[at:].decode("utf-8"))
-            break
-        except UnicodeDecodeError as e:
-            out.append(raw[at : at + e.start].decode("utf-8") + "�")
-            at += e.start + 1
-    return "".join(out)
+    return raw.decode("utf-8", "corpusmill-repair")
 
 
 def repaired(df: DataFrame, column: str) -> DataFrame:

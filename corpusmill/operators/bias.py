@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lookup import sized
 
 # ---------------------------------------------------------------- rules
 
@@ -20,10 +21,10 @@ def surrogate_merges(each: DataFrame, k: int, vocabulary: int) -> DataFrame:
 
 def rules(merges: DataFrame, vocab: DataFrame, reachable: DataFrame | None = None) -> DataFrame:
     """(rank, a, b, c, valid) of merges (rank, left, right): ids of the parts and of the product."""
-    v = vocab.select("id", "token")
+    v = sized(vocab.select("id", "token"))
     m = merges.withColumn("made", F.concat("left", "right"))
     for column, out in (("left", "a"), ("right", "b"), ("made", "c")):
-        m = m.join(F.broadcast(v.select(F.col("token").alias(column), F.col("id").alias(out))), column, "left")
+        m = m.join(v.select(F.col("token").alias(column), F.col("id").alias(out)), column, "left")
     m = m.withColumn("c", F.when(F.col("a").isNull() | F.col("b").isNull() | F.col("c").isNull(), F.raise_error(F.lit("a part of a merge is no token")).cast("long")).otherwise(F.col("c")))
     if reachable is None:
         return m.select("rank", "a", "b", "c", F.lit(True).alias("valid"))
@@ -71,9 +72,10 @@ def pairs(context: DataFrame) -> DataFrame:
 def matched(p: DataFrame, r: DataFrame) -> DataFrame:
     """The rule that merges a token with its successor, and the one with its predecessor.
 
-    Rules are as many as the merges of a vocabulary within the window; they are left to Catalyst and AQE
-    to broadcast by size.
+    Rules are as many as the merges of a vocabulary within the window; of a checked size they are
+    broadcast, and tokens stay where their document is.
     """
+    r = sized(r)
     one = r.select(F.col("a").alias("token"), F.col("b").alias("next_tok"), F.col("c").alias("merged_as_first"))
     two = r.select(F.col("a").alias("prev_tok"), F.col("b").alias("token"), F.col("c").alias("merged_as_second"))
     m = p.join(one, ["token", "next_tok"], "left").join(two, ["prev_tok", "token"], "left")
@@ -112,7 +114,7 @@ def sides(r: DataFrame) -> DataFrame:
 def peek(context: DataFrame, r: DataFrame, cutoff: int, n: int | None = None) -> DataFrame:
     """Pairs that a rule merges, with both log-probabilities; the first ``n`` by (uid, pos)."""
     p = pairs(context).select("uid", "pos", "token", "logprob", "next_tok")
-    m = p.join(r.where(F.col("c") >= cutoff).select(F.col("a").alias("token"), F.col("b").alias("next_tok"), "c"), ["token", "next_tok"])
+    m = p.join(sized(r.where(F.col("c") >= cutoff)).select(F.col("a").alias("token"), F.col("b").alias("next_tok"), "c"), ["token", "next_tok"])
     m = m.withColumn("after", F.col("pos") + 1)
     second = context.select("uid", F.col("pos").alias("after"), F.col("logprob").alias("logprob_b"))
     out = m.join(second, ["uid", "after"]).select("uid", "pos", F.col("token").alias("tok_a"), F.col("logprob").alias("logprob_a"), F.col("next_tok").alias("tok_b"), "logprob_b", F.col("c").alias("tok_c"))
@@ -121,9 +123,9 @@ def peek(context: DataFrame, r: DataFrame, cutoff: int, n: int | None = None) ->
 
 def peek_named(p: DataFrame, vocab: DataFrame) -> DataFrame:
     """The rows of ``peek`` with token strings and the sum of both log-probabilities."""
+    vocab = sized(vocab.select("id", "token"))
     for k in "abc":
-        v = vocab.select(F.col("id").alias(f"tok_{k}"), F.col("token").alias(f"text_{k}"))
-        p = p.join(F.broadcast(v), f"tok_{k}", "left")
+        p = p.join(vocab.select(F.col("id").alias(f"tok_{k}"), F.col("token").alias(f"text_{k}")), f"tok_{k}", "left")
     return p.withColumn("logprob_sum", F.col("logprob_a") + F.col("logprob_b"))
 
 

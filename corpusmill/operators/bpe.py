@@ -5,12 +5,14 @@ Also training, reachability of tokens and merges, and the tokenizer's files.
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 from functools import cached_property
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,22 +51,26 @@ class Tokenizer:
             f.write("#version: 0.2\n" + "".join(f"{a} {b}\n" for a, b in self.merges))
 
     def piece(self, text: str) -> list[int] | None:
-        """Ids of one pre-token; None where a symbol is no token."""
-        parts = list(to_symbols(text.encode()))
-        while len(parts) > 1:
-            best = min(((self.ranks.get(p, len(self.merges)), k) for k, p in enumerate(zip(parts, parts[1:], strict=False))), default=None)
-            if best[0] == len(self.merges):
-                break
-            pair, out, k = (parts[best[1]], parts[best[1] + 1]), [], 0
-            while k < len(parts):
-                if k + 1 < len(parts) and (parts[k], parts[k + 1]) == pair:
-                    out.append(parts[k] + parts[k + 1])
-                    k += 2
-                else:
-                    out.append(parts[k])
-                    k += 1
-            parts = out
-        ids = [self.vocab.get(p) for p in parts]
+        """Ids of one pre-token; None where a symbol is no token. Pairs wait in a heap by rank and place."""
+        parts: list[str | None] = list(to_symbols(text.encode()))
+        n = len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        found = ((self.ranks.get((a, b)), k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+        heap = [(r, k) for r, k in found if r is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, k = heapq.heappop(heap)
+            j = after[k]
+            if parts[k] is None or j >= n or self.merges[r] != (parts[k], parts[j]):
+                continue  # one of the two has been merged since
+            parts[k], parts[j] = parts[k] + parts[j], None
+            after[k] = after[j]
+            if after[k] < n:
+                before[after[k]] = k
+            for x in (before[k], k):
+                if x >= 0 and after[x] < n and (r := self.ranks.get((parts[x], parts[after[x]]))) is not None:
+                    heapq.heappush(heap, (r, x))
+        ids = [self.vocab.get(p) for p in parts if p is not None]
         return None if None in ids else ids
 
     def decode(self, ids: list[int]) -> str:
@@ -87,11 +93,12 @@ def encode(docs: DataFrame, t: Tokenizer, doc: str = "doc_id", text: str = "text
     rows = docs.select(F.col(doc).alias("doc"), pretokenize(with_prefix_space(c) if t.prefix_space else c).alias("pieces"))
     each = rows.select("doc", F.posexplode("pieces").alias("pos", "piece"))
 
-    @F.pandas_udf("array<int>")
-    def ids(s):
-        return s.map(t.piece)
+    def ids(it):
+        for batch in it:
+            found = [t.piece(p) for p in batch.column("piece").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("piece"), pa.array(found, pa.list_(pa.int32()))], names=["piece", "ids"])
 
-    known = each.select("piece").distinct().withColumn("ids", ids("piece"))
+    known = each.select("piece").distinct().mapInArrow(ids, "piece string, ids array<int>")
     lost = F.max(F.col("ids").isNull())
     joined = each.join(known, "piece").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("x"), lost.alias("lost"))
     flat = F.flatten(F.transform("x", lambda v: v["ids"]))

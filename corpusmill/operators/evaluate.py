@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lookup import sized
 from .score import bigram, exploded, unigram
-from .windows import WindowConfig, scored_positions
+from .windows import WindowConfig, scored_positions, times_scored
 
 
 def perplexity(scored: DataFrame, by: list[str] | None = None, weight: Column | None = None) -> DataFrame:
@@ -29,14 +30,32 @@ def perplexity_matched(scored: DataFrame, window: str = "position") -> DataFrame
 def unigram_scores(each: DataFrame, c: WindowConfig) -> DataFrame:
     """Scored rows of (doc, pos, token, length) under the corpus's own unigram model.
 
-    The log-probability belongs to the token, so the model is joined before tokens meet windows.
+    The log-probability belongs to the token, so the model is joined before tokens meet windows; a model of
+    checked size is broadcast, and tokens are not shuffled.
     """
-    return scored_positions(each.join(unigram(each), "token"), c)
+    return scored_positions(each.join(sized(unigram(each)), "token"), c)
+
+
+def unigram_perplexity(each: DataFrame, c: WindowConfig, by: list[str] | None = None) -> DataFrame:
+    """(n, ppl) of all scored tokens under the corpus's own unigram model, without a row for each of them.
+
+    A token's log-probability is the same wherever it is scored: one aggregation, combined before its
+    shuffle, gives each token's count and how often it is scored, and the rest works on distinct tokens.
+    """
+    by = by or []
+    t = each.groupBy(*by, "token").agg(F.count(F.lit(1)).alias("cnt"), F.sum(times_scored(c)).alias("times"))
+    if by:
+        t = t.join(t.groupBy("token").agg(F.sum("cnt").alias("all")), "token")
+    else:
+        t = t.withColumn("all", F.col("cnt"))
+    total = t.agg(F.sum("cnt").alias("total"))
+    t = t.crossJoin(F.broadcast(total)).withColumn("logprob", F.log(F.col("all") / F.col("total")).cast("float")).where("times > 0")
+    return perplexity(t, by, F.col("times"))
 
 
 def bigram_scores(each: DataFrame, c: WindowConfig, vocabulary: int, k: float = 0.1) -> DataFrame:
     """Scored rows of (doc, pos, token, prev, length); a scored token always has its predecessor in the window."""
-    return scored_positions(each.join(bigram(each, vocabulary, k), ["prev", "token"]), c)
+    return scored_positions(each.join(sized(bigram(each, vocabulary, k)), ["prev", "token"]), c)
 
 
 def context(tokens: DataFrame, c: WindowConfig, vocabulary: int, k: float = 0.1) -> DataFrame:

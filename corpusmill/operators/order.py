@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block, about.
-BLOCK = 8_192
+from ..sources.scratch import staged
+
+#: Rows of a block of a file, about.
+BLOCK = 65_536
+#: Blocks that integer keys are cut into, at most.
+BLOCKS = 2_048
 
 
 def prefix_sum(df: DataFrame, blocks: list[Column], inner: list[Column], value: Column, out: str) -> DataFrame:
@@ -20,9 +24,17 @@ def prefix_sum(df: DataFrame, blocks: list[Column], inner: list[Column], value:
     plain = [b[0] if isinstance(b, tuple) else b for b in blocks]
     order = [F.col(n).desc() if isinstance(b, tuple) and b[1] == "desc" else F.col(n).asc() for n, b in zip(names, blocks, strict=True)]
     d = df.withColumns({n: p for n, p in zip(names, plain, strict=True)}).withColumn("__v", value.cast("long"))
+    return _placed(df, d, _block_sums(d, names, order), names, inner, out)
+
+
+def _block_sums(d: DataFrame, names: list[str], order: list[Column]) -> DataFrame:
+    """(block, __o): the sum of all blocks before."""
     sums = d.groupBy(*names).agg(F.sum("__v").alias("__s"))
     before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("__o", F.coalesce(F.sum("__s").over(before), F.lit(0))).drop("__s")
+    return sums.withColumn("__o", F.coalesce(F.sum("__s").over(before), F.lit(0))).drop("__s")
+
+
+def _placed(df: DataFrame, d: DataFrame, sums: DataFrame, names: list[str], inner: list[Column], out: str) -> DataFrame:
     w = Window.partitionBy(*names).orderBy(*inner).rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("__r", F.coalesce(F.sum("__v").over(w), F.lit(0)))
     on = None
@@ -33,9 +45,47 @@ def prefix_sum(df: DataFrame, blocks: list[Column], inner: list[Column], value:
     return d.withColumn(out, F.col("__o") + F.col("__r")).select(*df.columns, out)
 
 
-def dense_index(df: DataFrame, key: str, out: str = "doc", block: int = BLOCK) -> DataFrame:
+def _literal(numbers: list, kind: str) -> Column:
+    """A constant array from one literal, however long it is."""
+    return F.split(F.lit(",".join(map(repr, numbers))), ",").cast(f"array<{kind}>")
+
+
+def key_bounds(df: DataFrame, key: Column, blocks: int = BLOCKS) -> list[int]:
+    """Where blocks of about as many rows each begin, by quantiles of an integer key: at most ``blocks`` numbers
+    come to the driver, however keys are spread."""
+    shares = _literal([k / blocks for k in range(1, blocks)], "double")
+    found = df.agg(F.percentile_approx(key.cast("long"), shares, 8 * blocks)).first()[0]
+    return sorted(set(found or []))
+
+
+def block_of(key: Column, bounds: list[int], fan: int = 64) -> Column:
+    """The number of the block that a key is in: a search in two steps over a literal array."""
+    if not bounds:
+        return F.lit(0)
+    k = key.cast("long")
+
+    def reached(values: Column) -> Column:
+        return F.size(F.filter(values, lambda x: x <= k))
+
+    part = reached(_literal(bounds[::fan], "bigint"))
+    inner = F.slice(_literal(bounds, "bigint"), F.greatest(part - 1, F.lit(0)) * fan + 1, F.lit(fan))
+    return F.when(part == 0, 0).otherwise((part - 1) * fan + reached(inner))
+
+
+def ordered_sum(df: DataFrame, key: str, value: Column, out: str) -> DataFrame:
+    """``out``: the sum of ``value`` over all rows with a smaller integer key. Bounds and sums of blocks come from
+    keys and values alone, which are written once; the rows themselves are shuffled once."""
+    c = F.col(key)
+    narrow = staged(df.select(c, value.cast("long").alias("__value")), "keys")
+    block = block_of(c, key_bounds(narrow, c))
+    sums = _block_sums(narrow.withColumns({"__b0": block, "__v": F.col("__value")}), ["__b0"], [F.col("__b0").asc()])
+    d = df.withColumns({"__b0": block, "__v": value.cast("long")})
+    return _placed(df, d, F.broadcast(sums), ["__b0"], [c], out)  # sums has a row for each of BLOCKS blocks
+
+
+def dense_index(df: DataFrame, key: str, out: str = "doc") -> DataFrame:
     """``out``: 0, 1, 2 ... in the order of an integer key."""
-    return prefix_sum(df, [F.floor(F.col(key) / F.lit(block))], [F.col(key)], F.lit(1), out)
+    return ordered_sum(df, key, F.lit(1), out)
 
 
 def dense_index_of_files(df: DataFrame, out: str = "doc", block: int = BLOCK) -> DataFrame:
@@ -45,6 +95,14 @@ def dense_index_of_files(df: DataFrame, out: str = "doc", block: int = BLOCK) ->
     return d.drop("__f", "__i")
 
 
+def text_key(text: Column) -> Column:
+    """The first seven bytes of a text as a number: it never falls in the order of texts."""
+    head = F.rpad(F.substring(text.cast("binary"), 1, 7), 7, F.lit(b"\0"))
+    return F.conv(F.hex(head), 16, 10).cast("long")
+
+
 def frequency_rank(df: DataFrame, count: str, key: str, out: str = "id") -> DataFrame:
-    """``out``: 0 for the largest count, ties by key. A block is one count and two first characters."""
-    return prefix_sum(df, [(F.col(count), "desc"), F.substring(key, 1, 2)], [F.col(key)], F.lit(1), out)
+    """``out``: 0 for the largest count, ties by key. A block is one count and a range of keys."""
+    df = staged(df, "counts")
+    k = text_key(F.col(key))
+    return prefix_sum(df, [(F.col(count), "desc"), block_of(k, key_bounds(df, k))], [F.col(key)], F.lit(1), out)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .order import BLOCK, prefix_sum
+from .order import ordered_sum
 
 
 def with_eot(tokens: DataFrame, eot: int) -> DataFrame:
@@ -15,7 +15,7 @@ def with_eot(tokens: DataFrame, eot: int) -> DataFrame:
 
 def offsets(tokens: DataFrame, doc: str = "doc") -> DataFrame:
     """Each document with the position of its first token in the whole stream."""
-    return prefix_sum(tokens, [F.floor(F.col(doc) / F.lit(BLOCK))], [F.col(doc)], F.size("tokens"), "offset")
+    return ordered_sum(tokens, doc, F.size("tokens"), "offset")
 
 
 def positions(tokens: DataFrame, size: int, doc: str = "doc") -> DataFrame:

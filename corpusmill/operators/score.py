@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+from ..sources.scratch import staged
+from .lookup import sized
+
+
 class Causal(Protocol):
     """What a language model offers: scores of windows, and greedy continuation."""
 
@@ -24,8 +28,11 @@ class Causal(Protocol):
 
 def exploded(tokens: DataFrame) -> DataFrame:
     """(doc, pos, token, prev, length) of (doc, tokens)."""
-    t = tokens.select("doc", "tokens", F.size("tokens").alias("length"), F.posexplode("tokens").alias("pos", "token"))
-    return t.select("doc", "pos", "token", F.when(F.col("pos") > 0, F.get("tokens", F.col("pos") - 1)).alias("prev"), "length")
+    # each token travels with its predecessor, so no row carries the array
+    kind = tokens.schema["tokens"].dataType.elementType
+    before = F.concat(F.array(F.lit(None).cast(kind)), F.slice("tokens", 1, F.greatest(F.size("tokens") - 1, F.lit(0))))
+    t = tokens.where(F.size("tokens") > 0).select("doc", F.size("tokens").alias("length"), F.posexplode(F.arrays_zip(F.col("tokens").alias("token"), before.alias("prev"))).alias("pos", "x"))
+    return t.select("doc", "pos", "x.token", "x.prev", "length")
 
 
 def unigram(tokens: DataFrame) -> DataFrame:
@@ -38,6 +45,7 @@ def unigram(tokens: DataFrame) -> DataFrame:
 def bigram(each: DataFrame, vocabulary: int, k: float = 0.1) -> DataFrame:
     """(prev, token, logprob) of the pairs that occur: ln((c(prev, token) + k) / (c(prev) + k V))."""
     pairs = each.where(F.col("prev").isNotNull()).groupBy("prev", "token").agg(F.count(F.lit(1)).alias("n"))
+    pairs = staged(pairs, "pairs")
     first = pairs.groupBy("prev").agg(F.sum("n").alias("m"))
     return pairs.join(first, "prev").select("prev", "token", F.log((F.col("n") + k) / (F.col("m") + k * vocabulary)).cast("float").alias("logprob"))
 
@@ -46,23 +54,25 @@ class Bigram:
     """A bigram model as a scorer of whole windows and a greedy generator."""
 
     def __init__(self, table: DataFrame) -> None:
-        self.table = table
+        self.table, self.best = table, None
 
     def score(self, windows: DataFrame) -> DataFrame:
-        w = windows.select("doc", "position", F.posexplode("tokens").alias("i", "token"), "tokens").where("i > 0")
-        w = w.withColumn("prev", F.get("tokens", F.col("i") - 1)).drop("tokens").join(self.table, ["prev", "token"], "left")
+        pair = F.transform(F.sequence(F.lit(2), F.greatest(F.size("tokens"), F.lit(2))), lambda i: F.struct((i - 1).cast("int").alias("i"), F.get("tokens", i - 2).alias("prev"), F.get("tokens", i - 1).alias("token")))
+        w = windows.where(F.size("tokens") > 1).select("doc", "position", F.explode(pair).alias("x")).select("doc", "position", "x.*")
+        w = w.join(sized(self.table), ["prev", "token"], "left")
         lists = w.groupBy("doc", "position").agg(F.array_sort(F.collect_list(F.struct("i", "logprob"))).alias("x"))
         return windows.join(lists, ["doc", "position"], "left").withColumn("logprobs", F.transform("x", lambda v: v["logprob"])).drop("x")
 
     def generate(self, prompt: list[int], steps: int) -> list[int]:
         if not prompt:
             raise ValueError("the prompt is empty")
+        if self.best is None:
+            # one row for each token of the vocabulary
+            best = self.table.groupBy("prev").agg(F.min(F.struct((-F.col("logprob")).alias("cost"), "token")).alias("x"))
+            self.best = {r["prev"]: r["token"] for r in best.select("prev", "x.token").toLocalIterator()}
         out = list(prompt)
-        for _ in range(steps):
-            best = self.table.where(F.col("prev") == out[-1]).orderBy(F.desc("logprob"), "token").first()
-            if best is None:
-                break
-            out.append(best["token"])
+        while len(out) < len(prompt) + steps and out[-1] in self.best:
+            out.append(self.best[out[-1]])
         return out[len(prompt) :]
 
 

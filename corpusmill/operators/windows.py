@@ -69,21 +69,40 @@ def jobs(windows: DataFrame) -> DataFrame:
     return windows.withColumn("seen", F.greatest("seen", F.lit(1)))
 
 
+def _scoring_windows(c: WindowConfig, length: str, pos: str) -> tuple[Column, Column]:
+    """First and last window that hold the token at ``pos`` (last below first: none)."""
+    p, n = F.col(pos), full_windows(F.col(length), c)
+    low = F.greatest(F.lit(0), F.ceil((p - c.window + 1) / F.lit(c.stride))).cast("int")
+    return low, F.least(F.floor(p / F.lit(c.stride)).cast("int"), n if c.tail else n - 1)
+
+
+def _counts_in(window: Column, c: WindowConfig, length: str, pos: str) -> Column:
+    """Whether the token is scored in a window that holds it."""
+    start = window * c.stride
+    size = F.least(F.lit(c.window), F.col(length) - start)
+    seen = F.greatest(F.least(start, size, F.lit(c.window - c.stride)), F.lit(1))
+    return F.col(pos) - start >= seen
+
+
 def scored_positions(tokens: DataFrame, c: WindowConfig, length: str = "length", pos: str = "pos", dedupe: bool = False) -> DataFrame:
     """One row for each time a token (at ``pos`` of ``length``) is scored, with the window's position.
 
     The windows of a token are an interval of positions, so no window array is built. With
     ``dedupe`` a token counts in its first window only.
     """
-    p, n = F.col(pos), full_windows(F.col(length), c)
-    low = F.greatest(F.lit(0), F.ceil((p - c.window + 1) / F.lit(c.stride))).cast("int")
-    last = n if c.tail else n - 1
-    high = F.least(F.floor(p / F.lit(c.stride)).cast("int"), last)
+    low, high = _scoring_windows(c, length, pos)
     w = tokens.where(high >= low).withColumn("position", F.explode(F.sequence(low, high)))
-    start = F.col("position") * c.stride
-    size = F.least(F.lit(c.window), F.col(length) - start)
-    seen = F.greatest(F.least(start, size, F.lit(c.window - c.stride)), F.lit(1))
-    w = w.where(p - start >= seen)
+    w = w.where(_counts_in(F.col("position"), c, length, pos))
     if dedupe:
         w = w.where(F.col("position") == low)
     return w
+
+
+def times_scored(c: WindowConfig, length: str = "length", pos: str = "pos") -> Column:
+    """How often a token is scored, as one expression: a token is in few windows, last ones first."""
+    low, high = _scoring_windows(c, length, pos)
+    total = F.lit(0)
+    for back in range(-(-c.window // c.stride)):
+        k = high - back
+        total = total + F.when((k >= low) & _counts_in(k, c, length, pos), 1).otherwise(0)
+    return total

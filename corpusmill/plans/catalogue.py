@@ -9,13 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import mathfn, tensor
+from ..functions import bytelevel, mathfn, tensor
 from ..functions.bytelevel import alphabet_table
 from ..functions.pretok import byte_tokens
 from ..operators import bias, bpe, embed, evaluate, pack, score, vocabulary
-from ..operators.order import prefix_sum
-from ..operators.windows import WindowConfig, jobs, scored_positions, token_windows
-from ..sources import listing, shards, texts
+from ..operators.order import ordered_sum
+from ..operators.windows import WindowConfig, jobs, token_windows
+from ..sources import listing, manifest, shards, texts
+from ..sources.scratch import scratch
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -86,6 +87,31 @@ def count_delimiters(spark, sf):
     return texts.delimiter_count(documents(spark, sf), "text")
 
 
+def _as_files(spark, sf) -> str:
+    """The documents' texts as delimited files, each ended by a line feed, in order of their ids."""
+    path = scratch(spark, "delimited")
+    documents(spark, sf).where("text is not null").repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id").select("text").write.text(path, lineSep="\n")
+    return path
+
+
+_LINES = "SELECT row_number() OVER (ORDER BY doc_id, pos) - 1 AS doc, record FROM (SELECT doc_id, unnest(p) AS record, unnest(range(len(p))) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL))"
+
+
+@query(f"SELECT doc, md5(record || chr(10)) AS digest FROM ({_LINES})")
+def delimited_files(spark, sf):
+    return texts.delimited_texts(spark, _as_files(spark, sf)).select("doc", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query(f"SELECT doc, md5(CASE WHEN length(record) > 1 AND ends_with(record, chr(13)) THEN record[:-2] ELSE record END) AS digest FROM ({_LINES})")
+def delimited_files_strip(spark, sf):
+    return texts.delimited_texts(spark, _as_files(spark, sf), strip=True).select("doc", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query(f"SELECT count(*) AS n FROM ({_LINES})")
+def count_file_delimiters(spark, sf):
+    return texts.delimiters_in_files(spark, _as_files(spark, sf))
+
+
 @query("SELECT 0::BIGINT AS doc, 'one literal' AS text")
 def literal_text(spark, sf):
     return texts.literal_text(spark, "one literal")
@@ -170,19 +196,25 @@ def _windows_sql(w: int, s: int, tail: bool, left: bool = False, right: bool = F
     pads = left or right
     keep = "len > 0" if tail else "k < n"
     missing = f"CASE WHEN k = n THEN {w} - len ELSE 0 END" if pads else "0"
+    pad = f"list_transform(range({missing}), lambda x: 0)"
+    own = "tokens[start + 1 : start + len]"
+    cut = f"list_concat({pad}, {own})" if left else f"list_concat({own}, {pad})" if right else own
     return f"""
 WITH t AS (SELECT doc, tokens, len(tokens) AS size, CASE WHEN len(tokens) >= {w} THEN (len(tokens) - {w}) // {s} + 1 ELSE 0 END AS n FROM ({_BYTES})),
 x AS (SELECT doc, tokens, size, n, unnest(range(n + 1)) AS k FROM t),
 y AS (SELECT *, k * {s} AS start, least({w}, greatest(size - k * {s}, 0)) AS len FROM x)
-SELECT doc, k::INT AS position, start::INT AS start, (len + {missing if pads else '0'})::INT AS n_tokens, coalesce(list_sum(tokens[start + 1 : start + len]), 0)::BIGINT AS total,
+SELECT doc, k::INT AS position, start::INT AS start, (len + {missing if pads else '0'})::INT AS n_tokens, md5(array_to_string({cut}, ',')) AS digest,
   least(start, len, {w - s})::INT AS seen, ({missing if left else '0'})::INT AS pad_left, ({missing if right else '0'})::INT AS pad_right
 FROM y WHERE {keep}"""
 
 
+def _digest(numbers: str):
+    return F.md5(F.array_join(F.col(numbers).cast("array<string>"), ",").cast("binary"))
+
+
 def _window_rows(spark, sf, c: WindowConfig) -> DataFrame:
     w = token_windows(_bytes(spark, sf), c)
-    total = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x)
-    return w.select("doc", "position", "start", F.size("tokens").alias("n_tokens"), total.alias("total"), "seen", "pad_left", "pad_right")
+    return w.select("doc", "position", "start", F.size("tokens").alias("n_tokens"), _digest("tokens").alias("digest"), "seen", "pad_left", "pad_right")
 
 
 @query(_windows_sql(BW, BS, False))
@@ -266,10 +298,29 @@ def _context(spark, sf):
     return evaluate.context(_bytes(spark, sf), WindowConfig(W, S), BYTES, SMOOTH)
 
 
-@query(f"SELECT uid, count(*) AS n, min(pos) AS first, max(pos) AS last, sum(token)::BIGINT AS tokens, round(sum(logprob::DOUBLE), 2) AS logprob FROM ({_CONTEXT}) GROUP BY uid")
+def _rows_sql(*columns: str) -> str:
+    """A digest of all rows of a group in the order of the columns; nulls are -1."""
+    row = " || ':' || ".join(f"coalesce({c}, -1)::BIGINT" for c in columns)
+    return f"md5(string_agg({row}, ',' ORDER BY {', '.join(columns)}))"
+
+
+def _rows(*columns: str):
+    row = F.struct(*[F.coalesce(F.col(c).cast("long"), F.lit(-1)).alias(c) for c in columns])
+    return F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(row)), lambda r: F.concat_ws(":", *[r[c].cast("string") for c in columns])), ",").cast("binary"))
+
+
+@query(f"SELECT uid, count(*) AS n, {_rows_sql('pos', 'token')} AS digest, round(sum(logprob::DOUBLE), 2) AS logprob FROM ({_CONTEXT}) GROUP BY uid")
 def context_table(spark, sf):
-    c = _context(spark, sf)
-    return c.groupBy("uid").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.sum("token").alias("tokens"), F.round(F.sum(F.col("logprob").cast("double")), 2).alias("logprob"))
+    return _context(spark, sf).groupBy("uid").agg(F.count(F.lit(1)).alias("n"), _rows("pos", "token").alias("digest"), F.round(F.sum(F.col("logprob").cast("double")), 2).alias("logprob"))
+
+
+@query(f"SELECT uid AS doc, count(*) AS n, {_rows_sql('pos', 'token')} AS digest, round(sum(logprob::DOUBLE), 2) AS logprob FROM ({_CONTEXT}) GROUP BY uid")
+def score_windows(spark, sf):
+    """Windows as jobs, scored by a model and lined up with what counts of them: the rows of the context table."""
+    tokens = _bytes(spark, sf)
+    model = score.Bigram(score.bigram(score.exploded(tokens), BYTES, SMOOTH))
+    rows = score.evaluate(jobs(token_windows(tokens, WindowConfig(W, S))), model, lambda df: df.withColumn("pos", F.col("start") + F.col("seen") + F.col("i")))
+    return rows.groupBy(F.col("doc").cast("int").alias("doc")).agg(F.count(F.lit(1)).alias("n"), _rows("pos", "token").alias("digest"), F.round(F.sum(F.col("logprob").cast("double")), 2).alias("logprob"))
 
 
 _PPL = "count(*) AS n, round(exp(-sum(logprob::DOUBLE) / count(*)), 4) AS ppl"
@@ -281,12 +332,12 @@ def _ppl(df):
 
 @query(f"SELECT {_PPL} FROM ({_UNI_SCORED})")
 def perplexity(spark, sf):
-    return _ppl(evaluate.perplexity(evaluate.unigram_scores(_each_piece(spark, sf), WindowConfig(W, S, True))))
+    return _ppl(evaluate.unigram_perplexity(_each_piece(spark, sf), WindowConfig(W, S, True)))
 
 
 @query(f"SELECT lang, {_PPL} FROM ({_UNI_SCORED}) GROUP BY lang")
 def perplexity_by_lang(spark, sf):
-    return _ppl(evaluate.perplexity(evaluate.unigram_scores(_each_piece(spark, sf, "lang"), WindowConfig(W, S, True)), ["lang"]))
+    return _ppl(evaluate.unigram_perplexity(_each_piece(spark, sf, "lang"), WindowConfig(W, S, True), ["lang"]))
 
 
 _JOINED = f"""SELECT token, row_number() OVER (ORDER BY doc, pos) - 1 AS pos, count(*) OVER () AS length FROM (
@@ -297,24 +348,23 @@ _JOINED_UNI = f"(SELECT token, ln(count(*) / (SELECT count(*) FROM ({_JOINED})))
 _JOINED_SCORED = f"SELECT * FROM ({_scored_sql(_JOINED, 1024, 512, True)}) s JOIN {_JOINED_UNI} USING (token)"
 
 
-def _joined_scores(spark, sf):
-    """All documents as one, with two line feeds after each, under its unigram model."""
+def _joined(spark, sf):
+    """All documents as one, with two line feeds after each: (pos, token, length)."""
     d = documents(spark, sf).select(F.col("doc_id").alias("doc"), F.concat(vocabulary.pretokenize(F.col("text")), F.array(F.lit(NEWLINES))).alias("tokens"))
-    d = prefix_sum(d, [F.floor(F.col("doc") / F.lit(4096))], [F.col("doc")], F.size("tokens"), "offset")
+    d = ordered_sum(d, "doc", F.size("tokens"), "offset")
     total = d.agg(F.sum(F.size("tokens")).alias("length"))
-    each = d.select("offset", F.posexplode("tokens").alias("i", "token")).select((F.col("offset") + F.col("i")).alias("pos"), "token").crossJoin(F.broadcast(total))
-    return scored_positions(each.join(score.unigram(each), "token"), WindowConfig(1024, 512, True))
+    return d.select("offset", F.posexplode("tokens").alias("i", "token")).select((F.col("offset") + F.col("i")).alias("pos"), "token").crossJoin(F.broadcast(total))
 
 
 @query(f"SELECT {_PPL} FROM ({_JOINED_SCORED})")
 def perplexity_joined(spark, sf):
-    return _ppl(evaluate.perplexity(_joined_scores(spark, sf)))
+    return _ppl(evaluate.unigram_perplexity(_joined(spark, sf), WindowConfig(1024, 512, True)))
 
 
 @query(f"""SELECT sum(c)::BIGINT AS n, round(exp(-sum(lp / m * c) / sum(c)), 4) AS ppl FROM (
 SELECT lp, m, CASE WHEN k = 0 THEN m ELSE m - 1 END AS c FROM (SELECT k, sum(logprob::DOUBLE) AS lp, count(*) AS m FROM ({_JOINED_SCORED}) GROUP BY k))""")
 def perplexity_matched(spark, sf):
-    return _ppl(evaluate.perplexity_matched(_joined_scores(spark, sf)))
+    return _ppl(evaluate.perplexity_matched(evaluate.unigram_scores(_joined(spark, sf), WindowConfig(1024, 512, True))))
 
 
 # ---------------------------------------------------------------- rules and bias
@@ -352,14 +402,22 @@ def rule_oov(spark, sf):
     return bias.extract(_merges(spark, sf), _CUT2, None)[0].select("a", "b", "c")
 
 
-_BIAS = f"""WITH context AS MATERIALIZED ({_CONTEXT}), oov_rules AS MATERIALIZED (SELECT a, b, c FROM ({_MERGES}) WHERE c >= {BYTES} AND c < {BYTES + MERGES}),
-pairs AS (SELECT uid, pos, token, logprob, lead(token) OVER w AS next_tok, lag(token) OVER w AS prev_tok FROM context WINDOW w AS (PARTITION BY uid ORDER BY pos)),
-matched AS (SELECT p.*, f.c AS merged_as_first, g.c AS merged_as_second FROM pairs p LEFT JOIN oov_rules f ON p.token = f.a AND p.next_tok = f.b LEFT JOIN oov_rules g ON p.prev_tok = g.a AND p.token = g.b),
-summed AS (SELECT uid, tok, adj AS pos, sum(logprob::DOUBLE) AS token_logprob FROM (
-  SELECT uid, logprob, coalesce(merged_as_first, merged_as_second, token) AS tok, CASE WHEN merged_as_first IS NULL AND merged_as_second IS NOT NULL THEN pos - 1 ELSE pos END AS adj FROM matched)
-  WHERE tok >= {BYTES - MERGES} AND tok < {BYTES + MERGES} GROUP BY uid, tok, adj),
-results AS (SELECT tok, quantile_cont(token_logprob, 0.5) AS median, quantile_cont(token_logprob, 0.75) AS q75, quantile_cont(token_logprob, 0.25) AS q25,
-  avg(token_logprob) AS mean, stddev_samp(token_logprob) AS std, count(*) AS num, tok < {BYTES} AS treat FROM summed GROUP BY tok)
+_BIAS = f"""WITH context AS MATERIALIZED ({_CONTEXT}), mended AS MATERIALIZED (SELECT a, b, c FROM ({_MERGES}) WHERE c >= {BYTES} AND c < {BYTES + MERGES}),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY pos) AS line FROM context),
+near AS MATERIALIZED (SELECT x.uid, x.pos, x.token, x.logprob, y.token AS right_of, z.token AS left_of FROM numbered x
+  LEFT JOIN numbered y ON y.uid = x.uid AND y.line = x.line + 1 LEFT JOIN numbered z ON z.uid = x.uid AND z.line = x.line - 1),
+begins AS (SELECT uid, pos, logprob, c FROM near, mended WHERE token = a AND right_of = b),
+ends AS (SELECT uid, pos, logprob, c FROM near, mended WHERE left_of = a AND token = b),
+moved AS (SELECT uid, pos, logprob, c AS tok FROM begins
+  UNION ALL SELECT uid, pos - 1, logprob, c FROM ends ANTI JOIN begins USING (uid, pos)
+  UNION ALL SELECT uid, pos, logprob, token FROM near ANTI JOIN (SELECT uid, pos FROM begins UNION SELECT uid, pos FROM ends) USING (uid, pos)),
+sums AS MATERIALIZED (SELECT uid, tok, pos, sum(logprob::DOUBLE) AS lp FROM moved WHERE tok BETWEEN {BYTES - MERGES} AND {BYTES + MERGES - 1} GROUP BY uid, tok, pos),
+ranked AS (SELECT tok, lp, row_number() OVER (PARTITION BY tok ORDER BY lp) - 1 AS i, count(*) OVER (PARTITION BY tok) - 1 AS top FROM sums),
+cuts AS (SELECT tok, p, max(lp) FILTER (i = floor(top * p)) AS low, max(lp) FILTER (i = ceil(top * p)) AS high, any_value(top * p - floor(top * p)) AS part
+  FROM ranked, (VALUES (0.25::DOUBLE), (0.5), (0.75)) q(p) GROUP BY tok, p),
+quartiles AS (SELECT tok, max(low + part * (high - low)) FILTER (p = 0.25) AS q25, max(low + part * (high - low)) FILTER (p = 0.5) AS median, max(low + part * (high - low)) FILTER (p = 0.75) AS q75 FROM cuts GROUP BY tok),
+moments AS (SELECT tok, sum(lp) / count(*) AS mean, count(*) AS num, var_samp(lp) AS v FROM sums GROUP BY tok),
+results AS (SELECT tok, median, q75, q25, mean, sqrt(v) AS std, num, tok < {BYTES} AS treat FROM quartiles JOIN moments USING (tok))
 """
 
 
@@ -375,21 +433,20 @@ def _results(spark, sf):
     return bias.results(bias.summed(_matched(spark, sf), BYTES, MERGES), BYTES)
 
 
-@query(_BIAS + "SELECT uid, count(*) AS n, sum(next_tok)::BIGINT AS next, sum(prev_tok)::BIGINT AS prev FROM pairs GROUP BY uid")
+@query(_BIAS + f"SELECT uid, count(*) AS n, {_rows_sql('pos', 'token', 'right_of', 'left_of')} AS digest FROM near GROUP BY uid")
 def pairs(spark, sf):
-    return bias.pairs(_context(spark, sf)).groupBy("uid").agg(F.count(F.lit(1)).alias("n"), F.sum("next_tok").alias("next"), F.sum("prev_tok").alias("prev"))
+    return bias.pairs(_context(spark, sf)).groupBy("uid").agg(F.count(F.lit(1)).alias("n"), _rows("pos", "token", "next_tok", "prev_tok").alias("digest"))
 
 
-@query(_BIAS + "SELECT coalesce(merged_as_first, -1) AS merged_as_first, coalesce(merged_as_second, -1) AS merged_as_second, count(*) AS n, sum(pos)::BIGINT AS places FROM matched GROUP BY 1, 2")
+@query(_BIAS + f"SELECT uid, count(*) AS n, {_rows_sql('pos', 'one', 'two')} AS digest FROM (SELECT n.uid, n.pos, x.c AS one, y.c AS two FROM near n LEFT JOIN begins x USING (uid, pos) LEFT JOIN ends y USING (uid, pos)) GROUP BY uid")
 def matched(spark, sf):
-    m = _matched(spark, sf).withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("merged_as_first", "merged_as_second")})
-    return m.groupBy("merged_as_first", "merged_as_second").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("places"))
+    return _matched(spark, sf).groupBy("uid").agg(F.count(F.lit(1)).alias("n"), _rows("pos", "merged_as_first", "merged_as_second").alias("digest"))
 
 
-@query(_BIAS + "SELECT uid, count(*) AS n, sum(tok)::BIGINT AS toks, sum(pos)::BIGINT AS places, round(sum(token_logprob), 2) AS logprob FROM summed GROUP BY uid")
+@query(_BIAS + f"SELECT uid, count(*) AS n, {_rows_sql('pos', 'tok')} AS digest, round(sum(lp), 2) AS logprob FROM sums GROUP BY uid")
 def summed_oov(spark, sf):
     s = bias.summed(_matched(spark, sf), BYTES, MERGES)
-    return s.groupBy("uid").agg(F.count(F.lit(1)).alias("n"), F.sum("tok").alias("toks"), F.sum("pos").alias("places"), F.round(F.sum("token_logprob"), 2).alias("logprob"))
+    return s.groupBy("uid").agg(F.count(F.lit(1)).alias("n"), _rows("pos", "tok").alias("digest"), F.round(F.sum("token_logprob"), 2).alias("logprob"))
 
 
 @query(_BIAS + "SELECT tok, round(median, 5) AS median, round(q75, 5) AS q75, round(q25, 5) AS q25, round(q75 - q25, 5) AS iqr, round(mean, 5) AS mean, round(std, 5) AS std, num, treat FROM results")
@@ -403,13 +460,46 @@ def bias_sides(spark, sf):
     return bias.sides(_results(spark, sf))
 
 
-@query(_BIAS + f"""SELECT m.uid, m.pos, m.token AS tok_a, round(m.logprob::DOUBLE, 5) AS logprob_a, m.next_tok AS tok_b, round(x.logprob::DOUBLE, 5) AS logprob_b, r.c AS tok_c
-FROM pairs m JOIN oov_rules r ON m.token = r.a AND m.next_tok = r.b JOIN context x ON x.uid = m.uid AND x.pos = m.pos + 1 WHERE r.c >= {BYTES} ORDER BY m.uid, m.pos LIMIT 100""")
-def bias_peek(spark, sf):
+_PEEK = f"""SELECT n.uid, n.pos, n.token AS tok_a, round(n.logprob::DOUBLE, 5) AS logprob_a, n.right_of AS tok_b, round(m.logprob::DOUBLE, 5) AS logprob_b, x.c AS tok_c
+FROM near n JOIN begins x USING (uid, pos) JOIN context m ON m.uid = n.uid AND m.pos = n.pos + 1 WHERE x.c >= {BYTES} ORDER BY n.uid, n.pos LIMIT 100"""
+
+
+def _peek(spark, sf):
     p = bias.peek(_context(spark, sf), _bias_rules(spark, sf), BYTES, 100)
     return p.withColumns({c: F.round(F.col(c).cast("double"), 5) for c in ("logprob_a", "logprob_b")})
 
 
+@query(_BIAS + _PEEK)
+def bias_peek(spark, sf):
+    return _peek(spark, sf)
+
+
+# tokens as text: the symbols of bytes, and of merges their two parts
+_SYMBOL = """CASE WHEN b BETWEEN 33 AND 126 OR b BETWEEN 161 AND 172 OR b BETWEEN 174 AND 255 THEN chr(b::INT)
+  WHEN b < 33 THEN chr((256 + b)::INT) WHEN b < 161 THEN chr((256 + 33 + b - 127)::INT) ELSE chr(256 + 67) END"""
+_NAMES = f"SELECT b::INT AS id, {_SYMBOL} AS name FROM range(256) t(b)"
+
+
+def _named_vocabulary(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """(id, token) of bytes and merges, and the merges (rank, left, right) as text."""
+    symbols = alphabet_table(spark).select(F.col("byte").alias("id"), F.col("symbol").alias("token"))
+    m = _merges(spark, sf).join(symbols.toDF("a", "left"), "a").join(symbols.toDF("b", "right"), "b")
+    return symbols.union(m.select("c", F.concat("left", "right"))), m.select("rank", "left", "right")
+
+
+@query(f"SELECT rank, a, b, c, true AS valid FROM ({_MERGES})")
+def rule_ids(spark, sf):
+    """Rules from merges as text: the ids of the parts and of the product."""
+    vocab, merges = _named_vocabulary(spark, sf)
+    return bias.rules(merges, vocab, vocab.select("token"))
+
+
+@query(_BIAS + f"""SELECT p.*, x.name AS text_a, y.name AS text_b, u.name || v.name AS text_c, round(logprob_a + logprob_b, 4) AS logprob_sum
+FROM ({_PEEK}) p JOIN ({_NAMES}) x ON x.id = tok_a JOIN ({_NAMES}) y ON y.id = tok_b JOIN mended m ON m.c = tok_c JOIN ({_NAMES}) u ON u.id = m.a JOIN ({_NAMES}) v ON v.id = m.b""")
+def bias_peek_named(spark, sf):
+    return bias.peek_named(_peek(spark, sf), _named_vocabulary(spark, sf)[0]).withColumn("logprob_sum", F.round("logprob_sum", 4))
+
+
 @query(_BIAS + "SELECT treat, round(regr_intercept(mean, tok), 4) AS intercept, round(regr_slope(mean, tok), 6) AS slope, min(tok) AS x_min, max(tok) AS x_max, count(*) AS points FROM results GROUP BY treat")
 def rd_fit(spark, sf):
     return bias.fits(_results(spark, sf)).withColumns({"intercept": F.round("intercept", 4), "slope": F.round("slope", 6)})
@@ -503,21 +593,12 @@ def first_mismatch(spark, sf):
 
 @query(f"SELECT (g // {SHARD})::INT AS shard, count(*)::INT AS n_tokens, sum(token)::BIGINT AS total, 'gpt-2' AS model FROM ({_PACKED}) GROUP BY 1")
 def shard_roundtrip(spark, sf):
-    path = _scratch(spark) + "/shards"
+    path = scratch(spark, "shards")
     shards.write_shards(pack.slabs(_stream(spark, sf), SHARD), path, "gpt-2", "train")
     total = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x)
     return shards.read_shards(spark, path).select("shard", F.size("tokens").alias("n_tokens"), total.alias("total"), "model")
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all executors share; a temporary one where it is unset."""
-    import tempfile
-    import uuid
-
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{where.rstrip('/')}/{uuid.uuid4().hex}" if where else tempfile.mkdtemp(prefix="corpusmill-")
-
-
 # ---------------------------------------------------------------- arrays
 
 _X = "list_transform(embedding, lambda x: x::DOUBLE)"
@@ -602,6 +683,15 @@ def manifest_sha256(spark, sf):
     return b.select(F.format_string("item/%06d.txt", "item_id").alias("item"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
 
 
+@query("SELECT item_id, sha256(text || chr(10)) AS sha256 FROM benchmark WHERE item_id % 10 <> 3 OR item_id = 13")
+def manifest_files(spark, sf):
+    """Items as files of a folder each; of the folders that end in 3 only 13 comes back."""
+    path = scratch(spark, "items")
+    table(spark, sf, "benchmark").select("text", "item_id").write.partitionBy("item_id").text(path, lineSep="\n")
+    m = manifest.manifest(spark, path, ["# comment", "item_id=*3", "!item_id=13", "*.crc"])
+    return m.select(F.regexp_extract("item", r"^item_id=(\d+)/", 1).cast("long").alias("item_id"), "sha256")
+
+
 @query("SELECT DISTINCT source AS split FROM documents WHERE source <> ''")
 def listing_splits(spark, sf):
     return listing.splits(documents(spark, sf).select(F.col("source").alias("split")))
@@ -619,10 +709,31 @@ def _trained(spark, sf):
     return bpe.train(vocabulary.dictionary(table(spark, sf, "benchmark"), prefix_space=True), 600, least=1)
 
 
-@query()
+#: Merges of a small tokenizer whose ids SQL can tell: a merge replaces its two parts everywhere, in order of rank.
+_PARTS = ("t h", "i n", "e r", "a n", "th e", "r e", "o n", "e n", "s t", "Ġ the", "a a", "aa a", "in g", "Ġ s", "o r", "Ġ d", "an d", "Ã ©", "l l", "Ġ and")
+_ORDER = bytelevel.initial_alphabet()
+
+
+def _small_tokenizer() -> bpe.Tokenizer:
+    merges = tuple(tuple(m.split(" ")) for m in _PARTS)
+    return bpe.Tokenizer({x: k for k, x in enumerate([*_ORDER, *(a + b for a, b in merges)])}, merges)
+
+
+def _ids_sql() -> str:
+    """(doc, tokens): pieces as byte symbols in brackets, which merges replace."""
+    def hexed(symbols: str) -> str:
+        return bytelevel.from_symbols(symbols).hex().upper()
+
+    text = "array_to_string(list_transform(pieces, lambda p: regexp_replace(hex(encode(p)), '(..)', '<\\1>', 'g')), '|')"
+    for a, b in (m.split(" ") for m in _PARTS):
+        text = f"replace({text}, '<{hexed(a)}><{hexed(b)}>', '<{hexed(a + b)}>')"
+    ids = ", ".join(f"'{hexed(x)}': {k}" for x, k in _small_tokenizer().vocab.items())
+    return f"SELECT doc, list_transform(regexp_extract_all({text}, '[0-9A-F]+'), lambda x: (MAP {{{ids}}})[x]) AS tokens FROM ({_DOC_PIECES})"
+
+
+@query(f"SELECT doc, len(tokens)::INT AS n, md5(array_to_string(tokens, ',')) AS digest FROM ({_ids_sql()})")
 def bpe_encode(spark, sf):
-    t = bpe.encode(table(spark, sf, "benchmark"), _trained(spark, sf), "item_id")
-    return t.select("doc", F.size("tokens").alias("n"), F.md5(F.array_join(F.col("tokens").cast("array<string>"), ",").cast("binary")).alias("digest"))
+    return bpe.encode(documents(spark, sf), _small_tokenizer()).select("doc", F.size("tokens").alias("n"), _digest("tokens").alias("digest"))
 
 
 @query("SELECT doc_id AS doc, md5(text) AS digest FROM documents")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -40,17 +40,21 @@ def compiled(line: str) -> tuple[re.Pattern, bool] | None:
     return re.compile(head + out + ("/.*$" if folder else "(?:/.*)?$")), keeps
 
 
-def ignored(path: str, rules: list[tuple[re.Pattern, bool]]) -> bool:
-    """The last rule that matches decides; below an ignored folder nothing comes back."""
-    parts = path.split("/")
-    for k in range(1, len(parts) + 1):
-        prefix, state = "/".join(parts[:k]) + ("/" if k < len(parts) else ""), False
+def ignored(path: Column, rules: list[tuple[re.Pattern, bool]]) -> Column:
+    """The last rule that matches decides; below an ignored folder nothing comes back. JVM expressions only: a
+    path is out if one of its folders or the path itself is."""
+    parts = F.split(path, "/")
+
+    def out(k: Column) -> Column:
+        bare = F.array_join(F.slice(parts, 1, k), "/")
+        folder = k < F.size(parts)
+        state = F.lit(False)
         for rule, keeps in rules:
-            if rule.match(prefix) or (k < len(parts) and rule.match(prefix.rstrip("/"))):
-                state = not keeps
-        if state:
-            return True
-    return False
+            hit = bare.rlike(rule.pattern) | (folder & F.concat(bare, F.lit("/")).rlike(rule.pattern))
+            state = F.when(hit, F.lit(not keeps)).otherwise(state)
+        return state
+
+    return F.exists(F.sequence(F.lit(1), F.size(parts)), out)
 
 
 def manifest(spark: SparkSession, root: str, ignore: list[str] = ()) -> DataFrame:
@@ -61,12 +65,7 @@ def manifest(spark: SparkSession, root: str, ignore: list[str] = ()) -> DataFram
     item = F.expr(f"substring(regexp_replace(path, '^[a-z]+:/*', '/'), {len(base) + 1})")
     rows = files.select(item.alias("item"), "content")
     if rules:
-
-        @F.pandas_udf("boolean")
-        def out(s):
-            return s.map(lambda p: ignored(p, rules))
-
-        rows = rows.where(~out("item"))
+        rows = rows.where(~ignored(F.col("item"), rules))
     return rows.select("item", F.sha2("content", 256).alias("sha256"))
 
 

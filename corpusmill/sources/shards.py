@@ -7,6 +7,7 @@ with columns (shard, at, tokens), all rows of a shard in one task (see ``write_s
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import struct
@@ -76,14 +77,14 @@ class ShardWriter(DataSourceWriter):
             raise ValueError(f"unknown model {self.model}")
 
     def write(self, rows):
-        by: dict[int, list] = {}
-        for r in rows:
-            by.setdefault(r["shard"], []).append((r["at"], r["tokens"]))
+        """Rows arrive by shard and place, so one shard is held at a time."""
         files = []
         os.makedirs(self.dir, exist_ok=True)
-        for shard, parts in sorted(by.items()):
-            body = np.concatenate([np.array(t, np.int64) for _, t in sorted(parts, key=lambda p: p[0])])
+        for shard, parts in itertools.groupby(rows, key=lambda r: r["shard"]):
+            body = np.concatenate([np.array(r["tokens"], np.int64) for r in parts])
             path = os.path.join(self.dir, f"{self.name}_{shard:06d}.bin")
+            if path in files:
+                raise ValueError("rows of a shard are apart: sort them by shard and place")
             tmp = f"{path}.part-{os.getpid()}"
             with open(tmp, "wb") as f:
                 f.write(serialize(body, self.model))
@@ -116,8 +117,7 @@ def register(spark: SparkSession) -> None:
 def write_shards(slabs: DataFrame, path: str, model: str = "gpt-2", name: str = "train") -> None:
     """Write the slabs (shard, at, tokens) of ``operators.pack.slabs``, one file a shard."""
     register(slabs.sparkSession)
-    n = slabs.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    slabs.repartition(int(n), "shard").sortWithinPartitions("shard", "at").write.format("tokenshard").option("model", model).option("name", name).mode("append").save(path)
+    slabs.repartition("shard").sortWithinPartitions("shard", "at").write.format("tokenshard").option("model", model).option("name", name).mode("append").save(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
@@ -136,3 +136,10 @@ def peek(shards: DataFrame, n: int) -> DataFrame:
     """(file, tokens): the first n tokens of each shard; fewer are an error."""
     enough = F.when(F.size("tokens") >= n, F.slice("tokens", 1, n)).otherwise(F.raise_error(F.lit("the shard is shorter")).cast("array<bigint>"))
     return shards.select("file", enough.alias("tokens"))
+
+
+def peek_text(shards: DataFrame, n: int, tokenizer) -> DataFrame:
+    """(file, text): the first n tokens of each shard, decoded by an ``operators.bpe.Tokenizer``."""
+    from ..operators.bpe import decode
+
+    return decode(peek(shards, n).select(F.col("file").alias("doc"), "tokens"), tokenizer).select(F.col("doc").alias("file"), "text")

@@ -49,21 +49,55 @@ def _quoted(s: str) -> str:
     return "".join(f"\\x{{{ord(c):x}}}" for c in s)
 
 
-def delimited_texts(spark: SparkSession, path: str, delimiter: str = "\n", strip: bool = False, most: int | None = None) -> DataFrame:
+#: File names whose sizes say nothing about their texts.
+PACKED = r"\.(gz|bz2|deflate|lz4|snappy|zst|xz)$"
+
+
+def _file_records(spark: SparkSession, path: str, delimiter: str) -> DataFrame:
+    """(file, start, line, record, ended): records of files in parts that Spark cuts, without a delimiter of one byte.
+
+    ``start`` is where a part begins, ``line`` rises within it. The last record of a file has ``ended`` false
+    where the file does not end in the delimiter: its records and delimiters are then longer than the file.
+    """
+    m = F.col("_metadata")
+    lines = spark.read.option("lineSep", delimiter).text(path)
+    r = lines.select(m.file_path.alias("file"), m.file_block_start.alias("start"), m.file_size.alias("size"), F.monotonically_increasing_id().alias("line"), F.col("value").alias("record"))
+    last = r.groupBy("file").agg(F.sum(F.octet_length("record").cast("long") + 1).alias("bytes"), F.max("size").alias("size"), F.max(F.struct("start", "line")).alias("at"))
+    last = last.where(F.col("bytes") > F.col("size")).select("file", F.col("at.start").alias("start"), F.col("at.line").alias("line"), F.lit(False).alias("ended"))
+    return r.drop("size").join(last, ["file", "start", "line"], "left").withColumn("ended", F.coalesce("ended", F.lit(True)))
+
+
+def delimited_texts(spark: SparkSession, path: str, delimiter: str = "\n", strip: bool = False, most: int | None = None, whole: bool = False) -> DataFrame:
     """(doc, text) of the delimited files that a path or glob names, by file name.
 
-    Files are read whole and cut in place, so that delimiters and carriage returns are as they were.
-    With ``most``, a longer record is an error.
+    A file is read in parts that Spark cuts, so a long file is many tasks; with a delimiter of more than one byte, or
+    ``whole`` (for compressed files and files that begin with a byte order mark), each file is one row.
+    Delimiters and carriage returns are as they were. With ``most``, a longer record is an error.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value"))
-    r = records(whole, "file", "value", delimiter, strip)
-    r = prefix_sum(r, [F.col("key"), F.floor(F.col("pos") / F.lit(BLOCK))], [F.col("pos")], F.lit(1), "doc")
+    if whole or len(delimiter.encode()) > 1:
+        files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value"))
+        r = records(files, "file", "value", delimiter, strip)
+        r = prefix_sum(r, [F.col("key"), F.floor(F.col("pos") / F.lit(BLOCK))], [F.col("pos")], F.lit(1), "doc")
+    else:
+        r = _file_records(spark, path, delimiter)
+        packed = F.col("file").rlike(PACKED)
+        r = r.withColumn("ended", F.when(packed, F.raise_error(F.lit("read compressed files whole"))).otherwise(F.col("ended")))
+        bare = F.regexp_replace("record", r"(?s)^(.+)\r\z", "$1") if delimiter == "\n" else F.col("record")
+        r = r.withColumn("record", F.when(~F.col("ended"), F.col("record")).otherwise(bare if strip else F.concat("record", F.lit(delimiter))))
+        r = prefix_sum(r, [F.col("file"), F.col("start")], [F.col("line")], F.lit(1), "doc")
     text = F.col("record")
     if most is not None:
         text = F.when(F.octet_length("record") <= most, text).otherwise(F.raise_error(F.lit("a record is too long")).cast("string"))
     return r.select("doc", text.alias("text"))
 
 
+def delimiters_in_files(spark: SparkSession, path: str, delimiter: str = "\n") -> DataFrame:
+    """(n): delimiters of one byte in the files that a path or glob names: a record each, but for what follows the last."""
+    if len(delimiter.encode()) > 1:
+        return delimiter_count(spark.read.text(path, wholetext=True), "value", delimiter)
+    return _file_records(spark, path, delimiter).agg(F.count(F.when(F.col("ended"), 1)).alias("n"))
+
+
 def delimiter_count(df: DataFrame, text: str, delimiter: str = "\n") -> DataFrame:
     """(n): delimiters that do not overlap, over all texts."""
     gone = F.length(F.replace(F.col(text), F.lit(delimiter), F.lit("")))

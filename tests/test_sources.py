@@ -6,8 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.operators import pack
-from corpusmill.operators.order import dense_index, prefix_sum
+from corpusmill.operators import order, pack
 from corpusmill.sources import listing, manifest, onnx_init, shards, tables, texts
 
 
@@ -48,14 +47,20 @@ def test_delimited_files(spark, tmp_path):
     assert texts.literal_text(spark, "x").first().doc == 0
 
 
-def test_order(spark):
-    df = spark.createDataFrame([(k, (k * 7) % 5) for k in range(-20, 200, 3)], "k long, v int")
+@pytest.mark.parametrize("keys", [range(-20, 200, 3), [k * 7919 * 10**14 % 2**62 - 2**61 for k in range(300)], [*range(150), 2**62, -(2**63)]])
+def test_order(spark, keys, monkeypatch):
+    """Dense ids, ids spread over all numbers, and dense ids with far ones."""
+    df = spark.createDataFrame([(k, abs(k) * 7 % 5) for k in keys], "k long, v int")
     rows = sorted((r.k, r.v) for r in df.collect())
-    got = {r.k: (r.doc, r.before) for r in prefix_sum(dense_index(df, "k", "doc", 16), [F.floor(F.col("k") / F.lit(16))], [F.col("k")], F.col("v"), "before").collect()}
+    got = {r.k: (r.doc, r.before) for r in order.ordered_sum(order.dense_index(df, "k"), "k", F.col("v"), "before").collect()}
     total = 0
     for i, (k, v) in enumerate(rows):
         assert got[k] == (i, total)
         total += v
+    bounds = order.key_bounds(df, F.col("k"), 40)
+    block = {r.k: r.b for r in df.select("k", order.block_of(F.col("k"), bounds, 8).alias("b")).collect()}
+    assert all(block[k] == sum(b <= k for b in bounds) for k in block) and 20 < len(set(block.values())) <= 41
+    assert order.dense_index(df.limit(0), "k").count() == 0
 
 
 @pytest.mark.parametrize(("size", "model"), [(7, "gpt-2"), (64, "llama-3"), (10_000, "gpt-2")])
