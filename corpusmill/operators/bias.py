@@ -11,10 +11,9 @@ from .lookup import sized
 # ---------------------------------------------------------------- rules
 
 
-def surrogate_merges(each: DataFrame, k: int, vocabulary: int) -> DataFrame:
-    """(rank, a, b, c): the ``k`` most frequent adjacent pairs of (prev, token), as one round of merging."""
-    pairs = each.where(F.col("prev").isNotNull()).groupBy("prev", "token").agg(F.count(F.lit(1)).alias("n"))
-    top = pairs.orderBy(F.desc("n"), "prev", "token").limit(k)
+def surrogate_merges(counts: DataFrame, k: int, vocabulary: int) -> DataFrame:
+    """(rank, a, b, c): the ``k`` most frequent pairs of counts (prev, token, n), as one round of merging."""
+    top = counts.orderBy(F.desc("n"), "prev", "token").limit(k)
     w = Window.orderBy(F.desc("n"), "prev", "token")  # over k rows
     return top.select((F.row_number().over(w) - 1).cast("int").alias("rank"), F.col("prev").cast("int").alias("a"), F.col("token").cast("int").alias("b")).withColumn("c", (F.col("rank") + vocabulary).cast("int"))
 

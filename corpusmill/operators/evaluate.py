@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import staged
 from .lookup import sized
-from .score import bigram, exploded, unigram
+from .score import bigram, exploded, pair_counts, unigram
 from .windows import WindowConfig, scored_positions, times_scored
 
 
@@ -53,12 +54,14 @@ def unigram_perplexity(each: DataFrame, c: WindowConfig, by: list[str] | None =
     return perplexity(t, by, F.col("times"))
 
 
-def bigram_scores(each: DataFrame, c: WindowConfig, vocabulary: int, k: float = 0.1) -> DataFrame:
-    """Scored rows of (doc, pos, token, prev, length); a scored token always has its predecessor in the window."""
-    return scored_positions(each.join(sized(bigram(each, vocabulary, k)), ["prev", "token"]), c)
+def bigram_scores(each: DataFrame, c: WindowConfig, vocabulary: int, k: float = 0.1, counts: DataFrame | None = None) -> DataFrame:
+    """Scored rows of (doc, pos, token, prev, length); a scored token always has its predecessor in the
+    window. ``counts``: those of ``pair_counts``, where they are known."""
+    counts = staged(pair_counts(each), "pairs") if counts is None else counts
+    return scored_positions(each.join(sized(bigram(counts, vocabulary, k)), ["prev", "token"]), c)
 
 
-def context(tokens: DataFrame, c: WindowConfig, vocabulary: int, k: float = 0.1) -> DataFrame:
+def context(tokens: DataFrame, c: WindowConfig, vocabulary: int, k: float = 0.1, counts: DataFrame | None = None) -> DataFrame:
     """(uid, token, logprob, pos): a row for each scored token, at its position in the document."""
-    s = bigram_scores(exploded(tokens), c, vocabulary, k)
+    s = bigram_scores(exploded(tokens), c, vocabulary, k, counts)
     return s.select(F.col("doc").cast("int").alias("uid"), F.col("token").cast("int").alias("token"), "logprob", F.col("pos").cast("int").alias("pos"))

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-from ..sources.scratch import staged
 from .lookup import sized
 
 
@@ -42,10 +41,13 @@ def unigram(tokens: DataFrame) -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).select("token", F.log(F.col("cnt") / F.col("total")).cast("float").alias("logprob"))
 
 
-def bigram(each: DataFrame, vocabulary: int, k: float = 0.1) -> DataFrame:
+def pair_counts(each: DataFrame) -> DataFrame:
+    """(prev, token, n): how often a token follows another."""
+    return each.where(F.col("prev").isNotNull()).groupBy("prev", "token").agg(F.count(F.lit(1)).alias("n"))
+
+
+def bigram(pairs: DataFrame, vocabulary: int, k: float = 0.1) -> DataFrame:
     """(prev, token, logprob) of the pairs that occur: ln((c(prev, token) + k) / (c(prev) + k V))."""
-    pairs = each.where(F.col("prev").isNotNull()).groupBy("prev", "token").agg(F.count(F.lit(1)).alias("n"))
-    pairs = staged(pairs, "pairs")
     first = pairs.groupBy("prev").agg(F.sum("n").alias("m"))
     return pairs.join(first, "prev").select("prev", "token", F.log((F.col("n") + k) / (F.col("m") + k * vocabulary)).cast("float").alias("logprob"))
 

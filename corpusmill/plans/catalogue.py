@@ -16,7 +16,7 @@ from ..operators import bias, bpe, embed, evaluate, pack, score, vocabulary
 from ..operators.order import ordered_sum
 from ..operators.windows import WindowConfig, jobs, token_windows
 from ..sources import listing, manifest, shards, texts
-from ..sources.scratch import scratch
+from ..sources.scratch import scratch, staged
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -203,7 +203,7 @@ def _windows_sql(w: int, s: int, tail: bool, left: bool = False, right: bool = F
 WITH t AS (SELECT doc, tokens, len(tokens) AS size, CASE WHEN len(tokens) >= {w} THEN (len(tokens) - {w}) // {s} + 1 ELSE 0 END AS n FROM ({_BYTES})),
 x AS (SELECT doc, tokens, size, n, unnest(range(n + 1)) AS k FROM t),
 y AS (SELECT *, k * {s} AS start, least({w}, greatest(size - k * {s}, 0)) AS len FROM x)
-SELECT doc, k::INT AS position, start::INT AS start, (len + {missing if pads else '0'})::INT AS n_tokens, md5(array_to_string({cut}, ',')) AS digest,
+SELECT doc, k::INT AS position, start::INT AS start, (len + {missing if pads else '0'})::INT AS n_tokens, coalesce(list_sum(list_transform({cut}, lambda x, i: x * i)), 0)::BIGINT AS weighed,
   least(start, len, {w - s})::INT AS seen, ({missing if left else '0'})::INT AS pad_left, ({missing if right else '0'})::INT AS pad_right
 FROM y WHERE {keep}"""
 
@@ -214,7 +214,9 @@ def _digest(numbers: str):
 
 def _window_rows(spark, sf, c: WindowConfig) -> DataFrame:
     w = token_windows(_bytes(spark, sf), c)
-    return w.select("doc", "position", "start", F.size("tokens").alias("n_tokens"), _digest("tokens").alias("digest"), "seen", "pad_left", "pad_right")
+    # each token by its place: order and placement count
+    weighed = F.aggregate(F.transform("tokens", lambda x, i: x.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
+    return w.select("doc", "position", "start", F.size("tokens").alias("n_tokens"), weighed.alias("weighed"), "seen", "pad_left", "pad_right")
 
 
 @query(_windows_sql(BW, BS, False))
@@ -294,8 +296,13 @@ def score_bigram(spark, sf):
 _CONTEXT = f"SELECT doc::INT AS uid, token, logprob, pos::INT AS pos FROM ({_BI_SCORED})"
 
 
-def _context(spark, sf):
-    return evaluate.context(_bytes(spark, sf), WindowConfig(W, S), BYTES, SMOOTH)
+def _pairs(spark, sf):
+    """How often each pair of bytes occurs, counted once for all that a query makes of it."""
+    return staged(score.pair_counts(score.exploded(_bytes(spark, sf))), "pairs")
+
+
+def _context(spark, sf, counts=None):
+    return evaluate.context(_bytes(spark, sf), WindowConfig(W, S), BYTES, SMOOTH, counts)
 
 
 def _rows_sql(*columns: str) -> str:
@@ -318,7 +325,7 @@ def context_table(spark, sf):
 def score_windows(spark, sf):
     """Windows as jobs, scored by a model and lined up with what counts of them: the rows of the context table."""
     tokens = _bytes(spark, sf)
-    model = score.Bigram(score.bigram(score.exploded(tokens), BYTES, SMOOTH))
+    model = score.Bigram(score.bigram(_pairs(spark, sf), BYTES, SMOOTH))
     rows = score.evaluate(jobs(token_windows(tokens, WindowConfig(W, S))), model, lambda df: df.withColumn("pos", F.col("start") + F.col("seen") + F.col("i")))
     return rows.groupBy(F.col("doc").cast("int").alias("doc")).agg(F.count(F.lit(1)).alias("n"), _rows("pos", "token").alias("digest"), F.round(F.sum(F.col("logprob").cast("double")), 2).alias("logprob"))
 
@@ -372,8 +379,8 @@ def perplexity_matched(spark, sf):
 _MERGES = f"SELECT (row_number() OVER (ORDER BY n DESC, prev, token) - 1)::INT AS rank, prev AS a, token AS b, (row_number() OVER (ORDER BY n DESC, prev, token) - 1 + {BYTES})::INT AS c FROM ({_PAIRS}) QUALIFY rank < {MERGES}"
 
 
-def _merges(spark, sf):
-    return bias.surrogate_merges(score.exploded(_bytes(spark, sf)), MERGES, BYTES)
+def _merges(spark, sf, counts=None):
+    return bias.surrogate_merges(score.pair_counts(score.exploded(_bytes(spark, sf))) if counts is None else counts, MERGES, BYTES)
 
 
 @query(_MERGES)
@@ -421,12 +428,13 @@ results AS (SELECT tok, median, q75, q25, mean, sqrt(v) AS std, num, tok < {BYTE
 """
 
 
-def _bias_rules(spark, sf):
-    return bias.extract(_merges(spark, sf), BYTES, MERGES)[0].select("a", "b", "c")
+def _bias_rules(spark, sf, counts=None):
+    return bias.extract(_merges(spark, sf, counts), BYTES, MERGES)[0].select("a", "b", "c")
 
 
 def _matched(spark, sf):
-    return bias.matched(bias.pairs(_context(spark, sf)), _bias_rules(spark, sf))
+    counts = _pairs(spark, sf)
+    return bias.matched(bias.pairs(_context(spark, sf, counts)), _bias_rules(spark, sf, counts))
 
 
 def _results(spark, sf):
@@ -465,7 +473,8 @@ FROM near n JOIN begins x USING (uid, pos) JOIN context m ON m.uid = n.uid AND m
 
 
 def _peek(spark, sf):
-    p = bias.peek(_context(spark, sf), _bias_rules(spark, sf), BYTES, 100)
+    counts = _pairs(spark, sf)
+    p = bias.peek(_context(spark, sf, counts), _bias_rules(spark, sf, counts), BYTES, 100)
     return p.withColumns({c: F.round(F.col(c).cast("double"), 5) for c in ("logprob_a", "logprob_b")})
 
 

@@ -57,10 +57,11 @@ def test_scores(spark):
     each = score.exploded(tokens)
     u = {r.token: r.logprob for r in score.unigram(each).collect()}
     assert u[1] == pytest.approx(math.log(3 / 7)) and u[3] == pytest.approx(math.log(1 / 7))
-    b = score.bigram(each, 4, 0.1)
+    b = score.bigram(score.pair_counts(each), 4, 0.1)
     got = {(r.prev, r.token): r.logprob for r in b.collect()}
     assert got[1, 2] == pytest.approx(math.log(2.1 / 2.4)) and got[2, 1] == pytest.approx(math.log(2.1 / 3.4))
     p = evaluate.perplexity(evaluate.unigram_scores(each, WindowConfig(4, 2, True))).first()
+    assert tuple(evaluate.unigram_perplexity(each, WindowConfig(4, 2, True)).first()) == pytest.approx(tuple(p), rel=1e-6)
     assert p.n == 5 and p.ppl == pytest.approx(math.exp(-(u[2] * 2 + u[1] * 2 + u[3]) / 5))
     model = score.Bigram(b)
     assert model.generate([1], 3) == [2, 1, 2]
@@ -81,6 +82,44 @@ def test_arrow_scorer(spark):
     assert [(r.doc, r.token, r.logprob) for r in rows] == [(0, 5, -8.0), (0, 7, -12.0)]
 
 
+def onnx_bigram(path, table):
+    """A model file of one Gather: the logits after a token are a row of ``table``."""
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out += bytes([n & 127 | 128])
+            n >>= 7
+        return out + bytes([n])
+
+    def field(number, payload):
+        return varint(number << 3) + varint(payload) if isinstance(payload, int) else varint(number << 3 | 2) + varint(len(payload)) + payload
+
+    def value(name, kind, *dims):
+        shape = b"".join(field(1, field(2, d.encode())) for d in dims)
+        return field(1, name) + field(2, field(1, field(1, kind) + field(2, shape)))
+
+    rows = field(1, len(table)) + field(1, table.shape[1]) + field(2, 1) + field(8, b"rows") + field(9, table.astype("<f4").tobytes())
+    node = field(1, b"rows") + field(1, b"input_ids") + field(2, b"logits") + field(4, b"Gather")
+    graph = field(1, node) + field(2, b"g") + field(5, rows) + field(11, value(b"input_ids", 7, "n", "t")) + field(12, value(b"logits", 1, "n", "t", "v"))
+    path.write_bytes(field(1, 8) + field(8, field(1, b"") + field(2, 13)) + field(7, graph))
+
+
+def test_onnx_scorer(spark, tmp_path):
+    """A model file is scored window by window: log-probabilities are those of its logits."""
+    rng = np.random.default_rng(3)
+    table = rng.normal(size=(12, 12)).astype("<f4")
+    onnx_bigram(tmp_path / "m.onnx", table)
+    logp = table - np.log(np.exp(table).sum(axis=1, keepdims=True))
+    docs = [(d, rng.integers(0, 12, n).tolist()) for d, n in ((0, 9), (1, 1), (2, 4), (3, 23))]
+    tokens = spark.createDataFrame(docs, "doc long, tokens array<int>")
+    w = jobs(token_windows(tokens, WindowConfig(6, 3, True)))
+    rows = score.evaluate(w, score.onnx_scorer(str(tmp_path / "m.onnx"), batch=2), lambda df: df).collect()
+    got = {(r.doc, r.start + r.seen + r.i): r.logprob for r in rows}
+    want = {(d, k): logp[t[k - 1], t[k]] for d, t in docs for k in range(1, len(t))}
+    assert len(rows) == len(want) and set(got) == set(want) and all(got[x] == pytest.approx(want[x], abs=1e-5) for x in want)
+
+
 def test_embeddings(spark):
     e = spark.createDataFrame([(0, [1.0, 0.0]), (1, [3.0, 4.0]), (2, [2.0, 2.0])], "token_id int, embedding array<float>")
     f = embed.flagged(e, e.where("token_id < 2").select("token_id"))

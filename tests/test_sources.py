@@ -1,4 +1,6 @@
+import gzip
 import hashlib
+import random
 import struct
 
 import numpy as np
@@ -7,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.operators import order, pack
+from corpusmill.operators.bpe import Tokenizer
 from corpusmill.sources import listing, manifest, onnx_init, shards, tables, texts
 
 
@@ -42,11 +45,36 @@ def test_delimited_files(spark, tmp_path):
     (tmp_path / "c.txt").write_text("")
     got = texts.delimited_texts(spark, str(tmp_path / "*.txt"), strip=True).orderBy("doc").collect()
     assert [(r.doc, r.text) for r in got] == [(0, "1"), (1, "2"), (2, "3"), (3, "4")]
+    whole = texts.delimited_texts(spark, str(tmp_path / "*.txt"), whole=True).orderBy("doc").collect()
+    assert [r.text for r in whole] == ["1\r\n", "2\r\n", "3\n", "4"] == [r.text for r in texts.delimited_texts(spark, str(tmp_path / "*.txt")).orderBy("doc").collect()]
+    assert texts.delimiters_in_files(spark, str(tmp_path / "*.txt")).first().n == 3 == texts.delimiter_count(spark.read.text(str(tmp_path / "*.txt"), wholetext=True), "value").first().n
     with pytest.raises(Exception, match="too long"):
         texts.delimited_texts(spark, str(tmp_path / "*.txt"), most=1).collect()
+    (tmp_path / "z.txt.gz").write_bytes(gzip.compress(b"a\nb"))
+    assert [r.text for r in texts.delimited_texts(spark, str(tmp_path / "z*"), whole=True).orderBy("doc").collect()] == ["a\n", "b"]
+    with pytest.raises(Exception, match="whole"):
+        texts.delimited_texts(spark, str(tmp_path / "z*")).collect()
     assert texts.literal_text(spark, "x").first().doc == 0
 
 
+def test_long_files_are_cut_by_spark(spark, tmp_path):
+    """Records of a file in many parts, with empty records, carriage returns and multi-byte letters at the cuts."""
+    rng = random.Random(6)
+    for name, end in (("a", "\n"), ("b", "é"), ("c", "\n\n")):
+        text = "".join(rng.choice(["é", "x", "\r\n", "\n", "中文", "  "]) for _ in range(4000)) + end
+        (tmp_path / f"{name}.txt").write_bytes(text.encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        assert texts._file_records(spark, str(tmp_path / "*.txt"), "\n").select("file", "start").distinct().count() > 9
+        for strip in (False, True):
+            got = texts.delimited_texts(spark, str(tmp_path / "*.txt"), strip=strip)
+            want = texts.delimited_texts(spark, str(tmp_path / "*.txt"), strip=strip, whole=True)
+            assert [tuple(r) for r in got.orderBy("doc").collect()] == [tuple(r) for r in want.orderBy("doc").collect()]
+        assert texts.delimiters_in_files(spark, str(tmp_path / "*.txt")).first().n == sum((tmp_path / f"{x}.txt").read_bytes().count(b"\n") for x in "abc")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 @pytest.mark.parametrize("keys", [range(-20, 200, 3), [k * 7919 * 10**14 % 2**62 - 2**61 for k in range(300)], [*range(150), 2**62, -(2**63)]])
 def test_order(spark, keys, monkeypatch):
     """Dense ids, ids spread over all numbers, and dense ids with far ones."""
@@ -81,6 +109,9 @@ def test_packing_and_shards(spark, tmp_path, size, model):
     one = shards.read_shards(spark, str(tmp_path / "train_000000.bin"))
     assert tuple(shards.diff(one, one).first()) == (len(got[0].tokens), len(got[0].tokens), None)
     assert shards.peek(one, 3).first().tokens == stream[:3]
+    name = lambda k: chr(64 + k // 32) + chr(64 + k % 32)
+    text = shards.peek_text(one, 3, Tokenizer({name(k): k for k in range(1000)}, ())).first().text
+    assert text == "".join(map(name, stream[:3]))
 
 
 def test_shard_bytes():

@@ -34,6 +34,7 @@ def test_pieces_against_the_library(spark):
 def test_repair(spark):
     assert repair_bytes(b"\xa2\x9d") == "��" and repair_bytes(b"\xef") == "�"
     assert repair_bytes("né".encode() + b"\xe4\xb8") == "né��"
+    assert repair_bytes(b"\xff" * 200_000) == "\ufffd" * 200_000 and repair_bytes(b"\xed\xa0\x80") == "\ufffd" * 3
     df = spark.createDataFrame([(1, bytearray(b"ok")), (2, bytearray(b"\xa2x")), (3, None)], "k int, b binary")
     assert [r.b for r in repaired(df, "b").orderBy("k").collect()] == ["ok", "�x", None]
 
@@ -87,6 +88,22 @@ def test_same_ids_as_the_library(spark, trained, tmp_path):
     assert bpe.encode(df, trained).first().tokens == lib.encode(text).ids
 
 
+def test_long_and_repetitive_pieces(trained):
+    """Ids equal those of merging the lowest rank everywhere, pair by pair."""
+
+    def plain(text):
+        parts = list(bytelevel.to_symbols(text.encode()))
+        while found := [(trained.ranks[p], k) for k, p in enumerate(zip(parts, parts[1:], strict=False)) if p in trained.ranks]:
+            k = min(found)[1]
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        return [trained.vocab[p] for p in parts]
+
+    rng = random.Random(2)
+    for text in ["", "l", "lowlowlowerlowest" * 9, "wwwwww", *("".join(rng.choice("lowernst i") for _ in range(rng.randrange(1, 60))) for _ in range(200))]:
+        assert trained.piece(text) == plain(text)
+    assert len(trained.piece("lower" * 100_000)) > 0
+
+
 def test_unknown_symbols(spark, trained):
     few = bpe.Tokenizer({s: i for s, i in trained.vocab.items() if s != "z"}, trained.merges, recover=True)
     df = spark.createDataFrame([(1, "low zoo"), (2, "low")], "doc_id long, text string")
