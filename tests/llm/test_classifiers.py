@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -41,6 +42,25 @@ def test_toxicity_on_held_out_texts():
     assert np.allclose(one, net.logits(*buffers(more))[:20], atol=1e-5)
 
 
+def test_network_against_plain_loops():
+    """Filters over word vectors, their maxima over the text and the logistic layer, one window at a time."""
+    texts, labels, langs = toxic_corpus(80, 3)
+    net = toxicity.fit(*buffers(texts), labels, langs, epochs=2)
+    for text in ["one idiot, here", "x", "", "word1 word2 word3 moron, word4", texts[0]]:
+        vectors = []
+        for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", text.encode()):
+            feats, where, _ = toxicity.word_types(*buffers([w.decode()]))
+            vectors.append(sum(net.emb[f].astype(float) for f in feats[where[0]]))
+        vectors += [np.zeros(toxicity.DIM)] * toxicity._PAD  # the end of a text is padding
+        z = net.out[-1] - net.shift
+        for k, width in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                sums = [sum(float(vectors[i + j] @ net.conv[k][j][:, f]) for j in range(width)) for i in range(len(vectors) - toxicity._PAD)]
+                top = max([*sums, 0.0])  # padding starts a window of nothing
+                z += max(top + net.bias[k * toxicity.FILTERS + f], 0) * net.out[k * toxicity.FILTERS + f]
+        assert net.logits(*buffers([text]))[0] == pytest.approx(z, abs=1e-4)
+
+
 def quality_corpus(n, seed):
     rng = random.Random(seed)
     words = [f"word{k}" for k in range(300)]

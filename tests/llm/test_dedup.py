@@ -1,10 +1,13 @@
 import random
 
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 
 from corpusmill.llm import exact_dedup, ngram_join, substring_dedup
 from corpusmill.llm.common import gram_hashes
 from corpusmill.llm.components import components
+from corpusmill.llm.packed import shared
 
 from .brute import jaccard_components, substring
 
@@ -102,6 +105,80 @@ def test_repeated_rows_nulls_and_empty_tables(spark):
     assert len(e) == 5
 
 
+LOW = -(2**63)
+
+
+def test_null_and_extreme_ids(spark):
+    """A null id names nothing; the smallest number is an id like others."""
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, text), (5, text), (7, text), (LOW, "other " * 60), (2**63 - 1, "other " * 60), (None, None), (None, "alone at last")]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_groups(extra(spark, rows)).collect()), key=str)
+    assert got == sorted([(None, 56, None), (5, 56, 5), (7, 56, 5), (LOW, 1, LOW), (2**63 - 1, 1, LOW), (None, 0, None), (None, 1, None)], key=str)
+    kept = ngram_join.drop_near_duplicates(extra(spark, rows)).collect()
+    assert sorted((r.doc_id for r in kept), key=str) == sorted([None, None, None, 5, LOW], key=str)
+    parsed = sorted(((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.parse(extra(spark, rows)).collect()), key=str)
+    assert parsed == sorted([(None, 60, 0), (5, 60, 60), (7, 60, 60), (LOW, 60, 0), (2**63 - 1, 60, 60), (None, 0, 0), (None, 3, 0)], key=str)
+    exact = {(r.doc_id, r.keep_id) for r in exact_dedup.exact_groups(extra(spark, rows)).collect()}
+    assert {(5, 5), (7, 5), (None, 5), (LOW, LOW), (2**63 - 1, LOW)} <= exact
+
+
+def test_an_id_with_two_texts(spark):
+    """For links the texts of an id are one set; sizes are those of each text."""
+    one, two = [" ".join(f"{c}{k}" for k in range(44)) for c in "ab"]
+    rows = [(9, one), (9, two), (9, two), (3, one + " " + two), (4, one)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_groups(extra(spark, rows)).collect())
+    assert got == [(3, 84, 3), (4, 40, 4), (9, 40, 3), (9, 40, 3), (9, 40, 3)]
+
+
+def test_one_passage_in_every_document(spark, monkeypatch):
+    """A posting of all documents, dealt to blocks of a few, and near copies in different components."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    rng = random.Random(21)
+    words = [f"v{k}" for k in range(40)]
+    common = " ".join(f"s{k}" for k in range(60))
+    rows = []
+    for d in range(150):
+        own = " ".join(rng.choice(words) for _ in range(rng.randrange(8, 30)))
+        rows.append((d, f"{own} {common} {own}" if d % 3 else f"{common} {own}"))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_groups(extra(spark, rows)).collect()}
+    assert got == jaccard_components(rows)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.parse(extra(spark, rows)).collect()} == substring(rows)
+
+
+def test_what_all_documents_share_is_one_entry_of_a_bucket():
+    """What a bucket sends to a fragment does not grow with the copies in it."""
+
+    def table(n):
+        text = " ".join(f"w{k}" for k in range(300))
+        return pa.table({"doc_id": pa.array(range(n)), "text": pa.array([text] * n), "bucket": pa.array([3] * n, pa.int32())})
+
+    def entries(t, column, kind):
+        return sum(len(x.as_py()) // kind for x in t.column(column))
+
+    small, large = (ngram_join._counts(5, 4)(table(n)) for n in (20, 80))
+    assert entries(small, "keys", 4) == entries(large, "keys", 4) == 296
+    small, large = (substring_dedup._anchor_counts(50, 4)(table(n)) for n in (20, 80))
+    assert entries(small, "keys", 4) == entries(large, "keys", 4)
+    windows = [substring_dedup._window_cells(50, 4)(table(n), pa.concat_tables([shared(x) for x in by_part(large)])) for n in (20, 80)]
+    assert [entries(w, "hashes", 8) for w in windows] == [251, 251]
+
+
+def by_part(t):
+    return [t.filter(pa.compute.equal(t.column("part"), p)) for p in sorted(set(t.column("part").to_pylist()))]
+
+
+def test_very_long_texts(spark):
+    """Texts of more than a slice of work, one a copy of the other with a change."""
+    rng = random.Random(12)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(200_000)]
+    changed = [*words[:100_000], "changed", *words[100_001:]]
+    rows = [(2, " ".join(words)), (1, " ".join(changed)), (8, " ".join(words[:50])), (9, " ".join(words) + " ")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_groups(extra(spark, rows)).collect()}
+    assert got == jaccard_components(rows)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.parse(extra(spark, rows)).collect()} == substring(rows)
+    assert {(r.doc_id, r.keep_id) for r in exact_dedup.exact_groups(extra(spark, rows)).collect()} == {(1, 1), (2, 9), (9, 9), (8, 8)}
+
+
 def test_exact_groups(spark):
     rows = [(7, "a b"), (3, "ab"), (9, "a  b"), (4, "a\nb "), (2, None), (1, ""), (6, " \t"), (8, "A b"), (10, "a b"), (11, "😀"), (12, "a b")]
     df = extra(spark, rows)

@@ -42,3 +42,28 @@ def test_every_operator_has_one_query():
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100
+
+
+def test_stages_on_hostile_rows(spark):
+    """Nulls in all columns, empty and long texts, repeated rows and ids, clashing names; and no rows at all."""
+    start = spark.read.parquet(f"{SF}/documents.parquet")
+    good = [r.text for r in start.orderBy("doc_id").limit(3).collect()]
+    long = " ".join(f"word{k % 7919}" for k in range(150_000))
+    rows = [(None, None, None), (1, None, None), (1, "", "en"), (2, good[0], "en"), (2, good[0], "en"), (None, good[0], None), (3, good[1], "de"), (3, good[2], "xx"), (4, long, "en"), (5, long + " end", None)]
+    docs = spark.createDataFrame([(*r, None, None, 1, "c") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, tokens int, component string")
+    for table in (docs, docs.limit(0)):
+        at = table
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, at, SF)
+            found = out.collect()
+            if name != "bpe":
+                assert out.columns == docs.columns
+            if name in ("quality", "exact_dedup", "ngram_join"):
+                assert len(found) <= at.count() and {r.text for r in found} <= {r[1] for r in rows}
+            if name == "exact_dedup":
+                norm = ["".join((r.text or "").split()) for r in found]
+                assert len(norm) == len(set(norm))
+            if name == "bpe":
+                assert len(found) == at.count() and out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            else:
+                at = spark.createDataFrame(found, docs.schema)

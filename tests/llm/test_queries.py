@@ -1,9 +1,11 @@
 import hashlib
+import struct
 import zlib
 
 import duckdb
 import pytest
 
+from corpusmill.llm import media
 from corpusmill.llm.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -21,14 +23,41 @@ def test_query_equals_its_sql(spark, name):
     assert sorted(map(str, ([r[c] for c in names] for r in df.collect()))) == sorted(map(str, map(list, cur.fetchall())))
 
 
+def plain_boxes(raw, start, end, found):
+    """{path: [body]} of a file, one box at a time."""
+    while start < end:
+        size, kind = struct.unpack_from(">I4s", raw, start)
+        found.setdefault(kind, []).append(raw[start + 8 : start + size])
+        if kind in (b"moov", b"trak", b"mdia", b"minf", b"stbl"):
+            plain_boxes(raw, start + 8, start + size, found)
+        start += size
+    return found
+
+
 def test_media_query(spark):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    files = {r.doc_id: bytes(r.media) for r in media.to_media(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
     rows = QUERIES["op10_media"](spark, SF).collect()
     assert len(rows) == len(texts)
     for r in rows:
         raw = texts[r.doc_id].encode()
         full = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-32:]))
+        f = files[r.doc_id]
+        assert (r.media_bytes, r.media_sha256) == (len(f), hashlib.sha256(f).hexdigest())
+        # samples, keyframes and duration by a reader that goes sample by sample
+        b = {k: v[0] for k, v in plain_boxes(f, 0, len(f), {}).items()}
+        size, n = struct.unpack_from(">II", b[b"stsz"], 4)
+        runs = [struct.unpack_from(">III", b[b"stsc"], 8 + 12 * k) for k in range(struct.unpack_from(">I", b[b"stsc"], 4)[0])]
+        starts = []
+        for chunk in range(1, struct.unpack_from(">I", b[b"stco"], 4)[0] + 1):
+            at = struct.unpack_from(">I", b[b"stco"], 4 + 4 * chunk)[0]
+            starts += [at + size * k for k in range([m for first, m, _ in runs if first <= chunk][-1])]
+        keys = [struct.unpack_from(">I", b[b"stss"], 8 + 4 * k)[0] - 1 for k in range(struct.unpack_from(">I", b[b"stss"], 4)[0])]
+        assert b"".join(f[a : a + size] for a in starts) == full == b[b"mdat"] and len(starts) == n
+        rate, ticks = struct.unpack_from(">IQ", b[b"mdhd"], 20)
+        spans = [(starts[k], starts[k] + size) for k in keys]
+        assert r.feature == f"raw;{ticks}/{rate};samples={n};keys={len(keys)};first={spans[0][0]}-{spans[0][1]};last={spans[-1][0]}-{spans[-1][1]}" and ticks == len(full)
 
 
 @pytest.mark.parametrize(("name", "label", "limit"), [("op3_toxicity", "toxic", 0.5), ("op6_quality", "quality", 0.3)])
