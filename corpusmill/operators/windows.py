@@ -87,10 +87,15 @@ def _counts_in(window: Column, c: WindowConfig, length: str, pos: str) -> Column
 def scored_positions(tokens: DataFrame, c: WindowConfig, length: str = "length", pos: str = "pos", dedupe: bool = False) -> DataFrame:
     """One row for each time a token (at ``pos`` of ``length``) is scored, with the window's position.
 
-    The windows of a token are an interval of positions, so no window array is built. With
-    ``dedupe`` a token counts in its first window only.
+    The windows of a token are an interval of positions, so no window array is built. With a stride of half
+    a window or more a token is scored once at most, and nothing is exploded. With ``dedupe`` a token counts
+    in its first window only.
     """
     low, high = _scoring_windows(c, length, pos)
+    if 2 * c.stride >= c.window:
+        found = [F.when((k >= low) & _counts_in(k, c, length, pos), k) for k in (high - back for back in range(-(-c.window // c.stride)))]
+        w = tokens.withColumn("position", F.coalesce(*found)).where(F.col("position").isNotNull())
+        return w.where(F.col("position") == low) if dedupe else w
     w = tokens.where(high >= low).withColumn("position", F.explode(F.sequence(low, high)))
     w = w.where(_counts_in(F.col("position"), c, length, pos))
     if dedupe:
