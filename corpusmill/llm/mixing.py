@@ -59,7 +59,7 @@ class Mix:
 
 
 def _words(docs: DataFrame, *keep) -> DataFrame:
-    word = F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("w")
+    word = F.explode_outer(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("w")
     return docs.select(*keep, word).where("w <> ''").select(*keep, F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("bucket"))
 
 
@@ -67,7 +67,8 @@ def _words_of_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, h, one, bucket): each word of a text, which id and hash name; ``one`` marks its first word."""
     t = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     words = F.split(F.lower(F.ltrim("text", F.lit(" \t\n\x0b\x0c\r"))), r"[\x20\x09-\x0D]+")
-    w = t.select("doc", F.xxhash64("text").alias("h"), F.posexplode(words).alias("i", "w")).where("w <> ''")
+    # the hash comes first: no word carries its text along; an inner explode would split each text twice, to filter by size
+    w = t.select("doc", F.xxhash64("text").alias("h"), words.alias("ws")).select("doc", "h", F.posexplode_outer("ws").alias("i", "w")).where("w <> ''")
     return w.select("doc", "h", (F.col("i") == 0).cast("long").alias("one"), F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("bucket"))
 
 
