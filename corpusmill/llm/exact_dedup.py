@@ -9,7 +9,7 @@ of that join is split by AQE, as its sides are an ordinary shuffled join.
 Defined results: a null text is an empty text; a null id loses every tie and has ``kept`` true only
 where all ids of the group are null; rows that repeat an id within a group share its fate in
 ``exact_groups``, while ``drop_exact_duplicates`` leaves one row of each group; an empty
-table gives an empty table; further columns, whatever their names, do not matter.
+table gives an empty table; further columns, whatever their names, do not matter; long texts are strings like others.
 """
 
 from __future__ import annotations

@@ -5,8 +5,11 @@ structure statistics, and hashed metadata (the order of magnitude of its length)
 low-rank products of all pairs of features; the sum-of-squares identity makes a score linear in the
 number of words. The score is the probability of label 1.
 
-A null or empty text has no words; its score comes from the structure statistics of an empty text.
-Language, source, ids and labels are no features.
+Defined results: a null or empty text has no words, and its score comes from the structure statistics of an
+empty text; every row has its score, also rows that repeat and rows without an id (which are never learnt
+from); an empty table gives an empty table, and without labels of both classes every score is the labels'
+smoothed share; further columns, whatever their names, do not matter; a long text is a slice of work of its own, read
+whole. Language, source, ids and labels are no features.
 """
 
 from __future__ import annotations

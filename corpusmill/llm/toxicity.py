@@ -7,8 +7,11 @@ all labelled rows that are not held out, whatever part of them the network is tr
 the classes' share of the table: the score itself never sees a language; its logit is shifted so that 0.5
 is the best threshold over all languages.
 
-A null or empty text has no words and gets the score of an empty text. Words are runs of letters,
-digits and bytes of non-ASCII letters.
+Defined results: a null or empty text has no words and gets the score of an empty text; every row has its
+score, also rows that repeat and rows without an id (which are never learnt from); a null language has the threshold
+0.5; an empty table gives an empty table, and without labels of both classes every score is the labels'
+smoothed share; further columns, whatever their names, do not matter; a long text is a slice of work of its own, read whole.
+Words are runs of letters, digits and bytes of non-ASCII letters.
 """
 
 from __future__ import annotations
