@@ -91,7 +91,7 @@ def encode(docs: DataFrame, t: Tokenizer, doc: str = "doc_id", text: str = "text
     """
     c = F.col(text)
     rows = docs.select(F.col(doc).alias("doc"), pretokenize(with_prefix_space(c) if t.prefix_space else c).alias("pieces"))
-    each = rows.select("doc", F.posexplode("pieces").alias("pos", "piece"))
+    each = rows.select("doc", F.posexplode_outer("pieces").alias("pos", "piece")).where("pos is not null")
 
     def ids(it):
         for batch in it:

@@ -30,7 +30,7 @@ def exploded(tokens: DataFrame) -> DataFrame:
     # each token travels with its predecessor, so no row carries the array
     kind = tokens.schema["tokens"].dataType.elementType
     before = F.concat(F.array(F.lit(None).cast(kind)), F.slice("tokens", 1, F.greatest(F.size("tokens") - 1, F.lit(0))))
-    t = tokens.where(F.size("tokens") > 0).select("doc", F.size("tokens").alias("length"), F.posexplode(F.arrays_zip(F.col("tokens").alias("token"), before.alias("prev"))).alias("pos", "x"))
+    t = tokens.where(F.size("tokens") > 0).select("doc", F.size("tokens").alias("length"), F.posexplode_outer(F.arrays_zip(F.col("tokens").alias("token"), before.alias("prev"))).alias("pos", "x"))
     return t.select("doc", "pos", "x.token", "x.prev", "length")
 
 

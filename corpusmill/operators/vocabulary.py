@@ -18,7 +18,9 @@ def pieces(docs: DataFrame, doc: str = "doc_id", text: str = "text", prefix_spac
 def dictionary(docs: DataFrame, text: str = "text", prefix_space: bool = False) -> DataFrame:
     """(piece, cnt): how often each pre-token occurs; combined before the one shuffle."""
     t = F.col(text)
-    return docs.select(F.explode(pretokenize(with_prefix_space(t) if prefix_space else t)).alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("cnt"))
+    # an inner explode would find the pieces twice, to filter by their number
+    each = docs.select(F.explode_outer(pretokenize(with_prefix_space(t) if prefix_space else t)).alias("piece")).where("piece is not null")
+    return each.groupBy("piece").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def ranked(counts: DataFrame) -> DataFrame:
@@ -34,7 +36,7 @@ def unique_or_fail(vocab: DataFrame, token: str = "token") -> DataFrame:
 
 def unknown_runes(docs: DataFrame, vocab: DataFrame, text: str = "text", token: str = "token") -> DataFrame:
     """Distinct characters of the texts that are no token."""
-    runes = docs.select(F.explode(F.split(text, "")).alias("rune")).where("rune <> ''").distinct()
+    runes = docs.select(F.explode_outer(F.split(text, "")).alias("rune")).where("rune <> ''").distinct()
     return runes.join(vocab.select(F.col(token).alias("rune")), "rune", "left_anti")
 
 

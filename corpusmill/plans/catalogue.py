@@ -169,7 +169,7 @@ def _runes_sql(t: str) -> str:
 
 @query(f"SELECT rune FROM ({_runes_sql('documents')}) WHERE rune NOT IN ({_runes_sql('benchmark')})")
 def unknown_runes(spark, sf):
-    known = table(spark, sf, "benchmark").select(F.explode(F.split("text", "")).alias("token")).distinct()
+    known = table(spark, sf, "benchmark").select(F.explode_outer(F.split("text", "")).alias("token")).distinct()
     return vocabulary.unknown_runes(documents(spark, sf), known)
 
 
@@ -180,7 +180,7 @@ SELECT CASE WHEN b BETWEEN 33 AND 126 OR b BETWEEN 161 AND 172 OR b BETWEEN 174
 
 @query(f"SELECT idx::INT AS idx, symbol FROM ({_ALPHABET}) WHERE symbol NOT IN ({_runes_sql('documents')})")
 def byte_coverage(spark, sf):
-    seen = documents(spark, sf).select(F.explode(F.split("text", "")).alias("token")).distinct()
+    seen = documents(spark, sf).select(F.explode_outer(F.split("text", "")).alias("token")).distinct()
     return vocabulary.byte_coverage(alphabet_table(spark), seen).select("idx", "symbol")
 
 
@@ -273,7 +273,8 @@ _UNI_SCORED = f"SELECT s.*, u.logprob FROM ({_scored_sql(_EACH_PIECE, W, S, True
 
 def _each_piece(spark, sf, *keep):
     d = documents(spark, sf).select(F.col("doc_id").alias("doc"), *keep, vocabulary.pretokenize(F.col("text")).alias("pieces"))
-    return d.select("doc", *keep, F.size("pieces").alias("length"), F.posexplode("pieces").alias("pos", "token"))
+    # an inner explode would find the pieces twice, to filter by their number
+    return d.select("doc", *keep, F.size("pieces").alias("length"), F.posexplode_outer("pieces").alias("pos", "token")).where("pos is not null")
 
 
 @query(f"SELECT token AS piece, count(*) AS n, round(any_value(logprob)::DOUBLE, 5) AS logprob FROM ({_UNI_SCORED}) GROUP BY token")
@@ -360,7 +361,7 @@ def _joined(spark, sf):
     d = documents(spark, sf).select(F.col("doc_id").alias("doc"), F.concat(vocabulary.pretokenize(F.col("text")), F.array(F.lit(NEWLINES))).alias("tokens"))
     d = ordered_sum(d, "doc", F.size("tokens"), "offset")
     total = d.agg(F.sum(F.size("tokens")).alias("length"))
-    return d.select("offset", F.posexplode("tokens").alias("i", "token")).select((F.col("offset") + F.col("i")).alias("pos"), "token").crossJoin(F.broadcast(total))
+    return d.select("offset", F.posexplode_outer("tokens").alias("i", "token")).select((F.col("offset") + F.col("i")).alias("pos"), "token").crossJoin(F.broadcast(total))
 
 
 @query(f"SELECT {_PPL} FROM ({_JOINED_SCORED})")

@@ -32,9 +32,8 @@ def records(df: DataFrame, key: str, text: str, delimiter: str = "\n", strip: bo
     """(key, pos, record): whole texts cut after each delimiter. The delimiter stays in the record
     unless ``strip``, which for line feeds takes one carriage return before it too (not from a last
     record without delimiter). What follows the last delimiter is a record if it is not empty."""
-    parts = F.split(F.col(text), _quoted(delimiter), -1)
-    n = F.size(parts) - 1
-    each = df.select(F.col(key).alias("key"), n.alias("n"), F.posexplode(parts).alias("pos", "piece"))
+    parts = df.select(F.col(key).alias("key"), F.split(F.col(text), _quoted(delimiter), -1).alias("parts"))
+    each = parts.select("key", (F.size("parts") - 1).alias("n"), F.posexplode_outer("parts").alias("pos", "piece")).where("pos is not null")
     last = F.col("pos") == F.col("n")
     each = each.where(~last | (F.col("piece") != ""))
     if strip:

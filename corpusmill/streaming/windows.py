@@ -26,7 +26,7 @@ def stream_windows(docs: DataFrame, c: WindowConfig, doc: str = "file") -> DataF
 
 def running_dictionary(docs: DataFrame) -> DataFrame:
     """(piece, cnt) over all that has arrived."""
-    return docs.select(F.explode(pretokenize(F.col("text"))).alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("cnt"))
+    return docs.select(F.explode_outer(pretokenize(F.col("text"))).alias("piece")).where("piece is not null").groupBy("piece").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def to_memory(df: DataFrame, name: str, mode: str = "append") -> StreamingQuery:
