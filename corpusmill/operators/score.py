@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 
 from .lookup import sized
+from .model import input_arrays
 
 
 class Causal(Protocol):
@@ -119,12 +120,7 @@ def onnx_scorer(path: str, batch: int = 32) -> ArrowScorer:
         names = {x.name for x in session.get_inputs()}
 
         def run(tokens: np.ndarray) -> np.ndarray:
-            feed = {"input_ids": tokens}
-            if "position_ids" in names:
-                feed["position_ids"] = np.broadcast_to(np.arange(tokens.shape[1]), tokens.shape).copy()
-            if "attention_mask" in names:
-                feed["attention_mask"] = np.ones_like(tokens)
-            out = session.run(None, feed)[0]
+            out = session.run(None, {k: v for k, v in input_arrays(tokens).items() if k in names})[0]
             if out.ndim == 2:
                 return out
             top = out.max(axis=-1, keepdims=True)

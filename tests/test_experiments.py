@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.operators import bias, embed, evaluate, score
+from corpusmill.operators import bias, embed, evaluate, model, score
 from corpusmill.operators.windows import WindowConfig, jobs, token_windows
 from corpusmill.plans.progress import ProgressBar, job_progress
 from corpusmill.streaming import windows as streaming
@@ -63,12 +63,12 @@ def test_scores(spark):
     p = evaluate.perplexity(evaluate.unigram_scores(each, WindowConfig(4, 2, True))).first()
     assert tuple(evaluate.unigram_perplexity(each, WindowConfig(4, 2, True)).first()) == pytest.approx(tuple(p), rel=1e-6)
     assert p.n == 5 and p.ppl == pytest.approx(math.exp(-(u[2] * 2 + u[1] * 2 + u[3]) / 5))
-    model = score.Bigram(b)
-    assert model.generate([1], 3) == [2, 1, 2]
+    scorer = score.Bigram(b)
+    assert scorer.generate([1], 3) == [2, 1, 2]
     with pytest.raises(ValueError):
-        model.generate([], 1)
+        scorer.generate([], 1)
     w = jobs(token_windows(tokens, WindowConfig(4, 2, True)))
-    rows = score.evaluate(w, model, lambda df: df).collect()
+    rows = score.evaluate(w, scorer, lambda df: df).collect()
     flat = {(r.doc, r.start + r.seen + r.i): r.logprob for r in rows}
     want = {(r.uid, r.pos): r.logprob for r in evaluate.context(tokens, WindowConfig(4, 2, True), 4, 0.1).collect()}
     assert flat == want and len(rows) == 5
@@ -82,27 +82,73 @@ def test_arrow_scorer(spark):
     assert [(r.doc, r.token, r.logprob) for r in rows] == [(0, 5, -8.0), (0, 7, -12.0)]
 
 
-def onnx_bigram(path, table):
-    """A model file of one Gather: the logits after a token are a row of ``table``."""
+def varint(n):
+    out = b""
+    while n > 127:
+        out += bytes([n & 127 | 128])
+        n >>= 7
+    return out + bytes([n])
+
+
+def proto(number, payload):
+    return varint(number << 3) + varint(payload) if isinstance(payload, int) else varint(number << 3 | 2) + varint(len(payload)) + payload
+
+
+def onnx_value(name, kind, *dims):
+    shape = b"".join(proto(1, proto(1, d) if isinstance(d, int) else proto(2, d.encode())) for d in dims)
+    return proto(1, name) + proto(2, proto(1, proto(1, kind) + proto(2, shape)))
 
-    def varint(n):
-        out = b""
-        while n > 127:
-            out += bytes([n & 127 | 128])
-            n >>= 7
-        return out + bytes([n])
 
-    def field(number, payload):
-        return varint(number << 3) + varint(payload) if isinstance(payload, int) else varint(number << 3 | 2) + varint(len(payload)) + payload
+def onnx_node(op, inputs, output, **numbers):
+    attributes = b"".join(proto(5, proto(1, k.encode()) + proto(3, v) + proto(20, 2)) for k, v in numbers.items())
+    return b"".join(proto(1, x) for x in inputs) + proto(2, output) + proto(4, op) + attributes
 
-    def value(name, kind, *dims):
-        shape = b"".join(field(1, field(2, d.encode())) for d in dims)
-        return field(1, name) + field(2, field(1, field(1, kind) + field(2, shape)))
 
-    rows = field(1, len(table)) + field(1, table.shape[1]) + field(2, 1) + field(8, b"rows") + field(9, table.astype("<f4").tobytes())
-    node = field(1, b"rows") + field(1, b"input_ids") + field(2, b"logits") + field(4, b"Gather")
-    graph = field(1, node) + field(2, b"g") + field(5, rows) + field(11, value(b"input_ids", 7, "n", "t")) + field(12, value(b"logits", 1, "n", "t", "v"))
-    path.write_bytes(field(1, 8) + field(8, field(1, b"") + field(2, 13)) + field(7, graph))
+def onnx_tensor(name, values):
+    kind = 1 if values.dtype == np.dtype("<f4") else 7
+    return b"".join(proto(1, n) for n in values.shape) + proto(2, kind) + proto(8, name) + proto(9, values.tobytes())
+
+
+def onnx_file(path, nodes, tensors, inputs, outputs):
+    parts = [(1, nodes), (2, [b"g"]), (5, tensors), (11, inputs), (12, outputs)]
+    graph = b"".join(proto(number, x) for number, xs in parts for x in xs)
+    path.write_bytes(proto(1, 8) + proto(8, proto(1, b"") + proto(2, 13)) + proto(7, graph))
+
+
+def onnx_bigram(path, table):
+    """A model file of one Gather: the logits after a token are a row of ``table``."""
+    node = onnx_node(b"Gather", [b"rows", b"input_ids"], b"logits")
+    onnx_file(path, [node], [onnx_tensor(b"rows", table)], [onnx_value(b"input_ids", 7, "n", "t")], [onnx_value(b"logits", 1, "n", "t", "v")])
+
+
+def test_generation_with_a_cache(tmp_path):
+    """The cache holds all tokens so far, and logits prefer the next id to what is in the cache last."""
+    table = np.full((10, 10), -1, "<f4")
+    for k in range(10):
+        table[k, [(k + 3) % 10, (k + 7) % 10]] = 1  # ties go to the smaller id
+    nodes = [
+        onnx_node(b"Cast", [b"input_ids"], b"floats", to=1), onnx_node(b"Reshape", [b"floats", b"shape"], b"new"),
+        onnx_node(b"Concat", [b"past.0.key", b"new"], b"present.0.key", axis=2), onnx_node(b"Gather", [b"rows", b"input_ids"], b"logits"),
+    ]
+    tensors = [onnx_tensor(b"rows", table), onnx_tensor(b"shape", np.array([1, 1, -1, 1], "<i8"))]
+    cache = lambda name: onnx_value(name, 1, 1, 1, "past" if name.startswith(b"past") else "all", 1)
+    onnx_file(tmp_path / "m.onnx", nodes, tensors, [onnx_value(b"input_ids", 7, 1, "t"), cache(b"past.0.key")], [onnx_value(b"logits", 1, 1, "t", 10), cache(b"present.0.key")])
+    m = model.CachedModel.from_file(str(tmp_path / "m.onnx"), model.ModelShape(layers=1, heads=1, head_size=1, positions=12, vocabulary=10))
+    got = m.generate([4, 1], 5)
+    want, last = [], 1
+    for _ in range(5):
+        last = min((last + 3) % 10, (last + 7) % 10)
+        want.append(last)
+    assert got == want and m.cache[0].ravel().tolist() == [4, 1, *want[:-1]] and m.seen == 6
+    for prompt, steps in (([], 1), ([1] * 8, 5)):
+        with pytest.raises(ValueError):
+            m.generate(prompt, steps)
+    x = model.input_arrays(np.array([[5, 6]]), past=3)
+    assert x["position_ids"].tolist() == [[3, 4]] and x["attention_mask"].shape == (1, 5)
+    assert (model.GPT2.width, model.GPT2_LARGE.width, model.GPT2.empty_cache().shape) == (768, 1280, (1, 12, 0, 64))
+    onnx_bigram(tmp_path / "b.onnx", table)
+    with pytest.raises(ValueError, match="cache"):
+        model.CachedModel.from_file(str(tmp_path / "b.onnx"), model.GPT2).generate([1], 1)
 
 
 def test_onnx_scorer(spark, tmp_path):
