@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bytelevel, mathfn, tensor
 from ..functions.bytelevel import alphabet_table
-from ..functions.pretok import byte_tokens
+from ..functions.pretok import byte_tokens, rune_class
 from ..operators import bias, bpe, embed, evaluate, pack, score, vocabulary
 from ..operators.order import ordered_sum
 from ..operators.windows import WindowConfig, jobs, token_windows
@@ -699,6 +699,7 @@ def manifest_files(spark, sf):
     path = scratch(spark, "items")
     table(spark, sf, "benchmark").select("text", "item_id").write.partitionBy("item_id").text(path, lineSep="\n")
     m = manifest.manifest(spark, path, ["# comment", "item_id=*3", "!item_id=13", "*.crc"])
+    m = manifest.from_lines(manifest.to_lines(m))
     return m.select(F.regexp_extract("item", r"^item_id=(\d+)/", 1).cast("long").alias("item_id"), "sha256")
 
 
@@ -720,13 +721,13 @@ def _trained(spark, sf):
 
 
 #: Merges of a small tokenizer whose ids SQL can tell: a merge replaces its two parts everywhere, in order of rank.
-_PARTS = ("t h", "i n", "e r", "a n", "th e", "r e", "o n", "e n", "s t", "Ġ the", "a a", "aa a", "in g", "Ġ s", "o r", "Ġ d", "an d", "Ã ©", "l l", "Ġ and")
+_PARTS = ("t h", "i n", "e r", "a n", "th e", "r e", "o n", "e n", "s t", "Ġ the", "a a", "aa a", "in g", "Ġ s", "o r", "Ġ d", "an d", "Ã ©", "l l", "Ġ and", "qz x")
 _ORDER = bytelevel.initial_alphabet()
 
 
 def _small_tokenizer() -> bpe.Tokenizer:
     merges = tuple(tuple(m.split(" ")) for m in _PARTS)
-    return bpe.Tokenizer({x: k for k, x in enumerate([*_ORDER, *(a + b for a, b in merges)])}, merges)
+    return bpe.Tokenizer({x: k for k, x in enumerate([*_ORDER, *(a + b for a, b in merges), "zq"])}, merges)
 
 
 def _ids_sql() -> str:
@@ -757,24 +758,70 @@ def bpe_train(spark, sf):
     return _trained(spark, sf).merge_table(spark)
 
 
-@query()
+_VOCABULARY = "(VALUES " + ", ".join(f"({k}, '{x}')" for x, k in _small_tokenizer().vocab.items() if x not in "'") + f", ({_ORDER.index(chr(39))}, chr(39))) v(id, token)"
+_LIST = "(VALUES " + ", ".join(f"({k}, '{m.split(' ')[0]}', '{m.split(' ')[1]}')" for k, m in enumerate(_PARTS)) + ") m(rank, l, r)"
+# symbols, then what three rounds of merges make of them: no token here has deeper parts
+_REACHED = f"""WITH v AS (SELECT * FROM {_VOCABULARY}), m AS (SELECT * FROM {_LIST}), r0 AS (SELECT token FROM v WHERE length(token) = 1),
+r1 AS (SELECT token FROM r0 UNION SELECT l || r FROM m WHERE l IN (FROM r0) AND r IN (FROM r0)),
+r2 AS (SELECT token FROM r1 UNION SELECT l || r FROM m WHERE l IN (FROM r1) AND r IN (FROM r1)),
+reached AS (SELECT token FROM r2 UNION SELECT l || r FROM m WHERE l IN (FROM r2) AND r IN (FROM r2)) """
+
+
+@query(_REACHED + "SELECT id, token, token IN (FROM reached) AS reachable FROM v")
 def reachability(spark, sf):
-    t = _trained(spark, sf)
-    return bpe.reachable_tokens(t, spark).groupBy("reachable").agg(F.count(F.lit(1)).alias("n"))
+    return bpe.reachable_tokens(_small_tokenizer(), spark)
 
 
-@query()
+@query(_REACHED + "SELECT rank, l AS \"left\", r AS \"right\", l || r IN (FROM reached) AS reachable FROM m")
 def reachable_merges(spark, sf):
-    return bpe.reachable_merges(_trained(spark, sf), spark)
+    return bpe.reachable_merges(_small_tokenizer(), spark)
 
 
 @query("SELECT unnest(range(177, 188))::INT AS id")
 def unused_tokens(spark, sf):
+    """Bytes that UTF-8 never has."""
     return spark.createDataFrame([(i,) for i in bpe.unused_by_design()], "id int")
 
 
-@query()
+@query(_REACHED + "SELECT id FROM v WHERE token NOT IN (FROM reached)")
+def unreachable_tokens(spark, sf):
+    """Tokens of a vocabulary that no merge makes."""
+    return bpe.unused_tokens(_small_tokenizer(), spark)
+
+
+@query(f"SELECT rank, l AS \"left\", r AS \"right\" FROM {_LIST} JOIN {_VOCABULARY} ON token = l || r WHERE id < 266")
 def vocab_trim(spark, sf):
-    t = _trained(spark, sf)
-    vocab, merges = vocabulary.trim(t.table(spark), t.merge_table(spark), 400)
-    return merges
+    t = _small_tokenizer()
+    return vocabulary.trim(t.table(spark), t.merge_table(spark), 266)[1]
+
+
+_CLASS = rf"""CASE WHEN rune = ' ' THEN 'space' WHEN regexp_matches(rune, '^{_WS}$') THEN 'whitespace' WHEN regexp_matches(rune, '^\p{{L}}$') THEN 'letter'
+  WHEN regexp_matches(rune, '^\p{{N}}$') THEN 'number' ELSE 'other' END"""
+
+
+@query(f"SELECT rune, {_CLASS} AS class FROM ({_runes_sql('documents')})")
+def rune_classes(spark, sf):
+    runes = documents(spark, sf).select(F.explode_outer(F.split("text", "")).alias("rune")).where("rune <> ''").distinct()
+    return runes.select("rune", rune_class(F.col("rune")).alias("class"))
+
+
+@query(f"SELECT doc, md5(string_agg(name, '' ORDER BY pos)) AS digest FROM ({_EACH_BYTE}) JOIN ({_NAMES}) ON id = token GROUP BY doc")
+def byte_symbols(spark, sf):
+    """Texts in the byte-level alphabet."""
+    d = documents(spark, sf).where("text <> ''").select(F.col("doc_id").alias("doc"), bytelevel.mapped(F.col("text").cast("binary")).alias("symbols"))
+    return d.select("doc", F.md5(F.col("symbols").cast("binary")).alias("digest"))
+
+
+_ROWS8 = "SELECT vec_id, k, list_transform(embedding[k * 8 + 1 : k * 8 + 8], lambda x: x::DOUBLE) AS x, abs(hash_of) % 8 AS next FROM (SELECT vec_id, embedding, unnest(range(8)) AS k, vec_id * 31 + unnest(range(8)) * 17 AS hash_of FROM embeddings)"
+
+
+@query(f"SELECT vec_id, k::INT AS step, next::INT AS token, round(x[next + 1] - list_max(x) - ln(list_sum(list_transform(x, lambda v: exp(v - list_max(x))))), 5) AS logprob, (list_position(x, list_max(x)) - 1)::INT AS greedy FROM ({_ROWS8})")
+def next_log_probs(spark, sf):
+    """Logits of eight steps over eight tokens: the log-probability of the token that follows, and the likeliest."""
+    eight = F.sequence(F.lit(0), F.lit(7))
+    steps = F.transform(eight, lambda k: F.slice("embedding", k * 8 + 1, 8))
+    ids = F.transform(eight, lambda k: F.pmod(F.col("vec_id") * 31 + k * 17, F.lit(8)).cast("int"))
+    v = _vectors(spark, sf).select("vec_id", steps.alias("steps"), ids.alias("ids"))
+    v = v.select("vec_id", "ids", "steps", mathfn.gather_next(F.transform("steps", mathfn.log_softmax), F.concat(F.array(F.lit(0)), "ids")).alias("logprobs"))
+    v = v.select("vec_id", F.posexplode(F.arrays_zip("ids", "logprobs", F.transform("steps", mathfn.sample_greedy).alias("greedy"))).alias("step", "z"))
+    return v.select("vec_id", "step", F.col("z.ids").alias("token"), F.round("z.logprobs", 5).alias("logprob"), F.col("z.greedy").alias("greedy"))
