@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 BUCKETS = 4096
 #: As many words as a text's words can stand for.
@@ -91,7 +91,9 @@ def classifier(docs: DataFrame, domain_col: str, id_col: str = "doc_id", text_co
     cells = cells.join(F.broadcast(sums), "domain").select("bucket", F.struct("domain", F.log((F.col("n") + 0.5) / F.col("s")).alias("x")).alias("e"))
     # domains sort alike here and there: by code points are by UTF-8 bytes
     table = cells.groupBy("bucket").agg(F.sort_array(F.collect_list("e")).alias("es")).select("bucket", F.transform("es", lambda e: e.x).alias("ll"))
-    return domains, priors, stored(table, "mix-words")
+    table = stored(table, "mix-words")
+    discard(counts)
+    return domains, priors, table
 
 
 def posteriors(docs: DataFrame, domains: list, priors: list[float], table: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -232,6 +234,8 @@ def mix(docs: DataFrame, domain_col: str, targets: dict | None = None, id_col: s
     if unknown:
         raise ValueError(f"targets for domains that no row has: {unknown[:9]}")
     post = stored(posteriors(docs, domains, priors, table, id_col, text_col), "mix-posteriors")
+    if domains:
+        discard(table)
     wanted = [float(targets.get(d, 0.0)) for d in domains] if targets is not None else None
     found = fit(post, domains, wanted, least=least)
     return rates(post, found), found

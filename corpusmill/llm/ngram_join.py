@@ -213,16 +213,16 @@ def _possible(na, sa, nb, sb, percent: int):
     return ((100 + percent) * sa >= need) & ((100 + percent) * sb >= need)
 
 
-def links(sets: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """Of ``document_sets``: links (a, b) between class representatives, which connect all that is
-    linked, and the classes (rep, doc) of the other members."""
+def links(sets: DataFrame, percent: int = PERCENT) -> list[DataFrame]:
+    """Of ``document_sets``: stored tables of links (a, b) that connect all that is linked: between class
+    representatives by stars, by the rest, and of each class's members with its representative."""
     sets = sets.where("n is not null")
     # a class may hold a third of all rows: its least id meets its members in SALT places
     whole = sets.where("same is not null").select("doc", "same", F.pmod(F.xxhash64("doc"), F.lit(SALT)).cast("int").alias("salt"))
     least = whole.groupBy("same").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("m")).where("m > 1")
     least = least.select("same", "rep", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    classes = stored(whole.join(least, ["same", "salt"]).where("doc <> rep").select("rep", "doc"), "ngram-classes")
-    postings = sets.select("doc", "n", "shared", "prefix").join(classes.select("doc"), "doc", "left_anti")
+    classes = stored(whole.join(least, ["same", "salt"]).where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b")), "ngram-classes")
+    postings = sets.select("doc", "n", "shared", "prefix").join(classes.select(F.col("b").alias("doc")), "doc", "left_anti")
     postings = stored(postings.select("doc", "n", "shared", F.explode("prefix").alias("gram")), "ngram-postings")
     # the hub of a posting: the document with the fewest n-grams of its own, as an original has among its copies
     hubs = postings.groupBy("gram").agg(F.min(F.struct((F.col("n") - F.col("shared")).alias("own"), "doc", "n", "shared")).alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1")
@@ -236,7 +236,7 @@ def links(sets: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     rest = stored(rest, "ngram-rest")
     more = stored(_linked(rest, sets, percent), "ngram-links")
     discard(postings, stars, rest)
-    return found.union(more), classes
+    return [found, more, classes]
 
 
 def _reached(edges: DataFrame) -> DataFrame:
@@ -252,8 +252,9 @@ def _reached(edges: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(``document_sets``, (doc, component) of the documents that have a link; all others are alone)."""
     sets = document_sets(docs, k, percent, id_col, text_col)
-    found, classes = links(sets, percent)
-    of_rep = components(found.union(classes.toDF("a", "b")))
+    found = links(sets, percent)
+    of_rep = components(found[0].union(found[1]).union(found[2]))
+    discard(*found)
     return sets, of_rep.select(F.col("node").alias("doc"), "component")
 
 
@@ -305,6 +306,7 @@ def jaccard_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id
 def drop_near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose document has the smallest id of its group, with all their columns.
     Rows without an id stay."""
-    _, g = groups(docs, k, percent, id_col, text_col)
+    sets, g = groups(docs, k, percent, id_col, text_col)
+    discard(sets)
     gone = g.where("doc <> component").select(F.col("doc").alias("__gone"))
     return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
