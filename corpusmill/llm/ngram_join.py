@@ -10,7 +10,7 @@
 3. Documents with the same set form one class, of which the smallest id stands for all.
 4. Candidates meet by prefix n-gram: first each document with the first of its posting (a star, not
    all pairs); partial overlaps are counted in each vertical fragment and summed per pair. Then only
-   pairs of one posting are counted whose ends the stars have not already led to one document. The members of
+   pairs of one posting are counted whose ends the stars' links have not already connected. The members of
    a long posting are dealt to blocks, and pairs of blocks are compared apart from each other. Every
    link joins documents that the result has in one component, and no pair within a large group is
    listed twice.
@@ -46,8 +46,6 @@ WORDS = 8
 SALT = 64
 #: Members of a posting that meet in one task, about.
 BLOCK = 1024
-#: How far the links of stars are followed before the rest is compared.
-HOPS = 2
 
 SETS = "doc long, n_shingles long, row boolean, n long, shared long, bits array<long>, same string, prefix array<long>, segments array<array<long>>"
 
@@ -230,8 +228,8 @@ def links(sets: DataFrame, percent: int = PERCENT) -> list[DataFrame]:
     stars = postings.join(hubs, "gram").where("doc <> a").where(_possible(F.col("na"), F.col("sa"), F.col("n"), F.col("shared"), percent))
     stars = stored(stars.select("a", F.col("doc").alias("b"), "na", F.col("n").alias("nb")).distinct(), "ngram-stars")
     found = stored(_linked(stars, sets, percent), "ngram-links")
-    met = _reached(found)
-    tagged = postings.join(met, "doc", "left").select("doc", "n", "shared", "gram", F.coalesce("c", "doc").alias("c"))
+    met = components(found).select(F.col("node").alias("doc"), "component")
+    tagged = postings.join(met, "doc", "left").select("doc", "n", "shared", "gram", F.coalesce("component", "doc").alias("c"))
     rest = _across(tagged, sets.select("doc", "bits"), percent).join(stars.select("a", "b").union(stars.select("b", "a")), ["a", "b"], "left_anti")
     rest = stored(rest, "ngram-rest")
     more = stored(_linked(rest, sets, percent), "ngram-links")
@@ -239,16 +237,6 @@ def links(sets: DataFrame, percent: int = PERCENT) -> list[DataFrame]:
     return [found, more, classes]
 
 
-def _reached(edges: DataFrame) -> DataFrame:
-    """(doc, c): the least of what a document and its neighbours reach, ``HOPS`` links away. Documents with
-    one c are connected; documents of one component may have different ones."""
-    both = edges.select(F.col("a").alias("doc"), F.col("b").alias("to")).union(edges.select("b", "a"))
-    c = both.groupBy("doc").agg(F.min("to").alias("c")).select("doc", F.least("doc", "c").alias("c"))
-    for _ in range(HOPS - 1):
-        c = both.join(c.select(F.col("doc").alias("to"), "c"), "to").groupBy("doc").agg(F.min("c").alias("c"))
-    return c
-
-
 def groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(``document_sets``, (doc, component) of the documents that have a link; all others are alone)."""
     sets = document_sets(docs, k, percent, id_col, text_col)

@@ -5,7 +5,7 @@ import pyarrow.compute
 import pytest
 
 from corpusmill.llm import exact_dedup, ngram_join, substring_dedup
-from corpusmill.llm.common import gram_hashes
+from corpusmill.llm.common import gram_hashes, stored
 from corpusmill.llm.components import components
 from corpusmill.llm.packed import shared
 
@@ -145,6 +145,25 @@ def test_one_passage_in_every_document(spark, monkeypatch):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.parse(extra(spark, rows)).collect()} == substring(rows)
 
 
+def test_connected_documents_are_not_paired(spark, monkeypatch):
+    """A group of which most pairs link, and none is a copy of a hub: stars connect it, and the rest is empty."""
+    rng = random.Random(1)
+    pool = [[f"p{j}x{i}" for i in range(9)] for j in range(40)]
+    common = [f"c{k}" for k in range(84)]
+    rows = [(d, " ".join([*common, *(w for j in rng.sample(range(40), 2) for w in pool[j]), f"u{d}"])) for d in range(300)]
+    seen = {}
+
+    def noted(df, label, *rest):
+        out = stored(df, label, *rest)
+        seen[label] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", noted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_groups(extra(spark, rows)).collect()}
+    assert got == jaccard_components(rows) and len({c for _, c in got.values()}) == 1
+    assert seen["ngram-rest"] == 0 and seen["ngram-stars"] < 300 * 10
+
+
 def test_what_all_documents_share_is_one_entry_of_a_bucket():
     """What a bucket sends to a fragment does not grow with the copies in it."""
 
