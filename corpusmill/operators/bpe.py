@@ -157,19 +157,20 @@ def train(counts: DataFrame, size: int, least: int = 2) -> Tokenizer:
             pairs[p] += n
             where[p].add(k)
     merges = []
-    while len(vocab) < size and pairs:
-        best = min(pairs.items(), key=lambda x: (-x[1], x[0]))
-        if best[1] < 1:
-            break
-        pair = best[0]
+    heap = [(-n, p) for p, n in pairs.items()]
+    heapq.heapify(heap)
+    while len(vocab) < size and heap:
+        n, pair = heapq.heappop(heap)
+        if pairs.get(pair, 0) != -n or n >= 0:
+            continue  # its count has changed since; the new one is in the heap too
         merges.append(pair)
         vocab.setdefault(pair[0] + pair[1], len(vocab))
+        changed = set()
         for k in list(where.pop(pair)):
             parts, n = words[k]
             for p in zip(parts, parts[1:], strict=False):
                 pairs[p] -= n
-                if not pairs[p]:
-                    del pairs[p]
+                changed.add(p)
             out, i = [], 0
             while i < len(parts):
                 if i + 1 < len(parts) and (parts[i], parts[i + 1]) == pair:
@@ -182,7 +183,13 @@ def train(counts: DataFrame, size: int, least: int = 2) -> Tokenizer:
             for p in zip(out, out[1:], strict=False):
                 pairs[p] += n
                 where[p].add(k)
+                changed.add(p)
         pairs.pop(pair, None)
+        for p in changed:
+            if pairs.get(p, 0) > 0:
+                heapq.heappush(heap, (-pairs[p], p))
+            else:
+                pairs.pop(p, None)
     return Tokenizer(vocab, tuple(merges))
 
 

@@ -11,7 +11,7 @@ from ..sources.scratch import staged
 BROADCAST_ROWS = 1_000_000
 
 
-def sized(table: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """The table, computed once, with a broadcast hint if it has at most ``most`` rows."""
+def sized(table: DataFrame, most: int | None = None) -> DataFrame:
+    """The table, computed once, with a broadcast hint if it has at most ``most`` rows (``BROADCAST_ROWS``)."""
     t = staged(table, "lookup")
-    return F.broadcast(t) if t.count() <= most else t
+    return F.broadcast(t) if t.count() <= (BROADCAST_ROWS if most is None else most) else t

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.operators import bias, embed, evaluate, model, score
+from corpusmill.operators import bias, embed, evaluate, lookup, model, score
 from corpusmill.operators.windows import WindowConfig, jobs, token_windows
 from corpusmill.plans.progress import ProgressBar, job_progress
 from corpusmill.streaming import windows as streaming
@@ -82,6 +82,16 @@ def test_arrow_scorer(spark):
     assert [(r.doc, r.token, r.logprob) for r in rows] == [(0, 5, -8.0), (0, 7, -12.0)]
 
 
+def test_large_lookup_tables_are_not_broadcast(spark, monkeypatch):
+    tokens = spark.createDataFrame([(d, [1, 2, 1, d % 3, 3]) for d in range(30)], "doc long, tokens array<int>")
+    rows = lambda: sorted(map(tuple, evaluate.context(tokens, WindowConfig(4, 2, True), 4).collect()))
+    small = rows()
+    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 0)
+    assert rows() == small
+    hint = lambda most: "broadcast" in lookup.sized(spark.range(3), most)._jdf.queryExecution().analyzed().toString()
+    assert hint(3) and not hint(2)
+
+
 def varint(n):
     out = b""
     while n > 127:

@@ -78,6 +78,30 @@ def test_train_encode_decode(spark, trained, tmp_path):
     assert again.vocab == trained.vocab and again.merges == trained.merges
 
 
+def test_training_takes_the_most_frequent_pair(spark):
+    """Counted anew before each merge; ties go to the smaller pair."""
+    rng = random.Random(7)
+    counts = {"".join(rng.choice("abcd") for _ in range(rng.randrange(1, 9))): rng.randrange(1, 5) for _ in range(60)}
+    got = bpe.train(spark.createDataFrame(list(counts.items()), "piece string, cnt long"), 256 + 40, least=1).merges
+    words, want = [(list(w), n) for w, n in counts.items()], []
+    while len(want) < 40:
+        seen = {}
+        for parts, n in words:
+            for p in zip(parts, parts[1:], strict=False):
+                seen[p] = seen.get(p, 0) + n
+        if not seen:
+            break
+        best = min(seen, key=lambda p: (-seen[p], p))
+        want.append(best)
+        for parts, _ in words:
+            k = 0
+            while k + 1 < len(parts):
+                if (parts[k], parts[k + 1]) == best:
+                    parts[k : k + 2] = ["".join(best)]
+                k += 1
+    assert list(got) == want
+
+
 def test_same_ids_as_the_library(spark, trained, tmp_path):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
