@@ -1,11 +1,13 @@
 import hashlib
+import re
 import struct
 import zlib
 
 import duckdb
 import pytest
 
-from corpusmill.llm import media
+from corpusmill.llm import media, mixing
+from corpusmill.llm.common import stored
 from corpusmill.llm.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -92,3 +94,18 @@ def test_chat_query_on_tied_repeated_and_null_turns(spark, tmp_path):
             assert got[c][name] == want[c][name], (c, name)
     told = {1: "assistant\nb\nuser\na\nuser\nc\n", 4: "user\no\n\n\nassistant\nq\nuser\np\n"}
     assert all(got[c]["turns_sha256"] == hashlib.sha256(t.encode()).hexdigest() for c, t in told.items())
+
+
+@pytest.mark.parametrize("name", ["op2_exact_dedup", "op7_mixing", "op8_chat"])
+def test_native_queries_have_no_python(spark, name, monkeypatch):
+    """Neither the result's plan nor those of the tables it is made from."""
+    plans = []
+
+    def noted(df, label, *rest):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, label, *rest)
+
+    monkeypatch.setattr(mixing, "stored", noted)
+    plans.append(QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) == (4 if name == "op7_mixing" else 1)
+    assert not [p for p in plans if re.search("Python|Arrow|Pandas", p)]
