@@ -205,12 +205,6 @@ def _possible(na, sa, nb, sb, percent: int):
     return ((100 + percent) * sa >= need) & ((100 + percent) * sb >= need)
 
 
-def _possible(na, sa, nb, sb, percent: int):
-    """Whether sets of these sizes, of which so many n-grams are shared with any document, could link."""
-    need = percent * (na + nb)
-    return ((100 + percent) * sa >= need) & ((100 + percent) * sb >= need)
-
-
 def links(sets: DataFrame, percent: int = PERCENT) -> list[DataFrame]:
     """Of ``document_sets``: stored tables of links (a, b) that connect all that is linked: between class
     representatives by stars, by the rest, and of each class's members with its representative."""
