@@ -203,7 +203,7 @@ def _windows_sql(w: int, s: int, tail: bool, left: bool = False, right: bool = F
 WITH t AS (SELECT doc, tokens, len(tokens) AS size, CASE WHEN len(tokens) >= {w} THEN (len(tokens) - {w}) // {s} + 1 ELSE 0 END AS n FROM ({_BYTES})),
 x AS (SELECT doc, tokens, size, n, unnest(range(n + 1)) AS k FROM t),
 y AS (SELECT *, k * {s} AS start, least({w}, greatest(size - k * {s}, 0)) AS len FROM x)
-SELECT doc, k::INT AS position, start::INT AS start, (len + {missing if pads else '0'})::INT AS n_tokens, coalesce(list_sum(list_transform({cut}, lambda x, i: x * i)), 0)::BIGINT AS weighed,
+SELECT doc, k::INT AS position, start::INT AS start, (len + {missing if pads else '0'})::INT AS n_tokens, list_sum({own})::BIGINT AS total, ({cut})[1] AS head, ({cut})[len({cut}) // 2 + 1] AS middle, ({cut})[-1] AS last,
   least(start, len, {w - s})::INT AS seen, ({missing if left else '0'})::INT AS pad_left, ({missing if right else '0'})::INT AS pad_right
 FROM y WHERE {keep}"""
 
@@ -214,9 +214,9 @@ def _digest(numbers: str):
 
 def _window_rows(spark, sf, c: WindowConfig) -> DataFrame:
     w = token_windows(_bytes(spark, sf), c)
-    # each token by its place: order and placement count
-    weighed = F.aggregate(F.transform("tokens", lambda x, i: x.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
-    return w.select("doc", "position", "start", F.size("tokens").alias("n_tokens"), weighed.alias("weighed"), "seen", "pad_left", "pad_right")
+    total = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x)
+    middle = F.get("tokens", F.floor(F.size("tokens") / 2).cast("int"))
+    return w.select("doc", "position", "start", F.size("tokens").alias("n_tokens"), total.alias("total"), F.element_at("tokens", 1).alias("head"), middle.alias("middle"), F.element_at("tokens", -1).alias("last"), "seen", "pad_left", "pad_right")
 
 
 @query(_windows_sql(BW, BS, False))
