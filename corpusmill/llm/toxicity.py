@@ -32,6 +32,8 @@ WIDTHS = (1, 2, 3)
 FILTERS = 8
 #: Bytes of a word's beginning that have an embedding of their own.
 PREFIXES = (3, 4, 5, 6)
+#: Bytes of text that are scored at once: a window of words has a number for each filter.
+PIECE_BYTES = 1 << 19
 #: Steps of a logit, from -30 to 30, that scores of many rows are counted by for thresholds.
 STEPS = 256
 
@@ -223,7 +225,7 @@ def calibrate_labelled(net: Cnn, docs: DataFrame, labels: DataFrame) -> None:
     rows = docs.where(F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang"))
 
     def run(it):
-        for ids, data, offs, at, batch in batches(it):
+        for ids, data, offs, at, batch in batches(it, PIECE_BYTES):
             step = np.floor(np.clip(net.logits(data, offs), -30, 30) * STEPS).astype(np.int32)
             yield pa.RecordBatch.from_arrays([ids, batch.column(2).slice(at, len(ids)), pa.array(step)], names=["__id", "lang", "step"])
 
@@ -264,7 +266,7 @@ def score(docs: DataFrame, net: Cnn, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), lang.alias("lang"))
 
     def run(it):
-        for ids, data, offs, at, batch in batches(it):
+        for ids, data, offs, at, batch in batches(it, PIECE_BYTES):
             s = sigmoid(net.logits(data, offs))
             langs = batch.column(2).slice(at, len(ids)).to_pylist()
             limit = np.array([net.thresholds.get(x, 0.5) for x in langs])
