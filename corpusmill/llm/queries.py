@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, media, mixing, ngram_join, quality, substring_dedup, toxicity, warc
+from . import bpe, chat, exact_dedup, licenses, media, mixing, ngram_join, quality, substring_dedup, toxicity, vector_codes, warc, whitening
 from .common import held_out, stored
 
 
@@ -88,6 +88,18 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(stored(media.to_media(_read(spark, sf_dir, "documents")), "media"))
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_exact_dedup": op2_exact_dedup,
@@ -99,6 +111,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_media": op10_media,
+    "op11_licenses": op11_licenses,
+    "op12_whitening": op12_whitening,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 SQL: dict[str, str] = {
@@ -144,5 +159,42 @@ gone AS (SELECT DISTINCT doc_id, i + k AS i FROM dup, range(50) t(k)),
 each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
 kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n FROM each ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+""",
+    "op11_licenses": r"""
+WITH t(tid, label, words, phrase) AS (VALUES
+  (0, 'cc-by', 'cc by', true), (1, 'gpl', 'general public license', true), (2, 'reserved', 'all rights reserved', true),
+  (3, 'apache-notice', 'licensed under the apache license version 2 0', false),
+  (4, 'bsd-text', 'redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met', false),
+  (5, 'cc-notice', 'licensed under cc by nc 4 0', false),
+  (6, 'gpl-notice', 'this work is licensed under the gnu general public license version 3', false),
+  (7, 'mit-notice', 'released under the mit license', false),
+  (8, 'mit-text', 'permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files', false)),
+tw AS (SELECT tid, label, phrase, string_split(words, ' ') AS w FROM t),
+tg AS (SELECT tid, i, w[i] AS a, w[i + 1] AS b FROM (SELECT tid, w, unnest(range(1, len(w))) AS i FROM tw)),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT r, i, w[i] AS a, w[i + 1] AS b FROM (SELECT r, w, unnest(range(1, len(w))) AS i FROM d WHERE len(w) > 1)),
+v AS (SELECT r, tid, g.i - tg.i AS diagonal, bit_or(1::BIGINT << (tg.i - 1)) AS mask FROM g JOIN tg USING (a, b) GROUP BY ALL),
+p AS (SELECT r, diagonal, label, phrase, bit_count(mask) = len(w) - 1 AS whole,
+  bit_count(bit_or(mask) OVER (PARTITION BY r, tid ORDER BY diagonal RANGE BETWEEN CURRENT ROW AND 2 FOLLOWING))::DOUBLE / (len(w) - 1) AS share FROM v JOIN tw USING (tid)),
+f AS (SELECT r, count(*) FILTER (phrase AND whole) AS n, min(diagonal) FILTER (phrase AND whole) AS a, max(diagonal) FILTER (phrase AND whole) AS b, max(share) AS score,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase AND whole) AS base, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (CASE WHEN phrase THEN whole ELSE share >= 0.75 END) AS labels FROM p GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, a AS first_word, b AS last_word, coalesce(base, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN f USING (r)
+""",
+    "op13_vector_codes": r"""
+WITH k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x, row_number() OVER (ORDER BY vec_id NULLS LAST) AS r FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT r, p, x[4 * p + 1] AS a, x[4 * p + 2] AS b, x[4 * p + 3] AS c, x[4 * p + 4] AS d FROM (SELECT r, x, unnest(range(16)) AS p FROM k)),
+b0 AS MATERIALIZED (SELECT p, r - 1 AS e, a, b, c, d FROM s WHERE r <= 64),
+d0 AS MATERIALIZED (SELECT s.r, s.p, arg_min(b0.e, ((s.a - b0.a) ** 2 + (s.b - b0.b) ** 2 + (s.c - b0.c) ** 2 + (s.d - b0.d) ** 2)::BIGINT * 64 + b0.e) AS e FROM s JOIN b0 USING (p) GROUP BY ALL),
+b1 AS MATERIALIZED (SELECT p, e, coalesce(floor(m.a)::BIGINT, b0.a) AS a, coalesce(floor(m.b)::BIGINT, b0.b) AS b, coalesce(floor(m.c)::BIGINT, b0.c) AS c, coalesce(floor(m.d)::BIGINT, b0.d) AS d
+  FROM b0 LEFT JOIN (SELECT p, e, sum(a) / count(*) AS a, sum(b) / count(*) AS b, sum(c) / count(*) AS c, sum(d) / count(*) AS d FROM s JOIN d0 USING (r, p) GROUP BY ALL) m USING (p, e)),
+d1 AS MATERIALIZED (SELECT s.r, s.p, arg_min(b1.e, ((s.a - b1.a) ** 2 + (s.b - b1.b) ** 2 + (s.c - b1.c) ** 2 + (s.d - b1.d) ** 2)::BIGINT * 64 + b1.e) AS e FROM s JOIN b1 USING (p) GROUP BY ALL),
+b2 AS MATERIALIZED (SELECT p, e, coalesce(floor(m.a)::BIGINT, b1.a) AS a, coalesce(floor(m.b)::BIGINT, b1.b) AS b, coalesce(floor(m.c)::BIGINT, b1.c) AS c, coalesce(floor(m.d)::BIGINT, b1.d) AS d
+  FROM b1 LEFT JOIN (SELECT p, e, sum(a) / count(*) AS a, sum(b) / count(*) AS b, sum(c) / count(*) AS c, sum(d) / count(*) AS d FROM s JOIN d1 USING (r, p) GROUP BY ALL) m USING (p, e)),
+d2 AS (SELECT s.r, s.p, min(((s.a - b2.a) ** 2 + (s.b - b2.b) ** 2 + (s.c - b2.c) ** 2 + (s.d - b2.d) ** 2)::BIGINT * 64 + b2.e) AS m FROM s JOIN b2 USING (p) GROUP BY ALL),
+o AS (SELECT r, string_agg(printf('%02x', m % 64), '' ORDER BY p) AS code, sum(m // 64)::BIGINT AS error FROM d2 GROUP BY r),
+h AS (SELECT sha256(string_agg(concat_ws(',', a, b, c, d), ',' ORDER BY p, e)) AS h FROM b2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM k JOIN o USING (r), h
 """,
 }
