@@ -24,8 +24,13 @@ def to_symbols(raw: bytes) -> str:
     return "".join(table[b] for b in raw)
 
 
+@cache
+def _bytes_of() -> dict[str, int]:
+    return {c: b for b, c in enumerate(alphabet())}
+
+
 def from_symbols(symbols: str) -> bytes:
-    back = {c: b for b, c in enumerate(alphabet())}
+    back = _bytes_of()
     return bytes(back[c] for c in symbols)
 
 

@@ -1,6 +1,7 @@
-"""Byte-level BPE over the distinct pieces of a corpus: encode each piece once, join back.
+"""Byte-level BPE: encoding and decoding in Arrow batches, without a shuffle.
 
-Also training, reachability of tokens and merges, and the tokenizer's files.
+Also plain training on the driver (``bpe_training`` has the one for corpora), reachability of tokens and merges, and the
+tokenizer's files.
 """
 
 from __future__ import annotations
@@ -12,12 +13,16 @@ from collections import Counter, defaultdict
 from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bytelevel import alphabet, from_symbols, initial_alphabet, to_symbols
 from ..functions.pretok import pretokenize, repair_bytes, with_prefix_space
+from ..sources.scratch import dropped, staged
+from .bpe_flat import Decoder, Encoder
 
 
 @dataclass(frozen=True)
@@ -44,6 +49,14 @@ class Tokenizer:
         merges = tuple(tuple(x.split(" ", 1)) for x in lines if x and not x.startswith("#version"))
         return Tokenizer(dict(pairs), merges, **kw)
 
+    @staticmethod
+    def from_json(path: str, **kw) -> Tokenizer:
+        """The model of a ``tokenizer.json``; its special tokens are not looked for in texts."""
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        merges = tuple(tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in model["merges"])
+        return Tokenizer(model["vocab"], merges, **kw)
+
     def save(self, vocab_path: str, merges_path: str) -> None:
         with open(vocab_path, "w", encoding="utf-8") as f:
             json.dump(self.vocab, f, ensure_ascii=False)
@@ -85,40 +98,81 @@ class Tokenizer:
 
 
 def encode(docs: DataFrame, t: Tokenizer, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, tokens). Each distinct piece is encoded once in Python; documents meet them by a join.
+    """(doc, tokens). Pieces come from the JVM's regular expression; merges run in Arrow batches over the distinct pieces
+    of about ``SLICE`` symbols at a time, so no token is shuffled. The merge table reaches each worker once.
 
     A piece with an unknown symbol fails the job or, with ``recover``, makes its whole document empty.
     """
-    c = F.col(text)
+    c = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc).alias("doc"), pretokenize(with_prefix_space(c) if t.prefix_space else c).alias("pieces"))
-    each = rows.select("doc", F.posexplode_outer("pieces").alias("pos", "piece")).where("pos is not null")
+    table, recover = docs.sparkSession.sparkContext.broadcast(Encoder(t.vocab, t.merges)), t.recover
 
-    def ids(it):
+    def run(it):
         for batch in it:
-            found = [t.piece(p) for p in batch.column("piece").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("piece"), pa.array(found, pa.list_(pa.int32()))], names=["piece", "ids"])
-
-    known = each.select("piece").distinct().mapInArrow(ids, "piece string, ids array<int>")
-    lost = F.max(F.col("ids").isNull())
-    joined = each.join(known, "piece").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("x"), lost.alias("lost"))
-    flat = F.flatten(F.transform("x", lambda v: v["ids"]))
-    bad = F.array().cast("array<int>") if t.recover else F.raise_error(F.lit("unknown symbol")).cast("array<int>")
-    done = joined.select("doc", F.when(F.col("lost"), bad).otherwise(flat).alias("tokens"))
-    return rows.select("doc").join(done, "doc", "left").select("doc", F.coalesce("tokens", F.array().cast("array<int>")).alias("tokens"))
+            pieces = batch.column(1)
+            begin = np.asarray(pieces.offsets, np.int64)
+            for i, j in _slices(np.asarray(pc.fill_null(pc.list_value_length(pieces), 0), np.int64)):
+                ids, offs = _encoded(table.value, pieces.values.slice(begin[i], begin[j] - begin[i]), begin[i : j + 1] - begin[i], recover)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(ids.astype(np.int32)))], names=["doc", "tokens"])
+
+    return rows.mapInArrow(run, f"doc {dict(rows.dtypes)['doc']}, tokens array<int>")
+
+
+#: Entries (pieces, tokens) that one numpy step works on, but for a longer document.
+SLICE = 1 << 18
+
+
+def _slices(lens: np.ndarray):
+    """Ranges of rows with at most ``SLICE`` entries together, or one row."""
+    ends = np.cumsum(lens)
+    i = 0
+    while i < len(lens):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + SLICE, side="right")))
+        yield i, j
+        i = j
+
+
+def _encoded(encoder: Encoder, pieces: pa.Array, offs: np.ndarray, recover: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, offsets by document) of pieces with offsets by document; each distinct piece is merged once."""
+    coded = pieces.dictionary_encode()
+    words = coded.dictionary.cast(pa.large_binary())
+    _, o, d = words.buffers()
+    at = np.frombuffer(o, np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
+    data = np.frombuffer(d, np.uint8)[at[0] : at[-1]] if len(words) and d is not None and d.size else np.zeros(0, np.uint8)
+    ids, ends = encoder(data, at - at[0])
+    which = np.asarray(coded.indices, np.int64)
+    lens = np.diff(ends)[which]
+    total = np.concatenate([[0], np.cumsum(lens)])
+    flat = ids[np.repeat(ends[:-1][which] - total[:-1], lens) + np.arange(total[-1])]
+    out = total[offs]
+    if (flat < 0).any():
+        if not recover:
+            raise ValueError("unknown symbol")
+        row = np.repeat(np.arange(len(out) - 1), np.diff(out))
+        lost = np.unique(row[flat < 0])
+        flat, size = flat[~np.isin(row, lost)], np.diff(out)
+        size[lost] = 0
+        out = np.concatenate([[0], np.cumsum(size)])
+    return flat, out
 
 
 def decode(tokens: DataFrame, t: Tokenizer) -> DataFrame:
-    """(doc, text) of (doc, tokens): token strings come by a join with the vocabulary."""
-    vocab = t.table(tokens.sparkSession)
-    each = tokens.select("doc", F.posexplode("tokens").alias("pos", "id"))
-    words = each.join(vocab, "id").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("x"))
-    symbols = words.select("doc", F.array_join(F.transform("x", lambda v: v["token"]), "").alias("symbols"))
+    """(doc, text) of (doc, tokens): bytes of the tokens, joined in Arrow batches; broken UTF-8 is repaired."""
+    table = tokens.sparkSession.sparkContext.broadcast(Decoder(t.vocab))
 
-    @F.pandas_udf("string")
-    def text(s):
-        return s.map(lambda x: repair_bytes(from_symbols(x)))
+    def run(it):
+        for batch in it:
+            lists = batch.column(1)
+            begin = np.asarray(lists.offsets, np.int64)
+            for i, j in _slices(np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)):
+                ids = np.asarray(lists.values.slice(begin[i], begin[j] - begin[i]), np.int64)
+                data, offs = table.value(ids, begin[i : j + 1] - begin[i])
+                raw = data.tobytes()
+                texts = [repair_bytes(raw[a:b]) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(texts, pa.string())], names=["doc", "text"])
 
-    return tokens.select("doc").join(symbols.withColumn("text", text("symbols")), "doc", "left").select("doc", F.coalesce("text", F.lit("")).alias("text"))
+    rows = tokens.select("doc", F.col("tokens").cast("array<long>").alias("tokens"))
+    return rows.mapInArrow(run, f"doc {dict(rows.dtypes)['doc']}, text string")
 
 
 def reachable(vocab: dict[str, int], merges) -> set[str]:
@@ -130,16 +184,44 @@ def reachable(vocab: dict[str, int], merges) -> set[str]:
     return found
 
 
+def reach_ranks(vocab: DataFrame, merges: DataFrame) -> DataFrame:
+    """(token, since): tokens that merging can make, and the rank of the first merge that makes each (-1: a symbol).
+
+    A merge counts where merges of lower ranks, or the alphabet, make both its parts: one pass in the order of ranks, as a
+    fixpoint. Each round joins the merges with what is reached so far, keeps the least rank of each product and is
+    written; it ends when a round reaches nothing new or earlier. Rounds are as many as merges build on each other.
+    """
+    spark = vocab.sparkSession
+    symbols = spark.createDataFrame([(s,) for s in initial_alphabet()], "token string")
+    found = staged(vocab.join(F.broadcast(symbols), "token", "left_semi").select("token", F.lit(-1).alias("since")).distinct(), "reach")
+    size, before = found.agg(F.count(F.lit(1)), F.sum(F.col("since").cast("long"))).first(), None
+    while size != before:
+        left, right = found.toDF("left", "l"), found.toDF("right", "r")
+        made = merges.join(left, "left").join(right, "right").where("l < rank AND r < rank").select(F.concat("left", "right").alias("token"), F.col("rank").alias("since"))
+        after = staged(found.union(made).groupBy("token").agg(F.min("since").alias("since")), "reach")
+        found, before = dropped(found, after), size
+        size = found.agg(F.count(F.lit(1)), F.sum(F.col("since").cast("long"))).first()
+    return found
+
+
+def token_reach(vocab: DataFrame, merges: DataFrame) -> DataFrame:
+    """(id, token, reachable) of a vocabulary (id, token) and its merges (rank, left, right)."""
+    r = reach_ranks(vocab, merges).select("token", F.lit(True).alias("reachable"))
+    return vocab.join(r, "token", "left").select("id", "token", F.coalesce("reachable", F.lit(False)).alias("reachable"))
+
+
+def merge_reach(vocab: DataFrame, merges: DataFrame) -> DataFrame:
+    """(rank, left, right, reachable): whether the product is reachable, by whatever merge."""
+    r = reach_ranks(vocab, merges).select("token", F.lit(True).alias("reachable"))
+    return merges.withColumn("token", F.concat("left", "right")).join(r, "token", "left").select("rank", "left", "right", F.coalesce("reachable", F.lit(False)).alias("reachable"))
+
+
 def reachable_tokens(t: Tokenizer, spark: SparkSession) -> DataFrame:
-    """(id, token, reachable) of the vocabulary."""
-    r = spark.createDataFrame([(x,) for x in sorted(reachable(t.vocab, t.merges))], "token string")
-    return t.table(spark).join(r.withColumn("reachable", F.lit(True)), "token", "left").select("id", "token", F.coalesce("reachable", F.lit(False)).alias("reachable"))
+    return token_reach(t.table(spark), t.merge_table(spark))
 
 
 def reachable_merges(t: Tokenizer, spark: SparkSession) -> DataFrame:
-    """(rank, left, right, reachable): whether the product is reachable, by whatever merge."""
-    r = spark.createDataFrame([(x,) for x in sorted(reachable(t.vocab, t.merges))], "token string").withColumn("reachable", F.lit(True))
-    return t.merge_table(spark).withColumn("token", F.concat("left", "right")).join(r, "token", "left").select("rank", "left", "right", F.coalesce("reachable", F.lit(False)).alias("reachable"))
+    return merge_reach(t.table(spark), t.merge_table(spark))
 
 
 def train(counts: DataFrame, size: int, least: int = 2) -> Tokenizer:

@@ -6,13 +6,15 @@ are unigram and bigram models of the corpus, merges are its most frequent byte p
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bytelevel, mathfn, tensor
 from ..functions.bytelevel import alphabet_table
 from ..functions.pretok import byte_tokens, rune_class
-from ..operators import bias, bpe, embed, evaluate, pack, score, vocabulary
+from ..operators import bias, bpe, bpe_training, embed, evaluate, pack, score, vocabulary
 from ..operators.order import ordered_sum
 from ..operators.windows import WindowConfig, jobs, token_windows
 from ..sources import listing, manifest, shards, texts
@@ -112,9 +114,16 @@ def count_file_delimiters(spark, sf):
     return texts.delimiters_in_files(spark, _as_files(spark, sf))
 
 
-@query("SELECT 0::BIGINT AS doc, 'one literal' AS text")
+LITERAL = "the"
+
+
+@query(f"SELECT doc_id, (length(text) - length(replace(text, '{LITERAL}', ''))) // {len(LITERAL)} AS n FROM documents WHERE text IS NOT NULL")
 def literal_text(spark, sf):
-    return texts.literal_text(spark, "one literal")
+    """How often each document has the text of a literal source."""
+    t = texts.literal_text(spark, LITERAL).select(F.col("text").alias("literal"))
+    d = documents(spark, sf).where("text is not null").crossJoin(F.broadcast(t))
+    found = F.length("text") - F.length(F.replace("text", F.col("literal"), F.lit("")))
+    return d.select("doc_id", F.floor(found / F.length("literal")).alias("n"))
 
 
 # ---------------------------------------------------------------- tokens
@@ -184,9 +193,13 @@ def byte_coverage(spark, sf):
     return vocabulary.byte_coverage(alphabet_table(spark), seen).select("idx", "symbol")
 
 
-@query(f"SELECT idx::INT AS idx, symbol FROM ({_ALPHABET})")
+@query(f"""SELECT idx::INT AS idx, symbol, coalesce(n, 0) AS n FROM ({_ALPHABET}) LEFT JOIN (
+SELECT chr(CASE WHEN token BETWEEN 33 AND 126 OR token BETWEEN 161 AND 172 OR token BETWEEN 174 AND 255 THEN token
+  WHEN token < 33 THEN 256 + token WHEN token < 161 THEN 256 + 33 + token - 127 ELSE 256 + 67 END::INT) AS symbol, count(*) AS n FROM ({_EACH_BYTE}) GROUP BY 1) USING (symbol)""")
 def initial_alphabet(spark, sf):
-    return alphabet_table(spark).select("idx", "symbol")
+    """The alphabet, and how often the documents have each byte."""
+    n = _bytes(spark, sf).select(F.explode_outer("tokens").alias("byte")).groupBy("byte").agg(F.count(F.lit(1)).alias("n"))
+    return alphabet_table(spark).join(n, "byte", "left").select("idx", "symbol", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 # ---------------------------------------------------------------- windows
@@ -716,8 +729,32 @@ def listing_of_split(spark, sf):
 # ---------------------------------------------------------------- BPE
 
 
-def _trained(spark, sf):
-    return bpe.train(vocabulary.dictionary(table(spark, sf, "benchmark"), prefix_space=True), 600, least=1)
+#: Tokens of the tokenizer that is trained on all documents.
+TRAINED = 256 + 100
+
+
+def _trained(spark, sf, size: int = TRAINED) -> bpe.Tokenizer:
+    return bpe_training.train(vocabulary.dictionary(documents(spark, sf), prefix_space=True), size, least=1)
+
+
+# Training by string replacement: a piece is its symbols, each between two control characters, and every step takes
+# the most frequent neighbours of all pieces and joins them everywhere. The last step's pieces are the encoded ones.
+_PREFIXED = f"SELECT doc_id AS doc, {_pieces_sql("CASE WHEN text = '' OR text[1] = ' ' THEN text ELSE ' ' || text END")} AS pieces FROM documents"
+def _train_sql(merges: int) -> str:
+    return f"""WITH RECURSIVE dict AS MATERIALIZED (SELECT piece, count(*) AS cnt FROM (SELECT unnest(pieces) AS piece FROM ({_PREFIXED})) GROUP BY piece),
+names AS ({_NAMES}),
+spelt AS MATERIALIZED (SELECT piece, cnt, string_agg(chr(1) || name || chr(2), '' ORDER BY i) AS w FROM (
+  SELECT piece, cnt, unnest(h) AS x, unnest(range(len(h))) AS i FROM (SELECT piece, cnt, regexp_extract_all(hex(encode(piece)), '..') AS h FROM dict)) JOIN names ON id = ('0x' || x)::INT GROUP BY piece, cnt),
+steps AS (SELECT 0 AS step, piece, cnt, w, NULL::VARCHAR AS l, NULL::VARCHAR AS r FROM spelt UNION ALL
+  SELECT step + 1, piece, cnt, replace(w, chr(1) || b.l || chr(2) || chr(1) || b.r || chr(2), chr(1) || b.l || b.r || chr(2)), b.l, b.r FROM steps, (
+    SELECT l, r FROM (SELECT s[i] AS l, s[i + 1] AS r, cnt FROM (SELECT s, cnt, unnest(range(1, len(s))) AS i FROM (SELECT string_split(w[2:-2], chr(2) || chr(1)) AS s, cnt FROM steps)))
+    GROUP BY l, r ORDER BY sum(cnt) DESC, l, r LIMIT 1) b WHERE step < {merges}),
+learnt AS MATERIALIZED (SELECT (step - 1)::INT AS rank, any_value(l) AS l, any_value(r) AS r FROM steps WHERE step > 0 GROUP BY step),
+vocab AS MATERIALIZED (SELECT symbol AS token, idx::BIGINT AS id FROM ({_ALPHABET}) UNION ALL
+  SELECT token, 255 + row_number() OVER (ORDER BY rank) FROM (SELECT l || r AS token, min(rank) AS rank FROM learnt GROUP BY 1)) """
+
+
+_TRAIN = _train_sql(TRAINED - 256)
 
 
 #: Merges of a small tokenizer whose ids SQL can tell: a merge replaces its two parts everywhere, in order of rank.
@@ -753,46 +790,66 @@ def bpe_roundtrip(spark, sf):
     return bpe.decode(bpe.encode(documents(spark, sf), t), t).select("doc", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query()
+@query(_TRAIN + "SELECT rank, l AS \"left\", r AS \"right\" FROM learnt")
 def bpe_train(spark, sf):
     return _trained(spark, sf).merge_table(spark)
 
 
-_VOCABULARY = "(VALUES " + ", ".join(f"({k}, '{x}')" for x, k in _small_tokenizer().vocab.items() if x not in "'") + f", ({_ORDER.index(chr(39))}, chr(39))) v(id, token)"
-_LIST = "(VALUES " + ", ".join(f"({k}, '{m.split(' ')[0]}', '{m.split(' ')[1]}')" for k, m in enumerate(_PARTS)) + ") m(rank, l, r)"
-# symbols, then what three rounds of merges make of them: no token here has deeper parts
-_REACHED = f"""WITH v AS (SELECT * FROM {_VOCABULARY}), m AS (SELECT * FROM {_LIST}), r0 AS (SELECT token FROM v WHERE length(token) = 1),
-r1 AS (SELECT token FROM r0 UNION SELECT l || r FROM m WHERE l IN (FROM r0) AND r IN (FROM r0)),
-r2 AS (SELECT token FROM r1 UNION SELECT l || r FROM m WHERE l IN (FROM r1) AND r IN (FROM r1)),
-reached AS (SELECT token FROM r2 UNION SELECT l || r FROM m WHERE l IN (FROM r2) AND r IN (FROM r2)) """
+_SPELT = f"""spelt_ids AS (SELECT piece, list(id ORDER BY i) AS ids FROM (
+  SELECT piece, unnest(s) AS token, unnest(range(len(s))) AS i FROM (SELECT piece, string_split(w[2:-2], chr(2) || chr(1)) AS s FROM steps WHERE step = {TRAINED - 256})) JOIN vocab USING (token) GROUP BY piece),
+every AS (SELECT doc, unnest(pieces) AS piece, unnest(range(len(pieces))) AS i FROM ({_PREFIXED})) """
 
 
-@query(_REACHED + "SELECT id, token, token IN (FROM reached) AS reachable FROM v")
-def reachability(spark, sf):
-    return bpe.reachable_tokens(_small_tokenizer(), spark)
+@query(_TRAIN + ", " + _SPELT + "SELECT doc, len(ids)::INT AS n, md5(array_to_string(ids, ',')) AS digest FROM (SELECT doc, flatten(list(ids ORDER BY i)) AS ids FROM every JOIN spelt_ids USING (piece) GROUP BY doc)")
+def bpe_encode_trained(spark, sf):
+    """All documents by the tokenizer that was trained on them."""
+    t = replace(_trained(spark, sf), prefix_space=True)
+    return bpe.encode(documents(spark, sf), t).select("doc", F.size("tokens").alias("n"), _digest("tokens").alias("digest"))
 
 
-@query(_REACHED + "SELECT rank, l AS \"left\", r AS \"right\", l || r IN (FROM reached) AS reachable FROM m")
-def reachable_merges(spark, sf):
-    return bpe.reachable_merges(_small_tokenizer(), spark)
+#: Merges that are learnt for the queries about reachability; every seventh is taken out of the list.
+LEARNT = 40
+_GAPS = "rank % 7 <> 3"
+_REACHED = _train_sql(LEARNT) + f", m AS (SELECT * FROM learnt WHERE {_GAPS}), r0 AS (SELECT symbol AS token FROM ({_ALPHABET})), " + ", ".join(
+    f"r{k + 1} AS (SELECT token FROM r{k} UNION SELECT l || r FROM m WHERE l IN (FROM r{k}) AND r IN (FROM r{k}))" for k in range(8)
+)
 
 
-@query("SELECT unnest(range(177, 188))::INT AS id")
-def unused_tokens(spark, sf):
-    """Bytes that UTF-8 never has."""
-    return spark.createDataFrame([(i,) for i in bpe.unused_by_design()], "id int")
+def _learnt(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """A vocabulary learnt from all documents, and its merges but for every seventh."""
+    t = _trained(spark, sf, 256 + LEARNT)
+    return t.table(spark), t.merge_table(spark).where(_GAPS)
 
 
-@query(_REACHED + "SELECT id FROM v WHERE token NOT IN (FROM reached)")
+@query(_REACHED + "SELECT id, token, token IN (FROM r8) AS reachable FROM vocab")
+def reachability(spark, sf):
+    return bpe.token_reach(*_learnt(spark, sf))
+
+
+@query(_REACHED + "SELECT rank, l AS \"left\", r AS \"right\", l || r IN (FROM r8) AS reachable FROM m")
+def reachable_merges(spark, sf):
+    return bpe.merge_reach(*_learnt(spark, sf))
+
+
+@query(_REACHED + "SELECT id FROM vocab WHERE token NOT IN (FROM r8)")
 def unreachable_tokens(spark, sf):
     """Tokens of a vocabulary that no merge makes."""
-    return bpe.unused_tokens(_small_tokenizer(), spark)
+    return bpe.token_reach(*_learnt(spark, sf)).where("not reachable").select("id")
 
 
-@query(f"SELECT rank, l AS \"left\", r AS \"right\" FROM {_LIST} JOIN {_VOCABULARY} ON token = l || r WHERE id < 266")
+@query(_REACHED + f"SELECT rank, l AS \"left\", r AS \"right\" FROM m JOIN vocab ON token = l || r WHERE id::VARCHAR::INT < {256 + LEARNT // 2}")
 def vocab_trim(spark, sf):
-    t = _small_tokenizer()
-    return vocabulary.trim(t.table(spark), t.merge_table(spark), 266)[1]
+    return vocabulary.trim(*_learnt(spark, sf), 256 + LEARNT // 2)[1]
+
+
+_SEEN_BYTES = f"SELECT token AS b, count(*) AS n FROM ({_EACH_BYTE}) GROUP BY token"
+
+
+@query(f"SELECT idx::INT AS id, idx BETWEEN 177 AND 187 AS never FROM ({_ALPHABET}) WHERE symbol NOT IN (SELECT name FROM ({_NAMES}) JOIN ({_SEEN_BYTES}) ON id = b)")
+def unused_tokens(spark, sf):
+    """Byte tokens that no document has, and whether UTF-8 never has them."""
+    seen = _bytes(spark, sf).select(F.explode_outer("tokens").alias("byte")).distinct()
+    return alphabet_table(spark).join(seen, "byte", "left_anti").select(F.col("idx").alias("id"), F.col("idx").isin(bpe.unused_by_design()).alias("never"))
 
 
 _CLASS = rf"""CASE WHEN rune = ' ' THEN 'space' WHEN regexp_matches(rune, '^{_WS}$') THEN 'whitespace' WHEN regexp_matches(rune, '^\p{{L}}$') THEN 'letter'

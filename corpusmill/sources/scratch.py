@@ -29,4 +29,18 @@ def staged(df: DataFrame, label: str = "stage") -> DataFrame:
     """``df`` written to the shared folder and read again: computed once, whoever reads it."""
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder or file through Spark's file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def dropped(spent: DataFrame, then: DataFrame | None = None) -> DataFrame | None:
+    """Delete what ``staged`` has written, once nothing reads it any more; gives ``then``."""
+    remove(spent.sparkSession, spent.staged_at)
+    return then

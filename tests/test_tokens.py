@@ -1,11 +1,13 @@
+import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions import bytelevel
 from corpusmill.functions.pretok import byte_tokens, pretokenize, repair_bytes, repaired, rune_class, with_prefix_space
-from corpusmill.operators import bpe, vocabulary
+from corpusmill.operators import bpe, bpe_flat, bpe_training, vocabulary
 
 
 def pieces(spark, *texts):
@@ -158,3 +160,125 @@ def test_reachability_and_trim(spark):
 def test_vocabulary_order(spark):
     counts = spark.createDataFrame([("b", 2), ("a", 2), ("zz", 5), ("é", 1), ("ab", 2)], "piece string, cnt long")
     assert [(r.id, r.piece) for r in vocabulary.ranked(counts).orderBy("id").collect()] == [(0, "zz"), (1, "a"), (2, "ab"), (3, "b"), (4, "é")]
+
+
+# ---------------------------------------------------------------- training over a table
+
+
+@pytest.mark.parametrize("letters, hot, rewrite", [("ab", 4, 1), ("abc", 6, 3), ("abcd", 30_000, 16), ("a", 2, 2)])
+def test_table_training_equals_plain_training(spark, letters, hot, rewrite):
+    """Also where few counts are known, all counts tie and pairs overlap themselves."""
+    rng = random.Random(len(letters))
+    counts = {"".join(rng.choice(letters) for _ in range(rng.randrange(1, 14))): rng.choice([1, 1, 2, 7]) for _ in range(50)}
+    df = spark.createDataFrame(list(counts.items()), "piece string, cnt long")
+    plain = bpe.train(df, 256 + 30, least=1)
+    got = bpe_training.train(df, 256 + 30, least=1, hot=hot, rewrite=rewrite)
+    assert got.merges == plain.merges and got.vocab == plain.vocab
+
+
+def test_table_training_of_documents_and_tables_left(spark):
+    df = vocabulary.dictionary(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), prefix_space=True)
+    plain = bpe.train(df, 256 + 40, least=1)
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://") + "/corpusmill"
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    assert bpe_training.train(df, 256 + 40, least=1).merges == plain.merges
+    assert set(os.listdir(root)) == before
+    empty = bpe_training.train(df.where("false"), 300)
+    assert empty.merges == () and len(empty.vocab) == 256
+
+
+def test_batches_are_prefixes_that_do_not_touch():
+    names = list("abcdef")
+    counts = {(0, 1): 9, (2, 3): 8, (4, 5): 7, (1, 2): 6}
+    assert [b[:2] for b in bpe_training.select_batch(counts, names, set(names), 9)] == [(0, 1), (2, 3), (4, 5)]
+    assert len(bpe_training.select_batch(counts, names, set(names), 2)) == 2
+    # (b, e) ties with (c, d): merging (a, b) may leave (ab, e) with that count and a smaller name
+    assert [b[:2] for b in bpe_training.select_batch({(0, 1): 9, (2, 3): 8, (1, 4): 8}, names, set(names), 9)] == [(0, 1)]
+    assert [b[:2] for b in bpe_training.select_batch({(0, 0): 9, (2, 3): 8}, names, set(names), 9)] == [(0, 0)]
+    assert [b[:2] for b in bpe_training.select_batch({(0, 1): 9, (2, 3): 8}, names, {*names, "ab"}, 9)] == [(0, 1)]
+
+
+def test_alpha_weighs_pairs_across_segments(spark):
+    df = spark.createDataFrame([("unfold", 10, [2]), ("nfa", 3, [])], "piece string, cnt long, cuts array<int>")
+    assert ("n", "f") in bpe_training.train(df, 256 + 8, least=1).merges
+    assert bpe_training.train(df, 256 + 1, least=1, alpha=0.0).merges == (("n", "f"),)
+    strict = bpe_training.train(df, 256 + 8, least=1, alpha=1.0)
+    assert not any(p in strict.merges for p in [("u", "nf"), ("un", "fo"), ("un", "fold")])
+    half = bpe_training.train(df, 256 + 1, least=1, alpha=0.5)
+    assert half.merges == (("f", "o"),)
+    with pytest.raises(ValueError, match="alpha"):
+        bpe_training.train(df, 300, alpha=2)
+
+
+# ---------------------------------------------------------------- flat merges
+
+
+def merged_one_by_one(pieces, merges):
+    t = bpe_flat.MergeTable(merges)
+    return [t.one(list(p.encode())) for p in pieces]
+
+
+def merged_flat(pieces, merges):
+    data = np.frombuffer("".join(pieces).encode(), np.uint8)
+    offs = np.concatenate([[0], np.cumsum([len(p.encode()) for p in pieces])])
+    sym, ends = bpe_flat.MergeTable(merges)(data, offs)
+    return [sym[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def test_flat_merges_of_lists_in_any_order(trained):
+    """Lists whose products are used before they are made, too."""
+    rng = random.Random(11)
+    for trial in range(150):
+        merges, made = [], list("ab")
+        for _ in range(rng.randrange(1, 9)):
+            a, b = rng.choice(made), rng.choice(made)
+            merges.append((a, b))
+            made.append(a + b)
+        rng.shuffle(merges)
+        pieces = ["".join(rng.choice("abc"[: 2 + trial % 2]) for _ in range(rng.randrange(0, 25))) for _ in range(40)] + ["ab" * 200, "", "a" * 300]
+        t = bpe.Tokenizer({s: k for k, s in enumerate(dict.fromkeys([*bytelevel.initial_alphabet(), *(a + b for a, b in merges)]))}, tuple(merges))
+        got = merged_flat(pieces, merges)
+        assert got == merged_one_by_one(pieces, merges)
+        names = bpe_flat.MergeTable(merges).symbols
+        assert [[t.vocab[names[x]] for x in g] for g in got] == [t.piece(p) for p in pieces]
+
+
+def test_ids_of_a_public_vocabulary(spark):
+    """Ids equal the library's for the files given; no exchange in the plan."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib, t = Tokenizer.from_file(path), bpe.Tokenizer.from_json(path)
+    lib.no_truncation()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    ids = bpe.encode(docs, t)
+    assert "Exchange" not in ids._jdf.queryExecution().executedPlan().toString()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc: r.tokens for r in ids.collect()}
+    assert len(got) == len(texts)
+    for d, text in texts.items():
+        assert got[d] == lib.encode(text, add_special_tokens=False).ids
+    back = bpe.decode(ids, t)
+    assert "Exchange" not in back._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc: r.text for r in back.collect()} == texts
+
+
+def test_encoding_of_nulls_repeats_and_long_documents(spark, trained):
+    df = spark.createDataFrame([(1, None), (1, "low low"), (None, "new"), (2, "lower " * 60_000), (3, "w" * 5000)], "doc_id long, text string")
+    got = bpe.decode(bpe.encode(df, trained), trained).collect()
+    assert sorted((r.doc is None, r.doc or 0, r.text) for r in got) == sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in df.collect())
+    with pytest.raises(Exception, match="no token"):
+        bpe.decode(spark.createDataFrame([(1, [10**6])], "doc long, tokens array<int>"), trained).collect()
+
+
+def test_reach_of_a_table(spark):
+    """Merges count in the order of their ranks; a chain takes as many rounds as it is long."""
+    chain = [(k, "a" * (k + 1), "a") for k in range(9)] + [(9, "z", "aaaa"), (10, "q", "zz"), (12, "x", "yw"), (13, "y", "w")]
+    names = bytelevel.initial_alphabet() + ["a" * k for k in range(2, 11)] + ["zaaaa", "qzz", "xyw", "yw"]
+    vocab = spark.createDataFrame(list(enumerate(names)), "id long, token string")
+    merges = spark.createDataFrame(chain, "rank int, left string, right string")
+    lost = {r.token for r in bpe.token_reach(vocab, merges).where("not reachable").collect()}
+    assert lost == {"qzz", "xyw"}
+    assert {r.token: r.since for r in bpe.reach_ranks(vocab, merges).where("since >= 0").collect()} == {**{"a" * (k + 2): k for k in range(9)}, "zaaaa": 9, "yw": 13}
+    assert {r["rank"] for r in bpe.merge_reach(vocab, merges).where("not reachable").collect()} == {10, 12}
