@@ -52,13 +52,14 @@ def repaired(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")).otherwise(fix(raw)))
 
 
-def byte_tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, tokens): the bytes of each text as token ids, straight from the Arrow buffers."""
+def byte_lists(df: DataFrame, column: str, out: str = "tokens") -> DataFrame:
+    """The table with a binary column's bytes as token ids in its place, straight from the Arrow buffers; null is empty."""
     import numpy as np
 
     def run(it):
         for batch in it:
-            raw = batch.column(1)
+            at = batch.schema.get_field_index(column)
+            raw = batch.column(at).fill_null(b"")
             if not len(raw):
                 continue
             kind = np.int64 if pa.types.is_large_binary(raw.type) else np.int32
@@ -66,7 +67,14 @@ def byte_tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             offs = np.frombuffer(offs, kind)[raw.offset : raw.offset + len(raw) + 1]
             vals = np.frombuffer(data, np.uint8)[offs[0] : offs[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
             lists = pa.ListArray.from_arrays(pa.array((offs - offs[0]).astype(np.int32)), pa.array(vals.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc", "tokens"])
+            names = [out if n == column else n for n in batch.schema.names]
+            yield pa.RecordBatch.from_arrays([lists if k == at else c for k, c in enumerate(batch.columns)], names=names)
+
+    fields = [f"`{n}` {k}" if n != column else f"`{out}` array<int>" for n, k in df.dtypes]
+    return df.mapInArrow(run, ", ".join(fields))
 
+
+def byte_tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, tokens): the bytes of each text as token ids."""
     rows = df.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
-    return rows.mapInArrow(run, "doc long, tokens array<int>")
+    return byte_lists(rows, "raw")

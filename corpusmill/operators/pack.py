@@ -60,9 +60,29 @@ def head_tail(positions_: DataFrame, head: int) -> DataFrame:
     return positions_.withColumn("split", F.when(F.col("g") < head, "val").otherwise("train"))
 
 
-def first_mismatch(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(n_a, n_b, g, token_a, token_b): the first place (``g``) where two streams (g, token) differ; nulls when equal."""
-    n = a.agg(F.count(F.lit(1)).alias("n_a")).crossJoin(b.agg(F.count(F.lit(1)).alias("n_b")))
-    j = a.select("g", F.col("token").alias("token_a")).join(b.select("g", F.col("token").alias("token_b")), "g", "full")
+#: Positions of a block whose digests are compared.
+DIGEST_BLOCK = 1 << 16
+
+
+def block_digests(stream: DataFrame, block: int = DIGEST_BLOCK) -> DataFrame:
+    """(block, n, x, s): of each block of positions of a stream (g, token) how many it has, and the exclusive or and the
+    sum of their 64-bit hashes. Combined before the shuffle: a row for each block."""
+    h = F.xxhash64("g", "token")
+    d = stream.select(F.floor(F.col("g") / F.lit(block)).alias("block"), h.alias("h"))
+    return d.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h").alias("x"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s"))
+
+
+def first_mismatch(a: DataFrame, b: DataFrame, block: int = DIGEST_BLOCK) -> DataFrame:
+    """(n_a, n_b, g, token_a, token_b): the first place (``g``) where two streams (g, token) differ; nulls when equal.
+
+    Digests of blocks are compared first; only the tokens of the first block that differs meet in a join.
+    """
+    x, y = block_digests(a, block), block_digests(b, block).toDF("block", "n_b", "x_b", "s_b")
+    same = F.col("n").eqNullSafe(F.col("n_b")) & F.col("x").eqNullSafe(F.col("x_b")) & F.col("s").eqNullSafe(F.col("s_b"))
+    told = x.join(y, "block", "full").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_a"), F.coalesce(F.sum("n_b"), F.lit(0)).alias("n_b"), F.min(F.when(~same, F.col("block"))).alias("block"))
+    n_a, n_b, at = told.first()
+    n = a.sparkSession.range(1).select(F.lit(n_a).cast("long").alias("n_a"), F.lit(n_b).cast("long").alias("n_b"))
+    here = F.lit(False) if at is None else (F.col("g") >= at * block) & (F.col("g") < (at + 1) * block)
+    j = a.where(here).select("g", F.col("token").alias("token_a")).join(b.where(here).select("g", F.col("token").alias("token_b")), "g", "full")
     d = j.where(~F.col("token_a").eqNullSafe(F.col("token_b"))).agg(F.min(F.struct("g", "token_a", "token_b")).alias("d"))
     return n.crossJoin(d).select("n_a", "n_b", F.col("d.g").alias("g"), F.col("d.token_a").alias("token_a"), F.col("d.token_b").alias("token_b"))

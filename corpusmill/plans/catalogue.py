@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions import bytelevel, mathfn, tensor
 from ..functions.bytelevel import alphabet_table
-from ..functions.pretok import byte_tokens, rune_class
+from ..functions.pretok import byte_lists, byte_tokens, rune_class
 from ..operators import bias, bpe, bpe_training, embed, evaluate, pack, score, vocabulary
 from ..operators.order import ordered_sum
-from ..operators.windows import WindowConfig, jobs, token_windows
+from ..operators.windows import WindowConfig, chunked_windows, jobs, token_windows
 from ..sources import listing, manifest, shards, texts
 from ..sources.scratch import scratch, staged
 
@@ -109,6 +109,29 @@ def delimited_files_strip(spark, sf):
     return texts.delimited_texts(spark, _as_files(spark, sf), strip=True).select("doc", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
+#: A delimiter of several bytes.
+MARK = ". "
+_MARKED = f"SELECT row_number() OVER (ORDER BY doc_id, pos) - 1 AS doc, record FROM (SELECT doc_id, unnest(p[:-2]) AS record, unnest(range(len(p) - 1)) AS pos FROM (SELECT doc_id, string_split(text || '{MARK}', '{MARK}') AS p FROM documents WHERE text IS NOT NULL))"
+
+
+def _as_marked_files(spark, sf) -> str:
+    """The documents' texts as files, each ended by ``MARK``, in order of their ids."""
+    path = scratch(spark, "delimited")
+    documents(spark, sf).where("text is not null").repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id").select("text").write.text(path, lineSep=MARK)
+    return path
+
+
+@query(f"SELECT doc, md5(record || '{MARK}') AS digest FROM ({_MARKED})")
+def delimited_files_marked(spark, sf):
+    """Records of files that are read in ranges of 256 KB."""
+    return texts.delimited_texts(spark, _as_marked_files(spark, sf), MARK, part=1 << 18).select("doc", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query(f"SELECT count(*) AS n FROM ({_MARKED})")
+def count_file_marks(spark, sf):
+    return texts.delimiters_in_files(spark, _as_marked_files(spark, sf), MARK)
+
+
 @query(f"SELECT count(*) AS n FROM ({_LINES})")
 def count_file_delimiters(spark, sf):
     return texts.delimiters_in_files(spark, _as_files(spark, sf))
@@ -205,7 +228,7 @@ def initial_alphabet(spark, sf):
 # ---------------------------------------------------------------- windows
 
 
-def _windows_sql(w: int, s: int, tail: bool, left: bool = False, right: bool = False) -> str:
+def _windows_sql(w: int, s: int, tail: bool, left: bool = False, right: bool = False, source: str = _BYTES) -> str:
     pads = left or right
     keep = "len > 0" if tail else "k < n"
     missing = f"CASE WHEN k = n THEN {w} - len ELSE 0 END" if pads else "0"
@@ -213,10 +236,10 @@ def _windows_sql(w: int, s: int, tail: bool, left: bool = False, right: bool = F
     own = "tokens[start + 1 : start + len]"
     cut = f"list_concat({pad}, {own})" if left else f"list_concat({own}, {pad})" if right else own
     return f"""
-WITH t AS (SELECT doc, tokens, len(tokens) AS size, CASE WHEN len(tokens) >= {w} THEN (len(tokens) - {w}) // {s} + 1 ELSE 0 END AS n FROM ({_BYTES})),
+WITH t AS (SELECT doc, tokens, len(tokens) AS size, CASE WHEN len(tokens) >= {w} THEN (len(tokens) - {w}) // {s} + 1 ELSE 0 END AS n FROM ({source})),
 x AS (SELECT doc, tokens, size, n, unnest(range(n + 1)) AS k FROM t),
 y AS (SELECT *, k * {s} AS start, least({w}, greatest(size - k * {s}, 0)) AS len FROM x)
-SELECT doc, k::INT AS position, start::INT AS start, (len + {missing if pads else '0'})::INT AS n_tokens, list_sum({own})::BIGINT AS total, ({cut})[1] AS head, ({cut})[len({cut}) // 2 + 1] AS middle, ({cut})[-1] AS last,
+SELECT doc, k::INT AS position, start::INT AS start, (len + {missing if pads else '0'})::INT AS n_tokens, md5(array_to_string({cut}, ',')) AS digest,
   least(start, len, {w - s})::INT AS seen, ({missing if left else '0'})::INT AS pad_left, ({missing if right else '0'})::INT AS pad_right
 FROM y WHERE {keep}"""
 
@@ -225,11 +248,13 @@ def _digest(numbers: str):
     return F.md5(F.array_join(F.col(numbers).cast("array<string>"), ",").cast("binary"))
 
 
+def _told(windows: DataFrame) -> DataFrame:
+    """Windows with a digest of all their tokens."""
+    return windows.select("doc", "position", "start", F.size("tokens").alias("n_tokens"), _digest("tokens").alias("digest"), "seen", "pad_left", "pad_right")
+
+
 def _window_rows(spark, sf, c: WindowConfig) -> DataFrame:
-    w = token_windows(_bytes(spark, sf), c)
-    total = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x)
-    middle = F.get("tokens", F.floor(F.size("tokens") / 2).cast("int"))
-    return w.select("doc", "position", "start", F.size("tokens").alias("n_tokens"), total.alias("total"), F.element_at("tokens", 1).alias("head"), middle.alias("middle"), F.element_at("tokens", -1).alias("last"), "seen", "pad_left", "pad_right")
+    return _told(token_windows(_bytes(spark, sf), c))
 
 
 @query(_windows_sql(BW, BS, False))
@@ -267,6 +292,24 @@ def window_jobs(spark, sf):
     return jobs(token_windows(_bytes(spark, sf), WindowConfig.evaluation(BW, BS, False))).select("doc", "position", "seen")
 
 
+@query(_windows_sql(BW, BS, True))
+def token_windows_pushes(spark, sf):
+    """Documents that arrive line by line, and lines of more than a stretch: the windows of whole documents."""
+    lines = texts.records(documents(spark, sf), "doc_id", "text")
+    chunks = lines.select(F.col("key").alias("doc"), F.col("pos").alias("chunk"), F.col("record").cast("binary").alias("raw"))
+    return _told(chunked_windows(byte_lists(chunks, "raw"), WindowConfig(BW, BS, True)))
+
+
+_TURNS = "SELECT conv_id AS doc, list_transform(regexp_extract_all(hex(encode(string_agg(text, '' ORDER BY turn))), '..'), lambda x: ('0x' || x)::INT) AS tokens FROM conversations GROUP BY conv_id"
+
+
+@query(_windows_sql(64, 24, True, right=True, source=_TURNS))
+def token_windows_turns(spark, sf):
+    """Conversations as documents, their turns as pushes."""
+    turns = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("chunk"), F.col("text").cast("binary").alias("raw"))
+    return _told(chunked_windows(byte_lists(turns, "raw"), WindowConfig(64, 24, True, pad_right=True), stretch=256))
+
+
 # ---------------------------------------------------------------- scores
 
 

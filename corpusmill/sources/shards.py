@@ -2,22 +2,26 @@
 
 Writing: ``df.write.format("tokenshard").option("model", ...).option("name", ...).mode("append").save(dir)``
 with columns (shard, at, tokens), all rows of a shard in one task (see ``write_shards``). Reading gives
-(file, shard, tokens) with one partition per file; files are found and opened where Spark's tasks run.
+(file, shard, tokens) with one partition per file. Files are found, opened and moved through ``pyarrow.fs`` (local, HDFS,
+S3, GCS), in the planner and in tasks.
 """
 
 from __future__ import annotations
 
 import itertools
-import os
 import re
 import struct
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
+from pyarrow.fs import FileSelector, FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from .files import file_system
+
 # Fixed values of the public format: name -> (magic, version, numpy type)
 MODELS = {"gpt-2": (20240520, 1, "<u2"), "llama-3": (20240801, 7, "<u4")}
 HEADER = 1024
@@ -50,50 +54,72 @@ class FilePart(InputPartition):
 
 class ShardReader(DataSourceReader):
     def __init__(self, path: str) -> None:
-        self.path = path.removeprefix("file://")
+        self.path = path
 
     def partitions(self):
-        if os.path.isfile(self.path):
+        fs, path = file_system(self.path)
+        if fs.get_file_info(path).is_file:
             return [FilePart(self.path)]
-        return [FilePart(os.path.join(self.path, f)) for f in sorted(os.listdir(self.path)) if f.endswith(".bin") and not f.startswith((".", "_"))]
+        found = sorted(x.base_name for x in fs.get_file_info(FileSelector(path)) if x.is_file)
+        return [FilePart(f"{self.path.rstrip('/')}/{f}") for f in found if f.endswith(".bin") and not f.startswith((".", "_"))]
 
     def read(self, partition):
-        with open(partition.path, "rb") as f:
+        fs, path = file_system(partition.path)
+        with fs.open_input_file(path) as f:
             model, tokens = deserialize(f.read())
-        name = os.path.basename(partition.path)
+        name = path.rpartition("/")[2]
         found = re.search(r"_(\d+)\.bin$", name)
         yield (name, int(found[1]) if found else 0, model, tokens.astype(np.int64).tolist())
 
 
 @dataclass
 class Written(WriterCommitMessage):
+    """What one attempt of a task has written: (file below the job's folder, name)."""
+
     files: list
 
 
 class ShardWriter(DataSourceWriter):
+    """Attempts write below a folder of the job; ``commit`` moves what the successful ones wrote to its place.
+
+    Each attempt has a folder of its own name, so repeated, speculative and lost attempts never meet, on
+    whatever hosts they run. Readers skip the job's folder; ``commit`` and ``abort`` remove it with all that is left in it.
+    """
+
     def __init__(self, options: dict) -> None:
-        self.dir, self.model, self.name = options["path"].removeprefix("file://"), options.get("model", "gpt-2"), options.get("name", "train")
+        self.dir, self.model, self.name = options["path"].rstrip("/"), options.get("model", "gpt-2"), options.get("name", "train")
         if self.model not in MODELS:
             raise ValueError(f"unknown model {self.model}")
+        self.job = f"_job-{uuid.uuid4().hex}"
 
     def write(self, rows):
         """Rows arrive by shard and place, so one shard is held at a time."""
+        fs, base = file_system(self.dir)
+        attempt = f"{self.job}/{uuid.uuid4().hex}"
+        fs.create_dir(f"{base}/{attempt}", recursive=True)
         files = []
-        os.makedirs(self.dir, exist_ok=True)
         for shard, parts in itertools.groupby(rows, key=lambda r: r["shard"]):
             body = np.concatenate([np.array(r["tokens"], np.int64) for r in parts])
-            path = os.path.join(self.dir, f"{self.name}_{shard:06d}.bin")
-            if path in files:
+            name = f"{self.name}_{shard:06d}.bin"
+            if any(name == n for _, n in files):
                 raise ValueError("rows of a shard are apart: sort them by shard and place")
-            tmp = f"{path}.part-{os.getpid()}"
-            with open(tmp, "wb") as f:
+            with fs.open_output_stream(f"{base}/{attempt}/{name}") as f:
                 f.write(serialize(body, self.model))
-                f.flush()
-                os.fsync(f.fileno())
-            os.replace(tmp, path)
-            files.append(path)
+            files.append((f"{attempt}/{name}", name))
         return Written(files)
 
+    def commit(self, messages):
+        fs, base = file_system(self.dir)
+        for message in messages:
+            for written, name in message.files if message else []:
+                fs.move(f"{base}/{written}", f"{base}/{name}")
+        self.abort(messages)
+
+    def abort(self, messages):
+        fs, base = file_system(self.dir)
+        if fs.get_file_info(f"{base}/{self.job}").type != FileType.NotFound:
+            fs.delete_dir(f"{base}/{self.job}")
+
 
 class TokenShards(DataSource):
     @classmethod
@@ -126,10 +152,11 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
 
 
 def diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(n_a, n_b, first): lengths of two single shards, and the first differing index."""
-    x, y = a.select(F.posexplode("tokens").alias("g", "x")), b.select(F.posexplode("tokens").alias("g", "y"))
-    d = x.join(y, "g", "full").where(~F.col("x").eqNullSafe(F.col("y"))).agg(F.min("g").alias("first"))
-    return a.select(F.size("tokens").alias("n_a")).crossJoin(b.select(F.size("tokens").alias("n_b"))).crossJoin(d)
+    """(n_a, n_b, first): lengths of two single shards, and the first differing index, found within the two arrays."""
+    both = a.select(F.col("tokens").alias("x")).crossJoin(b.select(F.col("tokens").alias("y")))
+    # zip_with fills the shorter one with nulls
+    at = F.array_position(F.zip_with("x", "y", lambda x, y: ~x.eqNullSafe(y)), True)
+    return both.select(F.size("x").alias("n_a"), F.size("y").alias("n_b"), F.when(at > 0, (at - 1).cast("int")).alias("first"))
 
 
 def peek(shards: DataFrame, n: int) -> DataFrame:

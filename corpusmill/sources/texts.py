@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.pretok import repaired
 from ..operators.order import BLOCK, dense_index_of_files, prefix_sum
+from .delimited import RANGE, read_ranges
 
 #: Longest record of a delimited file, where a guard is asked for.
 MAX_RECORD = 1 << 20
@@ -66,19 +68,20 @@ def _file_records(spark: SparkSession, path: str, delimiter: str) -> DataFrame:
     return r.drop("size").join(last, ["file", "start", "line"], "left").withColumn("ended", F.coalesce("ended", F.lit(True)))
 
 
-def delimited_texts(spark: SparkSession, path: str, delimiter: str = "\n", strip: bool = False, most: int | None = None, whole: bool = False) -> DataFrame:
+def delimited_texts(spark: SparkSession, path: str, delimiter: str = "\n", strip: bool = False, most: int | None = None, whole: bool = False, part: int = RANGE) -> DataFrame:
     """(doc, text) of the delimited files that a path or glob names, by file name.
 
-    A file is read in parts that Spark cuts, so a long file is many tasks; with a delimiter of more than one byte, or
-    ``whole`` (for compressed files and files that begin with a byte order mark), each file is one row.
+    A file is read in parts, so a long file is many tasks: parts that Spark cuts for a delimiter of one byte, byte ranges
+    that are stitched at their edges for longer ones (``sources/delimited.py``). With ``whole`` (for compressed files and
+    files that begin with a byte order mark) each file is one row.
     Delimiters and carriage returns are as they were. With ``most``, a longer record is an error.
     """
-    if whole or len(delimiter.encode()) > 1:
+    if whole:
         files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value"))
         r = records(files, "file", "value", delimiter, strip)
         r = prefix_sum(r, [F.col("key"), F.floor(F.col("pos") / F.lit(BLOCK))], [F.col("pos")], F.lit(1), "doc")
     else:
-        r = _file_records(spark, path, delimiter)
+        r = _file_records(spark, path, delimiter) if len(delimiter.encode()) == 1 else repaired(read_ranges(spark, path, delimiter, part), "record")
         packed = F.col("file").rlike(PACKED)
         r = r.withColumn("ended", F.when(packed, F.raise_error(F.lit("read compressed files whole"))).otherwise(F.col("ended")))
         bare = F.regexp_replace("record", r"(?s)^(.+)\r\z", "$1") if delimiter == "\n" else F.col("record")
@@ -91,10 +94,9 @@ def delimited_texts(spark: SparkSession, path: str, delimiter: str = "\n", strip
 
 
 def delimiters_in_files(spark: SparkSession, path: str, delimiter: str = "\n") -> DataFrame:
-    """(n): delimiters of one byte in the files that a path or glob names: a record each, but for what follows the last."""
-    if len(delimiter.encode()) > 1:
-        return delimiter_count(spark.read.text(path, wholetext=True), "value", delimiter)
-    return _file_records(spark, path, delimiter).agg(F.count(F.when(F.col("ended"), 1)).alias("n"))
+    """(n): delimiters in the files that a path or glob names: a record each, but for what follows the last."""
+    found = _file_records(spark, path, delimiter) if len(delimiter.encode()) == 1 else read_ranges(spark, path, delimiter, count=True)
+    return found.agg(F.count(F.when(F.col("ended"), 1)).alias("n"))
 
 
 def delimiter_count(df: DataFrame, text: str, delimiter: str = "\n") -> DataFrame:

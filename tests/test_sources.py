@@ -1,5 +1,7 @@
 import gzip
 import hashlib
+import io
+import os
 import random
 import struct
 
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators import order, pack
 from corpusmill.operators.bpe import Tokenizer
-from corpusmill.sources import listing, manifest, onnx_init, shards, tables, texts
+from corpusmill.sources import delimited, listing, manifest, onnx_init, shards, tables, texts
 
 
 def test_parquet_texts(spark, tmp_path):
@@ -210,3 +212,161 @@ def test_tables(spark):
     assert spark.table("memo_t").count() == 5
     assert tables.rebuilt(spark.range(4), "memo_t").count() == 4
     spark.sql("DROP TABLE memo_t")
+
+
+# ---------------------------------------------------------------- ranges of delimited files
+
+
+class Raw:
+    """A file that counts what is read of it."""
+
+    def __init__(self, data):
+        self.data, self.read = data, 0
+
+    def size(self):
+        return len(self.data)
+
+    def read_at(self, n, offset):
+        self.read += n
+        return self.data[offset : offset + n]
+
+
+def whole_records(data, delimiter):
+    parts = data.split(delimiter)
+    return [(p, True) for p in parts[:-1]] + ([(parts[-1], False)] if parts[-1] else [])
+
+
+@pytest.mark.parametrize("delimiter", [b"\n\n", b"aa", b"aba", b"aabaa", b"abc", b"\xc3\xa9\xc3", b"a"])
+def test_ranges_give_the_records_of_the_whole_file(delimiter, monkeypatch):
+    """Every cut of files full of runs, also where the buffer is smaller than a delimiter needs."""
+    rng = random.Random(len(delimiter))
+    for chunk in (7, 1 << 20):
+        monkeypatch.setattr(delimited, "CHUNK", chunk)
+        for _ in range(40):
+            data = b"".join(rng.choice([delimiter, delimiter[:1], delimiter[-1:], b"x", b"ab"]) for _ in range(rng.randrange(40)))
+            for size in (1, 2, 3, 5, 64):
+                got = []
+                for a in range(0, len(data), size):
+                    pages = delimited.Pages(Raw(data), len(data))
+                    got += [(pages.span(x, y), e) for x, y, e in delimited.range_records(pages, a, min(a + size, len(data)), delimiter)]
+                assert got == whole_records(data, delimiter)
+
+
+def test_a_range_reads_little_beyond_itself():
+    data = b"".join(b"record %d<|end|>" % k for k in range(400_000))
+    raw = Raw(data)
+    pages = delimited.Pages(raw, len(data))
+    assert sum(1 for _ in delimited.range_records(pages, 3_000_000, 3_100_000, b"<|end|>")) > 4000
+    assert raw.read <= 3 * delimited.CHUNK
+
+
+@pytest.mark.parametrize("delimiter", ["\n\n", "<|end|>", "中文"])
+def test_delimiters_of_several_bytes_in_cut_files(spark, tmp_path, delimiter):
+    rng = random.Random(9)
+    for name in "abc":
+        (tmp_path / f"{name}.txt").write_text("".join(rng.choice([delimiter, "\n", "é", "中", "<|", "x", "  "]) for _ in range(3000)) + "end")
+    (tmp_path / "d.txt").write_text("")
+    files = str(tmp_path / "*.txt")
+    want = texts.delimited_texts(spark, files, delimiter, whole=True).orderBy("doc").collect()
+    assert len({r.start for r in delimited.read_ranges(spark, files, delimiter, 1000).collect()}) > 5
+    got = texts.delimited_texts(spark, files, delimiter, part=1000).orderBy("doc").collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want] and len(got) > 500
+    assert texts.delimiters_in_files(spark, files, delimiter).first().n == sum((tmp_path / f"{x}.txt").read_text().count(delimiter) for x in "abc")
+    (tmp_path / "e.txt.gz").write_bytes(gzip.compress(b"a"))
+    with pytest.raises(Exception, match="whole"):
+        texts.delimited_texts(spark, str(tmp_path / "e*"), delimiter).collect()
+
+
+# ---------------------------------------------------------------- commit and ranges of binary files
+
+
+def test_attempts_of_tasks_meet_only_in_commit(tmp_path):
+    """A repeated and a lost attempt leave nothing behind."""
+    w = shards.ShardWriter({"path": f"file://{tmp_path}/out"})
+    rows = [{"shard": 1, "tokens": [1, 2]}, {"shard": 1, "tokens": [3]}, {"shard": 4, "tokens": [9]}]
+    first, again, other = w.write(rows), w.write(rows), w.write([{"shard": 2, "tokens": [5]}])
+
+    def broken():
+        yield rows[0]
+        yield rows[2]
+        raise OSError("lost")
+
+    with pytest.raises(OSError):
+        w.write(broken())
+    assert shards.ShardReader(f"{tmp_path}/out").partitions() == []
+    assert len({f for m in (first, again, other) for f, _ in m.files}) == 5
+    w.commit([again, other, None])
+    assert sorted(os.listdir(tmp_path / "out")) == ["train_000001.bin", "train_000002.bin", "train_000004.bin"]
+    assert shards.deserialize((tmp_path / "out/train_000001.bin").read_bytes())[1].tolist() == [1, 2, 3]
+    gone = shards.ShardWriter({"path": str(tmp_path / "out")})
+    gone.write([{"shard": 7, "tokens": [5]}])
+    gone.abort([])
+    assert len(os.listdir(tmp_path / "out")) == 3
+    with pytest.raises(ValueError, match="apart"):
+        w.write([rows[0], rows[2], rows[1]])
+
+
+def test_a_failed_job_leaves_no_shard(spark, tmp_path):
+    slabs = spark.range(40).select(F.col("id").cast("int").alias("shard"), F.lit(0).alias("at"), F.array(F.when(F.col("id") == 37, 70_000).otherwise(5)).alias("tokens"))
+    with pytest.raises(Exception, match="does not fit"):
+        shards.write_shards(slabs, str(tmp_path / "s"), "gpt-2")
+    assert not (tmp_path / "s").exists() or os.listdir(tmp_path / "s") == []
+    shards.write_shards(slabs.where("shard <> 37"), str(tmp_path / "s"), "gpt-2")
+    assert shards.read_shards(spark, str(tmp_path / "s")).count() == 39 == len(os.listdir(tmp_path / "s"))
+
+
+def test_first_mismatch_joins_one_block(spark):
+    a = spark.range(50_000).select(F.col("id").alias("g"), (F.col("id") % 7).cast("int").alias("token"))
+    b = a.withColumn("token", F.when(F.col("g") == 31_000, 99).otherwise(F.col("token"))).where("g < 49000")
+    got = pack.first_mismatch(a, b, block=512)
+    assert tuple(got.first()) == (50_000, 49_000, 31_000, 31_000 % 7, 99)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(f"{31_000 // 512 * 512}") >= 2  # both sides are filtered to the block before they meet
+    assert tuple(pack.first_mismatch(a, a.where("g < 1000"), block=512).first()) == (50_000, 1000, 1000, 1000 % 7, None)
+    empty = a.limit(0)
+    assert tuple(pack.first_mismatch(empty, empty).first()) == (0, 0, None, None, None)
+    twice = a.union(a.where("g = 5"))
+    assert pack.first_mismatch(a, twice).first().n_b == 50_001
+
+
+def test_shard_difference_within_arrays(spark):
+    rows = [("f", 0, "gpt-2", [1, 2, 3]), ("g", 0, "gpt-2", [1, 2, 4, 5]), ("h", 0, "gpt-2", [1, 2])]
+    one = [spark.createDataFrame([r], "file string, shard int, model string, tokens array<long>") for r in rows]
+    assert tuple(shards.diff(one[0], one[1]).first()) == (3, 4, 2) and tuple(shards.diff(one[0], one[2]).first()) == (3, 2, 2)
+    assert tuple(shards.diff(one[0], one[0]).first()) == (3, 3, None)
+
+
+def test_initializer_ranges_read_their_rows_only(spark, tmp_path, monkeypatch):
+    rows = np.random.default_rng(1).standard_normal((20_000, 16)).astype("<f4")
+    other = _field(1, 500_000) + _field(2, 1) + _field(8, b"big") + _field(9, bytes(2_000_000))
+    packed = _field(1, 20_000) + _field(1, 16) + _field(2, 1) + _field(4, rows[:5].tobytes()) + _field(4, rows[5:].tobytes()) + _field(8, b"wte")
+    path = tmp_path / "m.onnx"
+    path.write_bytes(_field(1, 8) + _field(7, _field(5, other) + _field(5, packed)))
+    monkeypatch.setattr(onnx_init, "NUMBERS", 16_000)
+    parts = onnx_init.InitializerReader({"path": str(path), "tensor": "wte"}).partitions()
+    assert len(parts) == 20 and parts[3].tensor.rows == 20_000
+    taken = []
+
+    class Counting(io.BytesIO):
+        def size(self):
+            return len(self.getbuffer())
+
+        def read_at(self, n, offset):
+            taken.append(n)
+            return bytes(self.getbuffer()[offset : offset + n])
+
+    class Files:
+        def open_input_file(self, _):
+            return Counting(path.read_bytes())
+
+    monkeypatch.setattr(onnx_init, "file_system", lambda p: (Files(), p))
+    onnx_init.locate(str(path), "wte")
+    assert sum(taken) <= 4 * onnx_init.Wire.BUFFER
+    taken.clear()
+    got = next(iter(onnx_init.InitializerReader({"path": str(path), "tensor": "wte"}).read(parts[0])))
+    assert sum(taken) == 1000 * 64 and got.column(1)[4].as_py() == rows[4].tolist() and got.column(1)[999].as_py() == rows[999].tolist()
+    monkeypatch.undo()
+    assert onnx_init.read_initializer(spark, str(path), "wte").where("row = 19999").first().embedding == rows[19_999].tolist()
+    path.write_bytes(path.read_bytes()[:-30])
+    with pytest.raises(ValueError, match="within a field|other than"):
+        onnx_init.initializer(str(path), "none")

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.operators.windows import WindowConfig, jobs, scored_positions, token_windows
+from corpusmill.operators.windows import WindowConfig, chunk_offsets, chunked_windows, jobs, scored_positions, token_windows
 
 
 def run(spark, docs, c):
@@ -86,3 +86,43 @@ def test_dedupe_and_jobs(spark):
     assert len(rows) == len(set(rows))
     w = spark.createDataFrame([(0, [1, 2, 3])], "doc long, tokens array<int>")
     assert [r.seen for r in jobs(token_windows(w, WindowConfig(2, 1, True))).orderBy("position").collect()] == [1, 1, 1]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_chunks_give_the_windows_of_whole_documents(spark, seed):
+    """For any cut: empty chunks, chunks shorter than a stride and longer than a stretch, gaps in their numbers."""
+    rng = random.Random(seed)
+    w = rng.randint(1, 12)
+    pads = rng.choice([{}, {"pad_left": True}, {"pad_right": True}])
+    c = WindowConfig(w, rng.randint(1, w), rng.random() < 0.7, **pads)
+    docs, chunks = [], []
+    for doc in [*range(25), None]:
+        tokens = [rng.randrange(1, 99) for _ in range(rng.choice([0, 1, w, 40, 200]))]
+        docs.append((doc, tokens))
+        at = order = 0
+        while at < len(tokens) or rng.random() < 0.3:
+            n = rng.choice([0, 1, 2, 7, 90])
+            chunks.append((doc, order, tokens[at : at + n] or rng.choice([[], None])))
+            at, order = at + n, order + rng.choice([1, 1, 5000])
+    rng.shuffle(chunks)
+    whole = token_windows(spark.createDataFrame(docs, "doc long, tokens array<int>"), c)
+    cut = chunked_windows(spark.createDataFrame(chunks, "doc long, chunk long, tokens array<int>"), c, stretch=rng.choice([1, 30, 1000]))
+    assert cut.columns == whole.columns
+    assert sorted(map(str, cut.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_pushes_of_the_reference_cases(spark):
+    rows = [(0, 0, list(b"ab")), (0, 1, list(b"cd"))]
+    df = spark.createDataFrame(rows, "doc long, chunk long, tokens array<int>")
+    assert [bytes(r.tokens) for r in chunked_windows(df, WindowConfig(4, 4)).collect()] == [b"abcd"]
+    assert chunked_windows(df.limit(0), WindowConfig(4, 4)).count() == 0
+    at = chunk_offsets(spark.range(20_000).select(F.lit(1).alias("d"), F.col("id").alias("k")), "d", "k", F.lit(3), block=64)
+    assert at.where("at <> order * 3 or total <> 60000").count() == 0
+
+
+def test_a_long_document_is_many_rows_of_bounded_size(spark):
+    df = spark.range(400).select(F.lit(1).alias("doc"), F.col("id").alias("chunk"), F.array_repeat(F.lit(7), 1000).alias("tokens"))
+    got = chunked_windows(df, WindowConfig(512, 256), stretch=4096)
+    assert got.count() == (400_000 - 512) // 256 + 1
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "stretch" in plan and "hashpartitioning(doc" in plan
