@@ -6,7 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import staged
 from .lookup import sized
+from .quantiles import LIGHT, quantiles
 
 # ---------------------------------------------------------------- rules
 
@@ -62,10 +64,31 @@ def extract(r: DataFrame, cutoff: int, window: int | None, clamp: bool = True) -
 # ---------------------------------------------------------------- rewriting
 
 
-def pairs(context: DataFrame) -> DataFrame:
-    """Each row with its neighbours' tokens, by row order within a document."""
-    w = Window.partitionBy("uid").orderBy("pos")
-    return context.select("uid", "pos", "token", "logprob", F.lead("token", 1).over(w).alias("next_tok"), F.lag("token", 1).over(w).alias("prev_tok"))
+#: Positions of a document that one task takes at a time.
+STRETCH = 1 << 20
+
+
+def pairs(context: DataFrame, longest: int | None = None, stretch: int = STRETCH) -> DataFrame:
+    """Each row with its neighbours' tokens, by row order within a document.
+
+    Documents are cut into stretches of positions, so a long one is many tasks. Within a stretch the neighbours are a
+    window; at its edges they are the last and first token of the stretches beside it, of which there is one row each. Rows
+    are shuffled once: the edges are taken from the same exchange. Where the caller knows that no position is above
+    ``longest`` and that is within one stretch, there are no edges to look for.
+    """
+    if longest is not None and longest < stretch:
+        of = Window.partitionBy("uid").orderBy("pos")
+        return context.select("uid", "pos", "token", "logprob", F.lead("token", 1).over(of).alias("next_tok"), F.lag("token", 1).over(of).alias("prev_tok"))
+    c = context.select("uid", "pos", "token", "logprob", F.floor(F.col("pos") / F.lit(stretch)).alias("part")).repartition("uid", "part")
+    row = F.struct("pos", "token", "logprob")  # all columns, so that both readers of the exchange ask for the same
+    edges = c.groupBy("uid", "part").agg(F.min(row).alias("first"), F.max(row).alias("last"))
+    of = Window.partitionBy("uid").orderBy("part")
+    edges = edges.select("uid", "part", F.lead("first.token").over(of).alias("after"), F.lag("last.token").over(of).alias("before"))
+    w = Window.partitionBy("uid", "part").orderBy("pos")
+    c = c.select("*", F.lead("token", 1).over(w).alias("next_tok"), F.lag("token", 1).over(w).alias("prev_tok"))
+    e = edges.where("after IS NOT NULL OR before IS NOT NULL").toDF("of", "p", "after", "before")
+    j = c.join(e, c["uid"].eqNullSafe(e["of"]) & c["part"].eqNullSafe(e["p"]), "left")
+    return j.select("uid", "pos", "token", "logprob", F.coalesce("next_tok", "after").alias("next_tok"), F.coalesce("prev_tok", "before").alias("prev_tok"))
 
 
 def matched(p: DataFrame, r: DataFrame) -> DataFrame:
@@ -92,14 +115,18 @@ def summed(m: DataFrame, cutoff: int, window: int | None) -> DataFrame:
     return p.groupBy("uid", "tok", "pos").agg(F.sum("lp").alias("token_logprob"))
 
 
-def results(s: DataFrame, cutoff: int) -> DataFrame:
-    """Exact quartiles, mean, deviation and number of each token. ``treat``: below the cutoff."""
-    g = s.groupBy("tok").agg(
-        F.percentile("token_logprob", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"),
-        F.avg("token_logprob").alias("mean"),
-        F.stddev_samp("token_logprob").alias("std"),
-        F.count(F.lit(1)).alias("num"),
-    )
+def results(s: DataFrame, cutoff: int, light: int = LIGHT) -> DataFrame:
+    """Exact quartiles, mean, deviation and number of each token. ``treat``: below the cutoff. Sums are written once;
+    tokens of more than ``light`` rows get their quartiles by ranges."""
+    t = staged(s.select("tok", "token_logprob"), "sums")
+    told = [F.avg("token_logprob").alias("mean"), F.stddev_samp("token_logprob").alias("std"), F.count(F.lit(1)).alias("num")]
+    ps = [0.25, 0.5, 0.75]
+    if t.groupBy("tok").count().where(F.col("count") > light).head(1):
+        stats = staged(t.groupBy("tok").agg(*told), "stats")
+        q = quantiles(t, stats, "tok", "token_logprob", ps, light).withColumnRenamed("tok", "of")
+        g = stats.join(q, F.col("tok").eqNullSafe(F.col("of")), "left")
+    else:
+        g = t.groupBy("tok").agg(F.percentile("token_logprob", F.array(*map(F.lit, ps))).alias("q"), *told)
     q = F.col("q")
     return g.select("tok", q[1].alias("median"), q[2].alias("q75"), q[0].alias("q25"), (q[2] - q[0]).alias("iqr"), "mean", "std", "num", (F.col("tok") < cutoff).alias("treat"))
 

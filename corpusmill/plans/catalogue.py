@@ -489,9 +489,14 @@ def _bias_rules(spark, sf, counts=None):
     return bias.extract(_merges(spark, sf, counts), BYTES, MERGES)[0].select("a", "b", "c")
 
 
+def _neighbours(spark, sf, counts=None):
+    longest = documents(spark, sf).agg(F.max(F.octet_length("text"))).first()[0] or 0
+    return bias.pairs(_context(spark, sf, counts), longest)
+
+
 def _matched(spark, sf):
     counts = _pairs(spark, sf)
-    return bias.matched(bias.pairs(_context(spark, sf, counts)), _bias_rules(spark, sf, counts))
+    return bias.matched(_neighbours(spark, sf, counts), _bias_rules(spark, sf, counts))
 
 
 def _results(spark, sf):
@@ -500,7 +505,7 @@ def _results(spark, sf):
 
 @query(_BIAS + f"SELECT uid, count(*) AS n, {_rows_sql('pos', 'token', 'right_of', 'left_of')} AS digest FROM near GROUP BY uid")
 def pairs(spark, sf):
-    return bias.pairs(_context(spark, sf)).groupBy("uid").agg(F.count(F.lit(1)).alias("n"), _rows("pos", "token", "next_tok", "prev_tok").alias("digest"))
+    return bias.pairs(_context(spark, sf), stretch=1 << 12).groupBy("uid").agg(F.count(F.lit(1)).alias("n"), _rows("pos", "token", "next_tok", "prev_tok").alias("digest"))
 
 
 @query(_BIAS + f"SELECT uid, count(*) AS n, {_rows_sql('pos', 'one', 'two')} AS digest FROM (SELECT n.uid, n.pos, x.c AS one, y.c AS two FROM near n LEFT JOIN begins x USING (uid, pos) LEFT JOIN ends y USING (uid, pos)) GROUP BY uid")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import tempfile
 import uuid
@@ -9,6 +11,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: str | None = None
+#: The folder of this driver's tables, and where it was made.
+_RUN = f"run-{uuid.uuid4().hex}"
+_runs: dict[str, SparkSession] = {}
 
 
 def scratch(spark: SparkSession, label: str = "scratch") -> str:
@@ -22,7 +27,24 @@ def scratch(spark: SparkSession, label: str = "scratch") -> str:
         if _own is None:
             _own = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
         where = _own
-    return f"{where.rstrip('/')}/corpusmill/{label}-{uuid.uuid4().hex}"
+    _runs.setdefault(f"{where.rstrip('/')}/corpusmill/{_RUN}", spark)
+    return f"{where.rstrip('/')}/corpusmill/{_RUN}/{label}-{uuid.uuid4().hex}"
+
+
+def sweep() -> None:
+    """Delete all that this driver has written with ``scratch``, and has not dropped: also done when Python ends.
+
+    Nothing that reads such a table may run any more.
+    """
+    for path, spark in list(_runs.items()):
+        remove(spark, path)
+        del _runs[path]
+
+
+@atexit.register
+def _at_exit() -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone already
+        sweep()
 
 
 def staged(df: DataFrame, label: str = "stage") -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.operators import bias, embed, evaluate, lookup, model, score
+from corpusmill.operators import bias, embed, evaluate, lookup, model, quantiles, score
 from corpusmill.operators.windows import WindowConfig, jobs, token_windows
 from corpusmill.plans.progress import ProgressBar, job_progress
 from corpusmill.streaming import windows as streaming
@@ -206,3 +206,40 @@ def test_progress(spark):
     assert b.progress == 1 and ProgressBar().progress == 0
     b.finish()
     assert job_progress(spark).progress == 0
+
+
+@pytest.mark.parametrize("stretch", [1, 3, 10, 1000])
+def test_neighbours_across_stretches(spark, stretch):
+    """As one window over each document would find them: gaps, documents of one row, stretches without a row, negative positions."""
+    rng = np.random.default_rng(stretch)
+    rows = [(int(u), int(p), int(rng.integers(0, 5)), float(p)) for u in range(12) for p in sorted(rng.choice(np.arange(-40, 90), rng.integers(0, 40), replace=False))]
+    rows += [(None, 4, 1, 1.0), (None, 9, 2, 1.0), (77, 5000, 3, 1.0)]
+    df = spark.createDataFrame(rows, "uid int, pos int, token int, logprob double")
+    want = sorted(map(str, bias.pairs(df, longest=0, stretch=10**6).collect()))
+    got = bias.pairs(df, stretch=stretch)
+    assert sorted(map(str, got.collect())) == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan[: plan.index("Initial Plan")].count("REPARTITION_BY_COL") == 2 and "ReusedExchange" in plan  # one exchange of rows, read twice
+
+
+@pytest.mark.parametrize("ranges", [2, 5, 128])
+def test_quantiles_by_ranges_equal_percentile(spark, ranges):
+    """Ties, one row, one value, two values, nulls, skew, infinite values."""
+    rng = np.random.default_rng(ranges)
+    groups = {1: rng.standard_normal(501), 2: [4.0], 3: [1.0] * 300, 4: [1.0, 2.0], 5: rng.integers(0, 4, 400), 6: 10.0 ** rng.integers(-30, 30, 250), 7: [-0.5, None, 0.5, None], 8: [float("-inf"), 0.0, 1.0]}
+    rows = [(g, None if v is None else float(v)) for g, vs in groups.items() for v in vs]
+    df = spark.createDataFrame(rows, "g int, v double")
+    ps = [0.0, 0.25, 0.5, 0.75, 0.999, 1.0]
+    want = {r.g: r.q for r in df.groupBy("g").agg(F.percentile("v", F.array(*map(F.lit, ps))).alias("q")).collect()}
+    got = {r.g: r.q for r in quantiles.selected(df, "g", "v", ps, ranges).collect()}
+    assert got == want and len(got) == 8
+    counts = df.groupBy("g").agg(F.count(F.lit(1)).alias("num"))
+    for light in (0, 299, 10**6):
+        assert {r.g: r.q for r in quantiles.quantiles(df, counts, "g", "v", ps, light).collect()} == want
+
+
+def test_hot_tokens_of_the_experiment(spark):
+    rows = [(u, tok, p, float((u * 7 + p) % 13) - 20) for u in range(40) for p, tok in enumerate([5, 5, 5, 6, 9])]
+    s = spark.createDataFrame(rows, "uid int, tok int, pos int, token_logprob double")
+    plain, hot = (sorted(map(str, bias.results(s, 6, light).collect())) for light in (10**6, 50))
+    assert plain == hot and len(hot) == 3

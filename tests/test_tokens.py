@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import bytelevel
 from corpusmill.functions.pretok import byte_tokens, pretokenize, repair_bytes, repaired, rune_class, with_prefix_space
 from corpusmill.operators import bpe, bpe_flat, bpe_training, vocabulary
+from corpusmill.sources.scratch import scratch
 
 
 def pieces(spark, *texts):
@@ -179,7 +180,7 @@ def test_table_training_equals_plain_training(spark, letters, hot, rewrite):
 def test_table_training_of_documents_and_tables_left(spark):
     df = vocabulary.dictionary(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), prefix_space=True)
     plain = bpe.train(df, 256 + 40, least=1)
-    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://") + "/corpusmill"
+    root = os.path.dirname(scratch(spark)).removeprefix("file://")
     before = set(os.listdir(root)) if os.path.isdir(root) else set()
     assert bpe_training.train(df, 256 + 40, least=1).merges == plain.merges
     assert set(os.listdir(root)) == before
