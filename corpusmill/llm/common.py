@@ -9,15 +9,14 @@ from __future__ import annotations
 
 import ctypes
 import math
-import re
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import remove, scratch
+
 #: Bytes of text that one numpy step works on.
 SLICE_BYTES = 1 << 20
 
@@ -28,26 +27,9 @@ _MASK = (1 << 64) - 1
 # ---------------------------------------------------------------- storage
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, ``spark.checkpoint.dir``. Where it is unset, a temporary one for a
-    session in one process (``local[...]``, as in tests) and an error for a cluster."""
-    global _local_dir
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        if _local_dir is None:
-            _local_dir = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
-        where = _local_dir
-    return where.rstrip("/")
-
-
-_local_dir: str | None = None
-
-
 def new_path(spark: SparkSession, label: str) -> str:
-    """A name in the shared folder that nothing else has."""
-    return f"{shared_dir(spark)}/corpusmill/{label}-{uuid.uuid4().hex}"
+    """A name in the shared folder that nothing else has, in the folder of this driver, which goes when it ends."""
+    return scratch(spark, label)
 
 
 def stored(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
@@ -63,9 +45,7 @@ def stored(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete what ``stored`` has written, once nothing reads it any more."""
     for t in tables:
-        spark = t.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(t.stored_at)
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        remove(t.sparkSession, t.stored_at)
 
 
 def input_bytes(df: DataFrame) -> int:

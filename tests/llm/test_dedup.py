@@ -244,3 +244,24 @@ def test_long_and_short_gram_hashes_depend_on_their_words_only():
     for k in (5, 25, 50):
         assert (gram_hashes(w, k)[7:] == gram_hashes(w[7:], k)).all()
         assert len(set(gram_hashes(w, k).tolist())) == len(w) - k + 1
+
+
+def test_exact_groups_hash_and_hot_groups_meet_where_they_are(spark, monkeypatch):
+    """Groups above and below the bound, ties in length, ids that repeat, a null id and ids at the ends of their range."""
+    rng = random.Random(31)
+    rows = [(k, "hot text" + " " * rng.randrange(3)) for k in range(40)] + [(k + 100, f"t{k % 9}") for k in range(30)] + [(k + 200, f"only {k}") for k in range(9)]
+    rows += [(3, "hot text  "), (3, "hot text  "), (None, "hot text   "), (LOW, "low"), (2**63 - 1, "l ow"), (None, None), (7, " "), (8, "")]
+    df = extra(spark, rows)
+    plan = exact_dedup.copied_groups(df)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+    groups = {}
+    for d, t in rows:
+        groups.setdefault("".join(c for c in t or "" if c not in exact_dedup.IGNORED), []).append((-len(t or ""), d is None, d or 0, d))
+    want = []
+    for _, members in groups.items():
+        keep = min(members)[3]
+        want += [(d, keep, len(members), d == keep) for *_, d in members]
+    for hot in (4096, 9, 3, 1):
+        monkeypatch.setattr(exact_dedup, "HOT", hot)
+        got = [(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(df).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)

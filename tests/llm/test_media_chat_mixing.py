@@ -264,3 +264,19 @@ def test_sums_by_rows_equal_sums_by_columns(spark, monkeypatch, targets):
     found, b = mixing.mix(df, "lang", targets)
     got = {r.doc: (r.tokens, r.rate, *r.p) for r in found.collect()}
     assert b.totals == pytest.approx(a.totals) and set(got) == set(want) and all(got[d] == pytest.approx(want[d], abs=1e-9) for d in want)
+
+
+def test_a_conversation_of_very_many_turns(spark):
+    """Linear in turns: the text under the spans, read turn by turn."""
+    import time
+
+    n = 12_000
+    rows = spark.range(n).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('é<|im_end|>\\\\ ', id) AS text")
+    began = time.time()
+    got = chat.digest(chat.render(chat.fold_events(conversation_events(rows)))).first()
+    took = time.time() - began
+    texts = [f"é<|im_end|>\\ {k}" for k in range(n)]
+    loss = "".join(texts[1::2])
+    assert (got.n_turns, got.loss_chars, got.loss_sha256) == (n, len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    told = "".join(f"{'assistant' if k % 2 else 'user'}\n{t}\n" for k, t in enumerate(texts))
+    assert got.turns_sha256 == hashlib.sha256(told.encode()).hexdigest() and took < 60

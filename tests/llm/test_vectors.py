@@ -1,5 +1,6 @@
 import hashlib
 import math
+import os
 from collections import defaultdict
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.llm import vector_codes, whitening
+from corpusmill.llm.common import new_path
 from corpusmill.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -198,13 +200,9 @@ def test_exponion_is_exact_and_computes_less(spark):
 
 
 def test_vector_tables_are_deleted(spark):
-    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
-    import os
-
-    before = set(os.listdir(f"{root}/corpusmill")) if os.path.isdir(f"{root}/corpusmill") else set()
+    root = os.path.dirname(new_path(spark, "x")).removeprefix("file://")
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
     QUERIES["op12_whitening"](spark, SF).count()
-    left = set(os.listdir(f"{root}/corpusmill")) - before
-    assert not left
+    assert not set(os.listdir(root)) - before
     QUERIES["op13_vector_codes"](spark, SF).count()
-    left = set(os.listdir(f"{root}/corpusmill")) - before
-    assert len(left) == 1  # the result's own table
+    assert len(set(os.listdir(root)) - before) == 1  # the result's own table
