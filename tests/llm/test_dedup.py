@@ -265,3 +265,79 @@ def test_exact_groups_hash_and_hot_groups_meet_where_they_are(spark, monkeypatch
         monkeypatch.setattr(exact_dedup, "HOT", hot)
         got = [(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(df).collect()]
         assert sorted(got, key=str) == sorted(want, key=str)
+
+
+# ---------------------------------------------------------------- factors
+
+
+@pytest.mark.parametrize("grow", [0, 200])
+def test_factors_are_parsed_greedily_and_cover_all_windows(spark, monkeypatch, grow):
+    """Factors follow each other as the parse says, their words are equal, and no factor could go on along its source."""
+    monkeypatch.setattr(substring_dedup, "GROW", grow)
+    rng = random.Random(77 + grow)
+    rows = corpus(11, 90)
+    # a document of pieces of many others, seams in the middle of passages, and one that goes on where its source's copy ends
+    pieces = [t.split(" ") for _, t in rows if t and len(t.split(" ")) > 90]
+    mosaic = [w for p in pieces[:8] for w in p[5 : 5 + rng.randrange(52, 80)]]
+    rows += [(9001, " ".join(mosaic)), (9002, " ".join(mosaic[3:])), (9003, " ".join(["new"] * 60 + mosaic + ["end"] * 60)), (9004, " ".join(mosaic[:200] * 3))]
+    words = {d: (t or "").split() for d, t in rows}
+    want, seen = substring(rows), 0
+    for r in substring_dedup.parse(extra(spark, rows)).collect():
+        assert (r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id]
+        own, covered, least = words[r.doc_id], set(), 0
+        for f in r.factors:
+            src, end = words[f.src], f.start + f.words
+            assert f.src < r.doc_id and f.words >= 50 and f.start >= least
+            assert own[f.start : end] == src[f.src_start : f.src_start + f.words]
+            if grow and end < len(own) and f.src_start + f.words < len(src):
+                assert own[end] != src[f.src_start + f.words]
+            least = end - 49  # the next one begins with a window that this one does not hold
+            covered.update(range(f.start, end))
+            seen += 1
+        assert len(covered) == r.n_removed
+    assert seen > 40
+
+
+def test_greedy_takes_the_longest_and_checks_the_seams():
+    runs = [(0, 60, 1, 0), (5, 100, 2, 5), (20, 90, 3, 0), (80, 140, 4, 0), (95, 150, 1, 7), (300, 350, 5, 0)]
+    got = substring_dedup.greedy(runs, 50)
+    assert got == [(0, 60, 1, 0), (11, 100, 2, 11), (80, 140, 4, 0), (95, 150, 1, 7), (300, 350, 5, 0)]
+    assert substring_dedup.greedy([], 50) == []
+    rng = random.Random(4)
+    for _ in range(200):
+        runs = [(a, a + rng.randrange(5, 30), rng.randrange(4), 0) for a in (rng.randrange(100) for _ in range(rng.randrange(9)))]
+        parsed = substring_dedup.greedy(runs, 5)
+        assert {k for a, b, *_ in parsed for k in range(a, b)} == {k for a, b, *_ in runs for k in range(a, b)}
+        assert all(y[0] > x[1] - 5 for x, y in zip(parsed, parsed[1:], strict=False))
+
+
+def test_words_of_one_hash_are_told_apart(spark):
+    """Equal hashes decide nothing: the bytes of the words do."""
+    import numpy as np
+
+    own, other = [f"w{k}" for k in range(70)], [f"w{k}" for k in range(70)]
+    other[60] = "zz"
+    flat, at = substring_dedup.flat_words(*_spelt(own))
+    table = pa.table({"src": [np.array([3]).tobytes()], "src_text": [np.array([9], np.uint64).tobytes()], "low": [np.array([0]).tobytes()], "sizes": [np.array([len(" ".join(other)) + 1]).tobytes()], "words": [(" ".join(other) + " ").encode()]})
+    sources = substring_dedup.Sources(table)
+    sources.hashes = np.zeros(70, np.uint64)
+    found = substring_dedup._compared(50, 70, flat, at, np.zeros(70, np.uint64), sources, (0, 70, 3, 9, 0))
+    assert found == [(0, 60, 3, 0)]
+
+
+def _spelt(words):
+    import numpy as np
+
+    from corpusmill.llm.common import word_spans
+
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    starts, ends, _ = word_spans(data, np.array([0, len(data)]))
+    return data, starts, ends
+
+
+def test_ranges_of_one_source_are_asked_for_once():
+    import numpy as np
+
+    src, text = np.array([1, 1, 1, 2, 1]), np.array([5, 5, 5, 5, 6], np.uint64)
+    got = substring_dedup.merged_ranges(src, text, np.array([0, 30, 100, 0, 0]), np.array([40, 60, 120, 9, 9]))
+    assert [x.tolist() for x in got] == [[1, 1, 1, 2], [5, 5, 6, 5], [0, 100, 0, 0], [60, 120, 9, 9]]
