@@ -39,7 +39,7 @@ from .packed import CELLS, KNOWN, Known, cells, counted, dealt, joined, lengths,
 WINDOW = 50
 
 #: Words that a factor may grow by on each side of its candidate, at least.
-GROW = 200
+GROW = 50
 
 WINDOWS = "part int, bucket int, hashes binary, checks binary, docs binary, text binary, pos binary, more binary"
 FOUND = "bucket int, part int, hashes binary, checks binary, src binary, src_text binary, src_pos binary, home binary"
