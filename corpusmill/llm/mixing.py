@@ -10,7 +10,7 @@ documents to as many sums as there are domains; the step is taken along the post
 of their token-weighted Gram matrix (of documents that are not held at the bound), and rates are projected to
 the bound. A step that brings the totals no nearer is halved, then replaced by a plain gradient step of a safe
 length, which always does unless the least squares are reached. A document's rate is a function of its posteriors and of the
-steps so far (a few numbers each), so no per-document state is carried from step to step.
+steps so far (a few numbers each), so a pass carries no per-document state; every ``STORE`` steps rates are written and later steps start from them.
 
 A document is then copied floor(rate) times and once more with the chance of the rest, decided by a
 hash of its id. With ``targets`` None, targets are ``flatten`` (token shares to a power below 1) scaled so
@@ -29,6 +29,8 @@ their names, do not matter; a long text is counted by words like others.
 from __future__ import annotations
 
 import math
+import warnings
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,6 +46,8 @@ EVIDENCE = 24
 GROWTH = 0.02
 #: A step that brings less of the rest than this ends the fit.
 STILL = 0.01
+#: Steps after which rates are written, so that a pass evaluates no more of them than that.
+STORE = 8
 #: Up to so many domains sums have a column each; more are summed as rows.
 FLAT = 16
 
@@ -133,9 +137,10 @@ def _dot(values: list[float]) -> Column:
     return move
 
 
-def _rate(steps: list[list[float]], least: float) -> Column:
-    """max(least, ... max(least, max(least, 1) + p . step1) + p . step2 ...): the rate after these steps."""
-    rate = F.lit(max(1.0, least))
+def _rate(steps: list[list[float]], least: float, start: Column | None = None) -> Column:
+    """max(least, ... max(least, max(least, 1) + p . step1) + p . step2 ...): the rate after these steps, or after
+    these and what ``start`` holds."""
+    rate = F.lit(max(1.0, least)) if start is None else start
     for step in steps:
         rate = F.greatest(F.lit(float(least)), rate + _dot(step))
     return rate
@@ -147,7 +152,33 @@ def _solve(a: list[list[float]], b: list[float]) -> list[float]:
     return np.linalg.solve(m + 1e-9 * max(np.abs(np.diag(m)).max(initial=0.0), 1e-30) * np.eye(len(b)), np.array(b, float)).tolist()
 
 
-def fit(post: DataFrame, domains: list, targets: list[float] | None = None, flatten: float = 0.8, least: float = 0.0, steps: int = 100, tolerance: float = 1e-4) -> Mix:
+Targets = Callable[[list[float]], list[float]]
+
+
+def flattened(power: float = 0.8) -> Targets:
+    """Token shares to a power below 1, scaled so that every domain grows by ``GROWTH`` at least."""
+
+    def of(have: list[float]) -> list[float]:
+        weight = [h**power if h > 0 else 0.0 for h in have]
+        scale = (1 + GROWTH) * max((h / w for h, w in zip(have, weight, strict=True) if w > 0), default=0.0)
+        return [scale * w for w in weight]
+
+    return of
+
+
+def thinned(share: float = 0.001) -> Targets:
+    """The tokens there are, with this share for the largest domain and equal shares for the others: the largest shrinks to
+    almost nothing, so many of its documents are held at the bound."""
+
+    def of(have: list[float]) -> list[float]:
+        most, total = max(range(len(have)), key=lambda i: (have[i], -i)), sum(have)
+        rest = (1 - share) / max(len(have) - 1, 1)
+        return [total if len(have) == 1 else total * (share if i == most else rest) for i in range(len(have))]
+
+    return of
+
+
+def fit(post: DataFrame, domains: list, targets: list[float] | Targets | None = None, flatten: float = 0.8, least: float = 0.0, steps: int = 100, tolerance: float = 1e-4) -> Mix:
     """Steps of projected gradient until the expected totals are within ``tolerance`` of the targets, or stand
     still (``STILL``). Near the optimum a scaled step lands on the targets, as long as they can be met."""
     k = len(domains)
@@ -155,10 +186,11 @@ def fit(post: DataFrame, domains: list, targets: list[float] | None = None, flat
         return Mix(domains, [], [], [], least)
     grams: dict[float, list[list[float]]] = {}
 
+    base, begun = post.select("p", (F.col("tokens") * F.col("rows")).alias("t"), F.lit(max(1.0, least)).alias("r0")), 0
+
     def sums(taken: list[list[float]]) -> tuple[list[float], list[list[float]]]:
         """(expected totals, Gram matrix of the documents that are not held at the bound)"""
-        weight = F.col("tokens") * F.col("rows")
-        r = post.select("p", weight.alias("t"), _rate(taken, least).alias("r"))
+        r = base.select("p", "t", _rate(taken[begun:], least, F.col("r0")).alias("r"))
         r = r.select("p", (F.col("r") * F.col("t")).alias("w"), F.when((F.col("r") > least) | F.lit(not taken), F.col("t")).otherwise(0).alias("live"))
         full = [[0.0] * k for _ in range(k)]
         if k > FLAT:
@@ -189,9 +221,9 @@ def fit(post: DataFrame, domains: list, targets: list[float] | None = None, flat
 
     have, gram = sums([])
     if targets is None:
-        weight = [h**flatten if h > 0 else 0.0 for h in have]
-        scale = (1 + GROWTH) * max((h / w for h, w in zip(have, weight, strict=True) if w > 0), default=0.0)
-        targets = [scale * w for w in weight]
+        targets = flattened(flatten)
+    if callable(targets):
+        targets = targets(have)
     mix = Mix(domains, list(targets), have, [], least)
     if sum(have) <= 0:
         return mix
@@ -203,7 +235,12 @@ def fit(post: DataFrame, domains: list, targets: list[float] | None = None, flat
     size, near = 1.0, tolerance * max(sum(mix.targets), 1.0)
     for _ in range(steps):
         if off(mix.totals) <= near:
-            return mix
+            break
+        if len(mix.steps) - begun >= STORE:
+            after = stored(base.select("p", "t", _rate(mix.steps[begun:], least, F.col("r0")).alias("r0")), "mix-rates")
+            if begun:
+                discard(base)
+            base, begun = after, len(mix.steps)
         rest = [t - a for a, t in zip(mix.totals, mix.targets, strict=True)]
         plain = size < 0.2
         step = [x / most for x in rest] if plain else [size * x for x in _solve(gram, rest)]
@@ -214,10 +251,14 @@ def fit(post: DataFrame, domains: list, targets: list[float] | None = None, flat
             mix.totals, gram, size = now, new, min(1.0, 2 * size)
         elif plain:
             mix.met = False
-            return mix
+            break
         else:
             size /= 2
-    raise RuntimeError(f"rates did not settle in {steps} steps: {off(mix.totals):.4g} tokens from the targets")
+    else:
+        raise RuntimeError(f"rates did not settle in {steps} steps: {off(mix.totals):.4g} tokens from the targets")
+    if begun:
+        discard(base)
+    return mix
 
 
 def rates(post: DataFrame, mix: Mix) -> DataFrame:
@@ -227,21 +268,22 @@ def rates(post: DataFrame, mix: Mix) -> DataFrame:
     return r.withColumn("copies", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
 
 
-def mix(docs: DataFrame, domain_col: str, targets: dict | None = None, id_col: str = "doc_id", text_col: str = "text", least: float = 0.0) -> tuple[DataFrame, Mix]:
+def mix(docs: DataFrame, domain_col: str, targets: dict | Targets | None = None, id_col: str = "doc_id", text_col: str = "text", least: float = 0.0) -> tuple[DataFrame, Mix]:
     """(rates of the texts that have words, the fit)."""
     domains, priors, table = classifier(docs, domain_col, id_col, text_col)
-    unknown = sorted(set(targets or {}) - set(domains), key=str)
+    named = isinstance(targets, dict)
+    unknown = sorted(set(targets if named else {}) - set(domains), key=str)
     if unknown:
         raise ValueError(f"targets for domains that no row has: {unknown[:9]}")
     post = stored(posteriors(docs, domains, priors, table, id_col, text_col), "mix-posteriors")
     if domains:
         discard(table)
-    wanted = [float(targets.get(d, 0.0)) for d in domains] if targets is not None else None
+    wanted = [float(targets.get(d, 0.0)) for d in domains] if named else targets
     found = fit(post, domains, wanted, least=least)
     return rates(post, found), found
 
 
-def document_rates(docs: DataFrame, domain_col: str, targets: dict | None = None, id_col: str = "doc_id", text_col: str = "text", least: float = 0.0) -> DataFrame:
+def document_rates(docs: DataFrame, domain_col: str, targets: dict | Targets | None = None, id_col: str = "doc_id", text_col: str = "text", least: float = 0.0) -> DataFrame:
     """doc_id, n_tokens, rate, copies and targets_met of every row of ``docs``."""
     found, fitted = mix(docs, domain_col, targets, id_col, text_col, least)
     found = found.select(F.col("doc").alias("__doc"), F.col("h").alias("__h"), "tokens", "rate", "copies")
@@ -252,11 +294,20 @@ def document_rates(docs: DataFrame, domain_col: str, targets: dict | None = None
     )
 
 
-def mixed_documents(docs: DataFrame, domain_col: str, targets: dict | None = None, id_col: str = "doc_id", text_col: str = "text", least: float = 0.0) -> DataFrame:
-    """The rows of ``docs``, each as often as its rate says, with all their columns."""
-    found, _ = mix(docs, domain_col, targets, id_col, text_col, least)
+def mixed_documents(docs: DataFrame, domain_col: str, targets: dict | Targets | None = None, id_col: str = "doc_id", text_col: str = "text", least: float = 0.0) -> DataFrame:
+    """The rows of ``docs``, each as often as its rate says, with all their columns. Targets that are not met are a warning."""
+    out, fitted = mixed_with_fit(docs, domain_col, targets, id_col, text_col, least)
+    if not fitted.met:
+        told = ", ".join(f"{d}: {a:.0f} of {t:.0f}" for d, a, t in zip(fitted.domains, fitted.totals, fitted.targets, strict=True))
+        warnings.warn(f"tokens after mixing are not what was asked for: {told}", stacklevel=2)
+    return out
+
+
+def mixed_with_fit(docs: DataFrame, domain_col: str, targets: dict | Targets | None = None, id_col: str = "doc_id", text_col: str = "text", least: float = 0.0) -> tuple[DataFrame, Mix]:
+    """(the mixed rows, the fit)"""
+    found, fitted = mix(docs, domain_col, targets, id_col, text_col, least)
     found = found.select(F.col("doc").alias("__doc"), F.col("h").alias("__h"), F.col("copies").alias("__copies"))
     text = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
     rows = docs.join(found, docs[id_col].cast("long").eqNullSafe(found["__doc"]) & (text == found["__h"]), "left")
     times = F.explode(F.array_repeat(F.lit(0), F.coalesce(found["__copies"], F.lit(int(max(1.0, least))))))
-    return rows.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), times.alias("time")).select("row.*")
+    return rows.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), times.alias("time")).select("row.*"), fitted

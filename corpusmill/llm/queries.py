@@ -50,7 +50,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.document_rates(_read(spark, sf_dir, "documents"), "lang")
+    return mixing.document_rates(_read(spark, sf_dir, "documents"), "lang", mixing.thinned())
 
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
