@@ -39,7 +39,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat documents so that expected tokens by language meet the flattened targets, at rates from 1 on."""
+    """Repeat documents so that expected tokens by language meet the flattened targets, at rates from 1 on; a fit that
+    does not meet them is a warning with the totals."""
     return mixing.mixed_documents(docs, "lang", least=1.0)
 
 
