@@ -225,11 +225,7 @@ def merged_ranges(src: np.ndarray, text: np.ndarray, low: np.ndarray, high: np.n
     return src[head], text[head], low[head], (reach - apart)[_stops(head, len(src)) - 1]
 
 
-def _grown(size: np.ndarray) -> np.ndarray:
-    return np.maximum(size, GROW)
-
-
-def _candidates(window: int):
+def _candidates(window: int, grow: int):
     """Of one bucket: the diagonals on which its documents' windows have their places, by the block of the source."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -261,7 +257,8 @@ def _candidates(window: int):
         heads = _runs(c[7])
         for i, j in zip(heads.tolist(), _stops(heads, len(c[7])).tolist(), strict=True):
             doc, text, begin, size, src, source, shift, home = (x[i:j] for x in c)
-            ranges = merged_ranges(src, source, np.maximum(begin + shift - _grown(size), 0), begin + shift + size + _grown(size))
+            more = np.maximum(size, grow)
+            ranges = merged_ranges(src, source, np.maximum(begin + shift - more, 0), begin + shift + size + more)
             rows.append([bucket, int(home[0]), *(x.tobytes() for x in (doc, text, begin, size, src, source, shift, *ranges))])
         release()
         names = [x.split(" ")[0] for x in CANDIDATES.split(", ")]
@@ -363,11 +360,11 @@ def greedy(runs: list[tuple[int, int, int, int]], window: int) -> list[tuple[int
         least = end - window + 1
 
 
-def _compared(window: int, size: int, flat: np.ndarray, at: np.ndarray, hashes: np.ndarray, sources: Sources, candidate: tuple) -> list[tuple[int, int, int, int]]:
+def _compared(window: int, grow: int, size: int, flat: np.ndarray, at: np.ndarray, hashes: np.ndarray, sources: Sources, candidate: tuple) -> list[tuple[int, int, int, int]]:
     """Runs of equal words along a candidate's diagonal, in a document of ``size`` words."""
     begin, length, src, text, shift = candidate
     low, where, n = sources.range_at(src, text, begin + shift)
-    grow = max(length, GROW)
+    grow = max(length, grow)
     a, b = max(begin - grow, low - shift, 0), min(begin + length + grow, low + n - shift, size)
     if b - a < window:
         return []
@@ -384,7 +381,7 @@ def _compared(window: int, size: int, flat: np.ndarray, at: np.ndarray, hashes:
     return found
 
 
-def _removed(window: int):
+def _removed(window: int, grow: int):
     """Parse the documents of a bucket and take away what the factors cover."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -404,7 +401,7 @@ def _removed(window: int):
                 a, b = int(first[d]), int(first[d + 1])
                 runs = []
                 for candidate in of.get(key, ()) if valid[d] else ():
-                    runs += _compared(window, b - a, flat, at[a : b + 1], hashes[a:b], sources, candidate)
+                    runs += _compared(window, grow, b - a, flat, at[a : b + 1], hashes[a:b], sources, candidate)
                 parsed = greedy(runs, window)
                 for i, j, *_ in parsed:
                     cover[a + i] += 1
@@ -429,7 +426,7 @@ def _removed(window: int):
     return run
 
 
-def parse(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def parse(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", grow: int = GROW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and the factors of every document."""
     t = texts(docs, id_col, text_col)
     n_parts = fragments(t)
@@ -437,9 +434,9 @@ def parse(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_co
     live = t.groupBy("bucket").applyInArrow(_anchor_counts(window, n_parts), CELLS).groupBy("part").applyInArrow(_fragment, KNOWN)
     windows = t.groupBy("bucket").cogroup(live.groupBy("bucket")).applyInArrow(_window_cells(window, n_parts), WINDOWS)
     found = windows.groupBy("part").applyInArrow(_first_places, FOUND)
-    candidates = stored(t.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(_candidates(window), CANDIDATES), "candidates")
+    candidates = stored(t.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(_candidates(window, grow), CANDIDATES), "candidates")
     ranges = candidates.select("bucket", "home", "from_src", "from_text", "low", "high")
     words = ranges.groupBy("home").cogroup(t.groupBy("bucket")).applyInArrow(_replies, WORDS)
     own = candidates.select("bucket", "doc", "doc_text", "begin", "size", "src", "src_text", "shift")
     sent = own.unionByName(words.select("bucket", "src", "src_text", "low", "sizes", "words"), allowMissingColumns=True)
-    return t.groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(_removed(window), RESULT)
+    return t.groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(_removed(window, grow), RESULT)

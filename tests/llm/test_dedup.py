@@ -169,7 +169,7 @@ def test_what_all_documents_share_is_one_entry_of_a_bucket():
 
     def table(n):
         text = " ".join(f"w{k}" for k in range(300))
-        return pa.table({"doc_id": pa.array(range(n)), "text": pa.array([text] * n), "bucket": pa.array([3] * n, pa.int32())})
+        return pa.table({"doc_id": pa.array(range(n)), "text": pa.array([text] * n), "bucket": pa.array([3] * n, pa.int32()), "h": pa.array([7] * n, pa.int64())})
 
     def entries(t, column, kind):
         return sum(len(x.as_py()) // kind for x in t.column(column))
@@ -271,9 +271,8 @@ def test_exact_groups_hash_and_hot_groups_meet_where_they_are(spark, monkeypatch
 
 
 @pytest.mark.parametrize("grow", [0, 200])
-def test_factors_are_parsed_greedily_and_cover_all_windows(spark, monkeypatch, grow):
+def test_factors_are_parsed_greedily_and_cover_all_windows(spark, grow):
     """Factors follow each other as the parse says, their words are equal, and no factor could go on along its source."""
-    monkeypatch.setattr(substring_dedup, "GROW", grow)
     rng = random.Random(77 + grow)
     rows = corpus(11, 90)
     # a document of pieces of many others, seams in the middle of passages, and one that goes on where its source's copy ends
@@ -282,7 +281,7 @@ def test_factors_are_parsed_greedily_and_cover_all_windows(spark, monkeypatch, g
     rows += [(9001, " ".join(mosaic)), (9002, " ".join(mosaic[3:])), (9003, " ".join(["new"] * 60 + mosaic + ["end"] * 60)), (9004, " ".join(mosaic[:200] * 3))]
     words = {d: (t or "").split() for d, t in rows}
     want, seen = substring(rows), 0
-    for r in substring_dedup.parse(extra(spark, rows)).collect():
+    for r in substring_dedup.parse(extra(spark, rows), grow=grow).collect():
         assert (r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id]
         own, covered, least = words[r.doc_id], set(), 0
         for f in r.factors:
@@ -321,7 +320,7 @@ def test_words_of_one_hash_are_told_apart(spark):
     table = pa.table({"src": [np.array([3]).tobytes()], "src_text": [np.array([9], np.uint64).tobytes()], "low": [np.array([0]).tobytes()], "sizes": [np.array([len(" ".join(other)) + 1]).tobytes()], "words": [(" ".join(other) + " ").encode()]})
     sources = substring_dedup.Sources(table)
     sources.hashes = np.zeros(70, np.uint64)
-    found = substring_dedup._compared(50, 70, flat, at, np.zeros(70, np.uint64), sources, (0, 70, 3, 9, 0))
+    found = substring_dedup._compared(50, 50, 70, flat, at, np.zeros(70, np.uint64), sources, (0, 70, 3, 9, 0))
     assert found == [(0, 60, 3, 0)]
 
 
