@@ -387,6 +387,23 @@ def score_windows(spark, sf):
     return rows.groupBy(F.col("doc").cast("int").alias("doc")).agg(F.count(F.lit(1)).alias("n"), _rows("pos", "token").alias("digest"), F.round(F.sum(F.col("logprob").cast("double")), 2).alias("logprob"))
 
 
+_BI_TAILS = f"SELECT s.*, b.logprob FROM ({_scored_sql(_EACH_PREV, W, S, True)}) s JOIN ({_BI}) b USING (prev, token)"
+
+
+@query(f"""SELECT pads, doc::INT AS doc, count(*) AS n, {_rows_sql('pos', 'token')} AS digest, round(sum(logprob::DOUBLE), 2) AS logprob
+FROM ({_BI_TAILS}), (VALUES ('none'), ('left'), ('right')) p(pads) GROUP BY pads, doc""")
+def score_padded(spark, sf):
+    """Windows with tails, padded on one side or not, scored in Arrow batches: no pad and no token that was seen counts."""
+    tokens = _bytes(spark, sf)
+    model = score.dense_bigram(score.bigram(_pairs(spark, sf), BYTES, SMOOTH), BYTES)
+    rows = None
+    for pads in ("none", "left", "right"):
+        c = WindowConfig(W, S, True, pad_left=pads == "left", pad_right=pads == "right")
+        told = score.evaluate(jobs(token_windows(tokens, c)), model, lambda df: df.select(F.lit(pads).alias("pads"), "doc", (F.col("start") + F.col("seen") + F.col("i")).alias("pos"), "token", "logprob"))  # noqa: B023
+        rows = told if rows is None else rows.union(told)
+    return rows.groupBy("pads", F.col("doc").cast("int").alias("doc")).agg(F.count(F.lit(1)).alias("n"), _rows("pos", "token").alias("digest"), F.round(F.sum(F.col("logprob").cast("double")), 2).alias("logprob"))
+
+
 _PPL = "count(*) AS n, round(exp(-sum(logprob::DOUBLE) / count(*)), 4) AS ppl"
 
 
@@ -895,6 +912,26 @@ _SEEN_BYTES = f"SELECT token AS b, count(*) AS n FROM ({_EACH_BYTE}) GROUP BY to
 
 @query(f"SELECT idx::INT AS id, idx BETWEEN 177 AND 187 AS never FROM ({_ALPHABET}) WHERE symbol NOT IN (SELECT name FROM ({_NAMES}) JOIN ({_SEEN_BYTES}) ON id = b)")
 def unused_tokens(spark, sf):
+_MASKED = 256 + LEARNT // 2
+
+
+@query(_REACHED + f""", ids AS (SELECT m.rank, x.id::VARCHAR::BIGINT AS a, y.id::VARCHAR::BIGINT AS b, z.id::VARCHAR::BIGINT AS c, m.l || m.r IN (FROM r8) AS valid
+  FROM m JOIN vocab x ON x.token = m.l JOIN vocab y ON y.token = m.r JOIN vocab z ON z.token = m.l || m.r),
+near AS (SELECT * FROM ids WHERE valid AND c BETWEEN {_MASKED - 20} AND {_MASKED + 19}), inner_parts AS (SELECT a AS p FROM near UNION SELECT b FROM near)
+SELECT rank, a, b, c, valid, coalesce(c >= {_MASKED} AND rank IN (SELECT rank FROM near), false) AS kept, valid AND c BETWEEN {_MASKED - 20} AND {_MASKED - 1} AND c IN (FROM inner_parts) AS part FROM ids""")
+def rule_masked(spark, sf):
+    """Rules of learnt merges, some of whose products no merge reaches: the mask takes those out of the experiment."""
+    vocab, merges = _learnt(spark, sf)
+    r = staged(bias.rules(merges, vocab, bpe.token_reach(vocab, merges).where("reachable").select("token")), "rules")
+    inside = bias.in_window(r.where("valid"), _MASKED, 20)
+    stays = bias.not_component(inside, _MASKED).select("rank", F.lit(True).alias("stays"))
+    kept = bias.extract(r, _MASKED, 20)[0].select("rank", F.lit(True).alias("kept"))
+    near = inside.select("rank", F.lit(True).alias("near"))
+    t = r.join(kept, "rank", "left").join(near, "rank", "left").join(stays, "rank", "left")
+    ids = [F.col(x).cast("long").alias(x) for x in "abc"]
+    return t.select("rank", *ids, "valid", F.coalesce("kept", F.lit(False)).alias("kept"), (F.col("near").isNotNull() & F.col("stays").isNull()).alias("part"))
+
+
     """Byte tokens that no document has, and whether UTF-8 never has them."""
     seen = _bytes(spark, sf).select(F.explode_outer("tokens").alias("byte")).distinct()
     return alphabet_table(spark).join(seen, "byte", "left_anti").select(F.col("idx").alias("id"), F.col("idx").isin(bpe.unused_by_design()).alias("never"))

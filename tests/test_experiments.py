@@ -82,6 +82,20 @@ def test_arrow_scorer(spark):
     assert [(r.doc, r.token, r.logprob) for r in rows] == [(0, 5, -8.0), (0, 7, -12.0)]
 
 
+@pytest.mark.parametrize("pads", [{}, {"pad_left": True}, {"pad_right": True}])
+def test_dense_scorer_equals_the_joined_model(spark, pads):
+    """Also for tails shorter than what is seen, documents of one token, none, or null."""
+    docs = [(k, [(k * 5 + j * j) % 11 for j in range(n)]) for k, n in enumerate([0, 1, 2, 3, 7, 8, 9, 40])]
+    tokens = spark.createDataFrame([*docs, (99, None)], "doc long, tokens array<int>")
+    c = WindowConfig(4, 3, True, pad_token=10, **pads)
+    table = score.bigram(score.pair_counts(score.exploded(tokens)), 11, 0.1)
+    rows = score.evaluate(jobs(token_windows(tokens, c)), score.dense_bigram(table, 11, batch=2), lambda df: df).collect()
+    got = sorted((r.doc, r.start + r.seen + r.i, r.token, r.logprob) for r in rows)
+    assert got == sorted((r.uid, r.pos, r.token, r.logprob) for r in evaluate.context(tokens, c, 11, 0.1).collect()) and len(got) > 50
+    with pytest.raises(ValueError, match="too many tokens"):
+        score.dense_bigram(table, score.DENSE + 1)
+
+
 def test_large_lookup_tables_are_not_broadcast(spark, monkeypatch):
     tokens = spark.createDataFrame([(d, [1, 2, 1, d % 3, 3]) for d in range(30)], "doc long, tokens array<int>")
     rows = lambda: sorted(map(tuple, evaluate.context(tokens, WindowConfig(4, 2, True), 4).collect()))
