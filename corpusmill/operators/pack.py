@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import staged
 from .order import ordered_sum
 
 
@@ -60,29 +63,74 @@ def head_tail(positions_: DataFrame, head: int) -> DataFrame:
     return positions_.withColumn("split", F.when(F.col("g") < head, "val").otherwise("train"))
 
 
+#: Positions of a range whose documents are few enough to be broadcast.
+NARROW = 1 << 20
+
+
+class Stream:
+    """Documents as one stream of tokens, any range of which can be read.
+
+    ``rows`` have a unique integer ``doc``, not null, and what ``encode`` makes a column ``tokens`` of; ``length`` is the number
+    of tokens of a row. Where documents begin is worked out from keys and lengths and written once. The whole stream shuffles
+    rows as they are, once, and tokens are made after; a range reads the rows of its documents only, and shuffles none.
+    """
+
+    def __init__(self, rows: DataFrame, length: Column, encode: Callable[[DataFrame], DataFrame], doc: str = "doc") -> None:
+        self.rows, self.length, self.encode, self.doc, self._starts = rows, length, encode, doc, None
+
+    def starts(self) -> DataFrame:
+        """(doc, length, offset) of all documents with tokens."""
+        if self._starts is None:
+            narrow = self.rows.select(self.doc, self.length.cast("long").alias("length"))
+            self._starts = staged(ordered_sum(narrow, self.doc, F.col("length"), "offset").where("length > 0"), "starts")
+        return self._starts
+
+    def __call__(self, low: int | None = None, high: int | None = None) -> DataFrame:
+        """(g, token) of the positions from ``low`` to ``high``, or of all."""
+        s = self.starts()
+        if low is None:
+            t = self.encode(self.rows.join(s, self.doc))
+            begin, tokens = F.col("offset"), F.col("tokens")
+        else:
+            s = s.where((F.col("offset") < high) & (F.col("offset") + F.col("length") > low))
+            # each of these documents has a token in the range
+            t = self.encode(self.rows.join(F.broadcast(s) if high - low <= NARROW else s, self.doc))
+            begin = F.greatest(F.col("offset"), F.lit(low))
+            end = F.least(F.col("offset") + F.col("length"), F.lit(high))
+            tokens = F.slice("tokens", (begin - F.col("offset") + 1).cast("int"), (end - begin).cast("int"))
+        t = t.select(begin.alias("begin"), F.posexplode(tokens).alias("pos", "token"))
+        return t.select((F.col("begin") + F.col("pos")).alias("g"), "token")
+
+
 #: Positions of a block whose digests are compared.
 DIGEST_BLOCK = 1 << 16
 
 
 def block_digests(stream: DataFrame, block: int = DIGEST_BLOCK) -> DataFrame:
-    """(block, n, x, s): of each block of positions of a stream (g, token) how many it has, and the exclusive or and the
+    """(block, n, x, s): of each block of positions of a stream (g, token) how many it has, and the exclusive or and a
     sum of their 64-bit hashes. Combined before the shuffle: a row for each block."""
     h = F.xxhash64("g", "token")
     d = stream.select(F.floor(F.col("g") / F.lit(block)).alias("block"), h.alias("h"))
-    return d.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h").alias("x"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s"))
+    return d.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h").alias("x"), F.sum(F.shiftrightunsigned("h", 32)).alias("s"))
 
 
-def first_mismatch(a: DataFrame, b: DataFrame, block: int = DIGEST_BLOCK) -> DataFrame:
+def first_mismatch(a: DataFrame | Callable, b: DataFrame | Callable, block: int = DIGEST_BLOCK) -> DataFrame:
     """(n_a, n_b, g, token_a, token_b): the first place (``g``) where two streams (g, token) differ; nulls when equal.
 
-    Digests of blocks are compared first; only the tokens of the first block that differs meet in a join.
+    Digests of blocks are compared first; only the tokens of the first block that differs meet in a join. A stream is a
+    table, or a function that gives the tokens from one position to another (a ``Stream``), so that the rest is not read again.
     """
-    x, y = block_digests(a, block), block_digests(b, block).toDF("block", "n_b", "x_b", "s_b")
+
+    def part(stream: DataFrame | Callable, low: int, high: int) -> DataFrame:
+        return stream.where((F.col("g") >= low) & (F.col("g") < high)) if isinstance(stream, DataFrame) else stream(low, high)
+
+    whole_a, whole_b = (x if isinstance(x, DataFrame) else x() for x in (a, b))
+    x, y = block_digests(whole_a, block), block_digests(whole_b, block).toDF("block", "n_b", "x_b", "s_b")
     same = F.col("n").eqNullSafe(F.col("n_b")) & F.col("x").eqNullSafe(F.col("x_b")) & F.col("s").eqNullSafe(F.col("s_b"))
     told = x.join(y, "block", "full").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_a"), F.coalesce(F.sum("n_b"), F.lit(0)).alias("n_b"), F.min(F.when(~same, F.col("block"))).alias("block"))
     n_a, n_b, at = told.first()
-    n = a.sparkSession.range(1).select(F.lit(n_a).cast("long").alias("n_a"), F.lit(n_b).cast("long").alias("n_b"))
-    here = F.lit(False) if at is None else (F.col("g") >= at * block) & (F.col("g") < (at + 1) * block)
-    j = a.where(here).select("g", F.col("token").alias("token_a")).join(b.where(here).select("g", F.col("token").alias("token_b")), "g", "full")
+    n = whole_a.sparkSession.range(1).select(F.lit(n_a).cast("long").alias("n_a"), F.lit(n_b).cast("long").alias("n_b"))
+    low, high = (0, 0) if at is None else (at * block, (at + 1) * block)
+    j = part(a, low, high).select("g", F.col("token").alias("token_a")).join(part(b, low, high).select("g", F.col("token").alias("token_b")), "g", "full")
     d = j.where(~F.col("token_a").eqNullSafe(F.col("token_b"))).agg(F.min(F.struct("g", "token_a", "token_b")).alias("d"))
     return n.crossJoin(d).select("n_a", "n_b", F.col("d.g").alias("g"), F.col("d.token_a").alias("token_a"), F.col("d.token_b").alias("token_b"))

@@ -675,8 +675,13 @@ def val_train_split(spark, sf):
 @query(f"""WITH a AS ({_PACKED}), b AS (SELECT g, CASE WHEN g % 1000 = 777 AND g > 5000 THEN 0 ELSE token END AS token FROM a)
 SELECT (SELECT count(*) FROM a) AS n_a, (SELECT count(*) FROM b) AS n_b, a.g, a.token AS token_a, b.token AS token_b FROM a JOIN b USING (g) WHERE a.token <> b.token ORDER BY g LIMIT 1""")
 def first_mismatch(spark, sf):
-    a = pack.positions(_stream(spark, sf), SHARD).select("g", "token")
-    return pack.first_mismatch(a, a.withColumn("token", F.when((F.col("g") % 1000 == 777) & (F.col("g") > 5000), 0).otherwise(F.col("token"))))
+    rows = documents(spark, sf).select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
+    a = pack.Stream(rows, F.octet_length("raw") + 1, lambda t: pack.with_eot(byte_lists(t, "raw"), EOT))
+
+    def b(*of):
+        return a(*of).withColumn("token", F.when((F.col("g") % 1000 == 777) & (F.col("g") > 5000), 0).otherwise(F.col("token")))
+
+    return pack.first_mismatch(a, b)
 
 
 @query(f"SELECT (g // {SHARD})::INT AS shard, count(*)::INT AS n_tokens, sum(token)::BIGINT AS total, 'gpt-2' AS model FROM ({_PACKED}) GROUP BY 1")
@@ -907,11 +912,6 @@ def vocab_trim(spark, sf):
     return vocabulary.trim(*_learnt(spark, sf), 256 + LEARNT // 2)[1]
 
 
-_SEEN_BYTES = f"SELECT token AS b, count(*) AS n FROM ({_EACH_BYTE}) GROUP BY token"
-
-
-@query(f"SELECT idx::INT AS id, idx BETWEEN 177 AND 187 AS never FROM ({_ALPHABET}) WHERE symbol NOT IN (SELECT name FROM ({_NAMES}) JOIN ({_SEEN_BYTES}) ON id = b)")
-def unused_tokens(spark, sf):
 _MASKED = 256 + LEARNT // 2
 
 
@@ -932,6 +932,11 @@ def rule_masked(spark, sf):
     return t.select("rank", *ids, "valid", F.coalesce("kept", F.lit(False)).alias("kept"), (F.col("near").isNotNull() & F.col("stays").isNull()).alias("part"))
 
 
+_SEEN_BYTES = f"SELECT token AS b, count(*) AS n FROM ({_EACH_BYTE}) GROUP BY token"
+
+
+@query(f"SELECT idx::INT AS id, idx BETWEEN 177 AND 187 AS never FROM ({_ALPHABET}) WHERE symbol NOT IN (SELECT name FROM ({_NAMES}) JOIN ({_SEEN_BYTES}) ON id = b)")
+def unused_tokens(spark, sf):
     """Byte tokens that no document has, and whether UTF-8 never has them."""
     seen = _bytes(spark, sf).select(F.explode_outer("tokens").alias("byte")).distinct()
     return alphabet_table(spark).join(seen, "byte", "left_anti").select(F.col("idx").alias("id"), F.col("idx").isin(bpe.unused_by_design()).alias("never"))

@@ -10,6 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from corpusmill.functions.pretok import byte_lists
 from corpusmill.operators import order, pack
 from corpusmill.operators.bpe import Tokenizer
 from corpusmill.sources import delimited, listing, manifest, onnx_init, shards, tables, texts
@@ -329,6 +330,39 @@ def test_first_mismatch_joins_one_block(spark):
     assert pack.first_mismatch(a, twice).first().n_b == 50_001
 
 
+def _stream_of(spark, docs, doc="doc"):
+    rows = spark.createDataFrame([(k, t) for k, t in docs], f"{doc} long, raw binary")
+    return pack.Stream(rows, F.coalesce(F.octet_length("raw"), F.lit(0)), lambda t: byte_lists(t, "raw"), doc)
+
+
+def test_streams_give_any_range(spark):
+    rng = random.Random(5)
+    docs = [(k * 7 % 90, bytes(rng.randrange(256) for _ in range(rng.choice([0, 1, 3, 200])))) for k in range(90)] + [(1000, None)]
+    want = b"".join(t for _, t in sorted(docs) if t)
+    stream = _stream_of(spark, docs)
+    assert [(r.g, r.token) for r in stream().orderBy("g").collect()] == list(enumerate(want))
+    for low, high in ((0, 1), (5, 5), (17, 900), (len(want) - 3, len(want) + 10), (len(want), len(want) + 1)):
+        assert [(r.g, r.token) for r in stream(low, high).orderBy("g").collect()] == list(enumerate(want))[low:high]
+    assert "Exchange hashpartitioning" not in stream(17, 900)._jdf.queryExecution().executedPlan().toString()
+    assert stream(17, 17 + (pack.NARROW << 1)).count() == len(want) - 17  # too many documents to be broadcast
+    assert _stream_of(spark, [])().count() == 0
+
+
+def test_first_mismatch_of_streams_with_other_documents(spark):
+    """Streams are told apart by position and token, wherever their documents begin."""
+    text = bytes(k * k % 251 for k in range(5000))
+    a = _stream_of(spark, [(k, text[k * 100 : k * 100 + 100]) for k in range(50)])
+    b = _stream_of(spark, [(k, text[k * 125 : k * 125 + 125]) for k in range(40)])
+    other = bytearray(text)
+    other[4321] ^= 1
+    other[4999] ^= 1
+    c = _stream_of(spark, [(9, bytes(other[:4000])), (10, b""), (12, bytes(other[4000:]))])
+    assert tuple(pack.first_mismatch(a, b, block=64).first()) == (5000, 5000, None, None, None)
+    assert tuple(pack.first_mismatch(a, c, block=64).first()) == (5000, 5000, 4321, text[4321], text[4321] ^ 1)
+    assert tuple(pack.first_mismatch(a, c().where("g < 70"), block=64).first()) == (5000, 70, 70, text[70], None)
+    assert pack.first_mismatch(a, _stream_of(spark, []), block=64).first().g == 0
+
+
 def test_shard_difference_within_arrays(spark):
     rows = [("f", 0, "gpt-2", [1, 2, 3]), ("g", 0, "gpt-2", [1, 2, 4, 5]), ("h", 0, "gpt-2", [1, 2])]
     one = [spark.createDataFrame([r], "file string, shard int, model string, tokens array<long>") for r in rows]
