@@ -781,7 +781,7 @@ def manifest_files(spark, sf):
     """Items as files of a folder each; of the folders that end in 3 only 13 comes back."""
     path = scratch(spark, "items")
     table(spark, sf, "benchmark").select("text", "item_id").write.partitionBy("item_id").text(path, lineSep="\n")
-    m = manifest.manifest(spark, path, ["# comment", "item_id=*3", "!item_id=13", "*.crc"])
+    m = manifest.manifest(spark, path, ["# comment", "item_id=*3", "!item_id=13", "*.crc", "_SUCCESS"])
     m = manifest.from_lines(manifest.to_lines(m))
     return m.select(F.regexp_extract("item", r"^item_id=(\d+)/", 1).cast("long").alias("item_id"), "sha256")
 

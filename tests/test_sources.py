@@ -165,6 +165,39 @@ def test_onnx_initializers(spark, tmp_path):
     assert onnx_init.raw_floats(spark, str(tmp_path / "x.f32")).first()["values"] == rows.ravel().tolist()
 
 
+def test_manifest_of_all_kinds_of_files(spark, tmp_path, monkeypatch):
+    """Empty, hidden, compressed, deep and oddly named files are in it; links are not."""
+    monkeypatch.setattr(manifest, "PIECE", 1 << 10)
+    monkeypatch.setattr(manifest, "LISTED", 2)
+    data = {"a.txt": b"", "b c/d.gz": gzip.compress(b"x" * 9), "b c/e%20f.bin": bytes(range(256)) * 40, ".hidden/_x/y": b"y" * 101, "_SUCCESS": b"z", "\u00e9": b"q"}
+    root = tmp_path / "root"
+    for name, raw in data.items():
+        (root / name).parent.mkdir(exist_ok=True, parents=True)
+        (root / name).write_bytes(raw)
+    (root / "none").mkdir()
+    (tmp_path / "else").write_bytes(b"1")
+    (root / "link").symlink_to(tmp_path / "else")
+    (root / "b c" / "up").symlink_to(root)
+    got = {r.item: r.sha256 for r in manifest.manifest(spark, str(root)).collect()}
+    assert got == {name: hashlib.sha256(raw).hexdigest() for name, raw in data.items()}
+    assert {r.item: r.sha256 for r in manifest.manifest(spark, f"file://{root}/").collect()} == got
+    assert {r.item for r in manifest.manifest(spark, str(root), ["*.gz", ".*", "!*.gz", "_*"]).collect()} == {"a.txt", "b c/d.gz", "b c/e%20f.bin", "\u00e9"}
+    assert manifest.manifest(spark, str(root / "none")).count() == 0
+    with pytest.raises(Exception, match="missing"):
+        manifest.manifest(spark, str(root / "missing"))
+
+
+def test_manifest_of_a_file_above_2_gb(spark, tmp_path):
+    size = (1 << 31) + 5
+    with open(tmp_path / "big", "wb") as f:
+        f.truncate(size)  # sparse: no disk is used
+    h, zeros = hashlib.sha256(), bytes(1 << 24)
+    for _ in range(size >> 24):
+        h.update(zeros)
+    h.update(zeros[: size & ((1 << 24) - 1)])
+    assert [tuple(r) for r in manifest.manifest(spark, str(tmp_path)).collect()] == [("big", h.hexdigest())]
+
+
 def test_manifest(spark, tmp_path):
     root = tmp_path / "r"
     for name in ("a.txt", "b.log", "sub/c.txt", "sub/deep/d.log", "out/e.txt", "keep.log"):
