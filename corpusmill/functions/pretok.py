@@ -53,18 +53,23 @@ def repaired(df: DataFrame, column: str) -> DataFrame:
 
 
 def byte_lists(df: DataFrame, column: str, out: str = "tokens") -> DataFrame:
-    """The table with a binary column's bytes as token ids in its place, straight from the Arrow buffers; null is empty."""
+    """The table with a binary column's bytes as token ids in its place, straight from the Arrow buffers; null is empty. A
+    column of arrays of binaries gives the bytes of each array's parts, one after the other."""
     import numpy as np
 
     def run(it):
         for batch in it:
             at = batch.schema.get_field_index(column)
-            raw = batch.column(at).fill_null(b"")
+            raw, parts = batch.column(at), None
             if not len(raw):
                 continue
+            if pa.types.is_list(raw.type):
+                parts, raw = np.asarray(raw.offsets), raw.values
+            raw = raw.fill_null(b"")
             kind = np.int64 if pa.types.is_large_binary(raw.type) else np.int32
             _, offs, data = raw.buffers()
-            offs = np.frombuffer(offs, kind)[raw.offset : raw.offset + len(raw) + 1]
+            offs = np.frombuffer(offs, kind)[raw.offset : raw.offset + len(raw) + 1] if len(raw) else np.zeros(1, kind)
+            offs = offs if parts is None else offs[parts]
             vals = np.frombuffer(data, np.uint8)[offs[0] : offs[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
             lists = pa.ListArray.from_arrays(pa.array((offs - offs[0]).astype(np.int32)), pa.array(vals.astype(np.int32)))
             names = [out if n == column else n for n in batch.schema.names]

@@ -6,7 +6,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.pretok import byte_lists
 from .order import BLOCK
 
 
@@ -99,20 +101,25 @@ def chunked_windows(chunks: DataFrame, c: WindowConfig, doc: str = "doc", order:
     No document is put together: its tokens are dealt to stretches of at least ``stretch`` tokens (a multiple of the stride),
     each with a halo of the ``window - 1`` tokens that follow, and a stretch cuts the windows that begin in it. Chunks may
     be empty or null, and a chunk may be longer than a stretch. ``chunk`` is an integer that occurs once in a document.
+    A binary column of tokens stands for its bytes, which are shuffled as bytes and become numbers after.
     """
+    raw = isinstance(chunks.schema[tokens].dataType, T.BinaryType)
+    length, slice_ = (F.octet_length, F.substring) if raw else (F.size, F.slice)
     size = -(-max(stretch, c.window) // c.stride) * c.stride
-    d = chunks.where(F.size(tokens) > 0).select(F.col(doc).alias("doc"), F.col(order).alias("order"), F.col(tokens).alias("tokens"))
-    at = chunk_offsets(d, "doc", "order", F.size("tokens")).toDF("of", "o", "at", "total")
+    d = chunks.where(length(tokens) > 0).select(F.col(doc).alias("doc"), F.col(order).alias("order"), F.col(tokens).alias("tokens"))
+    at = chunk_offsets(d, "doc", "order", length("tokens")).toDF("of", "o", "at", "total")
     d = d.join(at, d["doc"].eqNullSafe(at["of"]) & (d["order"] == at["o"]))
-    end = F.col("at") + F.size("tokens")
+    end = F.col("at") + length("tokens")
     # a stretch's halo reaches window - 1 tokens into the next ones
     first = F.greatest(F.lit(0), F.floor((F.col("at") - (c.window - 1)) / F.lit(size)))
     d = d.withColumn("stretch", F.explode(F.sequence(first, F.floor((end - 1) / F.lit(size)))))
     low = F.greatest(F.col("at"), F.col("stretch") * size)
     high = F.least(end, (F.col("stretch") + 1) * size + (c.window - 1))
-    part = F.struct(low.alias("at"), F.slice("tokens", (low - F.col("at") + 1).cast("int"), (high - low).cast("int")).alias("tokens"))
+    part = F.struct(low.alias("at"), slice_("tokens", (low - F.col("at") + 1).cast("int"), (high - low).cast("int")).alias("tokens"))
     g = d.where(high > low).groupBy("doc", "stretch", "total").agg(F.sort_array(F.collect_list(part)).alias("parts"))
-    g = g.select("doc", "total", (F.col("stretch") * size).alias("base"), F.flatten(F.transform("parts", lambda p: p["tokens"])).alias("tokens"))
+    parts = F.transform("parts", lambda p: p["tokens"])
+    g = g.select("doc", "total", (F.col("stretch") * size).alias("base"), (parts if raw else F.flatten(parts)).alias("tokens"))
+    g = byte_lists(g, "tokens") if raw else g
     g = g.withColumn("n", full_windows(F.col("total"), c).cast("long"))
     low, high = (F.col("base") / F.lit(c.stride)).cast("long"), ((F.col("base") + size) / F.lit(c.stride)).cast("long") - 1
     g = g.where(low <= F.col("n")).withColumn("position", F.explode(F.sequence(low, F.least(high, F.col("n")))))

@@ -297,7 +297,7 @@ def token_windows_pushes(spark, sf):
     """Documents that arrive line by line, and lines of more than a stretch: the windows of whole documents."""
     lines = texts.records(documents(spark, sf), "doc_id", "text")
     chunks = lines.select(F.col("key").alias("doc"), F.col("pos").alias("chunk"), F.col("record").cast("binary").alias("raw"))
-    return _told(chunked_windows(byte_lists(chunks, "raw"), WindowConfig(BW, BS, True)))
+    return _told(chunked_windows(chunks, WindowConfig(BW, BS, True), tokens="raw"))
 
 
 _TURNS = "SELECT conv_id AS doc, list_transform(regexp_extract_all(hex(encode(string_agg(text, '' ORDER BY turn))), '..'), lambda x: ('0x' || x)::INT) AS tokens FROM conversations GROUP BY conv_id"
@@ -307,7 +307,7 @@ _TURNS = "SELECT conv_id AS doc, list_transform(regexp_extract_all(hex(encode(st
 def token_windows_turns(spark, sf):
     """Conversations as documents, their turns as pushes."""
     turns = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("chunk"), F.col("text").cast("binary").alias("raw"))
-    return _told(chunked_windows(byte_lists(turns, "raw"), WindowConfig(64, 24, True, pad_right=True), stretch=256))
+    return _told(chunked_windows(turns, WindowConfig(64, 24, True, pad_right=True), tokens="raw", stretch=256))
 
 
 # ---------------------------------------------------------------- scores

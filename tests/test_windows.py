@@ -110,6 +110,10 @@ def test_chunks_give_the_windows_of_whole_documents(spark, seed):
     cut = chunked_windows(spark.createDataFrame(chunks, "doc long, chunk long, tokens array<int>"), c, stretch=rng.choice([1, 30, 1000]))
     assert cut.columns == whole.columns
     assert sorted(map(str, cut.collect())) == sorted(map(str, whole.collect()))
+    raw = spark.createDataFrame([(d, o, None if t is None else bytes(t)) for d, o, t in chunks], "doc long, chunk long, raw binary")
+    of_bytes = chunked_windows(raw, c, tokens="raw", stretch=rng.choice([1, 30, 1000]))
+    assert of_bytes.columns == whole.columns
+    assert sorted(map(str, of_bytes.collect())) == sorted(map(str, whole.collect()))
 
 
 def test_pushes_of_the_reference_cases(spark):
