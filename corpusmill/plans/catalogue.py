@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bytelevel, mathfn, tensor
 from ..functions.bytelevel import alphabet_table
-from ..functions.pretok import byte_lists, byte_tokens, rune_class
+from ..functions.pretok import byte_lists, byte_tokens, repaired, rune_class
 from ..operators import bias, bpe, bpe_training, embed, evaluate, pack, score, vocabulary
 from ..operators.order import ordered_sum
 from ..operators.windows import WindowConfig, chunked_windows, jobs, token_windows
@@ -195,6 +195,35 @@ def byte_token_ids(spark, sf):
     return _bytes(spark, sf).select("doc", F.size("tokens").alias("n"), F.md5(F.array_join(F.col("tokens").cast("array<string>"), ",").cast("binary")).alias("digest"))
 
 
+def _repaired_sql(marked: str) -> str:
+    """Text of bytes that are a cut from valid UTF-8, written ``<C3><A9>``: what is broken is at the ends, each byte of it U+FFFD."""
+    head, tail = "'^(<[89AB].>)*'", "'(<[CD].>|<E.>(<[89AB].>)?|<F.>(<[89AB].>){0,2})$'"
+    first = f"length(regexp_extract({marked}, {head}))"
+    body = f"{marked}[{first} + 1:]"
+    last = f"length(regexp_extract({body}, {tail}))"
+    whole = f"regexp_replace({body}[:length({body}) - {last}], '[<>]', '', 'g')"
+    return f"repeat(chr(65533), {first} // 4) || decode(unhex({whole})) || repeat(chr(65533), {last} // 4)"
+
+
+#: Bytes of the slices that texts are cut into, wherever that falls.
+CUT = 97
+
+
+@query(f"""SELECT doc, count(*) AS n_slices, sum(length(fixed) - length(replace(fixed, chr(65533), '')))::BIGINT AS n_broken, md5(string_agg(fixed, '' ORDER BY k)) AS digest FROM (
+  SELECT doc, k, {_repaired_sql('marked')} AS fixed FROM (
+    SELECT doc, k, regexp_replace(h[k * {2 * CUT} + 1 : (k + 1) * {2 * CUT}], '(..)', '<\\1>', 'g') AS marked FROM (
+      SELECT doc, h, unnest(range((length(h) + {2 * CUT - 1}) // {2 * CUT})) AS k FROM (SELECT doc_id AS doc, hex(encode(text)) AS h FROM documents)))) GROUP BY doc""")
+def repaired_slices(spark, sf):
+    """All texts in slices of bytes, each made text again."""
+    raw = F.col("text").cast("binary")
+    places = F.sequence(F.lit(0), F.floor((F.octet_length("text") - 1) / F.lit(CUT)).cast("int"))
+    d = documents(spark, sf).where(F.octet_length("text") > 0).select(F.col("doc_id").alias("doc"), raw.alias("raw"), F.explode(places).alias("k"))
+    d = repaired(d.select("doc", "k", F.substring("raw", F.col("k") * CUT + 1, F.lit(CUT)).alias("fixed")), "fixed")
+    broken = F.length("fixed") - F.length(F.replace("fixed", F.lit("\ufffd"), F.lit("")))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "fixed"))), lambda x: x["fixed"]), "")
+    return d.groupBy("doc").agg(F.count(F.lit(1)).alias("n_slices"), F.sum(broken).cast("long").alias("n_broken"), F.md5(text.cast("binary")).alias("digest"))
+
+
 def _runes_sql(t: str) -> str:
     return f"SELECT DISTINCT unnest(regexp_extract_all(text, '(?s).')) AS rune FROM {t}"
 
@@ -692,6 +721,22 @@ def shard_roundtrip(spark, sf):
     return shards.read_shards(spark, path).select("shard", F.size("tokens").alias("n_tokens"), total.alias("total"), "model")
 
 
+#: Tokens of each shard's beginning that are shown.
+PEEK = 200
+_SHOWN = f"SELECT (g // {SHARD})::INT AS shard, string_agg(CASE WHEN token = {EOT} THEN '<7C><7C>' ELSE printf('<%02X>', token) END, '' ORDER BY g) AS marked FROM ({_PACKED}) WHERE g % {SHARD} < {PEEK} GROUP BY 1 HAVING count(*) = {PEEK}"
+
+
+@query(f"SELECT shard, {_repaired_sql('marked')} AS text FROM ({_SHOWN})")
+def shard_peek(spark, sf):
+    """What the shards begin with, as text; documents begin with two bars there, and characters may be cut at both ends."""
+    path = scratch(spark, "shards")
+    shards.write_shards(pack.slabs(_stream(spark, sf), SHARD), path, "gpt-2", "train")
+    t = shards.read_shards(spark, path).where(F.size("tokens") >= PEEK)
+    tokenizer = bpe.Tokenizer({**{x: k for k, x in enumerate(bytelevel.alphabet())}, "||": EOT}, ())
+    shown = shards.peek_text(t, PEEK, tokenizer)
+    return shown.select(F.regexp_extract("file", r"_(\d+)\.bin$", 1).cast("int").alias("shard"), "text")
+
+
 # ---------------------------------------------------------------- arrays
 
 _X = "list_transform(embedding, lambda x: x::DOUBLE)"
@@ -854,6 +899,18 @@ def bpe_encode(spark, sf):
     return bpe.encode(documents(spark, sf), _small_tokenizer()).select("doc", F.size("tokens").alias("n"), _digest("tokens").alias("digest"))
 
 
+#: A symbol that the tokenizer of the next query lacks.
+LACKS = "Q"
+
+
+@query(f"SELECT doc, len(tokens)::INT AS n, md5(array_to_string(tokens, ',')) AS digest FROM (SELECT doc, CASE WHEN contains(text, '{LACKS}') THEN [] ELSE tokens END AS tokens FROM ({_ids_sql()}) JOIN documents ON doc_id = doc)")
+def bpe_encode_recover(spark, sf):
+    """A document with a symbol that is no token becomes empty, and the others are as ever."""
+    t = _small_tokenizer()
+    t = replace(t, vocab={x: k for x, k in t.vocab.items() if x != LACKS}, recover=True)
+    return bpe.encode(documents(spark, sf), t).select("doc", F.size("tokens").alias("n"), _digest("tokens").alias("digest"))
+
+
 @query("SELECT doc_id AS doc, md5(text) AS digest FROM documents")
 def bpe_roundtrip(spark, sf):
     t = _trained(spark, sf)
