@@ -15,11 +15,13 @@ import uuid
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyarrow.fs import FileSelector, FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from ..functions.batches import flat
 from .files import file_system
 
 # Fixed values of the public format: name -> (magic, version, numpy type)
@@ -69,7 +71,9 @@ class ShardReader(DataSourceReader):
             model, tokens = deserialize(f.read())
         name = path.rpartition("/")[2]
         found = re.search(r"_(\d+)\.bin$", name)
-        yield (name, int(found[1]) if found else 0, model, tokens.astype(np.int64).tolist())
+        lists = pa.ListArray.from_arrays(pa.array([0, len(tokens)], pa.int32()), pa.array(tokens.astype(np.int64)))
+        columns = [pa.array([name]), pa.array([int(found[1]) if found else 0], pa.int32()), pa.array([model]), lists]
+        yield pa.RecordBatch.from_arrays(columns, names=["file", "shard", "model", "tokens"])
 
 
 @dataclass
@@ -121,6 +125,20 @@ class ShardWriter(DataSourceWriter):
             fs.delete_dir(f"{base}/{self.job}")
 
 
+class ArrowShardWriter(ShardWriter, DataSourceArrowWriter):
+    """The writer of Arrow batches: tokens are numbers of a buffer all the way, not Python objects."""
+
+    def write(self, batches):
+        return super().write(row for batch in batches for row in batch_rows(batch))
+
+
+def batch_rows(batch: pa.RecordBatch):
+    """Rows (shard, tokens) with tokens as arrays."""
+    tokens, offs = flat(batch.column("tokens"))
+    for k, shard in enumerate(batch.column("shard").to_pylist()):
+        yield {"shard": shard, "tokens": tokens[offs[k] : offs[k + 1]]}
+
+
 class TokenShards(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -133,7 +151,7 @@ class TokenShards(DataSource):
         return ShardReader(self.options["path"])
 
     def writer(self, schema, overwrite):
-        return ShardWriter(dict(self.options))
+        return ArrowShardWriter(dict(self.options))
 
 
 def register(spark: SparkSession) -> None:
