@@ -211,6 +211,22 @@ def test_alpha_weighs_pairs_across_segments(spark):
         bpe_training.train(df, 300, alpha=2)
 
 
+def test_wrong_guesses_change_no_merge(spark, monkeypatch):
+    """Guesses from one piece that says nothing of the others, and in small batches."""
+    monkeypatch.setattr(bpe_training, "HEAD", 1)
+    monkeypatch.setattr(bpe_training, "HELD", 8)
+    rng = random.Random(5)
+    counts = {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 14))): rng.choice([1, 1, 2, 7]) for _ in range(60)} | {"zzzzyzyzy": 500}
+    df = spark.createDataFrame(list(counts.items()), "piece string, cnt long").repartition(3)
+    assert bpe_training.train(df, 256 + 40, least=1).merges == bpe.train(df, 256 + 40, least=1).merges
+
+
+def test_pieces_are_rows_by_the_block(spark):
+    df = spark.range(5000).select(F.concat(F.lit("w"), F.col("id")).alias("piece"), F.lit(2).cast("long").alias("cnt")).coalesce(1)
+    assert bpe_training.symbol_table(df, 1).count() == 1
+    assert sum(r.n for r in bpe_training.pair_counts(bpe_training.symbol_table(df, 1)).collect()) == bpe_training.UNIT * 2 * sum(len(str(k)) for k in range(5000))
+
+
 # ---------------------------------------------------------------- flat merges
 
 
