@@ -165,13 +165,14 @@ def decode(tokens: DataFrame, t: Tokenizer) -> DataFrame:
             lists = batch.column(1)
             begin = np.asarray(lists.offsets, np.int64)
             for i, j in _slices(np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)):
-                ids = np.asarray(lists.values.slice(begin[i], begin[j] - begin[i]), np.int64)
+                ids = np.asarray(lists.values.slice(begin[i], begin[j] - begin[i])).astype(np.int64)
                 data, offs = table.value(ids, begin[i : j + 1] - begin[i])
                 raw = data.tobytes()
                 texts = [repair_bytes(raw[a:b]) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(texts, pa.string())], names=["doc", "text"])
 
-    rows = tokens.select("doc", F.col("tokens").cast("array<long>").alias("tokens"))
+    kind = dict(tokens.dtypes)["tokens"]
+    rows = tokens.select("doc", F.col("tokens").cast("array<int>" if kind == "array<int>" else "array<long>").alias("tokens"))  # ints stay as small as they are
     return rows.mapInArrow(run, f"doc {dict(rows.dtypes)['doc']}, text string")
 
 

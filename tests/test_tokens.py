@@ -289,6 +289,15 @@ def test_encoding_of_nulls_repeats_and_long_documents(spark, trained):
         bpe.decode(spark.createDataFrame([(1, [10**6])], "doc long, tokens array<int>"), trained).collect()
 
 
+def test_decoding_keeps_the_size_of_ids(spark, trained):
+    """Ids of encode are not widened in the batches that go to Python; long ids decode as well."""
+    ids = spark.createDataFrame([(0, [0, 1, 2]), (1, []), (2, None)], "doc int, tokens array<int>")
+    plan = bpe.decode(ids, trained)._jdf.queryExecution().analyzed().toString()
+    assert "bigint" not in plan
+    wide = ids.withColumn("tokens", F.col("tokens").cast("array<long>"))
+    assert sorted(bpe.decode(ids, trained).collect()) == sorted(bpe.decode(wide, trained).collect())
+
+
 def test_reach_of_a_table(spark):
     """Merges count in the order of their ranks; a chain takes as many rounds as it is long."""
     chain = [(k, "a" * (k + 1), "a") for k in range(9)] + [(9, "z", "aaaa"), (10, "q", "zz"), (12, "x", "yw"), (13, "y", "w")]
